@@ -9,7 +9,7 @@ Defined results: a body that is null, empty or not complete JSON gives no rows;
 and a byte-order mark around it are ignored; a null element keeps its position and gives no
 row; an object in place of an array is an array of one; a scalar in place of an array gives
 no rows; a field of another type is read as null unless it casts; a record delivered twice
-counts once (newest ``received_at``, then the greatest body); a null id is an id of its own.
+counts once (newest ``received_at``); a null id is an id of its own.
 """
 
 from __future__ import annotations

@@ -4,33 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per SparkContext."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docloom-code-")) / "docloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"docloom/{path.relative_to(root)}")
+    sc.addPyFile(str(target))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder (one file or a folder of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def latest(df: DataFrame, keys: list[str], version: str | None = None, *values: str) -> DataFrame:
-    """One row per key: the newest delivery, ties broken by the values themselves.
+    """One row per key: the newest delivery; between equal versions a hash of the values decides.
 
     ``values`` names the columns to keep (default all). The newest row is an aggregate
-    (``max_by`` on a struct), so it combines map-side and needs no sort of the table.
-    Null versions count as oldest.
+    (``max_by``), so copies combine map-side. Null versions count as oldest.
     """
     keep = list(values) or [c for c in df.columns if c not in keys]
-    order = ([F.col(version)] if version else []) + [F.to_json(F.struct(F.col(c))) if _complex(df, c) else F.col(c) for c in keep]
+    order = ([F.col(version)] if version else []) + [F.xxhash64(*keep)]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_v"))
     return best.select(*keys, *[F.col("_v").getField(c).alias(c) for c in keep])
 
 
-def _complex(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("array", "map", "struct")
+def of_newest(found: DataFrame, delivered: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The rows of ``found`` that stem from the newest delivery of their key; drops ``version``.
+
+    For operators that work row by row: they run over every delivery, and only the keys and
+    versions, not the texts, are shuffled to tell which deliveries stand.
+    """
+    newest = delivered.groupBy(*keys).agg(F.max(version).alias("_newest"))
+    same = F.col(version).eqNullSafe(F.col("_newest"))
+    return found.join(newest, keys).where(same).select(*[c for c in found.columns if c != version]).distinct()
 
 
 def shared_dir(spark: SparkSession) -> str:
