@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import leakage, repeated_lines, splitting
+from docloom.llm import encoding, leakage, lookalikes, repeated_lines, splitting
 from docloom.session import table
 
 _REPEATED = r"""
@@ -37,6 +37,11 @@ QUERIES = {
     "p4_found": lambda spark, d: repeated_lines.repeated_lines(*_layout(spark, d)),
     "p4_lines": lambda spark, d: repeated_lines.repeated_line_table(*_layout(spark, d)).select("source", "record", "key", "n_files", "files"),
     "p4_cleaned_blocks": lambda spark, d: repeated_lines.cleaned_blocks(*_layout(spark, d)),
+    "p5_found": lambda spark, d: lookalikes.inconsistent(table(spark, d, "raw_words"), table(spark, d, "formula_candidates"), encoding.garbled_blocks(table(spark, d, "raw_blocks"))),
+    "p5_groups": lambda spark, d: lookalikes.skeleton_groups(table(spark, d, "raw_words")),
+    "p6_found": lambda spark, d: encoding.garbled_blocks(table(spark, d, "raw_blocks")),
+    "p6_words": lambda spark, d: encoding.garbled_block_words(table(spark, d, "raw_blocks")),
+    "p6_repaired": lambda spark, d: encoding.repaired_blocks(table(spark, d, "raw_blocks")),
     "p7_found": lambda spark, d: splitting.oversized(_rendered(spark, d)),
     "p7_pieces": lambda spark, d: splitting.rendered_pieces(_rendered(spark, d)),
     "p9_found": lambda spark, d: leakage.leaks(*_leaks(spark, d)),
