@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import encoding, leakage, lookalikes, repeated_lines, splitting
+from docloom.llm import encoding, leakage, lookalikes, repeated_lines, spam, splitting
 from docloom.session import table
 
 _REPEATED = r"""
@@ -46,6 +46,8 @@ QUERIES = {
     "p7_pieces": lambda spark, d: splitting.rendered_pieces(_rendered(spark, d)),
     "p9_found": lambda spark, d: leakage.leaks(*_leaks(spark, d)),
     "p9_spans": lambda spark, d: leakage.leak_spans(*_leaks(spark, d)),
+    "p10_found": lambda spark, d: spam.spam_documents(table(spark, d, "documents"), table(spark, d, "common_words")),
+    "p10_shares": lambda spark, d: spam.spam_shares(table(spark, d, "documents"), table(spark, d, "common_words")),
 }
 
 SQL = {

@@ -37,7 +37,7 @@ PROTOTYPES = CYRILLIC | GREEK
 
 _KEPT_TAGS = ("<super>", "<sub>", "<noBreak> 2010")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
-_RUN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_²³¹ªº¼½¾⁰-₟]+")
 _OTHER_SCRIPT = "[\\x{0370}-\\x{03FF}\\x{0400}-\\x{052F}]"
 
 
