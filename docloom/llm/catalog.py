@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import encoding, leakage, lookalikes, repeated_lines, spam, splitting
+from docloom.llm import encoding, leakage, lookalikes, repeated_lines, spam, splitting, text_kind
 from docloom.session import table
 
 _REPEATED = r"""
@@ -34,6 +34,8 @@ def _leaks(spark, d):
 
 
 QUERIES = {
+    "p2_found": lambda spark, d: text_kind.text_kinds(_rendered(spark, d), table(spark, d, "common_words")),
+    "p2_statistics": lambda spark, d: text_kind.document_statistics(_rendered(spark, d), table(spark, d, "common_words"), table(spark, d, "inspect_reports")),
     "p4_found": lambda spark, d: repeated_lines.repeated_lines(*_layout(spark, d)),
     "p4_lines": lambda spark, d: repeated_lines.repeated_line_table(*_layout(spark, d)).select("source", "record", "key", "n_files", "files"),
     "p4_cleaned_blocks": lambda spark, d: repeated_lines.cleaned_blocks(*_layout(spark, d)),
