@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import encoding, leakage, lookalikes, repeated_lines, spam, splitting, text_kind
+from docloom.llm import encoding, leakage, lookalikes, repeated_lines, scan_noise, spam, splitting, text_kind
 from docloom.session import table
 
 _REPEATED = r"""
@@ -29,11 +29,17 @@ def _layout(spark, d):
     return table(spark, d, "raw_blocks"), table(spark, d, "furniture_lines"), table(spark, d, "inspect_reports")
 
 
+def _scans(spark, d):
+    return table(spark, d, "raw_blocks"), table(spark, d, "ocr_triage"), table(spark, d, "inspect_reports")
+
+
 def _leaks(spark, d):
     return table(spark, d, "documents"), table(spark, d, "eval_items")
 
 
 QUERIES = {
+    "p1_found": lambda spark, d: scan_noise.scan_defects(*_scans(spark, d)),
+    "p1_repaired": lambda spark, d: scan_noise.repaired_blocks(*_scans(spark, d)),
     "p2_found": lambda spark, d: text_kind.text_kinds(_rendered(spark, d), table(spark, d, "common_words")),
     "p2_statistics": lambda spark, d: text_kind.document_statistics(_rendered(spark, d), table(spark, d, "common_words"), table(spark, d, "inspect_reports")),
     "p4_found": lambda spark, d: repeated_lines.repeated_lines(*_layout(spark, d)),
