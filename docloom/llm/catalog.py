@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import encoding, leakage, lookalikes, repeated_lines, scan_noise, spam, splitting, text_kind
+from docloom.llm import encoding, leakage, lookalikes, packing, repeated_lines, scan_noise, spam, splitting, text_kind
 from docloom.session import table
 
 _REPEATED = r"""
@@ -52,6 +52,8 @@ QUERIES = {
     "p6_repaired": lambda spark, d: encoding.repaired_blocks(table(spark, d, "raw_blocks")),
     "p7_found": lambda spark, d: splitting.oversized(_rendered(spark, d)),
     "p7_pieces": lambda spark, d: splitting.rendered_pieces(_rendered(spark, d)),
+    "p8_packed": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "p8_containers": lambda spark, d: packing.containers(table(spark, d, "documents")),
     "p9_found": lambda spark, d: leakage.leaks(*_leaks(spark, d)),
     "p9_spans": lambda spark, d: leakage.leak_spans(*_leaks(spark, d)),
     "p10_found": lambda spark, d: spam.spam_documents(table(spark, d, "documents"), table(spark, d, "common_words")),
