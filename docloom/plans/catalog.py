@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import nested
+from docloom.plans import nested, scalars
 
-_MODULES = [nested]
+_MODULES = [nested, scalars]
 
 
 def queries() -> dict:
