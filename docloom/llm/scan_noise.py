@@ -187,7 +187,7 @@ def judged_words(scans: DataFrame, vocab: DataFrame, pairs: DataFrame, ratio: in
     tokens = scans.select(F.explode(_tokens("body")).alias("token")).distinct()
     split = tokens.select("token", F.split("token", _BREAK).alias("parts"), F.regexp_replace("token", _BREAK, "").alias("joined"))
     forms = split.select(F.explode(F.concat(F.array("joined"), "parts")).alias("word")).distinct()
-    fixed = corrections(forms, vocab, ratio, min_files)
+    fixed = written(corrections(forms, vocab, ratio, min_files), "corrections")  # joined four times below
     whole = split.where("size(parts) = 1").join(fixed.withColumnRenamed("word", "joined"), "joined").select("token", F.col("joined").alias("word"), F.lit(False).alias("broken"), "original")
 
     v = vocab.select("word", F.col("n_files").alias("n"))
@@ -207,7 +207,7 @@ def judged_words(scans: DataFrame, vocab: DataFrame, pairs: DataFrame, ratio: in
 
 def _judged(blocks: DataFrame, triage: DataFrame, reports: DataFrame, ratio: int, min_files: int) -> tuple[DataFrame, DataFrame]:
     scans = written(scanned_blocks(blocks, triage, reports), "scans")  # read by four branches
-    return scans, judged_words(scans, vocabulary(blocks, triage), compounds(blocks), ratio, min_files)
+    return scans, judged_words(scans, written(vocabulary(blocks, triage), "vocabulary"), compounds(blocks), ratio, min_files)
 
 
 def scan_defects(blocks: DataFrame, triage: DataFrame, reports: DataFrame, ratio: int = RATIO, min_files: int = MIN_FILES) -> DataFrame:
