@@ -46,7 +46,8 @@ MARGIN = 1_000_000
 _DASH = r"[-\\u2010\\u2011\\u2012\\u2013\\u2014\\u00AC\\u00AD]"
 #: Marks where a word was broken; a private-use character.
 _BREAK = "\ue000"
-_TOKEN = r"[^\\x00-\\x2F:-@\\[-`{-\\x7F\\s\\u2010-\\u201F\\u2022\\u2026\\u00AB\\u00BB\\u00BF\\u00A1]+"
+#: What parts words: blanks, ASCII punctuation, quotation marks, bullets, dashes, ellipses.
+_GAP = r"[\\x00-\\x2F:-@\\[-`{-\\x7F\\s\\u2010-\\u201F\\u2022\\u2026\\u00AB\\u00BB\\u00BF\\u00A1]+"
 _LETTERS = r"^[\\p{L}\\p{N}\\x{E000}]+$"
 
 _NUMBER = (
@@ -95,18 +96,22 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
     """
     own = _newest(blocks)
     pages = scan_pages(triage)
-    on = own.join(pages, ["doc_id", "page_num"]).join(titles(own, reports, pages), "doc_id", "left")
+    on = own.join(pages, ["doc_id", "page_num"]).dropDuplicates(["doc_id", "page_num", "block_id"]).join(titles(own, reports, pages), "doc_id", "left")
     number = f"regexp_extract(norm, '{_NUMBER}', 1)"
     value = f"translate({number}, 'lioszq', '110529')"
     page = "cast(page_num + 1 as string)"
     is_number = (
-        f"(norm rlike '{_NUMBER}' and {number} <> '' and (block_id >= {MARGIN} or {value} = {page} or "
+        f"(length(norm) <= 24 and norm rlike '{_NUMBER}' and {number} <> '' and (block_id >= {MARGIN} or {value} = {page} or "
         f"replace(translate({number}, '1l', 'ii'), 'u', 'ii') = translate({_roman('(page_num + 1)')}, 'l', 'i')))"
     )
-    near = "exists(titles, t -> least(levenshtein(norm, t), levenshtein(regexp_replace(norm, '\\\\s+[0-9lios]{1,4}$', ''), t)) <= greatest(2, cast(floor(length(t) * 0.25) as int)))"
+    bound = "greatest(2, cast(floor(length(t) * 0.25) as int))"
+    near = (
+        f"exists(titles, t -> length(norm) between length(t) - {bound} and length(t) + {bound} + 5 and "
+        f"(levenshtein(norm, t, {bound}) >= 0 or levenshtein(regexp_replace(norm, '\\\\s+[0-9lios]{{1,4}}$', ''), t, {bound}) >= 0))"
+    )
     is_title = f"(coalesce({near}, false) and not (page_num = 0 and block_id <=> title_block))"
     lines = f"transform(transform(split(text, '\\n'), l -> struct(l as line, trim(regexp_replace(lower(l), '\\\\s+', ' ')) as norm)), x -> struct(x.line, ({is_number} or {is_title}) as running))"
-    lines = lines.replace("norm rlike", "x.norm rlike").replace("(norm", "(x.norm")
+    lines = lines.replace("(norm", "(x.norm").replace("and norm rlike", "and x.norm rlike")
     kept = on.selectExpr("doc_id", "page_num", "block_id", "text", f"{lines} as ls").selectExpr(
         "doc_id", "page_num", "block_id", "text", "exists(ls, x -> x.running) as running", "array_join(transform(filter(ls, x -> not x.running), x -> x.line), '\\n') as kept"
     )
@@ -115,27 +120,38 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
 
 
 def _newest(blocks: DataFrame) -> DataFrame:
-    """Blocks of each file's newest extraction, each key once."""
+    """Blocks of each file's newest extraction; one delivered twice is still there twice."""
     newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
     own = blocks.where("text is not null").join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
-    return own.select("doc_id", "page_num", "block_id", "reading_order", "text").dropDuplicates(["doc_id", "page_num", "block_id"])
+    return own.select("doc_id", "page_num", "block_id", "reading_order", "text")
+
+
+def _runs(text: str) -> Column:
+    """Distinct lower-case runs of characters that part no words."""
+    return F.expr(f"array_distinct(split(lower({text}), '{_GAP}'))")
+
+
+def _is_word(name: str) -> Column:
+    """Letters and digits only, at least one letter."""
+    return F.expr(f"{name} rlike '{_LETTERS}' and {name} rlike '\\\\p{{L}}'")
 
 
 def _tokens(text: str) -> Column:
-    """Distinct lower-case words of letters and digits with at least one letter."""
-    return F.expr(f"filter(array_distinct(regexp_extract_all(lower({text}), '{_TOKEN}', 0)), w -> w rlike '{_LETTERS}' and w rlike '\\\\p{{L}}')")
+    """The runs that are words."""
+    return F.expr(f"filter(array_distinct(split(lower({text}), '{_GAP}')), w -> w rlike '{_LETTERS}' and w rlike '\\\\p{{L}}')")
 
 
 def vocabulary(blocks: DataFrame, triage: DataFrame) -> DataFrame:
     """(word, n_files, n_clean): files that hold each word, and files that hold it on pages not scanned.
 
-    The last line-end fragment of a broken word is no word and is not counted.
+    Words broken at line ends are not counted, nor are their fragments.
     """
-    whole = F.regexp_replace("text", rf"\p{{L}}+{_DASH.replace(chr(92) * 2, chr(92))}\s*\n\s*\p{{L}}+", " ").alias("text")
+    whole = F.regexp_replace("text", rf"{_DASH.replace(chr(92) * 2, chr(92))}[ \t\r]*\n[ \t]*(?=\p{{L}})", _BREAK).alias("text")
     marked = _newest(blocks).join(scan_pages(triage).withColumn("_scan", F.lit(True)), ["doc_id", "page_num"], "left")
-    pairs = marked.select("doc_id", F.col("_scan").isNull().alias("clean"), whole).select("doc_id", "clean", F.explode(_tokens("text")).alias("word"))
+    pairs = marked.select("doc_id", F.col("_scan").isNull().alias("clean"), whole).select("doc_id", "clean", F.explode(_runs("text")).alias("word"))
     per_file = pairs.groupBy("doc_id", "word").agg(F.max("clean").alias("clean"))
-    return per_file.groupBy("word").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("clean").alias("n_clean"))
+    counted = per_file.groupBy("word").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("clean").alias("n_clean"))
+    return counted.where(_is_word("word") & ~F.col("word").contains(_BREAK))  # judged once for each distinct word
 
 
 def compounds(blocks: DataFrame) -> DataFrame:
