@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import nested, scalars
+from docloom.plans import facts, nested, scalars
 
-_MODULES = [nested, scalars]
+_MODULES = [nested, scalars, facts]
 
 
 def queries() -> dict:
