@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import facts, nested, scalars
+from docloom.plans import facts, folds, nested, pageplan, policy, scalars, spatial
 
-_MODULES = [nested, scalars, facts]
+_MODULES = [nested, scalars, facts, spatial, folds, pageplan, policy]
 
 
 def queries() -> dict:
