@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import facts, folds, nested, pageplan, policy, scalars, spatial
+from docloom.plans import facts, folds, nested, pageplan, pages, policy, scalars, spatial
 
-_MODULES = [nested, scalars, facts, spatial, folds, pageplan, policy]
+_MODULES = [nested, scalars, facts, spatial, folds, pageplan, policy, pages]
 
 
 def queries() -> dict:
