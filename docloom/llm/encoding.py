@@ -107,14 +107,16 @@ def garbled_forms(word: str) -> dict[str, str]:
 
 _SHAPE = re.compile(r"(?:[^\W\d_]+[’'ʼ]?)*[^\W\d_]+|[^\W\d_]*\d+[^\W\d_]*")
 _SYMBOLS = set("“”‘’„‚«»‹›—–…•°²³¹§·±×€£©®™¿¡ºª№½¼¾µ√∑≤≥≠∞∫‐¬®")
+#: Symbols that stand beside ASCII letters and digits in units and formulas.
+_UNIT_SYMBOLS = set("°²³·±×µ√∑≤≥≠’–—")
 
 
 def looks_like_word(word: str) -> bool:
     """Whether a run reads as text: known symbols around letters of one script in a usual case pattern."""
-    core = word.strip("“”‘’„«»‹›—–…•¿¡§±")
+    core = word.lstrip("“‘„‚«‹—–…•¿¡§±").rstrip("”’“»›—–…•")
     if not core:
         return len(word) <= 2
-    if all(c in _SYMBOLS or c.isascii() for c in core) and any(c.isascii() for c in core):
+    if all(c in _UNIT_SYMBOLS or c.isascii() for c in core) and any(c.isascii() for c in core):
         return True
     letters = [c for c in core if c.isalpha()]
     for c in core:
@@ -163,6 +165,7 @@ def newest_blocks(blocks: DataFrame, *values: str) -> DataFrame:
     Only (doc_id, extracted_at) is aggregated to find the newest, and the same extraction
     delivered twice is dropped by key later, where rows are few.
     """
+    blocks = blocks.select("doc_id", "page_num", "block_id", "extracted_at", *values)  # extra columns can't clash
     newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
     own = blocks.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
     return own.select("doc_id", "page_num", "block_id", *values)

@@ -121,6 +121,7 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
 
 def _newest(blocks: DataFrame) -> DataFrame:
     """Blocks of each file's newest extraction; one delivered twice is still there twice."""
+    blocks = blocks.select("doc_id", "page_num", "block_id", "reading_order", "text", "extracted_at")  # extra columns can't clash
     newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
     own = blocks.where("text is not null").join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
     return own.select("doc_id", "page_num", "block_id", "reading_order", "text")
