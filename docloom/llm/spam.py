@@ -5,7 +5,8 @@ operator measures top-word share, repeated n-gram share, duplicate-line share, l
 and separator density, function-word share and sentence ends. Limits of the shares are calibrated
 per language: medians and quartiles over all segments of a language, so that stuffed pages, a
 minority, do not move them; a language with under ``min_segments`` segments (and null) uses the
-limits of all. A document is found when segments over the limits hold more than half its characters.
+limits of all. A document is found when segments over the limits hold more than half its characters; links that
+a line such as ``See also:`` introduces count only where sentences hold under a quarter of the text.
 
 Scale: texts are measured once where they lie, in Arrow batches; what leaves is some numbers per
 segment, written to the shared folder because calibration and decision both read them. Quantiles
@@ -34,24 +35,32 @@ _TAG = re.compile(r"(?<!\S)#[^\W_]\w*")
 _END = re.compile(r"[^\W_][\"”’»)\]]*[.!?…](?=[\s\"”’»)\]]|$)")
 _PRICE = re.compile(r"(?<![\w.,])\d{1,5}[.,]\d\d(?![\w])|[$€£]\s?\d")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+#: A line that introduces a list: some words and a colon.
+_LEAD = re.compile(r"[^\n/#|]{1,60}:\s*$")
+#: Share of sentences from which a page's introduced links are its references.
+REFERRING = 0.25
 #: Sentence ends per word from which a segment holds sentences.
 SENTENCES = 0.025
-_FIELDS = ["seg", "chars", "words", "top", "gram", "dup", "link", "tag", "sep", "function", "ends", "offer", "varied"]
+_FIELDS = ["seg", "chars", "words", "top", "gram", "dup", "link", "tag", "sep", "function", "ends", "offer", "varied", "led"]
 _SCHEMA = "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in _FIELDS)
 
 
-def _segments(text: str) -> list[str]:
-    """Paragraphs; a paragraph whose lines are partly links, tags or offers is cut into lines."""
+def _segments(text: str) -> list[tuple[str, bool]]:
+    """(segment, led): paragraphs, cut into lines where these are partly links, tags or offers.
+
+    ``led`` marks the lines of a paragraph that an introducing line such as ``See also:`` heads.
+    """
     out = []
     for part in _PARAGRAPH.split(text) if "\n" in text else [text]:
         if "\n" in part and ("/" in part or "#" in part or _PRICE.search(part)):
-            lines = part.split("\n")
-            kinds = {bool(_LINK.search(x) or _TAG.search(x) or _PRICE.search(x)) for x in lines if x.strip()}
+            lines = [x for x in part.split("\n") if x.strip()]
+            kinds = {bool(_LINK.search(x) or _TAG.search(x) or _PRICE.search(x)) for x in lines}
             if len(kinds) == 2:
-                out += [x for x in lines if x.strip()]
+                led = _LEAD.fullmatch(lines[0]) is not None
+                out += [(x, led) for x in lines]
                 continue
         if part.strip():
-            out.append(part)
+            out.append((part, False))
     return out
 
 
@@ -68,11 +77,11 @@ def measure(text: str, function_words: set[str]) -> list[tuple[float, ...]]:
     segments = _segments(text.casefold())
     counts: Counter = Counter()
     parts = []
-    for s in segments:
+    for s, led in segments:
         link = sum(map(len, _LINK.findall(s))) if "/" in s else 0
         ws = _WORD.findall(_LINK.sub(" ", s) if link else s)
         counts.update(ws)
-        parts.append((s, ws, link, len(_END.findall(s))))
+        parts.append((s, ws, link, len(_END.findall(s)), led))
     listed = function_words.__contains__
     for w in [*filter(listed, counts)]:
         del counts[w]
@@ -81,7 +90,7 @@ def measure(text: str, function_words: set[str]) -> list[tuple[float, ...]]:
     grams = Counter(g for p in bare for g in zip(p[1], p[1][1:]))
     lines = Counter(x for p in bare for x in _line_keys(p[0]))
     out = []
-    for k, (s, ws, link, ends) in enumerate(parts):
+    for k, (s, ws, link, ends, led) in enumerate(parts):
         n, size = len(ws), len(s)
         function = sum(map(listed, ws))
         own = n - function
@@ -96,7 +105,7 @@ def measure(text: str, function_words: set[str]) -> list[tuple[float, ...]]:
             sep = sum(map(s.count, "|#,–;")) / max(1, n)
             varied = len(set(ws)) / max(1, n)
         tag = sum(map(len, _TAG.findall(s))) / size if "#" in s else 0.0
-        out.append((float(k), float(size), float(n), sum(map(frequent, ws)) / max(1, own), gram, dup, link / size, tag, sep, function / max(1, n), ends / max(1, n), offer, varied))
+        out.append((float(k), float(size), float(n), sum(map(frequent, ws)) / max(1, own), gram, dup, link / size, tag, sep, function / max(1, n), ends / max(1, n), offer, varied, float(led)))
     return out
 
 
@@ -149,9 +158,11 @@ def spam_shares(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     link, tag = F.col("link") >= 0.4, F.col("tag") >= 0.4
     repeated = (F.col("top") >= top) & ((F.col("varied") < 0.5) | (F.col("gram") >= 0.3) | (F.col("dup") >= 0.5) | (F.col("offer") > 0))
     stuffed = (F.col("ends") < SENTENCES) & (F.col("words") >= 8) & (F.col("function") < function) & repeated
+    sentences = F.sum(F.when(F.col("ends") >= SENTENCES, F.col("chars")).otherwise(0.0)) / F.sum("chars")
+    referred = F.sum(F.when(link & (F.col("led") > 0), F.col("chars")).otherwise(0.0)) / F.sum("chars")
     share = lambda c: F.sum(F.when(c, F.col("chars")).otherwise(0.0)) / F.sum("chars")
     # A document delivered twice adds the same segments twice, so its shares stay the same.
-    return joined.groupBy("doc_id").agg(share(link | tag | stuffed).alias("spam_share"), share(link).alias("link_share"), share(tag).alias("tag_share"), share(stuffed & ~link & ~tag).alias("stuffed_share"))
+    return joined.groupBy("doc_id").agg((share(link | tag | stuffed) - F.when(sentences >= REFERRING, referred).otherwise(0.0)).alias("spam_share"), share(link).alias("link_share"), share(tag).alias("tag_share"), share(stuffed & ~link & ~tag).alias("stuffed_share"))
 
 
 def spam_documents(documents: DataFrame, common_words: DataFrame) -> DataFrame:

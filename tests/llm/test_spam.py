@@ -21,6 +21,7 @@ FINE = {
     "table": "\n".join(f"Row{k};{k};{k}.5;n/a;{k * 7}" for k in range(40)),
     "labels": "\n".join(f"{w}: {k} kPa" for k, w in enumerate("Sensor Valve Tank Mill Crane Rope Hull Beam Deck Gate".split())),
     "references": PROSE * 4 + "\n\nSee also:\n- https://a.example/one\n- https://b.example/two",
+    "short references": PROSE + "\n\nSee also:\n" + "\n".join(f"- https://reference-{k}.example/a-rather-long-page-name" for k in range(3)),
     "keywords line": PROSE * 3 + "\n\nKeywords: valve, pump, tank, level",
 }
 
