@@ -51,6 +51,13 @@ def ratio_or_full(hit: str, total: str) -> Column:
     return F.when(F.col(total) == 0, F.lit(1.0)).otherwise(F.col(hit) / F.col(total))
 
 
+def page_metrics(pages: DataFrame, keys: list[str], expected: str, actual: str, budget: str) -> DataFrame:
+    """keys + (expected, actual, hits, over, recall, precision): counts of one page; what is over may use up a budget."""
+    e, a = F.coalesce(F.col(expected), F.lit(0)), F.coalesce(F.col(actual), F.lit(0))
+    counted = pages.select(*keys, e.alias("expected"), a.alias("actual"), F.least(e, a).alias("hits"), F.greatest(a - e - F.coalesce(F.col(budget), F.lit(0)), F.lit(0)).alias("over"))
+    return counted.select("*", F.round(ratio_or_full("hits", "expected"), 9).alias("recall"), F.round(ratio_or_full("hits", "actual"), 9).alias("precision"))
+
+
 def document_metrics(pages: DataFrame, doc: str) -> DataFrame:
     """(doc, pages, expected, matched, micro, macro): sums over pages, the share of sums and the mean of shares."""
     per = pages.withColumn("_r", ratio_or_full("matched", "expected"))

@@ -169,3 +169,50 @@ def top_per_page(items: DataFrame, keys: list[str], score: str, k: int) -> DataF
     """The k highest-scored items of each page; smaller keys first among equals."""
     w = Window.partitionBy(*PAGE).orderBy(F.desc(score), *keys)
     return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def implicit_tables(blocks: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, page_num, first_order, n_rows, n_values, rows): runs of blocks that read as label and numbers.
+
+    Rows with another number of values than the run's most frequent one (the larger of equals) are
+    left out; a run needs 3 rows that stay.
+    """
+    w = Window.partitionBy(*PAGE).orderBy("reading_order", "block_id")
+    row = T.numeric_row(F.col("text"))
+    numbered = blocks.withColumn("_n", F.row_number().over(w)).withColumn("r", row).where("r is not null and size(r.values) > 0").withColumn("v", F.size("r.values"))
+    runs = numbered.withColumn("island", F.col("_n") - F.row_number().over(w))
+    keys = [*PAGE, "island"]
+    mode = runs.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("hits")).groupBy(*keys).agg(F.max(F.struct("hits", "v")).alias("m")).select(*keys, F.col("m.v").alias("v"))
+    kept = runs.join(mode, [*keys, "v"]).groupBy(*keys, "v").agg(
+        F.min("reading_order").alias("first_order"), F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "r"))).alias("rs")
+    )
+    line = lambda x: F.concat(x["r"]["label"], F.lit("|"), F.array_join(x["r"]["values"], "|"))
+    return kept.where(F.col("n_rows") >= least).select(*PAGE, "first_order", "n_rows", F.col("v").alias("n_values"), F.array_join(F.transform("rs", line), "\n").alias("rows"))
+
+
+def form_fields(lines: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """keys + (line_no, label, value): labels with a colon and their value, inline or on the next line, in runs of 3."""
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    label = F.regexp_extract("line", "^([^:]*:)", 1)
+    inline = T.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1))
+    following = T.trim(F.lead("line").over(w))
+    value = F.when(inline != "", F.when((F.octet_length(inline) <= 60) & ~inline.contains("."), inline)).when(P.is_choice_line(following), F.array_join(T.words(following), " | ")).when(P.is_field_value(following), following)
+    found = lines.withColumns({"label": label, "value": value}).where(P.is_field_label(F.col("label")) & F.col("value").isNotNull())
+    near = found.withColumn("new", F.coalesce(F.col("line_no") - F.lag("line_no").over(w) > 2, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))
+    return near.withColumn("size", size).where(F.col("size") >= least).select(*keys, "line_no", T.field_label(F.col("label")).alias("label"), "value")
+
+
+def merged_rules(rules: DataFrame, across: float = 1.5, along: float = 2.0) -> DataFrame:
+    """(doc_id, page_num, orientation, pos, lo, hi): ruling segments joined that lie in one line and touch.
+
+    ``rules`` has orientation, pos, lo, hi and thickness; positions are weighted by thickness.
+    """
+    side = [*PAGE, "orientation"]
+    w = Window.partitionBy(*side).orderBy("pos", "lo", "hi")
+    banded = rules.withColumn("_n", F.coalesce(F.col("pos") - F.lag("pos").over(w) > F.lit(across), F.lit(True)).cast("int")).withColumn("band", F.sum("_n").over(w))
+    v = Window.partitionBy(*side, "band").orderBy("lo", "hi", "pos")
+    reach = F.max("hi").over(v.rowsBetween(Window.unboundedPreceding, -1))
+    parted = banded.withColumn("_m", F.coalesce(F.col("lo") - reach > F.lit(along), F.lit(True)).cast("int")).withColumn("part", F.sum("_m").over(v))
+    weight = F.greatest("thickness", F.lit(0.1))
+    return parted.groupBy(*side, "band", "part").agg((F.sum(F.col("pos") * weight) / F.sum(weight)).alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("band", "part")

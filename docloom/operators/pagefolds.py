@@ -341,6 +341,34 @@ def merge_regions(regions: list[dict], share: float = 0.6) -> list[dict]:
     return kept
 
 
+def grid_cells(boxes: list[Box], numeric: list[bool]) -> dict[int, tuple[int, int]]:
+    """(row, column) by box where boxes form a grid: rows of two or more that follow each other, 2 to 10 columns."""
+    if len(boxes) < 4:
+        return {}
+    levels = clusters([b[1] for b in boxes], 6.0)
+    near = lambda v, centres, tol: next((k for k in sorted(range(len(centres)), key=lambda k: abs(v - centres[k]))[:1] if abs(v - centres[k]) <= tol), None)
+    row = [near(b[1], levels, 6.0) for b in boxes]
+    full = [k for k in range(len(levels)) if row.count(k) >= 2]
+    runs: list[list[int]] = []
+    for k in full:
+        if runs and k - runs[-1][-1] <= 2:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    out: dict[int, tuple[int, int]] = {}
+    for run in (r for r in runs if len(r) >= 2):
+        members = [i for i in range(len(boxes)) if row[i] in run]
+        anchor = {i: boxes[i][2] if numeric[i] else boxes[i][0] for i in members}
+        columns = clusters(list(anchor.values()), 12.0)
+        if not 2 <= len(columns) <= 10:
+            continue
+        column = {i: near(anchor[i], columns, 12.0) for i in members}
+        held = Counter(c for c in column.values() if c is not None)
+        if sum(n >= 2 for n in held.values()) >= 2:
+            out |= {i: (run.index(row[i]), column[i]) for i in members if column[i] is not None}
+    return out
+
+
 # --- formulas --------------------------------------------------------------------------------
 
 _OPERATORS = set("∑∏∫√∂∞=+−≤≥≠≈→⇒×÷")
@@ -508,6 +536,18 @@ def page_reading_order(blocks: DataFrame) -> DataFrame:
     return _per_page(blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1"), "block_id bigint, position int", fold)
 
 
+def page_grid_cells(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_num, block_id, cell_row, cell_col): short blocks that form a grid."""
+    short = blocks.where((F.octet_length("text") <= 200) & (F.trim("text") != ""))
+
+    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
+        rows = _rows(pdf, "y0", "x0", "block_id")
+        cells = grid_cells([(r.x0, r.y0, r.x1, r.y1) for r in rows], [is_value(r.text.strip()) for r in rows])
+        return [(rows[i].block_id, *cell) for i, cell in cells.items()]
+
+    return _per_page(short.select(*PAGE, "block_id", "text", "x0", "y0", "x1", "y1"), "block_id bigint, cell_row int, cell_col int", fold)
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page_num, line_no, text, n_words, box): words grouped by the running mean of their baselines."""
 

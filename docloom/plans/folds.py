@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from docloom.functions import predicates as P
+from docloom.functions import text as T
 from docloom.operators import base, folds
 from docloom.operators.base import sql
 from docloom.plans import facts as facts_plan
-from docloom.plans.scalars import WS, _has, _trim, _value, _words
+from docloom.plans.scalars import WS, _collapse, _has, _re, _trim, _value, _words
 
 _ROWS = """br0 as (select *, coalesce(baseline_y, y1) as base from words),
 br1 as (select *, case when base - lag(base) over w > 3 or lag(base) over w is null then 1 else 0 end as isnew from br0 window w as (partition by doc_id, page_num order by base, x0, block_id, widx)),
@@ -38,6 +39,10 @@ QUERIES = {
     "title_candidate": lambda s, d: folds.title_candidates(facts_plan._classified(s, d), base.pages(s, d)),
     "top_formulas": lambda s, d: folds.top_per_page(base.formulas(s, d).where("confidence is not null"), ["formula_index"], "confidence", 2).select("doc_id", "page_num", "formula_index", "confidence", "rank"),
 }
+QUERIES |= {
+    "implicit_tables": lambda s, d: folds.implicit_tables(_md(s, d).selectExpr("doc_id", "cast(0 as bigint) as page_num", "line_no as block_id", "line_no as reading_order", "line as text")),
+    "form_fields": lambda s, d: folds.form_fields(_md(s, d), ["doc_id"]),
+}
 
 SQL = {
     "largest_gap": sql(
@@ -94,4 +99,13 @@ SQL = {
         rf" and not (regexp_matches(t, '^\s*[0-9]+(?:\.[0-9]+)?\.?\s*(?:[0-9]+\.?\s*)?(Introduction|Contents|Summary|Background|Methods?|Approach|Related Work|Experiments?|Results?|Conclusion|Overview)\b') or lower(t) in ('introduction', 'contents', 'summary')))",
     ),
     "top_formulas": sql("select * from (select doc_id, page_num, formula_index, confidence, row_number() over (partition by doc_id, page_num order by confidence desc, formula_index) as rank from formulas where confidence is not null) where rank <= 2"),
+    "implicit_tables": sql(
+        "select k.doc_id, k.page_num, min(reading_order) as first_order, count(*) as n_rows, k.v as n_values, string_agg(label || '|' || values, chr(10) order by reading_order, block_id) as rows from k join m on m.doc_id = k.doc_id and m.page_num = k.page_num and m.island = k.island and m.v = k.v group by k.doc_id, k.page_num, k.island, k.v having count(*) >= 3",
+        "i0 as (select doc_id, cast(0 as bigint) as page_num, line_no as block_id, line_no as reading_order, line as text, row_number() over (partition by doc_id order by line_no) as n from markdown_lines)",
+        rf"i1 as (select *, regexp_extract(t, '{T._ROW}', 1) as l, regexp_extract(t, '{T._ROW}', 2) as run from (select *, {_collapse(_re('text'))} as t from i0))",
+        "i2 as (select *, " + _trim(f"regexp_replace({_trim('l')}, ':+$', '')") + r""" as label, regexp_replace(run, '[\s|/\\]+', '|', 'g') as values from i1)""",
+        "k0 as (select *, len(string_split(values, '|')) as v from i2 where run <> '' and label <> '')",
+        "k as (select *, n - row_number() over (partition by doc_id, page_num order by reading_order, block_id) as island from k0)",
+        "m as (select distinct on (doc_id, page_num, island) doc_id, page_num, island, v from (select doc_id, page_num, island, v, count(*) as hits from k group by all) order by doc_id, page_num, island, hits desc, v desc)",
+    ),
 }

@@ -26,6 +26,7 @@ QUERIES = {
     "coordinate_tables": lambda s, d: pagefolds.page_tables(base.words(s, d)),
     "geometric_latex": lambda s, d: pagefolds.page_formulas(base.words(s, d), base.formulas(s, d)),
     "figure_candidates": lambda s, d: pagefolds.page_figures(facts_plan._classified(s, d), _images(s, d)),
+    "grid_cells": lambda s, d: pagefolds.page_grid_cells(base.body_blocks(s, d)),
     "front_matter": lambda s, d: render.front_matter(facts_plan._classified(s, d)),
     "markdown_pages": lambda s, d: _convert(s, d)["pages"],
     "markdown_documents": lambda s, d: _convert(s, d)["documents"],

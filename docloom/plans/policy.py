@@ -8,6 +8,7 @@ from docloom.functions import text as T
 from docloom.operators import base, evaluate, folds, nested, policy
 from docloom.operators.base import sql
 from docloom.plans import folds as folds_plan
+from docloom.plans import nested as nested_plan
 from docloom.plans.scalars import _collapse, _re, _replaced, _trim, _words
 from docloom.session import table
 
@@ -65,6 +66,7 @@ QUERIES = {
     "ocr_decisions": lambda s, d: policy.ocr_decision(base.triage(s, d)),
     "heading_matches": lambda s, d: evaluate.heading_matches(_expected(s, d), _actual(s, d), ["doc_id"]),
     "document_metrics": lambda s, d: evaluate.document_metrics(evaluate.heading_matches(_expected(s, d), _actual(s, d), ["doc_id"]), "doc_id"),
+    "page_metrics": lambda s, d: evaluate.page_metrics(nested.fixture_pages(table(s, d, "fixture_files")), ["fixture_id", "page_idx"], "expected_formula_count", "expected_formula_detection_count", "formula_false_positive_budget"),
     "region_matches": lambda s, d: evaluate.greedy_region_matches(_regions(s, d), _regions(s, d), ["fixture_id", "page_idx"], 0.05),
     "report_diff": lambda s, d: evaluate.report_diff(base.reports(s, d).select("doc_id", *_METRICS), base.triage(s, d).select("doc_id", *_METRICS), "doc_id", _METRICS),
     "count_agreement": lambda s, d: evaluate.count_agreement(*_counts(s, d), ["doc_id", "page_num"]),
@@ -167,4 +169,7 @@ SQL = {
         rf"n0 as (select *, {_collapse(_re('line'))} as t from markdown_lines)",
         f"n as (select *, regexp_extract(t, '{T._ROW}', 1) as l, regexp_extract(t, '{T._ROW}', 2) as run from n0)",
     ),
+    "page_metrics": nested_plan._SQL_BASE
+    + """, c as (select fixture_id, cast(page_idx as int) as page_idx, coalesce(try_cast(p ->> '$.expected_formula_count' as bigint), 0) as expected, coalesce(try_cast(p ->> '$.expected_formula_detection_count' as bigint), 0) as actual, coalesce(try_cast(p ->> '$.formula_false_positive_budget' as bigint), 0) as budget from p)
+select fixture_id, page_idx, expected, actual, least(expected, actual) as hits, greatest(actual - expected - budget, 0) as over, round(case when expected = 0 then 1.0 else least(expected, actual) / expected end, 9) as recall, round(case when actual = 0 then 1.0 else least(expected, actual) / actual end, 9) as precision from c""",
 }

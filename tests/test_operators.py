@@ -76,3 +76,16 @@ def test_files_and_stream(spark, tmp_path):
     arrivals.stream_fixture_rows(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     files.write_reports(docs.withColumnRenamed("markdown", "m"), str(tmp_path / "r"), "doc_id")
+
+
+def test_rules_that_touch_are_one(spark):
+    rows = [(1, 0, "h", 100.0, 0.0, 50.0, 1.0), (1, 0, "h", 101.0, 51.0, 90.0, 3.0), (1, 0, "h", 100.5, 95.0, 120.0, 1.0), (1, 0, "v", 100.0, 0.0, 50.0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page_num bigint, orientation string, pos double, lo double, hi double, thickness double")
+    got = sorted((r.orientation, round(r.pos, 2), r.lo, r.hi) for r in folds.merged_rules(df).collect())
+    assert got == [("h", 100.5, 95.0, 120.0), ("h", 100.75, 0.0, 90.0), ("v", 100.0, 0.0, 50.0)]
+
+
+def test_form_fields(spark):
+    text = ["Name:", "Ada L", "Date: 12 May", "Agree:", "Yes No", "Lonely sentence here.", "x", "y", "Far: off"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id bigint, line_no int, line string")
+    assert [(r.label, r.value) for r in folds.form_fields(lines, ["doc_id"]).orderBy("line_no").collect()] == [("Name", "Ada | L"), ("Date", "12 May"), ("Agree", "Yes | No")]

@@ -52,6 +52,13 @@ def test_numeric_table_with_header():
     assert t["ids"] == list(range(6))
 
 
+def test_grid_cells():
+    boxes = [(60 + 100 * c, 100 + 20 * r, 100 + 100 * c, 110 + 20 * r) for r in range(3) for c in range(3)]
+    cells = pf.grid_cells(boxes, [False] * 9)
+    assert cells == {3 * r + c: (r, c) for r in range(3) for c in range(3)}
+    assert pf.grid_cells(boxes[:3], [False] * 3) == {}
+
+
 def test_prose_is_no_table():
     text = "the load was applied to the beam and the crack grew with time".split()
     words = [word(text[(r + c) % len(text)], 60 + 40 * c, 100 + 14 * r, n=c) for r in range(12) for c in range(10)]
