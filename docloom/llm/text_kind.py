@@ -40,14 +40,15 @@ _MARK = re.compile(r"\s*(?:[-*+•·▪▸►–◦○●■□]|\d{1,4}(?:\.\d{
 _LEADER = re.compile(r".*?(?:\.{4,}|(?:\s\.){3,}|…{2,}|_{4,})\s*\d{1,4}\s*$")
 _LABEL = re.compile(r"\s*(?:[-*•]\s*)?[^\W\d_][^:|;\t]{0,40}:\s+\S.{0,60}$")
 _CELL = re.compile(r"\s*\|\s*|\t|;| {2,}|(?<=\w),(?=\w*[^\W\d_])")
-_NUMBER = re.compile(r"[-+−–]?\d[\d.,]*%?|n/a|–|-|—|/")
+_TIGHT = re.compile(r"\w,\w*[^\W\d_]")
+_NUMBERS = re.compile(r"(?<=\S\s)\s*(?:[-+−–]?\d[\d.,]*%?|n/a|–|-|—|/)(?!\S)")
 _END = re.compile(r"[\w²³%°)][\"”’»)\]]*[.!?…](?=[\s\"”’»)\]]|$)")
 _CODE = re.compile(r"\s*(?:(?:let|var|const|def|return|for|while|if|import|from|class|int|float|double|void|print|echo|set)\b.*[;:={(\)].*|.*[;{}]\s*|\w[\w.]*\(.*\)\s*|[\w.\[\]]+\s*[-+*/:]?=\s*\S.*|```.*|~~~.*)$")
 _MATH = re.compile(r"\s*\${1,2}|.*\$\$\s*$|\s*\\\[")
 _DUMP = re.compile(r"\(cid:\d+\)|(?<![\w-])(?:[0-9a-f]{2} ){6,}|[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-f]{2}){3,}|(?:\\u[0-9a-f]{4}){3,}|&#\d+;(?:&#\d+;)+", re.IGNORECASE)
 _GLYPHS = re.compile(r"[^\w\s]|_")
 _LEAD = re.compile(r"(?m)^\s*\(?\w{1,4}(?:\.\d{1,3})*[.)]\s")
-_MIXED = re.compile(r"\S*[^\W_][#%&@§*~^<>|=$+!?\\][^\W_]\S*")
+_MIXED = re.compile(r"[^\W_][#%&@§*~^<>|=$+!?\\][^\W_]")
 
 _COUNTS = ("chars", "lines", "words", "word_chars", "symbols", "common", "ends", "end_lines", "marks", "labels", "leaders", "rows", "numbers", "dump_chars", "distinct", "mixed", "code")
 _FIELDS = ["seg", *_COUNTS, "votes"]
@@ -68,24 +69,45 @@ def paragraphs(markdown: str) -> list[str]:
     return [*out, "\n".join(open_)] if open_ else out
 
 
+def _row(line: str, mark: bool) -> tuple[bool, int]:
+    """(whether a line reads as a table row, how many tokens after its first are numbers)."""
+    digits = any(c.isdigit() for c in line)
+    numbers = len(_NUMBERS.findall(line)) if digits or "–" in line or "n/a" in line or "—" in line else 0
+    if "|" in line or ";" in line or "\t" in line or "  " in line or _TIGHT.search(line):
+        cells = _CELL.split(line.strip().strip("|"))
+        if len(cells) >= 3 and sum(map(len, cells)) / len(cells) < 40 and not (mark and len(cells) < 4) and not _END.search(line):
+            return True, numbers
+    return numbers >= 2 and not mark and numbers >= 0.6 * (len(line.split()) - 1), numbers
+
+
+def _quoted(line: str) -> bool:
+    """Whether a line reads as code or a formula."""
+    if "=" in line or line.rstrip()[-1:] in ";{})]:`~" or line.lstrip()[:1] in "`~$\\" or "$$" in line:
+        return _CODE.match(line) is not None or _MATH.match(line) is not None
+    return False
+
+
+def _dumped(part: str) -> int:
+    """Characters in dumps: glyph numbers, hexadecimal bytes, encoded data, escapes."""
+    tokens = part.split()
+    bytes_ = sum(len(t) == 2 for t in tokens)
+    if "(cid:" in part or "\\" in part or "&#" in part or bytes_ >= 6 and bytes_ * 2 > len(tokens) or max(map(len, tokens), default=0) >= 40:
+        return sum(map(len, _DUMP.findall(part)))
+    return 0
+
+
 def statistics(part: str, function_words: set[str]) -> dict[str, int]:
     """The counts of one paragraph."""
     lines = [x for x in part.split("\n") if x.strip()]
     words = _WORD.findall(part.casefold())
-    cells = [[c for c in _CELL.split(x.strip().strip("|"))] for x in lines]
-    tokens = [x.split() for x in lines]
-    numbers = [sum(bool(_NUMBER.fullmatch(t)) for t in ts[1:]) for ts in tokens]
-    marks = [bool(_MARK.match(x)) for x in lines]
-    rows = sum(
-        len(c) >= 3 and sum(len(v) for v in c) / len(c) < 40 and not _END.search(x) and not (m and len(c) < 4) or n >= 2 and n >= 0.6 * (len(ts) - 1) and not m
-        for c, x, n, ts, m in zip(cells, lines, numbers, tokens, marks, strict=True)
-    )
+    marks = [_MARK.match(x) is not None for x in lines]
+    rows = [_row(x, m) for x, m in zip(lines, marks, strict=True)]
     return {
         "chars": len(part), "lines": len(lines), "words": len(words), "word_chars": sum(map(len, words)), "symbols": len(_GLYPHS.findall(part)),
         "common": sum(map(function_words.__contains__, words)), "ends": len(_END.findall(_LEAD.sub("", part))), "end_lines": sum(x.rstrip().endswith((".", "!", "?", "…", ".”", ".’", ".»", ".)")) for x in lines),
-        "marks": sum(marks), "labels": sum(bool(_LABEL.match(x)) for x in lines), "leaders": sum(bool(_LEADER.match(x)) for x in lines),
-        "rows": rows, "numbers": sum(numbers), "dump_chars": sum(map(len, _DUMP.findall(part))), "distinct": len(set(words)), "mixed": len(_MIXED.findall(part)),
-        "code": sum(bool(_CODE.match(x) or _MATH.match(x)) for x in lines),
+        "marks": sum(marks), "labels": sum(":" in x and _LABEL.match(x) is not None for x in lines), "leaders": sum(x.rstrip()[-1:].isdigit() and _LEADER.match(x) is not None for x in lines),
+        "rows": sum(r for r, _ in rows), "numbers": sum(n for _, n in rows), "dump_chars": _dumped(part), "distinct": len(set(words)), "mixed": len(_MIXED.findall(part)),
+        "code": sum(map(_quoted, lines)),
     }
 
 
