@@ -38,7 +38,8 @@ def body_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of blocks: keys, line_no and line."""
-    return blocks(spark, d).select(*BLOCK_KEYS, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = blocks(spark, d).select(*BLOCK_KEYS, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +59,8 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
 def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, line_no and line of each markdown, line ends unified."""
     text = F.replace(F.replace("markdown", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return rendered(spark, d).where("markdown is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    split = rendered(spark, d).where("markdown is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return split.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def formulas(spark: SparkSession, d: str) -> DataFrame:
