@@ -74,8 +74,10 @@ def latin_form(text: str, alone: bool) -> str:
         if latin:
             table = PROTOTYPES | GREEK_IN_WORDS if latin >= 2 and script == "G" else PROTOTYPES
             return "".join([table.get(c, c) for c in run])
-        if alone and all(c in PROTOTYPES for c in run) and (script == "C" or len(run) > 1):
-            return "".join([PROTOTYPES[c] for c in run])
+        # A genuine Greek symbol such as the delta of a difference stands before a letter of its own.
+        own = [c for c in run if not ("Ͱ" <= c <= "Ͽ" and c not in PROTOTYPES)]
+        if alone and own and all(c in PROTOTYPES for c in own) and (script == "C" or len(run) > 1 and len(own) == len(run)):
+            return "".join([PROTOTYPES.get(c, c) for c in run])
         return run
 
     return _RUN.sub(fix, text)

@@ -8,7 +8,8 @@ word are files with the joined form, evidence for a compound files with the hyph
 Misread words: the *anagram hash* of a word is the sum of its characters' hashes, so a confusion
 such as rn for m shifts it by a fixed difference. Rare words, shifted by the differences of the
 confusions they could hold (one or two), are hash-joined with frequent words in SQL; hits are
-verified by substituting at actual positions and ranked by frequency.
+verified by substituting at actual positions and ranked by frequency. A word that mostly stands on
+pages that weren't scanned is a word of its own.
 
 Scale: lines, running lines and broken words are found inside each row with higher-order functions,
 without exploding text. Word counts are per file first, then summed with map-side combining. Only
@@ -181,7 +182,7 @@ def corrections(words: DataFrame, vocab: DataFrame, ratio: int = RATIO, min_file
     probes = shifts.selectExpr("word", "n_files", "n_clean", "k.a as a", "k.b as b", f"h + {shift('k.a')} + {shift('k.b')} as h")
     targets = vocab.where(F.col("n_files") >= min_files).selectExpr("word as original", "n_files as n_original", "n_clean as clean_original", f"{anagram_hash('word')} as h")
     hits = probes.join(targets, "h").where(
-        (F.col("n_original") >= F.col("n_files") * ratio) & (F.col("n_clean") * 20 <= F.col("clean_original")) & F.col("original").rlike(r"\p{L}{2}") & (F.length("original") >= 2)
+        (F.col("n_original") >= F.col("n_files") * ratio) & (F.col("n_clean") * 20 <= F.col("clean_original")) & (F.col("n_clean") * 4 <= F.col("n_files")) & F.col("original").rlike(r"\p{L}{2}") & (F.length("original") >= 2)
     )
     one = lambda w, k, then: (
         f"exists(sequence(1, length({w})), i{k} -> substr({w}, i{k}, length({k}.m)) = {k}.m and "

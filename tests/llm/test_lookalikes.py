@@ -8,7 +8,7 @@ from docloom.llm import lookalikes as L
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("ｔｈｅ", "the"), ("afte​r", "after"), ("schli­eßt", "schließt"), ("Schlüssel", "Schlüssel"), ("ﬁne", "fine"), ("10kΩ", "10kΩ"), ("22µm", "22μm"), ("470K", "470K"), ("how 7", "how 7"), ("sаmples", "samples"), ("bοlted", "bolted"), ("𝑅 = 𝟖", "R = 8"), ("（a），", "(a),"), ("﻿be", "be")],
+    [("ｔｈｅ", "the"), ("afte​r", "after"), ("schli­eßt", "schließt"), ("Schlüssel", "Schlüssel"), ("ﬁne", "fine"), ("10kΩ", "10kΩ"), ("22µm", "22μm"), ("470K", "470K"), ("how 7", "how 7"), ("sаmples", "samples"), ("bοlted", "bolted"), ("𝑅 = 𝟖", "R = 8"), ("（a），", "(a),"), ("﻿be", "be"), ("ΔА = α", "ΔA = α")],
 )
 def test_brought_to_one_form(text, want):
     assert L.consistent(text) == want
