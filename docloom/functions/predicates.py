@@ -82,6 +82,13 @@ def numbered_heading_level(c: Column, size_ratio: Column, base: Column) -> Colum
     return F.when(ok, F.least(F.greatest(depth + first - 1, F.lit(1)), F.lit(6)))
 
 
+def listed_heading_level(c: Column, titles: dict[str, int]) -> Column:
+    """The level of a heading whose text is one of a list of a domain's fixed titles, else null."""
+    pairs = [F.struct(F.lit(t.lower()).alias("t"), F.lit(v).alias("v")) for t, v in titles.items()]
+    found = F.filter(F.array(*pairs), lambda p: p["t"] == F.lower(collapse(c)))
+    return F.get(found, 0)["v"] if pairs else F.lit(None).cast("int")
+
+
 def size_level(ratio: Column) -> Column:
     """Heading level by font-size ratio."""
     return F.when(ratio >= F.lit(2.0), 1).when(ratio >= F.lit(1.6), 2).when(ratio >= F.lit(1.35), 3).when(ratio >= F.lit(1.15), 4).otherwise(5)

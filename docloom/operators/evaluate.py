@@ -51,6 +51,18 @@ def ratio_or_full(hit: str, total: str) -> Column:
     return F.when(F.col(total) == 0, F.lit(1.0)).otherwise(F.col(hit) / F.col(total))
 
 
+def snippet_hits(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + (snippets, found): expected LaTeX snippets that occur in any actual formula of their page; blanks ignored.
+
+    Pages are joined by key; a page's few snippets are tested against its own formulas only.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    own = actual.groupBy(*keys).agg(F.collect_set(bare(F.col("latex"))).alias("_all"))
+    hit = F.exists("_all", lambda x: x.contains(F.col("_s")))
+    j = expected.withColumn("_s", bare(F.col("snippet"))).join(own, keys, "left")
+    return j.groupBy(*keys).agg(F.count("snippet").alias("snippets"), F.count_if(F.coalesce(hit, F.lit(False))).alias("found"))
+
+
 def page_metrics(pages: DataFrame, keys: list[str], expected: str, actual: str, budget: str) -> DataFrame:
     """keys + (expected, actual, hits, over, recall, precision): counts of one page; what is over may use up a budget."""
     e, a = F.coalesce(F.col(expected), F.lit(0)), F.coalesce(F.col(actual), F.lit(0))

@@ -73,14 +73,14 @@ def table_evidence(words: DataFrame) -> DataFrame:
 def upper_median_font(words: DataFrame) -> DataFrame:
     """(doc_id, page_num, font_size): the upper median of the words' sizes, at least 1."""
     sizes = F.sort_array(F.collect_list("font_size"))
-    return words.groupBy(*PAGE).agg(F.greatest(F.element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int")), F.lit(1.0)).alias("font_size"))
+    return words.groupBy(*PAGE).agg(F.greatest(F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), F.lit(1.0)).alias("font_size"))
 
 
 def adaptive_tolerance(words: DataFrame) -> DataFrame:
     """(doc_id, page_num, tolerance): the 70 % gap between sorted x positions over 5 points, in 25 to 50; 35 with under 3 gaps."""
     xs = F.array_sort(F.collect_list("x0"))
     per = words.groupBy(*PAGE).agg(xs.alias("xs"))
-    gaps = F.expr("array_sort(filter(transform(sequence(2, greatest(size(xs), 2)), i -> element_at(xs, least(i, size(xs))) - element_at(xs, i - 1)), g -> g > 5))")
+    gaps = F.expr("array_sort(filter(transform(sequence(2, greatest(size(xs), 2)), i -> try_element_at(xs, greatest(least(i, size(xs)), 1)) - try_element_at(xs, i - 1)), g -> g > 5))")
     at = F.least(F.floor(F.size("gaps") * F.lit(0.7)), F.size("gaps") - 1).cast("int")
     picked = F.when(F.size("gaps") >= 3, F.least(F.greatest(F.get("gaps", at), F.lit(25.0)), F.lit(50.0))).otherwise(F.lit(35.0))
     return per.withColumn("gaps", gaps).select(*PAGE, F.round(picked, 6).alias("tolerance"))

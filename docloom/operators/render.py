@@ -23,13 +23,13 @@ def gfm_table(rows: Column) -> Column:
     width = F.array_max(F.transform(rows, F.size))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))), T.table_cell), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width.cast("int")))
-    grid = F.concat_ws("\n", line(F.element_at(rows, 1)), rule, F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line), "\n"))
+    grid = F.concat_ws("\n", line(F.coalesce(F.get(rows, 0), F.array().cast("array<string>"))), rule, F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)).cast("int")), line), "\n"))
     return F.when(F.size(rows) > 0, F.regexp_replace(grid, r"\n$", ""))
 
 
 def key_values(rows: Column) -> Column:
     """Rows of a label and a value as list lines."""
-    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), T.field_label(F.element_at(r, 1)), F.lit(": "), T.trim(F.element_at(r, 2)))), "\n")
+    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), T.field_label(F.coalesce(F.get(r, 0), F.lit(""))), F.lit(": "), T.trim(F.coalesce(F.get(r, 1), F.lit(""))))), "\n")
 
 
 def block_markdown(kind: Column, level: Column, text: Column, ordered: Column, depth: Column, number: Column) -> Column:

@@ -89,3 +89,25 @@ def test_form_fields(spark):
     text = ["Name:", "Ada L", "Date: 12 May", "Agree:", "Yes No", "Lonely sentence here.", "x", "y", "Far: off"]
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id bigint, line_no int, line string")
     assert [(r.label, r.value) for r in folds.form_fields(lines, ["doc_id"]).orderBy("line_no").collect()] == [("Name", "Ada | L"), ("Date", "12 May"), ("Agree", "Yes | No")]
+
+
+def test_snippets(spark):
+    expected = spark.createDataFrame([(1, "x ^2"), (1, "\\frac"), (2, "y"), (2, None)], "page int, snippet string")
+    actual = spark.createDataFrame([(1, "a + x^ 2"), (1, None)], "page int, latex string")
+    assert sorted(map(tuple, evaluate.snippet_hits(expected, actual, ["page"]).collect())) == [(1, 2, 1), (2, 1, 0)]
+
+
+def test_tables_as_markdown(spark):
+    df = spark.createDataFrame([([["A", "B|C"], ["1"]],)], "rows array<array<string>>")
+    got = df.select(render.gfm_table(df.rows).alias("g"), render.key_values(df.rows).alias("k")).first()
+    assert got.g == "| A | B\\|C |\n|---|---|\n| 1 |  |"
+
+
+def test_nulls_in_geometry_are_no_failure(spark):
+    rows = [(1, 0, 0, 0, 0, None, None, None, None, None, None, None), (1, 0, 0, 0, 1, "a", 10.0, 1.0, 2.0, 3.0, 4.0, None)]
+    words = spark.createDataFrame(rows, f"doc_id bigint, page_num bigint, block_id bigint, line_id bigint, widx bigint, text string, font_size double, {BOX}, baseline_y double")
+    alone = words.where("widx = 0")
+    for op in (folds.upper_median_font, folds.adaptive_tolerance, folds.row_width_mode, folds.column_centres, folds.table_evidence, folds.word_builder, folds.grid_pivot):
+        op(words).collect()
+        op(alone).collect()
+        op(words.limit(0)).collect()
