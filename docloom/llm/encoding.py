@@ -21,7 +21,7 @@ counted per file with map-side combining, and the Python step sees each distinct
 joins are on the word, after the words of each block are made distinct, so a hot word costs one
 row per block that holds it and no group is collected.
 
-Defined results: null and empty texts give no rows; of repeated deliveries the newest file
+Defined results: rows without doc_id give none; null and empty texts give no rows; of repeated deliveries the newest file
 stands; ties between originals go to the word in more files, then to the smaller one.
 """
 

@@ -11,7 +11,7 @@ pairs are shuffled to drop repeats. The test set is the fixed side. It is read t
 blocks of at most ``block_words`` words, a bound that does not grow with the corpus; each block
 is one automaton (under 60 MB) and one scan, so a larger test set costs more scans, not memory.
 
-Defined results: null and empty texts and passages under ``run`` words match nothing; passages
+Defined results: rows without an id give none; null and empty texts and passages under ``run`` words match nothing; passages
 that occur in two items report both; a document delivered twice counts once.
 """
 
@@ -65,7 +65,7 @@ def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[int, str]]]:
     """The test passages in blocks under the bound, streamed to the driver one partition at a time."""
     blocks: list[list[tuple[int, str]]] = []
     size = block_words
-    for item, text in items.where("text is not null").select("item_id", "text").distinct().toLocalIterator():
+    for item, text in items.where("text is not null and item_id is not null").select("item_id", "text").distinct().toLocalIterator():
         n = len(text) // 2 + 1  # words at most
         if size + n > block_words:
             blocks.append([])
@@ -112,7 +112,7 @@ def leak_spans(documents: DataFrame, items: DataFrame, run: int = RUN, block_wor
                         rows += [(doc, item, b - a + run, at[a - run + 1][0], at[b][1]) for item, (a, b) in best.items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "char_start", "char_end"])
 
-        scans.append(documents.select("doc_id", "text").mapInPandas(scan, schema))
+        scans.append(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(scan, schema))
     if not scans:
         return documents.sparkSession.createDataFrame([], schema)
     longest = F.max_by(F.struct("n_words", "char_start", "char_end"), F.struct("n_words", -F.col("char_start"))).alias("v")

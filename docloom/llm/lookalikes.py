@@ -14,7 +14,7 @@ Scale: texts of plain ASCII never leave the JVM (a regular expression on the sca
 to Python in Arrow batches where it lies, and only the keys of cases are shuffled. Block context is
 aggregated from words with Cyrillic or Greek letters only.
 
-Defined results: null texts are no cases; the newest extraction of a file stands; each key once.
+Defined results: rows without doc_id give none; null texts are no cases; the newest extraction of a file stands; each key once.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def word_cases(words: DataFrame) -> DataFrame:
 def formula_cases(formulas: DataFrame) -> DataFrame:
     """(doc_id, page_num, formula_index, text, form): formulas not in the consistent form."""
     keys = ["doc_id", "page_num", "formula_index"]
-    seen = spelled(formulas.select(*keys, F.col("source_text").alias("text")))
+    seen = spelled(formulas.select(*keys, F.col("source_text").alias("text")).where("doc_id is not null"))
     form = F.when(F.col("genuine").contains("C"), F.col("form")).otherwise(F.col("form_alone"))
     return seen.withColumn("form", form).where("text <> form").select(*keys, "text", "form").dropDuplicates(keys)
 

@@ -10,7 +10,7 @@ move. Items are spread by hash over shards of about ``shard_items`` items each,
 whatever the corpus, looks like the whole, and wastes at most its few last containers. No group is
 keyed on data, so no source or length can make one hot.
 
-Defined results: null and empty texts have no tokens and no container; of a document delivered
+Defined results: null and empty texts have no tokens and no container, nor have rows without doc_id; of a document delivered
 twice the newest counts; equal sizes are taken in order of (doc_id, piece).
 """
 
@@ -53,7 +53,7 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER, pattern: str = PAT
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "collected_at": pdf["collected_at"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
 
-    counted = documents.select("doc_id", "collected_at", "text").where("text <> ''").mapInPandas(count, "doc_id bigint, collected_at timestamp, n_tokens bigint")
+    counted = documents.select("doc_id", "collected_at", "text").where("text <> '' and doc_id is not null").mapInPandas(count, "doc_id bigint, collected_at timestamp, n_tokens bigint")
     return counted.groupBy("doc_id").agg(F.max_by("n_tokens", F.struct("collected_at", "n_tokens")).alias("n_tokens")).where("n_tokens > 0")
 
 

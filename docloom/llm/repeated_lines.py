@@ -10,7 +10,7 @@ are (source, kind, doc, key) and then (source, kind, key) with map-side partial
 source holding a third of all rows spreads over its lines, and one hot line reaches the final
 count as one partial row per task. No group is ever collected.
 
-Defined results: null texts, null sources and lines without a letter give no rows and count
+Defined results: rows without doc_id give none; null texts, null sources and lines without a letter give no rows and count
 for nothing; a record delivered twice counts once; an empty table gives an empty result.
 """
 
@@ -36,7 +36,7 @@ def record_lines(blocks: DataFrame, furniture: DataFrame) -> DataFrame:
     b = b.select(F.lit(BLOCK).alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     f = furniture.groupBy("doc_id", "page_num", "line_idx").agg(F.max("signature").alias("line"))
     f = f.select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(0).alias("line_no"), "line")
-    return b.unionByName(f).withColumn("key", line_key(F.col("line")))
+    return b.unionByName(f).where("doc_id is not null").withColumn("key", line_key(F.col("line")))
 
 
 def file_sources(reports: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ without exploding text. Word counts are per file first, then summed with map-sid
 distinct words of scanned pages that are rare enter the hash join, with the confusions they contain,
 some tens of rows a word; the joins are on hashes and words, never within a group.
 
-Defined results: pages not listed as needing OCR, null texts and null page lists give no rows; the
+Defined results: rows without doc_id give none; pages not listed as needing OCR, null texts and null page lists give no rows; the
 newest triage and extraction of a file stand; words with characters that are no letters or digits
 are not judged, so damage by a wrong encoding is no case; of equally frequent originals the smaller
 word is taken.
@@ -103,7 +103,7 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
     page = "cast(page_num + 1 as string)"
     is_number = (
         f"(length(norm) <= 24 and norm rlike '{_NUMBER}' and {number} <> '' and (block_id >= {MARGIN} or {value} = {page} or "
-        f"replace(translate({number}, '1l', 'ii'), 'u', 'ii') = translate({_roman('(page_num + 1)')}, 'l', 'i')))"
+        f"replace(translate({number}, '1l', 'ii'), 'u', 'ii') = translate({_roman('abs(page_num + 1)')}, 'l', 'i')))"
     )
     bound = "greatest(2, cast(floor(length(t) * 0.25) as int))"
     near = (

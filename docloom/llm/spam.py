@@ -14,7 +14,7 @@ are mergeable sketches, a few numbers per language, joined back by broadcast: on
 ``lang``, of which the most frequent ``max_langs`` get limits of their own (the bound), the rest use
 the common ones. No document or group is collected.
 
-Defined results: null, empty and blank texts are no cases; a document delivered twice counts once.
+Defined results: null, empty and blank texts are no cases, a row without doc_id gives none; a document delivered twice counts once.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def segment_measures(documents: DataFrame, common_words: DataFrame) -> DataFrame
             rows = [(doc, lang, *m) for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if text for m in measure(text, function_words)]
             yield pd.DataFrame(rows, columns=["doc_id", "lang", *_FIELDS])
 
-    return documents.select("doc_id", "lang", "text").where("text is not null").mapInPandas(run, _SCHEMA)
+    return documents.select("doc_id", "lang", "text").where("text is not null and doc_id is not null").mapInPandas(run, _SCHEMA)
 
 
 MAX_FUNCTION_WORDS = 20_000

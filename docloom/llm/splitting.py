@@ -10,7 +10,7 @@ Only oversized texts reach Python (Arrow batches, no shuffle); all others pass a
 the JVM. A piece is never over the limit, whatever the text. Characters are code points, and a
 cut never separates a combining mark or a carriage return from its line feed.
 
-Defined results: a null text gives no piece, an empty one gives one empty piece; texts of
+Defined results: a null text and a row without its first key give no piece, an empty one gives one empty piece; texts of
 exactly the limit are not cut; duplicates count once, the newest rendering stands.
 """
 
@@ -91,7 +91,7 @@ def split_texts(items: DataFrame, keys: list[str], limit: int = LIMIT, overlap:
     """keys + (piece_idx, n_pieces, char_start, own_start, char_end, piece) for a column ``text``."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be at least 0 and less than half of limit")
-    items = items.select(*keys, "text").where("text is not null")
+    items = items.select(*keys, "text").where("text is not null").dropna(subset=[keys[0]])
     fields = [f for f in items.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", piece_idx int, n_pieces int, char_start int, own_start int, char_end int, piece string"
     names = [f.name for f in fields]

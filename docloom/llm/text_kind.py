@@ -12,7 +12,7 @@ functions rows, whatever the corpus, counted with map-side combining. The learne
 broadcast under the same bound. Measures are written to the shared folder because learning and
 decision both read them.
 
-Defined results: null markdown is no case; a body that is empty besides headings and markers is no
+Defined results: null markdown is no case, a row without doc_id gives none; a body that is empty besides headings and markers is no
 case; the newest rendering of a document stands; equal shares go to list, then table, then junk.
 """
 
@@ -153,7 +153,7 @@ def paragraph_statistics(rendered: DataFrame, common_words: DataFrame) -> DataFr
                     rows.append((doc, at, k, *[s[c] for c in _COUNTS], votes(s)))
             yield pd.DataFrame(rows, columns=["doc_id", "rendered_at", *_FIELDS])
 
-    return rendered.select("doc_id", "rendered_at", "markdown").where("markdown is not null").mapInPandas(run, _SCHEMA)
+    return rendered.select("doc_id", "rendered_at", "markdown").where("markdown is not null and doc_id is not null").mapInPandas(run, _SCHEMA)
 
 
 def learn(patterns: list[tuple[int, int]], rounds: int = 60) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
