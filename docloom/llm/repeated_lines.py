@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.session import latest
+from docloom.session import written
 
 BLOCK, FURNITURE = "block", "furniture"
 
@@ -31,12 +31,18 @@ def line_key(line: Column) -> Column:
 
 
 def record_lines(blocks: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no, line, key) of both record kinds, once per record."""
-    b = latest(blocks, ["doc_id", "page_num", "block_id"], "extracted_at", "text")
+    """(record, doc_id, page_num, item_id, line_no, line, key) of both record kinds.
+
+    Only the newest extraction of a file counts, told from (doc_id, time) alone. An extraction
+    delivered twice gives its lines twice: counting takes distinct files, results are made distinct
+    where rows are few, so no text is shuffled to drop copies.
+    """
+    b = blocks.select("doc_id", "page_num", "block_id", "text", "extracted_at").where("doc_id is not null and text is not null")
+    newest = b.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
+    b = b.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
     b = b.select(F.lit(BLOCK).alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    f = furniture.groupBy("doc_id", "page_num", "line_idx").agg(F.max("signature").alias("line"))
-    f = f.select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(0).alias("line_no"), "line")
-    return b.unionByName(f).where("doc_id is not null").withColumn("key", line_key(F.col("line")))
+    f = furniture.where("doc_id is not null").select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(0).alias("line_no"), F.col("signature").alias("line"))
+    return b.unionByName(f).withColumn("key", line_key(F.col("line")))
 
 
 def file_sources(reports: DataFrame) -> DataFrame:
@@ -64,10 +70,12 @@ def crossing(counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share:
 
 def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
     """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line."""
-    lines, sources = record_lines(blocks, furniture), file_sources(reports)
+    # Counts, sizes and cases all read the lines: 128-bit digests of their keys are written once, no texts.
+    lines = record_lines(blocks, furniture).drop("line").withColumn("key", F.unhex(F.md5("key")))
+    lines, sources = written(lines, "lines"), file_sources(reports)
     found = crossing(line_counts(lines, sources), source_sizes(lines, sources), min_files, min_share)
     cases = lines.where("key is not null").join(sources, "doc_id").join(found, ["source", "record", "key"], "left_semi")
-    return cases.select("record", "doc_id", "page_num", "item_id", F.col("line_no").cast("bigint").alias("line_no"))
+    return cases.select("record", "doc_id", "page_num", "item_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
 
 def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
@@ -75,7 +83,7 @@ def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
     lines, sources = record_lines(blocks, furniture), file_sources(reports)
     found = crossing(line_counts(lines, sources), source_sizes(lines, sources), min_files, min_share).withColumn("_hit", F.lit(True))
     kept = lines.where(F.col("record") == BLOCK).join(sources, "doc_id", "left").join(found, ["source", "record", "key"], "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
+    parts = F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
     return kept.groupBy("doc_id", "page_num", F.col("item_id").alias("block_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
 
 
