@@ -1,4 +1,4 @@
-"""Page-local algorithms whose result depends on order or recursion, as one grouped map per page.
+"""Page-local algorithms whose result depends on order or recursion, page by page.
 
 A page holds at most some thousand words, so a group is bounded; pages are the unit of
 parallelism. Each function sorts by a total order first and so doesn't depend on arrival order or
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 from statistics import fmean, median
 
 import pandas as pd
@@ -510,49 +511,67 @@ def figures(images: list[Box], captions: list[tuple[Box, str]], bodies: list[Box
 # --- DataFrame operators ---------------------------------------------------------------------
 
 
-def _per_page(df: DataFrame, schema: str, fold: Callable[[tuple, pd.DataFrame], list[tuple]], keys: list[str] = PAGE) -> DataFrame:
-    """A fold over the rows of each page; ``fold`` gets (key, rows) and gives tuples without the key."""
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+def _per_page(df: DataFrame, schema: str, fold: Callable[[tuple, list], list[tuple]], keys: list[str] = PAGE) -> DataFrame:
+    """A fold over the rows of each page; ``fold`` gets (key, rows) and gives tuples without the key.
+
+    Rows are partitioned and sorted by page, the exchange a grouped map has too, and pages are cut
+    from the stream of Arrow batches: no data frame is built for each page, and memory holds a batch
+    and one page. Rows without a key are left out.
+    """
+    names = [*keys, *[c.split(" ")[0] for c in schema.split(", ")]]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    width = len(keys)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in fold(key, pdf)], columns=[*keys, *names])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, key = [], None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name="Row"):
+                if row[:width] != key:
+                    if page:
+                        out += [(*key, *r) for r in fold(key, page)]
+                    page, key = [], row[:width]
+                page.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if page:
+            yield pd.DataFrame([(*key, *r) for r in fold(key, page)], columns=names)
 
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, {schema}")
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, *rest).dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{fields}, {schema}")
 
 
-def _rows(pdf: pd.DataFrame, *by: str) -> list:
-    """Rows as named tuples in a total order."""
-    return list(pdf.sort_values(list(by)).itertuples(index=False))
+def _rows(rows: list, *by: str) -> list:
+    """Rows in a total order."""
+    return sorted(rows, key=attrgetter(*by))
 
 
 def page_reading_order(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_num, block_id, position): blocks in reading order."""
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        rows = _rows(pdf, "y0", "x0", "block_id")
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows = _rows(page, "y0", "x0", "block_id")
         return [(rows[i].block_id, k) for k, i in enumerate(reading_order([(r.x0, r.y0, r.x1, r.y1) for r in rows]))]
 
-    return _per_page(blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1"), "block_id bigint, position int", fold)
+    return _per_page(blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1").dropna(), "block_id bigint, position int", fold)
 
 
 def page_grid_cells(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_num, block_id, cell_row, cell_col): short blocks that form a grid."""
     short = blocks.where((F.octet_length("text") <= 200) & (F.trim("text") != ""))
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        rows = _rows(pdf, "y0", "x0", "block_id")
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows = _rows(page, "y0", "x0", "block_id")
         cells = grid_cells([(r.x0, r.y0, r.x1, r.y1) for r in rows], [is_value(r.text.strip()) for r in rows])
         return [(rows[i].block_id, *cell) for i, cell in cells.items()]
 
-    return _per_page(short.select(*PAGE, "block_id", "text", "x0", "y0", "x1", "y1"), "block_id bigint, cell_row int, cell_col int", fold)
+    return _per_page(short.select(*PAGE, "block_id", "text", "x0", "y0", "x1", "y1").dropna(), "block_id bigint, cell_row int, cell_col int", fold)
 
 
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page_num, line_no, text, n_words, box): words grouped by the running mean of their baselines."""
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        rows = [r for r in _rows(pdf, "base", "x0", "block_id", "widx") if r.text.strip()]
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows = [r for r in _rows(page, "base", "x0", "block_id", "widx") if r.text.strip()]
         groups = lines_by_last(rows, lambda w: w.base, lambda w: min(max(0.65 * w.font_size, 3.0), 9.0))
         out = []
         for k, g in enumerate(groups):
@@ -564,15 +583,16 @@ def page_lines(words: DataFrame) -> DataFrame:
 
 
 def _based(words: DataFrame) -> DataFrame:
+    """Words with a place: text, box and size; ``base`` is the baseline, or the box's lower edge."""
     base = F.coalesce("baseline_y", "y1").alias("base")
-    return words.where("text is not null").select(*PAGE, "block_id", "widx", "text", "font_size", "x0", "y0", "x1", "y1", base)
+    return words.where("text is not null").dropna(subset=["font_size", "x0", "y0", "x1", "y1"]).select(*PAGE, "block_id", "widx", "text", "font_size", "x0", "y0", "x1", "y1", base)
 
 
 def page_tables(words: DataFrame, width: float = 612.0) -> DataFrame:
     """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, source_block_ids, rows, layout_text)."""
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        found = coordinate_tables(_rows(pdf, "base", "x0", "block_id", "widx"), width)
+    def fold(_: tuple, page: list) -> list[tuple]:
+        found = coordinate_tables(_rows(page, "base", "x0", "block_id", "widx"), width)
         return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), len(t["rows"][0]), *t["box"], t["ids"], t["rows"], t["layout"]) for k, t in enumerate(found)]
 
     schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, source_block_ids array<bigint>, rows array<array<string>>, layout_text string"
@@ -585,8 +605,8 @@ def page_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
     inside = (F.col("x0") < F.col("f_x1")) & (F.col("x1") > F.col("f_x0")) & (F.col("y0") < F.col("f_y1")) & (F.col("y1") > F.col("f_y0"))
     both = f.join(_based(words), PAGE).where(inside)
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        return [(geometric_latex(_rows(pdf, "base", "x0", "block_id", "widx"), pdf["source_text"].iloc[0] or ""),)]
+    def fold(_: tuple, page: list) -> list[tuple]:
+        return [(geometric_latex(_rows(page, "base", "x0", "block_id", "widx"), page[0].source_text or ""),)]
 
     return _per_page(both, "latex string", fold, [*PAGE, "formula_index"])
 
@@ -599,10 +619,10 @@ def page_figures(blocks: DataFrame, images: DataFrame, width: float = 612.0, hei
     cols = [*PAGE, "role", "text", "x0", "y0", "x1", "y1"]
     caption = (F.col("kind") == "Caption") | F.lower(F.col("text")).rlike(r"^\s*(figure|fig\.|fig |table|exhibit|plate)")
     both = blocks.withColumn("role", F.when(caption, "caption").otherwise("body")).select(*cols)
-    both = both.unionByName(images.select(*PAGE, F.lit("image").alias("role"), F.lit("").alias("text"), "x0", "y0", "x1", "y1"))
+    both = both.unionByName(images.select(*PAGE, F.lit("image").alias("role"), F.lit("").alias("text"), "x0", "y0", "x1", "y1")).dropna()
 
-    def fold(_: tuple, pdf: pd.DataFrame) -> list[tuple]:
-        rows = _rows(pdf, "role", "y0", "x0")
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows = _rows(page, "role", "y0", "x0")
         of = lambda role: [(r.x0, r.y0, r.x1, r.y1) for r in rows if r.role == role]
         found = figures(of("image"), [((r.x0, r.y0, r.x1, r.y1), r.text) for r in rows if r.role == "caption"], of("body"), width, height)
         return [(k, f["confidence"], f["reason"], f["caption"], *f["box"]) for k, f in enumerate(found)]
