@@ -15,7 +15,7 @@ l1 as (select *, regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{Nd}]+', '
 l as (select l1.*, s.source from l1 join (select doc_id, max(source) as source from inspect_reports group by 1) s using (doc_id)
   where regexp_matches(k, '\p{L}') and s.source is not null),
 c as (select source, record, k, count(distinct doc_id) as n from l group by all),
-z as (select s.source, count(*) as files from (select distinct doc_id from raw_blocks where text is not null) d
+z as (select s.source, count(*) as files from (select distinct doc_id from raw_blocks) d
   join (select doc_id, max(source) as source from inspect_reports group by 1) s using (doc_id) group by 1),
 h as (select c.*, z.files from c join z using (source) where n >= 3 and n >= files * 0.1)
 """

@@ -56,9 +56,9 @@ def line_counts(lines: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.join(sources, "doc_id").groupBy("source", "record", "key").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def source_sizes(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, files): the source's files that have block rows."""
-    docs = lines.where(F.col("record") == BLOCK).select("doc_id").distinct()
+def source_sizes(blocks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, files): the source's files that have block rows, whatever their text."""
+    docs = blocks.select("doc_id").where("doc_id is not null").distinct()
     return docs.join(sources, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -73,7 +73,7 @@ def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
     # Counts, sizes and cases all read the lines: 128-bit digests of their keys are written once, no texts.
     lines = record_lines(blocks, furniture).drop("line").withColumn("key", F.unhex(F.md5("key")))
     lines, sources = written(lines, "lines"), file_sources(reports)
-    found = crossing(line_counts(lines, sources), source_sizes(lines, sources), min_files, min_share)
+    found = crossing(line_counts(lines, sources), source_sizes(blocks, sources), min_files, min_share)
     cases = lines.where("key is not null").join(sources, "doc_id").join(found, ["source", "record", "key"], "left_semi")
     return cases.select("record", "doc_id", "page_num", "item_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
@@ -81,7 +81,7 @@ def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
 def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
     """(doc_id, page_num, block_id, text): every block without its repeated lines; emptied blocks stay with ''."""
     lines, sources = record_lines(blocks, furniture), file_sources(reports)
-    found = crossing(line_counts(lines, sources), source_sizes(lines, sources), min_files, min_share).withColumn("_hit", F.lit(True))
+    found = crossing(line_counts(lines, sources), source_sizes(blocks, sources), min_files, min_share).withColumn("_hit", F.lit(True))
     kept = lines.where(F.col("record") == BLOCK).join(sources, "doc_id", "left").join(found, ["source", "record", "key"], "left")
     parts = F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
     return kept.groupBy("doc_id", "page_num", F.col("item_id").alias("block_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
@@ -90,7 +90,7 @@ def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
 def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
     """(source, record, key, n_files, files): the repeated lines named per source."""
     lines, sources = record_lines(blocks, furniture), file_sources(reports)
-    counts, sizes = line_counts(lines, sources), source_sizes(lines, sources)
+    counts, sizes = line_counts(lines, sources), source_sizes(blocks, sources)
     return counts.where(F.col("n_files") >= min_files).join(sizes, "source").where(F.col("n_files") >= F.col("files") * F.lit(min_share))
 
 

@@ -25,6 +25,13 @@ def test_thresholds(make):
     assert not [r for r in R.repeated_lines(*tables(make, files=10, hot=2)).collect() if r.record == "block"]  # under 3 files
 
 
+def test_files_without_text_count(make):
+    b, f, r = tables(make, files=30)
+    b = b.unionByName(make("blocks", [(500, 0, 0, None, 0, T0)]))
+    r = r.unionByName(make("reports", [(500, "s", None, 0, 1)]))
+    assert not [x for x in R.repeated_lines(b, f, r).collect() if x.record == "block"]  # 3 of 31 files
+
+
 def test_cleaned(make):
     rows = {(r.doc_id, r.block_id): r.text for r in R.cleaned_blocks(*tables(make)).collect()}
     assert rows[(0, 0)] == "Body a text"
@@ -41,11 +48,11 @@ def test_newest_text_counts(make):
 def test_deltas_equal_a_full_count(make):
     b, f, r = tables(make, files=40, hot=5)
     lines, sources = R.record_lines(b, f), R.file_sources(r)
-    parts = [(R.line_counts(x, sources), R.source_sizes(x, sources)) for x in (lines.where("doc_id < 2"), lines.where("doc_id >= 2"))]
+    parts = [(R.line_counts(x, sources), R.source_sizes(y, sources)) for x, y in ((lines.where("doc_id < 2"), b.where("doc_id < 2")), (lines.where("doc_id >= 2"), b.where("doc_id >= 2")))]
     counts, sizes, changed = R.merge_deltas(*parts[0], *parts[1])
     full = {tuple(x) for x in R.line_counts(lines, sources).collect()}
     assert {tuple(x) for x in counts.select("source", "record", "key", "n_files").collect()} == full
-    assert {tuple(x) for x in sizes.collect()} == {tuple(x) for x in R.source_sizes(lines, sources).collect()}
+    assert {tuple(x) for x in sizes.collect()} == {tuple(x) for x in R.source_sizes(b, sources).collect()}
     assert {(x.record, x.key, x.now) for x in changed.collect()} == {("block", "sharethispage0", True), ("furniture", "pressarchive", True)}
     assert {x.doc_id for x in R.affected_documents(lines, sources, changed.where("record = 'block'")).collect()} == set(range(5))
 
