@@ -68,9 +68,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The files go when the driver's JVM ends.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    sc = df.sparkSession.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
