@@ -31,8 +31,9 @@ class Options:
 
 
 def kept_blocks(blocks: DataFrame, pages: DataFrame, furniture: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Classified body blocks outside furniture, tables and formulas."""
-    kinds = facts.classified(blocks, pages, facts.body_font_size(blocks), facts.heading_base(blocks)).where(F.col("block_id") < MARGIN)
+    """Classified body blocks outside furniture, tables and formulas, leading headings as blocks of their own."""
+    sizes, bases = facts.body_font_size(blocks), facts.heading_base(blocks)
+    kinds = facts.headings_split(blocks.where(F.col("block_id") < MARGIN), pages, sizes, bases)
     return spatial.outside(spatial.outside_tables(spatial.outside(kinds, furniture), tables), formulas)
 
 
@@ -47,7 +48,8 @@ def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: Dat
     t_media = found.select(*PAGE, F.col("table_no").alias("id"), F.lit("Table").alias("kind"), "x0", "y0", F.when(F.col("render") == "Markdown", render.gfm_table(F.col("rows"))).otherwise(F.concat(F.lit("```\n"), F.col("layout_text"), F.lit("\n```"))).alias("text"))
     f_media = decided.select(*PAGE, (F.col("formula_index") + 1000).alias("id"), F.lit("Formula").alias("kind"), "x0", "y0", F.col("text_latex").alias("text"))
     media = t_media.unionByName(f_media)
-    order = spatial.merged_order(text, media.select(*PAGE, "id", "x0", "y0"))
+    # A leading heading and its rest share their reading order: the heading comes first, media between them stay there.
+    order = spatial.merged_order(text.withColumn("reading_order", F.col("reading_order") * 2 + F.col("sub")), media.select(*PAGE, "id", "x0", "y0"))
     place = lambda origin: order.where(F.col("origin") == origin).select(*PAGE, "id", F.col("reading_order").alias("position"))
     shown = text.withColumn("id", F.col("block_id")).join(place("text"), [*PAGE, "id"]).select(*PAGE, "position", F.lit(0).alias("sub"), "kind", "level", "text", "ordered", "depth")
     placed = media.join(place("media"), [*PAGE, "id"]).select(*PAGE, "position", F.lit(0).alias("sub"), "kind", F.lit(None).cast("int").alias("level"), "text", F.lit(None).cast("boolean").alias("ordered"), F.lit(None).cast("int").alias("depth"))

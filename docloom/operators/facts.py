@@ -14,6 +14,8 @@ from docloom.operators.base import BLOCK_KEYS, HEIGHT, MARGIN, WIDTH
 MARGIN_SHARE, SIDE_SHARE, REPEAT_SHARE = 0.08, 0.10, 0.5
 MIN_TEXT_AREA, REPLACEMENT_LIMIT, MATH_LIMIT = 0.02, 8, 4
 TOP_BAND, BOTTOM_BAND = 0.18, 0.84
+#: Added to the number of a block whose leading heading became a block of its own.
+HEADING_ID = 1_400_000
 #: Fixed pattern of characters that make a page mathematical.
 MATH_CHARS = r"[^\x{03B1}-\x{03C9}\x{0391}-\x{03A9}\x{2100}-\x{214F}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{27C0}-\x{27EF}\x{2A00}-\x{2AFF}]"
 
@@ -154,6 +156,11 @@ def classified(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases: Dat
 
     ``sizes`` and ``bases`` are one row per file (body font size, heading base).
     """
+    return _judged(blocks, pages, sizes, bases).drop("body_size", "base_level")
+
+
+def _judged(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases: DataFrame) -> DataFrame:
+    """The classified blocks with their file's body_size and base_level."""
     j = with_page(blocks, pages).join(sizes, "doc_id").join(bases, "doc_id")
     t, ratio = T.trim(F.col("text")), F.col("font_size") / F.greatest(F.col("body_size"), F.lit(0.1))
     level = P.numbered_heading_level(t, ratio, F.col("base_level"))
@@ -178,10 +185,35 @@ def classified(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases: Dat
     k = j.withColumn("kind", kind)
     return k.select(
         *BLOCK_KEYS, "reading_order", "text", "x0", "y0", "x1", "y1", "font_size", "kind", F.when(F.col("kind") == "Heading", head).alias("level"),
-        F.when(F.col("kind") == "ListItem", P.is_ordered_item(t)).alias("ordered"), F.when(F.col("kind") == "ListItem", P.indent_depth(F.col("x0"), F.col("width"))).alias("depth"),
+        F.when(F.col("kind") == "ListItem", P.is_ordered_item(t)).alias("ordered"), F.when(F.col("kind") == "ListItem", P.indent_depth(F.col("x0"), F.col("width"))).alias("depth"), "body_size", "base_level",
     )
 
 
+def headings_split(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases: DataFrame) -> DataFrame:
+    """The classified blocks with ``sub``; a block whose first line is a numbered heading gives that heading and its rest.
+
+    The heading (sub 0) has the block's id plus HEADING_ID and 1.35 of the font size (8 points at
+    least) as its height; the rest (sub 1) starts below it. Both keep the block's reading order.
+    """
+    j = _judged(blocks, pages, sizes, bases)
+    lines = T.lines(F.coalesce("text", F.lit("")))
+    first = F.coalesce(F.get(lines, 0), F.lit(""))
+    level = P.numbered_heading_level(first, F.col("font_size") / F.greatest(F.col("body_size"), F.lit(0.1)), F.col("base_level"))
+    j = j.withColumns({"_level": level, "_head": F.regexp_replace(T.collapse(first), r"[_^]\{([^}]*)\}?", "$1"), "_rest": F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n")})
+    edge = F.least(F.col("y0") + F.greatest("font_size", F.lit(8.0)) * F.lit(1.35), F.col("y1"))
+    both = F.col("_level").isNotNull() & (F.col("_rest") != "")
+    j = j.withColumns({"_edge": edge, "sub": F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))})
+    head, body = F.col("_level").isNotNull() & ((F.col("sub") == 0) | ~both), both & (F.col("sub") == 1)
+    return j.withColumns({
+        "block_id": F.when(F.col("sub") == 0, F.col("block_id") + HEADING_ID).otherwise(F.col("block_id")),
+        "text": F.when(head, F.col("_head")).when(body, F.col("_rest")).otherwise(F.col("text")),
+        "y0": F.when(body, F.col("_edge")).otherwise(F.col("y0")), "y1": F.when(F.col("sub") == 0, F.col("_edge")).otherwise(F.col("y1")),
+        "kind": F.when(head, "Heading").when(body & (F.col("kind") == "Heading"), "Paragraph").otherwise(F.col("kind")),
+        "level": F.when(head, F.col("_level")).when(~body, F.col("level")),
+        "ordered": F.when(~head, F.col("ordered")), "depth": F.when(~head, F.col("depth")),
+    }).drop("_level", "_head", "_rest", "_edge", "body_size", "base_level")
+
+
 def body_only(df: DataFrame) -> DataFrame:
     """Without the page-margin blocks."""
     return df.where(F.col("block_id") < MARGIN)

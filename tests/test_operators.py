@@ -111,3 +111,19 @@ def test_nulls_in_geometry_are_no_failure(spark):
         op(words).collect()
         op(alone).collect()
         op(words.limit(0)).collect()
+
+
+def test_leading_heading_is_a_block_of_its_own(spark):
+    rows = [(1, 0, 0, 0, "1 Introduction\nThis is body text.\nAnd more", 13.0, 50.0, 180.0, 500.0, 225.0), (1, 0, 1, 1, "Plain text\n2 Method", 10.0, 50.0, 300.0, 500.0, 330.0), (1, 0, 2, 2, "3 Results", 10.0, 50.0, 400.0, 500.0, 412.0), (1, 0, 3, 3, None, 10.0, 50.0, 500.0, 500.0, 512.0)]
+    blocks = spark.createDataFrame(rows, f"doc_id bigint, page_num bigint, block_id bigint, reading_order bigint, text string, font_size double, {BOX}")
+    pages = spark.createDataFrame([(1, 0, 600.0, 800.0)], "doc_id bigint, page_num bigint, width double, height double")
+    sizes = spark.createDataFrame([(1, 10.0)], "doc_id bigint, body_size double")
+    bases = spark.createDataFrame([(1, 1)], "doc_id bigint, base_level int")
+    got = [(r.block_id, r.reading_order, r.sub, r.kind, r.level, r.text, round(r.y0, 2), round(r.y1, 2)) for r in facts.headings_split(blocks, pages, sizes, bases).orderBy("reading_order", "sub").collect()]
+    assert got == [
+        (1_400_000, 0, 0, "Heading", 1, "1 Introduction", 180.0, 197.55),
+        (0, 0, 1, "Paragraph", None, "This is body text.\nAnd more", 197.55, 225.0),
+        (1, 1, 1, "Paragraph", None, "Plain text\n2 Method", 300.0, 330.0),
+        (2, 2, 1, "Heading", 1, "3 Results", 400.0, 412.0),
+        (3, 3, 1, "Paragraph", None, None, 500.0, 512.0),
+    ]
