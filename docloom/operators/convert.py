@@ -37,12 +37,18 @@ def kept_blocks(blocks: DataFrame, pages: DataFrame, furniture: DataFrame, table
     return spatial.outside(spatial.outside_tables(spatial.outside(kinds, furniture), tables), formulas)
 
 
+def with_latex(words: DataFrame, formulas: DataFrame) -> DataFrame:
+    """Formulas with ``text_latex``: given LaTeX, else from the formula's own words, else symbol by symbol."""
+    unread = policy.tagged(formulas.where("latex is null and source_text is not null"))
+    return policy.formula_kind(formulas, pagefolds.source_formulas(words, unread))
+
+
 def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:  # noqa: B008
     """DataFrames ``blocks``, ``tables``, ``formulas``, ``pages`` and ``documents`` of the conversion."""
     furniture = facts.furniture(words, pages)
     found = pagefolds.page_tables(words)
     found = written(found.where(F.col("confidence") >= F.lit(options.table_confidence)) if options.tables else found.limit(0), "tables")
-    decided = policy.emission(policy.formula_kind(formulas), options.formulas, options.emit).where("emit")
+    decided = policy.emission(with_latex(words, formulas), options.formulas, options.emit).where("emit")
     decided = written(spatial.outside(decided, found), "formulas")
     text = written(kept_blocks(blocks, pages, furniture, found, decided), "text")
     t_media = found.select(*PAGE, F.col("table_no").alias("id"), F.lit("Table").alias("kind"), "x0", "y0", F.when(F.col("render") == "Markdown", render.gfm_table(F.col("rows"))).otherwise(F.concat(F.lit("```\n"), F.col("layout_text"), F.lit("\n```"))).alias("text"))

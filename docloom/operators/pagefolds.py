@@ -611,6 +611,31 @@ def page_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
     return _per_page(both, "latex string", fold, [*PAGE, "formula_index"])
 
 
+def _signs(text: str) -> list[str]:
+    """A text's characters without white space and script marks, sorted."""
+    return sorted(re.sub(r"[\s_^{}]", "", text))
+
+
+def source_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(doc_id, page_num, formula_index, latex): LaTeX from the words a formula was read from, its number left out.
+
+    ``formulas`` has bare and number besides source_text and its box. A box may touch other lines or
+    lie over other text: only words with their middle inside count, and only where they are the
+    formula's source text, character by character. Other formulas give no row.
+    """
+    f = formulas.select(*PAGE, "formula_index", "source_text", "bare", "number", *[F.col(k).alias(f"f_{k}") for k in ("x0", "y0", "x1", "y1")])
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    both = f.join(_based(words), PAGE).where(x.between(F.col("f_x0"), F.col("f_x1")) & y.between(F.col("f_y0"), F.col("f_y1")))
+
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows = _rows(page, "base", "x0", "block_id", "widx")
+        if _signs("".join(w.text for w in rows)) != _signs(rows[0].source_text):
+            return []
+        return [(geometric_latex([w for w in rows if w.text.strip() != rows[0].number], rows[0].bare).strip(),)]
+
+    return _per_page(both, "latex string", fold, [*PAGE, "formula_index"])
+
+
 def page_figures(blocks: DataFrame, images: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
     """(doc_id, page_num, figure_no, confidence, reason, caption, box): figures of each page.
 

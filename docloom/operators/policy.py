@@ -89,12 +89,27 @@ def sane_latex(formulas: DataFrame) -> DataFrame:
     return formulas.withColumn("sane", F.when(x.isNotNull(), ~bad))
 
 
-def formula_kind(formulas: DataFrame) -> DataFrame:
-    """Formulas with ``text_latex``: recovered LaTeX, or the source text as LaTeX with its number as a tag."""
+def tagged(formulas: DataFrame) -> DataFrame:
+    """Formulas with ``number``, the number at the end of the source text, and ``bare``, the text without it."""
     text = T.trim(F.coalesce("source_text", F.lit("")))
     bare = T.trim(F.regexp_replace(text, r"\s*\((?:[pP]\.)?[0-9]+(?:[.-][0-9]+)*\)\s*$", ""))
-    local = F.when(T.equation_number(text).isNotNull(), F.concat(T.trim(T.unicode_to_latex(bare)), F.lit(" \\tag{"), F.translate(T.equation_number(text), "()", ""), F.lit("}"))).otherwise(T.trim(T.unicode_to_latex(text)))
-    return formulas.withColumn("text_latex", F.coalesce(T.trim(F.col("latex")), local))
+    number = T.equation_number(text)
+    return formulas.withColumns({"number": number, "bare": F.when(number.isNotNull(), bare).otherwise(text)})
+
+
+def formula_kind(formulas: DataFrame, geometric: DataFrame | None = None) -> DataFrame:
+    """Formulas with ``text_latex``: recovered LaTeX, that of ``geometric``, or the source text as LaTeX; the last two with the number as a tag.
+
+    ``geometric`` has doc_id, page_num, formula_index and latex of the formulas with known words.
+    """
+    keys = ["doc_id", "page_num", "formula_index"]
+    out = tagged(formulas)
+    body = T.trim(T.unicode_to_latex(F.col("bare")))
+    if geometric is not None:
+        out = out.join(geometric.select(*keys, F.col("latex").alias("_geometric")), keys, "left")
+        body = F.coalesce("_geometric", body)
+    local = F.when(F.col("number").isNotNull(), F.concat(body, F.lit(" \\tag{"), F.translate("number", "()", ""), F.lit("}"))).otherwise(body)
+    return out.withColumn("text_latex", F.coalesce(T.trim(F.col("latex")), local)).drop("number", "bare", "_geometric")
 
 
 def formula_counts(formulas: DataFrame) -> DataFrame:

@@ -106,3 +106,18 @@ def test_partitions_dont_matter(spark):
     got = [sorted(map(tuple, pf.page_reading_order(df.repartition(n)).collect())) for n in (1, 8)]
     assert got[0] == got[1]
     assert len(got[0]) == len(rows)
+
+
+def test_conversion_takes_latex_from_a_formulas_own_words(spark):
+    from docloom.operators import convert
+
+    box = "x0 double, y0 double, x1 double, y1 double"
+    at = lambda p, k, t, x, y, s, width=30.0: (1, p, 0, k, t, s, x, y - s, x + width, y, y)
+    rows = [at(0, 0, "x", 60.0, 100.0, 10.0, 10.0), at(0, 1, "2", 72.0, 95.0, 6.0, 6.0), at(0, 2, "=", 90.0, 100.0, 10.0), at(0, 3, "y", 120.0, 100.0, 10.0), at(0, 4, "(10.12-3)", 300.0, 100.0, 10.0)]
+    rows += [at(1, k, t, 60.0 + 40 * k, 100.0, 10.0) for k, t in enumerate(["other", "=", "text"])]
+    rows += [at(2, 0, "a+b", 60.0, 100.0, 10.0), at(2, 1, "=", 65.0, 100.0, 10.0), at(2, 2, "c+d", 60.0, 112.0, 10.0)]
+    words = spark.createDataFrame(rows, f"doc_id bigint, page_num bigint, block_id bigint, widx bigint, text string, font_size double, {box}, baseline_y double")
+    f = [(1, 0, 0, "x2 = y (10.12-3)", None, 50.0, 80.0, 400.0, 110.0), (1, 1, 0, "V_{1} = α (2)", None, 50.0, 80.0, 400.0, 110.0), (1, 2, 0, "a+b=c+d", None, 50.0, 80.0, 400.0, 120.0), (1, 2, 1, "a+b=c+d", " \\given ", 50.0, 80.0, 400.0, 120.0), (1, 3, 0, "β", None, 0.0, 0.0, 1.0, 1.0), (1, 3, 1, None, None, 0.0, 0.0, 1.0, 1.0)]
+    formulas = spark.createDataFrame(f, f"doc_id bigint, page_num bigint, formula_index bigint, source_text string, latex string, {box}")
+    got = {(r.page_num, r.formula_index): r.text_latex for r in convert.with_latex(words, formulas).collect()}
+    assert got == {(0, 0): "x ^{2} = y \\tag{10.12-3}", (1, 0): "V_{1} = \\alpha \\tag{2}", (2, 0): "\\frac{a+b =}{c+d}", (2, 1): "\\given", (3, 0): "\\beta", (3, 1): ""}
