@@ -62,8 +62,8 @@ def _foreign(run: str) -> str:
     return "C" if any("Ѐ" <= c <= "ԯ" for c in run) else "G" if any("Ͱ" <= c <= "Ͽ" for c in run) else ""
 
 
-def latin_form(text: str, alone: bool) -> str:
-    """The text with borrowed letters replaced; ``alone``: also runs that only look Latin."""
+def latin_form(text: str, alone: bool | str) -> str:
+    """The text with borrowed letters replaced; ``alone``: also runs that only look Latin, all or those of one script."""
 
     def fix(m: re.Match) -> str:
         run = m.group()
@@ -76,7 +76,7 @@ def latin_form(text: str, alone: bool) -> str:
             return "".join([table.get(c, c) for c in run])
         # A genuine Greek symbol such as the delta of a difference stands before a letter of its own.
         own = [c for c in run if not ("Ͱ" <= c <= "Ͽ" and c not in PROTOTYPES)]
-        if alone and own and all(c in PROTOTYPES for c in own) and (script == "C" or len(run) > 1 and len(own) == len(run)):
+        if alone in (True, script) and own and all(c in PROTOTYPES for c in own) and (script == "C" or len(run) > 1 and len(own) == len(run)):
             return "".join([PROTOTYPES.get(c, c) for c in run])
         return run
 
@@ -84,7 +84,7 @@ def latin_form(text: str, alone: bool) -> str:
 
 
 @lru_cache(maxsize=65536)
-def consistent(text: str, alone: bool = True) -> str:
+def consistent(text: str, alone: bool | str = True) -> str:
     """The one consistent spelling."""
     return latin_form(plain_form(text), alone)
 
@@ -101,14 +101,21 @@ def genuine(text: str) -> str:
     return "".join(sorted({_foreign(c) for c in text if c.isalpha() and c not in PROTOTYPES and _foreign(c)}))
 
 
-_FORMS = "form string, form_alone string, skeleton string, genuine string"
+def borrowed(text: str) -> list[tuple[str, str]]:
+    """(script, form) of each script whose runs only look Latin, with that script's runs alone replaced."""
+    if consistent(text, False) == consistent(text, True):
+        return []
+    return [(s, form) for s in "CG" if (form := consistent(text, s)) != consistent(text, False)]
+
+
+_FORMS = "form string, form_alone string, skeleton string, genuine string, borrowed array<struct<script string, form string>>"
 
 
 def spelled(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``texts`` with non-ASCII characters in ``column``, and form, form_alone, skeleton, genuine."""
+    """``texts`` with non-ASCII characters in ``column``, and form, form_alone, skeleton, genuine, borrowed."""
 
     def forms(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(consistent(v, False), consistent(v, True), skeleton(v), genuine(v)) for v in values], columns=["form", "form_alone", "skeleton", "genuine"])
+        return pd.DataFrame([(consistent(v, False), consistent(v, True), skeleton(v), genuine(v), [{"script": a, "form": b} for a, b in borrowed(v)]) for v in values], columns=["form", "form_alone", "skeleton", "genuine", "borrowed"])
 
     udf = F.pandas_udf(forms, _FORMS)
     return texts.where(F.col(column).rlike(r"[^\x00-\x7F]")).withColumn("_f", udf(column)).select(*texts.columns, "_f.*")
@@ -121,9 +128,11 @@ def word_cases(words: DataFrame) -> DataFrame:
     keys = ["doc_id", "page_num", "block_id"]
     sure = seen.where("text <> form").select(*keys, "widx", "text", "form", "extracted_at")
     foreign = words.where(F.col("text").rlike(_OTHER_SCRIPT))
-    around = spelled(foreign.select(*keys, "text")).where("genuine <> ''").select(*keys).distinct()
-    alone = spelled(foreign.select(*keys, "widx", "text", "extracted_at")).where("text = form and text <> form_alone").select(*keys, "widx", "text", F.col("form_alone").alias("form"), "extracted_at")
-    cases = sure.unionByName(alone.join(around, keys, "left_anti"))
+    around = spelled(foreign.select(*keys, "text")).where("genuine <> ''").select(*keys, F.explode(F.split("genuine", "")).alias("script")).distinct()
+    alone = spelled(foreign.select(*keys, "widx", "text", "extracted_at")).where("text = form").select(*keys, "widx", "text", "extracted_at", "form_alone", F.inline("borrowed"))
+    alone = alone.join(around, [*keys, "script"], "left_anti").groupBy(*keys, "widx", "text", "extracted_at", "form_alone").agg(F.collect_set("form").alias("_forms"))
+    form = F.when(F.size("_forms") > 1, F.col("form_alone")).otherwise(F.get("_forms", 0))
+    cases = sure.unionByName(alone.select(*keys, "widx", "text", form.alias("form"), "extracted_at"))
     stand = cases.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
     return stand.select(*keys, "widx", "text", "form").dropDuplicates([*keys, "widx"])
 

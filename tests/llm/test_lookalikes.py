@@ -48,3 +48,9 @@ def test_groups(make):
 def test_empty_and_long(make):
     assert cases(make, []) == set()
     assert cases(make, [(0, 0, "ａ" * 100_000)]) == {("word", 0, 0)}
+
+
+def test_genuine_letters_of_another_script_hide_no_borrowed_word(make):
+    words = [(0, 0, "РК-743"), (0, 1, "σ"), (1, 0, "РК-743"), (1, 1, "держит"), (2, 0, "РК-ΒΕ"), (2, 1, "Δx"), (3, 0, "ΝΑ"), (3, 1, "σ")]
+    w = make("words", [(1, 0, b, k, t, T0) for b, k, t in words])
+    assert {(r.block_id, r.widx): r.form for r in L.word_cases(w).collect()} == {(0, 0): "PK-743", (2, 0): "PK-ΒΕ"}
