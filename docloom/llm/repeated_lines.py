@@ -2,8 +2,9 @@
 
 Per source, record kind and line key the operator counts the distinct files that hold the
 line. A line is repeated when it occurs in at least ``min_files`` files and in at least
-``min_share`` of the source's files. Counts live in two tables that merge new partitions as
-deltas, so a later run only rebuilds documents holding lines that newly crossed the threshold.
+``min_share`` of the source's files. Counts live in a written ``State`` with the lines of each file's
+standing extraction; ``loaded`` makes it, ``merged`` takes in a partition: files delivered again are
+taken back before they are counted anew, and only documents it names are rebuilt.
 
 Scale: (doc, key) pairs are made distinct before they are counted, so the only shuffle keys
 are (source, kind, doc, key) and then (source, kind, key) with map-side partial counts; a
@@ -16,6 +17,8 @@ for nothing; a record delivered twice counts once; an empty table gives an empty
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +71,101 @@ def crossing(counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share:
     return over.where(F.col("n_files") >= F.col("files") * F.lit(min_share)).select("source", "record", "key")
 
 
+@dataclass(frozen=True)
+class State:
+    """Written tables: files (doc_id, version, placed, source), lines (record, doc_id, page_num, item_id, line_no, key as digest), counts and sizes."""
+
+    files: DataFrame
+    lines: DataFrame
+    counts: DataFrame
+    sizes: DataFrame
+
+
+_LINE = ["record", "doc_id", "page_num", "item_id", "line_no", "key"]
+
+
+def _delivered(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, lines) of one partition: the newest time of each file's texts, whether it has block rows, and its source."""
+    texts = F.max(F.when(F.col("text").isNotNull(), F.col("extracted_at")))
+    b = blocks.groupBy("doc_id").agg(texts.alias("version"), F.lit(True).alias("placed"))
+    f = furniture.select("doc_id").distinct()
+    r = reports.groupBy("doc_id").agg(F.max("source").alias("source"))
+    rows = b.unionByName(f, allowMissingColumns=True).unionByName(r, allowMissingColumns=True).where("doc_id is not null")
+    files = rows.groupBy("doc_id").agg(F.max("version").alias("version"), F.coalesce(F.bool_or("placed"), F.lit(False)).alias("placed"), F.max("source").alias("source"))
+    # 128-bit digests of the keys are written, no texts.
+    lines = record_lines(blocks, furniture).withColumn("key", F.unhex(F.md5("key"))).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return files, lines.where("key is not null").select(*_LINE)
+
+
+def _counted(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, sizes) of files and their lines."""
+    sourced = files.where("source is not null")
+    sizes = sourced.where("placed").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+    return line_counts(lines, sourced.select("doc_id", "source")), sizes
+
+
+def loaded(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> State:
+    """The state after a first partition."""
+    files, lines = _delivered(blocks, furniture, reports)
+    files, lines = written(files, "files"), written(lines, "lines")
+    counts, sizes = _counted(files, lines)
+    return State(files, lines, written(counts, "counts"), written(sizes, "sizes"))
+
+
+def merged(state: State, blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> tuple[State, DataFrame]:
+    """(state after another partition, documents to rebuild).
+
+    Counts of the partition's files are taken back and added as they stand now, so files delivered
+    again count once and lines of superseded text not at all; an older extraction changes nothing.
+    Rebuilt are the files whose lines changed and all with a line that crossed the threshold.
+    """
+    new_files, new_lines = _delivered(blocks, furniture, reports)
+    new_files, new_lines = written(new_files, "delta-files"), written(new_lines, "delta-lines")
+    touched = new_files.select("doc_id")
+    old_files = state.files.join(touched, "doc_id", "left_semi")
+    old_lines = state.lines.join(touched, "doc_id", "left_semi")
+    files = old_files.unionByName(new_files).groupBy("doc_id").agg(F.max("version").alias("version"), F.bool_or("placed").alias("placed"), F.max("source").alias("source"))
+    files = written(files, "delta-files")
+    stands = lambda of: files.alias("n").join(of.alias("o"), "doc_id").where(F.col("n.version").eqNullSafe(F.col("o.version"))).select("doc_id")
+    valid = lambda lines, of: lines.where(F.col("record") == FURNITURE).unionByName(lines.where(F.col("record") == BLOCK).join(stands(of), "doc_id", "left_semi"))
+    lines = written(valid(old_lines, old_files).unionByName(valid(new_lines, new_files)).distinct(), "delta-lines")
+    before, after = _counted(old_files, old_lines), _counted(files, lines)
+    net = [plus.unionByName(minus.withColumn(n, -F.col(n))).groupBy(*[c for c in plus.columns if c != n]).agg(F.sum(n).alias(n)) for plus, minus, n in zip(after, before, ("n_files", "files"), strict=True)]
+    counts, sizes, changed = merge_deltas(state.counts, state.sizes, *net, min_files, min_share)
+    rest = lambda df: df.join(touched, "doc_id", "left_anti")
+    out = State(written(rest(state.files).unionByName(files), "files"), written(rest(state.lines).unionByName(lines), "lines"), written(counts.where("n_files > 0"), "counts"), written(sizes.where("files > 0"), "sizes"))
+    rebuild = affected_documents(out.lines, out.files.select("doc_id", "source"), changed).unionByName(touched).distinct()
+    return out, rebuild
+
+
+def found_lines(state: State, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
+    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line, from the counts of the state."""
+    found = crossing(state.counts, state.sizes, min_files, min_share)
+    cases = state.lines.join(state.files.select("doc_id", "source"), "doc_id").join(found, ["source", "record", "key"], "left_semi")
+    return cases.select("record", "doc_id", "page_num", "item_id", "line_no").distinct()
+
+
+def rebuilt_blocks(blocks: DataFrame, state: State, documents: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
+    """(doc_id, page_num, block_id, text): the cleaned blocks of ``documents`` only; ``blocks`` is all that was delivered of them."""
+    hit = found_lines(state, min_files, min_share).where(F.col("record") == BLOCK).select("doc_id", "page_num", "item_id", "line_no", F.lit(True).alias("_hit"))
+    mine = blocks.join(documents, "doc_id", "left_semi")
+    lines = record_lines(mine, _no_furniture(mine)).join(hit.join(documents, "doc_id", "left_semi"), ["doc_id", "page_num", "item_id", "line_no"], "left")
+    return _joined(lines)
+
+
+def _no_furniture(blocks: DataFrame) -> DataFrame:
+    return blocks.select("doc_id", "page_num", F.col("block_id").alias("line_idx"), F.col("text").alias("signature")).limit(0)
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    """Blocks of their lines without ``_hit``; emptied blocks stay with ''."""
+    parts = F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
+    return lines.groupBy("doc_id", "page_num", F.col("item_id").alias("block_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+
+
 def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line."""
-    # Counts, sizes and cases all read the lines: 128-bit digests of their keys are written once, no texts.
-    lines = record_lines(blocks, furniture).drop("line").withColumn("key", F.unhex(F.md5("key")))
-    lines, sources = written(lines, "lines"), file_sources(reports)
-    found = crossing(line_counts(lines, sources), source_sizes(blocks, sources), min_files, min_share)
-    cases = lines.where("key is not null").join(sources, "doc_id").join(found, ["source", "record", "key"], "left_semi")
-    return cases.select("record", "doc_id", "page_num", "item_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
+    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line, the tables taken as one partition."""
+    return found_lines(loaded(blocks, furniture, reports), min_files, min_share)
 
 
 def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
@@ -83,8 +173,7 @@ def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
     lines, sources = record_lines(blocks, furniture), file_sources(reports)
     found = crossing(line_counts(lines, sources), source_sizes(blocks, sources), min_files, min_share).withColumn("_hit", F.lit(True))
     kept = lines.where(F.col("record") == BLOCK).join(sources, "doc_id", "left").join(found, ["source", "record", "key"], "left")
-    parts = F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
-    return kept.groupBy("doc_id", "page_num", F.col("item_id").alias("block_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+    return _joined(kept)
 
 
 def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
@@ -95,11 +184,11 @@ def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFr
 
 
 def merge_deltas(counts: DataFrame, sizes: DataFrame, new_counts: DataFrame, new_sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The count tables after a delta of *new* files, and the lines whose state changed.
+    """The count tables after a delta, and the lines whose state changed.
 
     Returns (counts, sizes, changed); ``changed`` has (source, record, key, now) for lines that
     crossed the threshold in either direction: only documents with these lines are rebuilt.
-    Files of a delta must not have been counted before.
+    Counts of a delta are net: what files counted before no longer hold is negative (see ``merged``).
     """
     tagged = counts.select("source", "record", "key", F.col("n_files").alias("old"), F.lit(0).cast("bigint").alias("new"))
     tagged = tagged.unionByName(new_counts.select("source", "record", "key", F.lit(0).cast("bigint").alias("old"), F.col("n_files").alias("new")))

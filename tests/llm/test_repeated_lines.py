@@ -59,3 +59,21 @@ def test_deltas_equal_a_full_count(make):
 
 def test_empty(make):
     assert R.repeated_lines(make("blocks", []), make("furniture", []), make("reports", [])).count() == 0
+
+
+def test_partitions_with_files_delivered_again_equal_a_full_count(make):
+    b, f, r = tables(make, files=40, hot=3)
+    late = make("blocks", [(0, 0, 0, "Other words", 0, T1), (2, 0, 0, "Body c text\nShare This Page 2!", 0, T0), (50, 0, 0, "New\nShare This Page 5", 0, T1), (51, 0, 0, "Share this page", 0, T1), (51, 0, 1, "Share this page 51", 1, T1), (7, 0, 1, "Share This Page 7", 1, T1), (60, 0, 0, None, 0, T0)])
+    again = make("furniture", [(3, 0, 0, "press archive"), (50, 0, 0, "press archive"), (8, 0, 5, None)])
+    named = make("reports", [(50, "s", None, 0, 1), (60, "s", None, 0, 1), (51, "s", None, 0, 1), (9, "t", None, 0, 1)])
+    all_b, all_f, all_r = b.unionByName(late), f.unionByName(again), r.unionByName(named)
+    want = R.loaded(all_b, all_f, all_r)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).distinct().collect()))
+    first = R.loaded(b, f, r)
+    got, rebuild = R.merged(first, late, again, named)
+    assert [rows(getattr(got, k)) for k in ("files", "counts", "sizes", "lines")] == [rows(getattr(want, k)) for k in ("files", "counts", "sizes", "lines")]
+    assert rows(R.found_lines(got)) == rows(R.repeated_lines(all_b, all_f, all_r))
+    assert rows(R.found_lines(R.merged(got, b, f, r)[0])) == rows(R.found_lines(got))  # older text again
+    full = R.cleaned_blocks(all_b, all_f, all_r).join(rebuild, "doc_id", "left_semi")
+    assert rows(R.rebuilt_blocks(all_b, got, rebuild)) == rows(full)
+    assert {x.doc_id for x in rebuild.collect()} == {0, 1, 2, 3, 7, 8, 9, 50, 51, 60}
