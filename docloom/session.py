@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
+#: Intermediates written so far, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,13 +58,21 @@ def of_newest(found: DataFrame, delivered: DataFrame, keys: list[str], version:
     """
     newest = delivered.groupBy(*keys).agg(F.max(version).alias("_newest"))
     same = F.col(version).eqNullSafe(F.col("_newest"))
-    return found.join(newest, keys).where(same).select(*[c for c in found.columns if c != version]).distinct()
+    # Both sides grow with the data: sorted and merged, not broadcast.
+    return found.hint("merge").join(newest, keys).where(same).select(*[c for c in found.columns if c != version]).distinct()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder; on a cluster, whose machines would
+    each write to a disk of their own, that is an error.
+    """
     given = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not given:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
         given = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set(CHECKPOINT_CONF, given)
     return given
@@ -70,14 +81,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go with ``release``, at the latest when the driver's JVM ends.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    sc = df.sparkSession.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    system, place = _place(spark, path)
+    system.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediates written so far; for when their results were read or stored. Gives their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        system, place = _place(spark, path)
+        system.delete(place, True)
+    return len(paths)
 
 
 def lit_array(values: list) -> Column:

@@ -1,6 +1,7 @@
 """Joins, plans, enrichment, sources and streaming on small rows."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
@@ -127,3 +128,17 @@ def test_leading_heading_is_a_block_of_its_own(spark):
         (2, 2, 1, "Heading", 1, "3 Results", 400.0, 412.0),
         (3, 3, 1, "Paragraph", None, None, 500.0, 512.0),
     ]
+
+
+def test_intermediates(spark, monkeypatch):
+    from docloom import session
+
+    df = session.written(spark.range(3), "probe")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2]
+    assert session.release(spark) >= 1
+    assert not Path(path).exists()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(spark.conf, "get", lambda *a: None)
+    with pytest.raises(RuntimeError, match="share"):
+        session.shared_dir(spark)
