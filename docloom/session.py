@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
+#: Temporary folder of a local session, by application.
+_TEMPORARY: dict[str, str] = {}
 #: Intermediates written so far, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -73,8 +75,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
-        given = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set(CHECKPOINT_CONF, given)
+        app = spark.sparkContext.applicationId
+        given = _TEMPORARY[app] = _TEMPORARY.get(app) or "file://" + tempfile.mkdtemp(prefix="docloom-")
     return given
 
 

@@ -139,6 +139,5 @@ def test_intermediates(spark, monkeypatch):
     assert session.release(spark) >= 1
     assert not Path(path).exists()
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    monkeypatch.setattr(spark.conf, "get", lambda *a: None)
     with pytest.raises(RuntimeError, match="share"):
         session.shared_dir(spark)
