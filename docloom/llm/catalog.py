@@ -43,7 +43,7 @@ QUERIES = {
     "p2_found": lambda spark, d: text_kind.text_kinds(_rendered(spark, d), table(spark, d, "common_words")),
     "p2_statistics": lambda spark, d: text_kind.document_statistics(_rendered(spark, d), table(spark, d, "common_words"), table(spark, d, "inspect_reports")),
     "p4_found": lambda spark, d: repeated_lines.repeated_lines(*_layout(spark, d)),
-    "p4_lines": lambda spark, d: repeated_lines.repeated_line_table(*_layout(spark, d)).select("source", "record", "key", "n_files", "files"),
+    "p4_lines": lambda spark, d: repeated_lines.repeated_line_table(*_layout(spark, d)),
     "p4_cleaned_blocks": lambda spark, d: repeated_lines.cleaned_blocks(*_layout(spark, d)),
     "p5_found": lambda spark, d: lookalikes.inconsistent(table(spark, d, "raw_words"), table(spark, d, "formula_candidates"), encoding.garbled_blocks(table(spark, d, "raw_blocks"))),
     "p5_groups": lambda spark, d: lookalikes.skeleton_groups(table(spark, d, "raw_words")),
@@ -64,6 +64,11 @@ SQL = {
     "p4_found": _REPEATED
     + "select record, doc_id, page_num, item_id, cast(line_no as bigint) as line_no from l where exists (select 1 from h where h.source = l.source and h.record = l.record and h.k = l.k)",
     "p4_lines": _REPEATED + "select source, record, k as key, n as n_files, files from h",
+    "p4_cleaned_blocks": _REPEATED
+    + """, k as (select bl.*, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from bl where ls is not null)
+select k.doc_id, k.page_num, k.block_id, coalesce(string_agg(k.line, chr(10) order by k.line_no) filter (where x.line_no is null), '') as text from k
+left join (select doc_id, page_num, item_id, line_no from l where record = 'block' and exists (select 1 from h where h.source = l.source and h.record = l.record and h.k = l.k)) x
+on x.doc_id = k.doc_id and x.page_num = k.page_num and x.item_id = k.block_id and x.line_no = k.line_no group by all""",
     "p7_found": """
 with r as (select doc_id, max_by(markdown, rendered_at) as markdown, max_by(sections, rendered_at) as sections from rendered_documents group by 1),
 s as (select doc_id, unnest(sections) as s, generate_subscripts(sections, 1) - 1 as i from r)

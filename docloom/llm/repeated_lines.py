@@ -2,29 +2,39 @@
 
 Per source, record kind and line key the operator counts the distinct files that hold the
 line. A line is repeated when it occurs in at least ``min_files`` files and in at least
-``min_share`` of the source's files. Counts live in a written ``State`` with the lines of each file's
-standing extraction; ``loaded`` makes it, ``merged`` takes in a partition: files delivered again are
-taken back before they are counted anew, and only documents it names are rebuilt.
+``min_share`` of the source's files. Counts live in a ``State`` of written tables; ``loaded`` makes
+it, ``merged`` takes in another partition: its lines are appended, what its files counted before is
+taken back, lines that cross the threshold are told, and only documents with such lines, or
+delivered again, are judged and rebuilt. The registered queries take the tables as two partitions by
+time of extraction (``accumulated``), the later one as a delta.
 
 Scale: (doc, key) pairs are made distinct before they are counted, so the only shuffle keys
 are (source, kind, doc, key) and then (source, kind, key) with map-side partial counts; a
 source holding a third of all rows spreads over its lines, and one hot line reaches the final
-count as one partial row per task. No group is ever collected.
+count as one partial row per task. Lines and counts are logs to which a merge appends: it rewrites
+the table of files and the sizes of sources, one row each, and reads the old lines once. Joins with
+a source's size are merged under a salt, so no source is one task. No group is ever collected.
 
 Defined results: rows without doc_id give none; null texts, null sources and lines without a letter give no rows and count
-for nothing; a record delivered twice counts once; an empty table gives an empty result.
+for nothing; a record delivered twice counts once; rows without extraction time belong to the first
+partition; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import written
 
 BLOCK, FURNITURE = "block", "furniture"
+_KEY = ["source", "record", "key"]
+#: Share of the block rows, by time of extraction, that the registered queries load before the delta.
+FIRST_SHARE = 0.9
+#: Parts a source's lines are spread over where they meet the source's size.
+SALT = 64
 
 
 def line_key(line: Column) -> Column:
@@ -34,54 +44,42 @@ def line_key(line: Column) -> Column:
 
 
 def record_lines(blocks: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no, line, key) of both record kinds.
+    """(record, doc_id, page_num, item_id, line_no, line, key, version) of both record kinds.
 
     Only the newest extraction of a file counts, told from (doc_id, time) alone. An extraction
     delivered twice gives its lines twice: counting takes distinct files, results are made distinct
     where rows are few, so no text is shuffled to drop copies.
     """
-    b = blocks.select("doc_id", "page_num", "block_id", "text", "extracted_at").where("doc_id is not null and text is not null")
-    newest = b.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    b = b.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
-    b = b.select(F.lit(BLOCK).alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    f = furniture.where("doc_id is not null").select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(0).alias("line_no"), F.col("signature").alias("line"))
-    return b.unionByName(f).withColumn("key", line_key(F.col("line")))
-
-
-def file_sources(reports: DataFrame) -> DataFrame:
-    """(doc_id, source), one row per file."""
-    return reports.groupBy("doc_id").agg(F.max("source").alias("source")).where("source is not null")
-
-
-def line_counts(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, record, key, n_files): distinct files holding each line."""
-    pairs = lines.where("key is not null").select("record", "doc_id", "key").distinct()
-    return pairs.join(sources, "doc_id").groupBy("source", "record", "key").agg(F.count(F.lit(1)).alias("n_files"))
+    b = blocks.select("doc_id", "page_num", "block_id", "text", F.col("extracted_at").alias("version")).where("doc_id is not null and text is not null")
+    newest = b.groupBy("doc_id").agg(F.max("version").alias("_newest"))
+    b = b.join(newest, "doc_id").where(F.col("version").eqNullSafe(F.col("_newest")))
+    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    b = b.select(F.lit(BLOCK).alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), "version", line)
+    f = furniture.where("doc_id is not null").select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(None).cast("timestamp").alias("version"), F.lit(0).alias("line_no"), F.col("signature").alias("line"))
+    return b.unionByName(f).withColumns({"key": line_key(F.col("line")), "line_no": F.col("line_no").cast("bigint")})
 
 
-def source_sizes(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, files): the source's files that have block rows, whatever their text."""
-    docs = blocks.select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(sources, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
-
-
-def crossing(counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(source, record, key) of the lines at or over the threshold."""
-    over = counts.where(F.col("n_files") >= min_files).join(sizes, "source")
-    return over.where(F.col("n_files") >= F.col("files") * F.lit(min_share)).select("source", "record", "key")
+def digest(key: Column) -> Column:
+    """128 bits for a key."""
+    return F.unhex(F.md5(key))
 
 
 @dataclass(frozen=True)
 class State:
-    """Written tables: files (doc_id, version, placed, source), lines (record, doc_id, page_num, item_id, line_no, key as digest), counts and sizes."""
+    """Written tables.
+
+    files: doc_id, version, placed, source; one row per file, version the newest extraction with text.
+    lines: record, doc_id, page_num, item_id, line_no, key (a digest), version; all delivered ones.
+    counts: source, record, key, n_files; signed, to be added up.
+    sizes: source, files.
+    over: source, record, key of the lines at or over the threshold.
+    """
 
     files: DataFrame
     lines: DataFrame
     counts: DataFrame
     sizes: DataFrame
-
-
-_LINE = ["record", "doc_id", "page_num", "item_id", "line_no", "key"]
+    over: DataFrame
 
 
 def _delivered(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,123 +90,173 @@ def _delivered(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> t
     r = reports.groupBy("doc_id").agg(F.max("source").alias("source"))
     rows = b.unionByName(f, allowMissingColumns=True).unionByName(r, allowMissingColumns=True).where("doc_id is not null")
     files = rows.groupBy("doc_id").agg(F.max("version").alias("version"), F.coalesce(F.bool_or("placed"), F.lit(False)).alias("placed"), F.max("source").alias("source"))
-    # 128-bit digests of the keys are written, no texts.
-    lines = record_lines(blocks, furniture).withColumn("key", F.unhex(F.md5("key"))).withColumn("line_no", F.col("line_no").cast("bigint"))
-    return files, lines.where("key is not null").select(*_LINE)
+    lines = record_lines(blocks, furniture).where("key is not null")
+    return files, lines.select("record", "doc_id", "page_num", "item_id", "line_no", digest(F.col("key")).alias("key"), "version")
 
 
-def _counted(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts, sizes) of files and their lines."""
-    sourced = files.where("source is not null")
-    sizes = sourced.where("placed").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
-    return line_counts(lines, sourced.select("doc_id", "source")), sizes
+def standing(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of each file's standing extraction, with the file's source; files without one are left out."""
+    known = files.where("source is not null").select("doc_id", "source", F.col("version").alias("_stands"))
+    return lines.join(known, "doc_id").where((F.col("record") == FURNITURE) | F.col("version").eqNullSafe(F.col("_stands"))).drop("_stands")
 
 
-def loaded(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> State:
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(source, record, key, n_files): distinct files holding each standing line."""
+    pairs = lines.select("source", "record", "doc_id", "key").distinct()
+    return pairs.groupBy("source", "record", "key").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def source_sizes(files: DataFrame) -> DataFrame:
+    """(source, files): the source's files that have block rows, whatever their text."""
+    return files.where("source is not null and placed").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _sized(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Counts with their source's size, a source's lines spread over SALT parts."""
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return counts.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).join(spread, ["source", "_salt"]).drop("_salt")
+
+
+def _over(n: Column, files: Column, min_files: int, min_share: float) -> Column:
+    return (n >= min_files) & (n >= files * F.lit(min_share))
+
+
+def crossing(counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
+    """(source, record, key, n_files, files) of the lines at or over the threshold; ``counts`` has one row for each line."""
+    return _sized(counts.where(F.col("n_files") >= min_files), sizes).where(_over(F.col("n_files"), F.col("files"), min_files, min_share))
+
+
+def loaded(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> State:
     """The state after a first partition."""
     files, lines = _delivered(blocks, furniture, reports)
     files, lines = written(files, "files"), written(lines, "lines")
-    counts, sizes = _counted(files, lines)
-    return State(files, lines, written(counts, "counts"), written(sizes, "sizes"))
+    counts, sizes = written(line_counts(standing(lines, files)), "counts"), source_sizes(files)
+    return State(files, lines, counts, sizes, written(crossing(counts, sizes, min_files, min_share).select(*_KEY), "over"))
 
 
-def merged(state: State, blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> tuple[State, DataFrame]:
+def merged(state: State, blocks: DataFrame, furniture: DataFrame, reports: DataFrame | None = None, min_files: int = 3, min_share: float = 0.1) -> tuple[State, DataFrame]:
     """(state after another partition, documents to rebuild).
 
     Counts of the partition's files are taken back and added as they stand now, so files delivered
     again count once and lines of superseded text not at all; an older extraction changes nothing.
-    Rebuilt are the files whose lines changed and all with a line that crossed the threshold.
+    Rebuilt are the files of the partition and all that hold a line that crossed the threshold.
+    Files of which only a report comes, without blocks or furniture, are of the partition too.
     """
+    if reports is None:
+        reports = state.files.select("doc_id", "source").limit(0)
     new_files, new_lines = _delivered(blocks, furniture, reports)
     new_files, new_lines = written(new_files, "delta-files"), written(new_lines, "delta-lines")
     touched = new_files.select("doc_id")
     old_files = state.files.join(touched, "doc_id", "left_semi")
-    old_lines = state.lines.join(touched, "doc_id", "left_semi")
-    files = old_files.unionByName(new_files).groupBy("doc_id").agg(F.max("version").alias("version"), F.bool_or("placed").alias("placed"), F.max("source").alias("source"))
-    files = written(files, "delta-files")
-    stands = lambda of: files.alias("n").join(of.alias("o"), "doc_id").where(F.col("n.version").eqNullSafe(F.col("o.version"))).select("doc_id")
-    valid = lambda lines, of: lines.where(F.col("record") == FURNITURE).unionByName(lines.where(F.col("record") == BLOCK).join(stands(of), "doc_id", "left_semi"))
-    lines = written(valid(old_lines, old_files).unionByName(valid(new_lines, new_files)).distinct(), "delta-lines")
-    before, after = _counted(old_files, old_lines), _counted(files, lines)
-    net = [plus.unionByName(minus.withColumn(n, -F.col(n))).groupBy(*[c for c in plus.columns if c != n]).agg(F.sum(n).alias(n)) for plus, minus, n in zip(after, before, ("n_files", "files"), strict=True)]
-    counts, sizes, changed = merge_deltas(state.counts, state.sizes, *net, min_files, min_share)
-    rest = lambda df: df.join(touched, "doc_id", "left_anti")
-    out = State(written(rest(state.files).unionByName(files), "files"), written(rest(state.lines).unionByName(lines), "lines"), written(counts.where("n_files > 0"), "counts"), written(sizes.where("files > 0"), "sizes"))
-    rebuild = affected_documents(out.lines, out.files.select("doc_id", "source"), changed).unionByName(touched).distinct()
-    return out, rebuild
+    both = old_files.unionByName(new_files).groupBy("doc_id").agg(F.max("version").alias("version"), F.bool_or("placed").alias("placed"), F.max("source").alias("source"))
+    both = written(both, "delta-files")
+    old_lines = written(state.lines.join(touched, "doc_id", "left_semi"), "delta-lines")
+    net = _net(line_counts(standing(old_lines.unionByName(new_lines), both)), line_counts(standing(old_lines, old_files)), "n_files")
+    counts = written(net.where("n_files <> 0"), "delta-counts")
+    grown = _net(source_sizes(both), source_sizes(old_files), "files")
+    files = written(state.files.join(touched, "doc_id", "left_anti").unionByName(both), "files")
+    changed = written(changed_lines(state, counts, grown, min_files, min_share), "changed")
+    over = state.over.join(changed.where("not now"), _KEY, "left_anti").unionByName(changed.where("now").select(*_KEY))
+    out = State(files, state.lines.unionByName(new_lines), state.counts.unionByName(counts), source_sizes(files), written(over, "over"))
+    return out, written(holding(out, changed).select("doc_id").unionByName(touched).distinct(), "rebuild")
 
 
-def found_lines(state: State, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line, from the counts of the state."""
-    found = crossing(state.counts, state.sizes, min_files, min_share)
-    cases = state.lines.join(state.files.select("doc_id", "source"), "doc_id").join(found, ["source", "record", "key"], "left_semi")
-    return cases.select("record", "doc_id", "page_num", "item_id", "line_no").distinct()
+def _net(plus: DataFrame, minus: DataFrame, n: str) -> DataFrame:
+    keys = [c for c in plus.columns if c != n]
+    return plus.unionByName(minus.withColumn(n, -F.col(n))).groupBy(*keys).agg(F.sum(n).alias(n))
 
 
-def rebuilt_blocks(blocks: DataFrame, state: State, documents: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(doc_id, page_num, block_id, text): the cleaned blocks of ``documents`` only; ``blocks`` is all that was delivered of them."""
-    hit = found_lines(state, min_files, min_share).where(F.col("record") == BLOCK).select("doc_id", "page_num", "item_id", "line_no", F.lit(True).alias("_hit"))
-    mine = blocks.join(documents, "doc_id", "left_semi")
-    lines = record_lines(mine, _no_furniture(mine)).join(hit.join(documents, "doc_id", "left_semi"), ["doc_id", "page_num", "item_id", "line_no"], "left")
-    return _joined(lines)
+def changed_lines(state: State, counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
+    """(source, record, key, now): lines that net ``counts`` and ``sizes`` make cross the threshold, either way.
 
+    Only sources whose size or counts change are looked at: where a source grows, lines without a
+    change of their own can fall under the share.
+    """
+    sources = counts.select("source").unionByName(sizes.where("files <> 0").select("source")).distinct()
+    zero = F.lit(0).cast("bigint")
+    rows = state.counts.join(sources, "source", "left_semi").select("source", "record", "key", F.col("n_files").alias("old"), zero.alias("new"))
+    rows = rows.unionByName(counts.select("source", "record", "key", zero.alias("old"), F.col("n_files").alias("new")))
+    total = rows.groupBy("source", "record", "key").agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where(F.greatest(F.col("old"), F.col("old") + F.col("new")) >= min_files)
+    size = state.sizes.select("source", F.col("files").alias("had"), zero.alias("added")).unionByName(sizes.select("source", zero.alias("had"), F.col("files").alias("added")))
+    size = size.groupBy("source").agg(F.sum("had").alias("had"), F.sum("added").alias("added"))
+    joined = _sized(total, size)
+    was = _over(F.col("old"), F.col("had"), min_files, min_share)
+    now = _over(F.col("old") + F.col("new"), F.col("had") + F.col("added"), min_files, min_share)
+    return joined.select("source", "record", "key", was.alias("was"), now.alias("now")).where("was <> now").drop("was")
+
+
+def holding(state: State, keys: DataFrame) -> DataFrame:
+    """The standing lines with one of the (source, record, key) in ``keys``.
+
+    Lines are told by record and key first, so only these meet the table of files.
+    """
+    near = state.lines.join(keys.select("record", "key").distinct(), ["record", "key"], "left_semi")
+    return standing(near, state.files).join(keys, _KEY, "left_semi")
+
+
+def found_lines(state: State) -> DataFrame:
+    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line."""
+    return holding(state, state.over).select("record", "doc_id", "page_num", "item_id", "line_no").distinct()
 
-def _no_furniture(blocks: DataFrame) -> DataFrame:
-    return blocks.select("doc_id", "page_num", F.col("block_id").alias("line_idx"), F.col("text").alias("signature")).limit(0)
+
+def rebuilt_blocks(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, page_num, block_id, text): the newest blocks without the lines in ``hits``; emptied blocks stay with ''."""
+    hit = hits.where(F.col("record") == BLOCK).select("doc_id", "page_num", F.col("item_id").alias("block_id"), "line_no")
+    hit = hit.groupBy("doc_id", "page_num", "block_id").agg(F.collect_set("line_no").alias("_hit"))
+    b = blocks.where("doc_id is not null and text is not null").select("doc_id", "page_num", "block_id", "text", "extracted_at")
+    newest = b.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
+    own = b.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
+    own = own.groupBy("doc_id", "page_num", "block_id").agg(F.max("text").alias("text"))  # an extraction delivered twice
+    kept = F.expr("array_join(filter(split(text, '\n'), (l, i) -> not array_contains(_hit, cast(i as bigint))), '\n')")
+    return own.join(hit, ["doc_id", "page_num", "block_id"], "left").select("doc_id", "page_num", "block_id", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
-def _joined(lines: DataFrame) -> DataFrame:
-    """Blocks of their lines without ``_hit``; emptied blocks stay with ''."""
-    parts = F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.struct("line_no", "line"))))
-    return lines.groupBy("doc_id", "page_num", F.col("item_id").alias("block_id")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+def partitions(blocks: DataFrame, furniture: DataFrame, first_share: float = FIRST_SHARE) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """((blocks, furniture), (blocks, furniture)): the rows of the first partition and of the later one.
 
+    Blocks are parted by time of extraction, furniture goes with its file's first blocks. Results
+    don't depend on where the cut lies.
+    """
+    cut = blocks.agg(F.percentile_approx("extracted_at", first_share)).first()[0]
+    late = F.coalesce(F.col("extracted_at") > F.lit(cut), F.lit(False))
+    begun = blocks.groupBy("doc_id").agg(F.bool_and(late).alias("_late")).where("_late").select("doc_id")
+    return (blocks.where(~late), furniture.join(begun, "doc_id", "left_anti")), (blocks.where(late), furniture.join(begun, "doc_id", "left_semi"))
 
-def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line, the tables taken as one partition."""
-    return found_lines(loaded(blocks, furniture, reports), min_files, min_share)
 
+def accumulated(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> tuple[State, State, DataFrame]:
+    """(state after the first partition, state after both, documents the second made to rebuild)."""
+    first, late = partitions(blocks, furniture, first_share)
+    before = loaded(*first, reports, min_files, min_share)
+    after, rebuild = merged(before, *late, None, min_files, min_share)
+    return before, after, rebuild
 
-def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(doc_id, page_num, block_id, text): every block without its repeated lines; emptied blocks stay with ''."""
-    lines, sources = record_lines(blocks, furniture), file_sources(reports)
-    found = crossing(line_counts(lines, sources), source_sizes(blocks, sources), min_files, min_share).withColumn("_hit", F.lit(True))
-    kept = lines.where(F.col("record") == BLOCK).join(sources, "doc_id", "left").join(found, ["source", "record", "key"], "left")
-    return _joined(kept)
 
+def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> DataFrame:
+    """(record, doc_id, page_num, item_id, line_no): every occurrence of a repeated line.
 
-def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
-    """(source, record, key, n_files, files): the repeated lines named per source."""
-    lines, sources = record_lines(blocks, furniture), file_sources(reports)
-    counts, sizes = line_counts(lines, sources), source_sizes(blocks, sources)
-    return counts.where(F.col("n_files") >= min_files).join(sizes, "source").where(F.col("n_files") >= F.col("files") * F.lit(min_share))
+    What the first partition gave stands for documents that need no rebuilding; the others are judged anew.
+    """
+    before, after, rebuild = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
+    return found_lines(before).join(rebuild, "doc_id", "left_anti").unionByName(found_lines(after).join(rebuild, "doc_id", "left_semi")).select("record", "doc_id", "page_num", "item_id", "line_no")
 
 
-def merge_deltas(counts: DataFrame, sizes: DataFrame, new_counts: DataFrame, new_sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The count tables after a delta, and the lines whose state changed.
+def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> DataFrame:
+    """(doc_id, page_num, block_id, text): every block without its repeated lines; emptied blocks stay with ''.
 
-    Returns (counts, sizes, changed); ``changed`` has (source, record, key, now) for lines that
-    crossed the threshold in either direction: only documents with these lines are rebuilt.
-    Counts of a delta are net: what files counted before no longer hold is negative (see ``merged``).
+    Documents are cleaned as the first partition has them, and again only those to rebuild.
     """
-    tagged = counts.select("source", "record", "key", F.col("n_files").alias("old"), F.lit(0).cast("bigint").alias("new"))
-    tagged = tagged.unionByName(new_counts.select("source", "record", "key", F.lit(0).cast("bigint").alias("old"), F.col("n_files").alias("new")))
-    both = tagged.groupBy("source", "record", "key").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
-    size = sizes.select("source", F.col("files").alias("old_files"), F.lit(0).cast("bigint").alias("add"))
-    size = size.unionByName(new_sizes.select("source", F.lit(0).cast("bigint").alias("old_files"), F.col("files").alias("add")))
-    size = size.groupBy("source").agg(F.sum("old_files").alias("old_files"), F.sum("add").alias("add"))
-    total = F.col("old") + F.col("new")
-    over = lambda n, files: (n >= min_files) & (n >= files * F.lit(min_share))
-    joined = both.join(size, "source").withColumn("was", over(F.col("old"), F.col("old_files"))).withColumn("now", over(total, F.col("old_files") + F.col("add")))
-    changed = joined.where("was <> now").select("source", "record", "key", "now")
-    return both.select("source", "record", "key", total.alias("n_files")), size.select("source", (F.col("old_files") + F.col("add")).alias("files")), changed
-
-
-def affected_documents(lines: DataFrame, sources: DataFrame, changed: DataFrame) -> DataFrame:
-    """(doc_id): the documents that hold a line whose state changed and so are rebuilt."""
-    return lines.where("key is not null").join(sources, "doc_id").join(changed, ["source", "record", "key"], "left_semi").select("doc_id").distinct()
-
-
-def line_rank(counts: DataFrame, k: int = 10) -> DataFrame:
-    """The k most repeated lines of each source, a report."""
-    w = Window.partitionBy("source").orderBy(F.desc("n_files"), "record", "key")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    first = partitions(blocks, furniture, first_share)[0][0]
+    before, after, rebuild = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
+    stays = rebuilt_blocks(first.join(rebuild, "doc_id", "left_anti"), found_lines(before))
+    return stays.unionByName(rebuilt_blocks(blocks.join(rebuild, "doc_id", "left_semi"), found_lines(after)))
+
+
+def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> DataFrame:
+    """(source, record, key, n_files, files): the repeated lines named per source, from the accumulated counts."""
+    _, after, _ = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
+    totals = after.counts.join(after.over, _KEY, "left_semi").groupBy(*_KEY).agg(F.sum("n_files").alias("n_files"))
+    over = written(totals.join(after.sizes, "source"), "crossing")
+    lines = record_lines(blocks, furniture).where("key is not null").select("record", "key", digest(F.col("key")).alias("_digest"))
+    wanted = over.select("record", F.col("key").alias("_digest")).distinct()
+    names = lines.join(wanted, ["record", "_digest"], "left_semi").distinct()
+    return over.withColumnRenamed("key", "_digest").join(names, ["record", "_digest"]).select("source", "record", "key", "n_files", "files")

@@ -1,6 +1,7 @@
 """Repeated lines: thresholds, keys, delta merging, cleaning."""
 
 from conftest_llm import T0, T1
+from pyspark.sql import functions as F
 
 from docloom.llm import repeated_lines as R
 
@@ -45,16 +46,34 @@ def test_newest_text_counts(make):
     assert not [x for x in R.repeated_lines(b, f, r).collect() if x.record == "block"]
 
 
-def test_deltas_equal_a_full_count(make):
+def test_crossings_of_a_delta(make):
     b, f, r = tables(make, files=40, hot=5)
-    lines, sources = R.record_lines(b, f), R.file_sources(r)
-    parts = [(R.line_counts(x, sources), R.source_sizes(y, sources)) for x, y in ((lines.where("doc_id < 2"), b.where("doc_id < 2")), (lines.where("doc_id >= 2"), b.where("doc_id >= 2")))]
-    counts, sizes, changed = R.merge_deltas(*parts[0], *parts[1])
-    full = {tuple(x) for x in R.line_counts(lines, sources).collect()}
-    assert {tuple(x) for x in counts.select("source", "record", "key", "n_files").collect()} == full
-    assert {tuple(x) for x in sizes.collect()} == {tuple(x) for x in R.source_sizes(b, sources).collect()}
-    assert {(x.record, x.key, x.now) for x in changed.collect()} == {("block", "sharethispage0", True), ("furniture", "pressarchive", True)}
-    assert {x.doc_id for x in R.affected_documents(lines, sources, changed.where("record = 'block'")).collect()} == set(range(5))
+    state = R.loaded(b.where("doc_id < 2"), f.where("doc_id < 2"), r)
+    assert state.over.count() == 0
+    after, rebuild = R.merged(state, b.where("doc_id between 2 and 30"), f.where("doc_id between 2 and 30"))
+    assert {x.record for x in after.over.collect()} == {"block", "furniture"}
+    assert {x.doc_id for x in rebuild.collect()} == {*range(31)}
+    after, rebuild = R.merged(after, b.where("doc_id > 30"), f.where("doc_id > 30"))
+    assert {x.doc_id for x in rebuild.collect()} == {*range(31, 40), 99}  # nothing crosses: 5 of 40 files
+    more = make("blocks", [(d, 0, 0, f"Body {name(d)} text", 0, T0) for d in range(200, 215)])
+    after, rebuild = R.merged(after, more, f.limit(0), make("reports", [(d, "s", None, 0, 1) for d in range(200, 215)]))
+    assert [x.record for x in after.over.collect()] == ["furniture"]  # 5 of 55 files: the line falls under the share
+    assert {x.doc_id for x in rebuild.collect()} == {*range(5), *range(200, 215)}
+    assert {x.doc_id for x in R.found_lines(after).collect()} == set(range(40))
+
+
+def test_the_cut_changes_nothing(make):
+    b, f, r = tables(make, files=30)
+    times = make("blocks", [(d, 0, 0, f"Body of {name(d)} now\nShare This Page {d}!", 0, T1) for d in range(2, 6)] + [(70, 0, 0, "Share this page", 0, None)])
+    b, r = b.unionByName(times), r.unionByName(make("reports", [(70, "s", None, 0, 1)]))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = R.loaded(b, f, r)
+    for share in (0.0, 0.5, 1.0):
+        assert rows(R.repeated_lines(b, f, r, first_share=share)) == rows(R.found_lines(want))
+    assert rows(R.cleaned_blocks(b, f, r, first_share=0.5)) == rows(R.rebuilt_blocks(b, R.found_lines(want)))
+    table = {(x.record, x.key): (x.source, x.n_files, x.files) for x in R.repeated_line_table(b, f, r, first_share=0.5).collect()}
+    assert table["block", "sharethispage0"] == ("s", 6, 31)
+    assert table["furniture", "pressarchive"] == ("s", 30, 31)
 
 
 def test_empty(make):
@@ -71,9 +90,11 @@ def test_partitions_with_files_delivered_again_equal_a_full_count(make):
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).distinct().collect()))
     first = R.loaded(b, f, r)
     got, rebuild = R.merged(first, late, again, named)
-    assert [rows(getattr(got, k)) for k in ("files", "counts", "sizes", "lines")] == [rows(getattr(want, k)) for k in ("files", "counts", "sizes", "lines")]
+    totals = lambda st: rows(st.counts.groupBy("source", "record", "key").agg(F.sum("n_files").alias("n_files")).where("n_files <> 0"))
+    assert totals(got) == totals(want)
+    assert [rows(getattr(got, k)) for k in ("files", "sizes", "over")] == [rows(getattr(want, k)) for k in ("files", "sizes", "over")]
+    assert rows(R.standing(got.lines, got.files)) == rows(R.standing(want.lines, want.files))
     assert rows(R.found_lines(got)) == rows(R.repeated_lines(all_b, all_f, all_r))
     assert rows(R.found_lines(R.merged(got, b, f, r)[0])) == rows(R.found_lines(got))  # older text again
-    full = R.cleaned_blocks(all_b, all_f, all_r).join(rebuild, "doc_id", "left_semi")
-    assert rows(R.rebuilt_blocks(all_b, got, rebuild)) == rows(full)
+    assert rows(R.rebuilt_blocks(all_b, R.found_lines(got))) == rows(R.cleaned_blocks(all_b, all_f, all_r))
     assert {x.doc_id for x in rebuild.collect()} == {0, 1, 2, 3, 7, 8, 9, 50, 51, 60}
