@@ -70,14 +70,18 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset a local session gets a temporary folder; on a cluster, whose machines would
     each write to a disk of their own, that is an error.
     """
-    given = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not given:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
-        app = spark.sparkContext.applicationId
-        given = _TEMPORARY[app] = _TEMPORARY.get(app) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return given
+    sc = spark.sparkContext
+    given = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
+    return given or temporary_dir(sc.master, sc.applicationId)
+
+
+def temporary_dir(master: str, app: str) -> str:
+    """A folder of this machine for a local session."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
+    if app not in _TEMPORARY:
+        _TEMPORARY[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return _TEMPORARY[app]
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -130,14 +130,14 @@ def test_leading_heading_is_a_block_of_its_own(spark):
     ]
 
 
-def test_intermediates(spark, monkeypatch):
+def test_intermediates(spark):
     from docloom import session
 
     df = session.written(spark.range(3), "probe")
-    path = df.inputFiles()[0].removeprefix("file://")
+    path = df.inputFiles()[0].removeprefix("file:").replace("//", "/")
     assert sorted(r.id for r in df.collect()) == [0, 1, 2]
     assert session.release(spark) >= 1
     assert not Path(path).exists()
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert session.temporary_dir("local[4]", "probe") == session.temporary_dir("local[4]", "probe")
     with pytest.raises(RuntimeError, match="share"):
-        session.shared_dir(spark)
+        session.temporary_dir("spark://host:7077", "probe")
