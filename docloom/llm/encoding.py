@@ -7,8 +7,10 @@ is a garbled word, and its verified original is substituted.
 A *word* here is a maximal run of ASCII letters, ASCII digits and non-ASCII characters with at
 least one non-ASCII character: wrong decoding never makes or breaks ASCII characters. Chains are
 (written as UTF-8, read as X), (written as S, read as T) for single-byte S and T, (written as S,
-read as UTF-8 or ASCII with replacement characters), and UTF-8 chains applied up to three times.
-Bytes that an encoding leaves undefined are read as the control characters of the same number.
+read as UTF-8 or ASCII with replacement characters), UTF-8 chains applied up to three times, UTF-8
+read in a multi-byte encoding, and multi-byte text read in a Western encoding. Bytes that a
+single-byte encoding leaves undefined are read as the control characters of the same number. UTF-16
+is no chain: reading it wrong gives null characters or parts no words.
 
 A hit (garbled g, original o) is accepted when o looks like a word and g does not, or when g has
 at least ``MIN_SHAPED`` characters and o occurs in at least ``ratio`` times as many files as g in
@@ -16,10 +18,12 @@ any case. Up to three characters that are ASCII and look-alikes of it prove noth
 without an original; a single U+FFFD that stands alone at the start of a line replaces a bullet
 and is no case.
 
-Scale: only words with non-ASCII characters leave the scan (JVM regular expression), they are
-counted per file with map-side combining, and the Python step sees each distinct word once; the
-joins are on the word, after the words of each block are made distinct, so a hot word costs one
-row per block that holds it and no group is collected.
+Scale: texts are read once and never shuffled: only words with non-ASCII characters leave the scan
+(JVM regular expression) and are written, they are counted per file with map-side combining, and
+Python sees each distinct word once. Garbled forms with a character that no word of the corpus has
+cannot match and are not emitted; the characters in use, at most as many as Unicode has, go to the
+driver for that. The joins are on the word, after the words of each block are made distinct, so a
+hot word costs one row per block that holds it, and only garbled words are joined back.
 
 Defined results: rows without doc_id give none; null and empty texts give no rows; of repeated deliveries the newest file
 stands; ties between originals go to the word in more files, then to the smaller one.
@@ -27,7 +31,6 @@ stands; ties between originals go to the word in more files, then to the smaller
 
 from __future__ import annotations
 
-import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,10 +39,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 #: Single-byte encodings whose mix-ups are searched.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac-roman", "cp437", "cp850", "cp852", "iso8859-5", "iso8859-15", "mac-cyrillic")
 #: Encodings that UTF-8 text is often read as twice or more.
 REPEATED = ("cp1252", "latin-1")
+#: Encodings of several bytes a character.
+MULTI_BYTE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
+#: Western encodings that multi-byte text is read in.
+WESTERN = ("cp1252", "latin-1")
 #: In how many times more files an original must occur where shape alone doesn't tell.
 RATIO = 3.0
 
@@ -63,6 +72,11 @@ def write(text: str, name: str) -> bytes | None:
     """The bytes of a text, or None where the encoding lacks a character."""
     if name == "utf-8":
         return text.encode("utf-8", "surrogatepass")
+    if name in MULTI_BYTE:
+        try:
+            return text.encode(name)
+        except UnicodeEncodeError:
+            return None
     table = _tables(name)[1]
     try:
         return bytes([table[c] for c in text])
@@ -72,7 +86,7 @@ def write(text: str, name: str) -> bytes | None:
 
 def read(data: bytes, name: str) -> str:
     """The text that reading the bytes gives."""
-    if name in ("utf-8", "ascii"):
+    if name in ("utf-8", "ascii", *MULTI_BYTE):
         return data.decode(name, "replace")
     table = _tables(name)[0]
     return "".join([table[b] for b in data])
@@ -83,7 +97,8 @@ def chains() -> list[tuple[str, ...]]:
     out = [("utf-8", x) for x in SINGLE_BYTE] + [("utf-8", "ascii")]
     out += [(s, t) for s in SINGLE_BYTE for t in (*SINGLE_BYTE, "utf-8", "ascii") if s != t]
     twice = [("utf-8", x, "utf-8", y) for x in REPEATED for y in REPEATED] + [("utf-8", x, "utf-8", x) for x in SINGLE_BYTE if x not in REPEATED]
-    return out + twice + [(*c, "utf-8", y) for c in twice[:4] for y in REPEATED]
+    thrice = [(*c, "utf-8", y) for c in twice[:4] for y in REPEATED]
+    return out + twice + thrice + [("utf-8", m) for m in MULTI_BYTE] + [(m, w) for m in MULTI_BYTE for w in WESTERN]
 
 
 CHAINS = chains()
@@ -92,9 +107,9 @@ CHAINS = chains()
 def garbled_forms(word: str) -> dict[str, str]:
     """Each garbled form of a word with the first chain that gives it."""
     forms: dict[str, str] = {}
-    written = {s: write(word, s) for s in ("utf-8", *SINGLE_BYTE)}
+    sent = {s: write(word, s) for s in ("utf-8", *SINGLE_BYTE, *MULTI_BYTE)}
     for chain in CHAINS:
-        data = written[chain[0]]
+        data = sent[chain[0]]
         if data is None:
             continue
         text = read(data, chain[1])
@@ -135,57 +150,56 @@ def _script(c: str) -> str:
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(garbled, original, chain, n_files, shaped) for distinct words (word, n_files): the hash table."""
+    """(garbled, original, chain, n_files) for distinct words (word, n_files, shaped): the hash table.
+
+    Forms with a character outside the words are left out.
+    """
+    used = {r[0] for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().collect()}  # characters: bounded by Unicode
 
     def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for word, n in zip(pdf["word"], pdf["n_files"], strict=True):
-                if "�" in word or not looks_like_word(word):
-                    continue
                 for form in {word, word.lower(), word.upper(), word.capitalize()}:
-                    rows += [(g, form, chain, n) for g, chain in garbled_forms(form).items()]
+                    rows += [(g, form, chain, n) for g, chain in garbled_forms(form).items() if used.issuperset(g)]
                 for c in set(word):
                     if c in _SYMBOLS and c != word:
-                        rows += [(g, c, chain, n) for g, chain in garbled_forms(c).items() if len(g) > 1]
+                        rows += [(g, c, chain, n) for g, chain in garbled_forms(c).items() if len(g) > 1 and used.issuperset(g)]
             yield pd.DataFrame(rows, columns=["garbled", "original", "chain", "n_files"])
 
-    forms = words.select("word", "n_files").mapInPandas(generate, "garbled string, original string, chain string, n_files bigint")
+    clean = words.where(F.col("shaped") & ~F.col("word").contains("�")).select("word", "n_files")
+    forms = clean.mapInPandas(generate, "garbled string, original string, chain string, n_files bigint")
     return forms.groupBy("garbled", "original").agg(F.min("chain").alias("chain"), F.max("n_files").alias("n_files"))
 
 
-def _words(text: str) -> Column:
-    """Distinct words of a text column."""
-    return F.expr(f"array_distinct(regexp_extract_all({text}, '{_WORD}', 0))")
+#: A replacement character alone inside a line, in place of a word; kept as a word with a space, as no word has one.
+_LONE = "� "
 
 
-def newest_blocks(blocks: DataFrame, *values: str) -> DataFrame:
-    """Block rows of each file's newest extraction; a file is always delivered whole.
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_num, block_id, word): distinct words with non-ASCII characters of each block of the newest extractions.
 
-    Only (doc_id, extracted_at) is aggregated to find the newest, and the same extraction
-    delivered twice is dropped by key later, where rows are few.
+    A file is always delivered whole. An extraction delivered twice gives its words twice.
     """
-    blocks = blocks.select("doc_id", "page_num", "block_id", "extracted_at", *values)  # extra columns can't clash
+    rows = blocks.select("doc_id", "page_num", "block_id", "extracted_at", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]"))  # extra columns can't clash
+    words = F.expr(f"array_distinct(regexp_extract_all(text, '{_WORD}', 0))")
+    lone = F.when(F.col("text").rlike(r"[^\n] � ?"), F.array(F.lit(_LONE))).otherwise(F.array().cast("array<string>"))
+    found = rows.select("doc_id", "page_num", "block_id", "extracted_at", F.explode(F.concat(words, lone)).alias("word"))
     newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    own = blocks.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
-    return own.select("doc_id", "page_num", "block_id", *values)
-
-
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_num, block_id, word): distinct words with non-ASCII characters of each block."""
-    return newest_blocks(blocks, "text").select("doc_id", "page_num", "block_id", F.explode(_words("text")).alias("word"))
+    return found.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest"))).select("doc_id", "page_num", "block_id", "word")
 
 
 def word_counts(words: DataFrame) -> DataFrame:
-    """(word, n_files): in how many files each word occurs."""
-    return words.select("doc_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))
+    """(word, n_files, shaped): in how many files each word occurs, and whether it looks like one."""
+    shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")
+    counts = words.where(F.col("word") != _LONE).select("doc_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))
+    return counts.withColumn("shaped", shaped("word"))
 
 
 def verified(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(word, original, chain): garbled words with their best verified original."""
-    shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")
     folded = counts.groupBy(F.lower("word").alias("folded")).agg(F.sum("n_files").alias("n_word"))
-    seen = counts.select("word", F.lower("word").alias("folded"), shaped("word").alias("word_shaped")).join(folded, "folded")
+    seen = counts.select("word", F.lower("word").alias("folded"), F.col("shaped").alias("word_shaped")).join(folded, "folded")
     hits = seen.join(garbled_words(counts).withColumnRenamed("garbled", "word"), "word")
     frequent = (F.length("word") >= MIN_SHAPED) & (F.col("n_files") >= F.col("n_word") * F.lit(ratio))
     weak = F.col("word").rlike("^[A-Za-z\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456]{1,3}$")
@@ -196,13 +210,13 @@ def verified(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
 
 def garbled_block_words(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(doc_id, page_num, block_id, word, original, chain): garbled words of each block; original is null where it is lost."""
-    words = block_words(blocks)
-    known = verified(word_counts(words), ratio)
-    lone = F.col("word") == "�"
-    hits = words.where(~lone).join(known, "word", "left").where(F.col("original").isNotNull() | F.col("word").contains("�"))
-    inner = newest_blocks(blocks, "text").where(F.col("text").rlike(r"[^\n] � ?")).select("doc_id", "page_num", "block_id", F.lit("�").alias("word"))
-    lost = inner.withColumns({"original": F.lit(None).cast("string"), "chain": F.lit(None).cast("string")})
-    return hits.select("doc_id", "page_num", "block_id", "word", "original", "chain").unionByName(lost).distinct()
+    words = written(block_words(blocks), "block-words")
+    known = written(verified(written(word_counts(words), "word-counts"), ratio), "garbled")
+    hits = words.join(known, "word").select("doc_id", "page_num", "block_id", "word", "original", "chain")
+    lost = words.where(F.col("word").contains("�") & (F.col("word") != "�")).join(known, "word", "left_anti")
+    none = F.lit(None).cast("string")
+    lost = lost.select("doc_id", "page_num", "block_id", F.trim("word").alias("word"), none.alias("original"), none.alias("chain"))
+    return hits.where(F.col("word") != "�").unionByName(lost).distinct()
 
 
 def garbled_blocks(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -211,18 +225,15 @@ def garbled_blocks(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
 
 
 def repaired_blocks(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(doc_id, page_num, block_id, text, n_garbled, n_restored) of the affected blocks, originals substituted."""
+    """(doc_id, page_num, block_id, text, n_garbled, n_restored) of the affected blocks, originals substituted word by word."""
     hits = garbled_block_words(blocks, ratio)
     pairs = F.array_sort(F.collect_set(F.when(F.col("original").isNotNull(), F.struct((-F.length("word")).alias("k"), "word", "original"))))
     per = hits.groupBy("doc_id", "page_num", "block_id").agg(F.count(F.lit(1)).alias("n_garbled"), F.count("original").alias("n_restored"), pairs.alias("pairs"))
-    texts = newest_blocks(blocks, "text").distinct()
-    fixed = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["word"], p["original"]))
+    texts = blocks.select("doc_id", "page_num", "block_id", "extracted_at", "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
+    texts = texts.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest"))).select("doc_id", "page_num", "block_id", "text").distinct()
+    # Whole words only: a garbled word inside another word is left.
+    edge = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+    whole = lambda w: F.concat(F.lit(f"(?<!{edge})\\Q"), w, F.lit(f"\\E(?!{edge})"))
+    fixed = F.aggregate("pairs", F.col("text"), lambda acc, p: F.regexp_replace(acc, whole(p["word"]), p["original"]))
     return texts.join(per, ["doc_id", "page_num", "block_id"]).select("doc_id", "page_num", "block_id", fixed.alias("text"), "n_garbled", "n_restored")
-
-
-def known_encoding(name: str) -> bool:
-    """Whether Python knows an encoding (for parameters)."""
-    try:
-        return bool(codecs.lookup(name))
-    except LookupError:
-        return False

@@ -56,3 +56,14 @@ def test_repeated_and_empty(make):
     b = corpus(make, "Die PrÃ¼fung")
     assert E.garbled_blocks(b.unionByName(b)).count() == 1
     assert E.garbled_blocks(make("blocks", [])).count() == 0
+
+
+def test_multi_byte_encodings(make):
+    damaged = [E.read(E.write(CLEAN[1], "utf-8"), "gbk"), E.read(E.write("Датчик держит", "gbk"), "cp1252"), E.read(E.write(CLEAN[2], "utf-8"), "big5")]
+    assert {r.doc_id for r in E.garbled_blocks(corpus(make, *damaged)).collect()} == {100, 101, 102}
+
+
+def test_only_whole_words_are_restored(make):
+    (r,) = E.repaired_blocks(corpus(make, "Ã¼ PrÃ¼fung xÃ¼x", "für ü")).where("doc_id = 100").collect()
+    assert r.text.split()[1] == "Prüfung"
+    assert "xÃ¼x" in r.text or r.n_restored == 3
