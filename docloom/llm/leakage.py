@@ -1,18 +1,23 @@
 """Evaluation texts leaking into training text (problem 9).
 
-One Aho-Corasick automaton over the normalised test passages scans each document once. A
-document leaks an item when both share at least ``run`` consecutive words; a word is a maximal
-run of Unicode letters or digits, case ignored, and everything between words is ignored. The
-automaton's alphabet is word numbers: each pattern is one window of ``run`` words of a passage,
-so a match always starts and ends at words, and positions map back to characters of the text.
-
-Scale: the documents are scanned where they lie, with no shuffle of texts; only (doc, item)
-pairs are shuffled to drop repeats. The test set is the fixed side. It is read to the driver in
-blocks of at most ``block_words`` words, a bound that does not grow with the corpus; each block
-is one automaton (under 60 MB) and one scan, so a larger test set costs more scans, not memory.
+One Aho-Corasick automaton over the normalised test passages, questions and answers scans each
+document once. A word is a maximal run of Unicode letters or digits, case ignored, and everything
+between words is ignored. The automaton's alphabet is word numbers, so a match always starts and ends
+at words, and positions map back to characters of the text. Patterns are, by field of an item:
+
+* text: each window of ``run`` words;
+* question: each window of ``run`` words, or the whole question where it is shorter but has at
+  least ``least`` words (fewer words occur by chance);
+* answer: the whole answer, which counts only within ``near`` words of the item's question.
+
+Scale: the documents are scanned where they lie, with no shuffle of texts; only rows of leaks are
+shuffled. The test set is the fixed side. It streams through the driver in blocks of at most
+``block_words`` words, a bound that does not grow with the corpus or the test set: each block is one
+broadcast automaton (under 60 MB), one scan whose rows are written to the shared folder, and is given
+up before the next is read. A larger test set costs more scans, not memory.
 
 Defined results: rows without an id give none; null and empty texts and passages under ``run`` words match nothing; passages
-that occur in two items report both; a document delivered twice counts once.
+that occur in two items report both; of a document delivered twice the newest counts, both where they are as new.
 """
 
 from __future__ import annotations
@@ -26,10 +31,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import of_newest, written
+
 RUN = 12
-#: Most words of test passages that one automaton holds.
+#: Fewest words of a question that is searched as a whole.
+LEAST = 4
+#: Most words between an answer and its question.
+NEAR = 50
+#: Most words of test items that one automaton holds.
 BLOCK_WORDS = 400_000
 
+FIELDS = ("text", "question", "answer")
 _WORD = re.compile(r"[^\W_]+")
 #: Automatons of this worker by block, kept between batches.
 _BUILT: dict[str, tuple] = {}
@@ -40,83 +52,110 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _automaton(key: str, items: list[tuple[int, str]], run: int):
-    """(word numbers, automaton, item ids by window) for one block, built once per worker."""
+def _automaton(key: str, items: list[tuple], run: int, least: int):
+    """(word numbers, automaton) for one block, built once per worker; a pattern's value is (length, owners)."""
     if key not in _BUILT:
         import ahocorasick
 
         _BUILT.clear()
         numbers: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            seq = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-            for k in range(len(seq) - run + 1):
-                owners.setdefault(tuple(seq[k : k + run]), set()).add(item)
+        owners: dict[tuple[int, ...], set[tuple[int, int]]] = {}
+
+        def add(item: int, field: int, text: str | None, whole: bool, shortest: int) -> bool:
+            seq = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words_of(text or "")])
+            if len(seq) < shortest:
+                return False
+            for k in range(max(1, len(seq) - run + 1)) if not whole else (0,):
+                owners.setdefault(seq if whole else seq[k : k + run], set()).add((item, field))
+            return True
+
+        for item, text, question, answer in items:
+            add(item, 0, text, False, run)
+            if add(item, 1, question, False, least):
+                add(item, 2, answer, True, 1)
         found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, ids in owners.items():
-            found.add_word(window, tuple(sorted(ids)))
+            found.add_word(window, (len(window), tuple(sorted(ids))))
         if owners:
             found.make_automaton()
         _BUILT[key] = (numbers, found if owners else None)
     return _BUILT[key]
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[int, str]]]:
-    """The test passages in blocks under the bound, streamed to the driver one partition at a time."""
-    blocks: list[list[tuple[int, str]]] = []
-    size = block_words
-    for item, text in items.where("text is not null and item_id is not null").select("item_id", "text").distinct().toLocalIterator():
-        n = len(text) // 2 + 1  # words at most
-        if size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple]]:
+    """The test items in blocks under the bound, streamed to the driver one partition at a time."""
+    block, size = [], 0
+    for row in items.where("item_id is not null").select("item_id", *FIELDS).distinct().toLocalIterator():
+        n = sum(len(t) // 2 + 1 for t in row[1:] if t)  # words at most
+        if block and size + n > block_words:
+            yield block
+            block, size = [], 0
+        block.append(tuple(row))
         size += n
-    return blocks
-
-
-def leak_spans(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_words, char_start, char_end): the longest shared stretch of each document and item.
-
-    ``n_words`` counts the words from the first to the last shared window of the longest
-    unbroken stretch; the offsets are positions in the original text.
+    if block:
+        yield block
+
+
+def _hits(seq: tuple, automaton, near: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(first word, last word) of the longest stretch by (item, field)."""
+    open_: dict[tuple[int, int], tuple[int, int]] = {}
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    asked: dict[int, list[int]] = {}
+    answers = []
+    for end, (length, ids) in automaton.iter(seq):
+        for who in ids:
+            if who[1] == 2:
+                answers.append((who, end - length + 1, end))
+                continue
+            first, last = open_.get(who, (0, -2))
+            first = first if last == end - 1 else end - length + 1
+            open_[who] = (first, end)
+            if who[1] == 1:
+                asked.setdefault(who[0], []).append(end)
+            if who not in best or end - first > best[who][1] - best[who][0]:
+                best[who] = (first, end)
+    if asked:
+        for who, first, end in answers:
+            if who not in best and any(abs(q - end) <= near + end - first for q in asked.get(who[0], ())):
+                best[who] = (first, end)
+    return best
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, run: int = RUN, block_words: int = BLOCK_WORDS, least: int = LEAST, near: int = NEAR) -> DataFrame:
+    """(doc_id, item_id, field, n_words, char_start, char_end): the longest shared stretch of each document and field of an item.
+
+    ``n_words`` counts the words of the longest unbroken stretch; the offsets are positions in the original text.
     """
-    schema = "doc_id bigint, item_id bigint, n_words int, char_start int, char_end int"
+    schema = "doc_id bigint, collected_at timestamp, item_id bigint, field string, n_words int, char_start int, char_end int"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    texts = documents.select("doc_id", "collected_at", "text").where("doc_id is not null and text <> ''")
     scans = []
     for block in _blocks(items, block_words):
         shared = documents.sparkSession.sparkContext.broadcast(block)
         key = uuid.uuid4().hex
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared, key=key) -> Iterator[pd.DataFrame]:
-            numbers, automaton = _automaton(key, shared.value, run)
+            numbers, automaton = _automaton(key, shared.value, run, least)
             get = numbers.get
             for pdf in batches:
                 rows = []
-                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    if automaton is None or not text:
+                for doc, when, text in zip(pdf["doc_id"], pdf["collected_at"], pdf["text"], strict=True):
+                    if automaton is None:
                         continue
                     seq = tuple([get(w, 0) for w in _WORD.findall(text.casefold())])
-                    if len(seq) < run:
-                        continue
-                    open_: dict[int, tuple[int, int]] = {}
-                    best: dict[int, tuple[int, int]] = {}
-                    for end, ids in automaton.iter(seq):
-                        for item in ids:
-                            first, last = open_.get(item, (end, -2))
-                            first = first if last == end - 1 else end
-                            open_[item] = (first, end)
-                            if item not in best or end - first > best[item][1] - best[item][0]:
-                                best[item] = (first, end)
+                    best = _hits(seq, automaton, near) if seq else None
                     if best:
                         at = _offsets(text, len(seq))
-                        rows += [(doc, item, b - a + run, at[a - run + 1][0], at[b][1]) for item, (a, b) in best.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "char_start", "char_end"])
+                        rows += [(doc, when, item, FIELDS[field], b - a + 1, at[a][0], at[b][1]) for (item, field), (a, b) in best.items()]
+                yield pd.DataFrame(rows, columns=names)
 
-        scans.append(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(scan, schema))
+        scans.append(written(texts.mapInPandas(scan, schema), "leaks"))
+        shared.destroy()
     if not scans:
-        return documents.sparkSession.createDataFrame([], schema)
+        return documents.sparkSession.createDataFrame([], schema).drop("collected_at")
     longest = F.max_by(F.struct("n_words", "char_start", "char_end"), F.struct("n_words", -F.col("char_start"))).alias("v")
-    return reduce(DataFrame.unionAll, scans).groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "v.*")
+    stands = of_newest(reduce(DataFrame.unionAll, scans), documents, ["doc_id"], "collected_at")
+    return stands.groupBy("doc_id", "item_id", "field").agg(longest).select("doc_id", "item_id", "field", "v.*")
 
 
 def _offsets(text: str, n: int) -> list[tuple[int, int]]:
@@ -132,5 +171,5 @@ def _offsets(text: str, n: int) -> list[tuple[int, int]]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id): every document with the items that leaked into it."""
-    return leak_spans(documents, items, run).select("doc_id", "item_id")
+    """(doc_id, item_id): every document with the items whose passages leaked into it."""
+    return leak_spans(documents, items, run).where("field = 'text'").select("doc_id", "item_id")

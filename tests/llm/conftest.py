@@ -19,11 +19,13 @@ def make(spark):
         "triage": "doc_id bigint, pages_needing_ocr array<bigint>, triaged_at timestamp",
         "rendered": "doc_id bigint, markdown string, sections array<struct<title string, level int, content string>>, rendered_at timestamp",
         "documents": "doc_id bigint, text string, lang string, collected_at timestamp",
-        "items": "item_id bigint, text string",
+        "items": "item_id bigint, text string, question string, answer string",
     }
 
     def table(kind, rows, clash=True):
         schema = schemas[kind]
+        if kind == "items":
+            rows = [(*r, *[None] * (4 - len(r))) for r in rows]
         if clash:
             schema += ", " + extra
             rows = [(*r, *["x"] * extra.count(" string")) for r in rows]
