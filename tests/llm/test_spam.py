@@ -1,7 +1,7 @@
 """Stuffed pages: kinds of spam, what only looks like it, calibration, edge cases."""
 
 import pytest
-from conftest_llm import T0
+from conftest_llm import T0, T1
 
 from docloom.llm import spam as S
 
@@ -14,6 +14,8 @@ SPAM = {
     "anchors": " ".join(f'<a href="//x{k}.test">free pump</a>' for k in range(30)),
     "tags": " ".join(f"#valve{k}" for k in range(60)),
     "offers": " | ".join(f"AB{k} pump grey {k}.99 | in stock | add to cart" for k in range(30)),
+    "bare hosts": "\n".join(f"www.pump-shop-{k}.example" for k in range(30)),
+    "short lines": "\n".join(["cheap valve pump", "valve pump deal 9.99", "pump valve cheap"] * 12),
     "templates": "\n".join(f"Supplier valve near the {w}" for w in "silo shed yard loft dock mill barn hall pier quay".split() * 3),
 }
 FINE = {
@@ -50,5 +52,20 @@ def test_edges(shares):
     assert shares[94] > 0.5
 
 
+def test_rare_languages_lean_on_all(make, common):
+    rows = [(k, PROSE * 5, "en", T0) for k in range(60)] + [(100, PROSE, "xx", T0), (101, SPAM["keywords"], "xx", T0), (102, SPAM["keywords"], None, T0)]
+    docs = make("documents", rows)
+    limits, all_ = S.language_limits(S.segment_measures(docs, common))
+    own = {r.lang: r for r in limits.collect()}
+    assert set(own) == {"en", "xx"}
+    assert abs(own["xx"].top_limit - all_["top"]) < 0.05
+    assert {r.doc_id for r in S.spam_documents(docs, common).collect()} == {101, 102}
+
+
+def test_newest_delivery(make, common):
+    rows = [(k, PROSE * 5, "en", T0) for k in range(60)] + [(100, SPAM["urls"], "en", T0), (100, PROSE, "en", T1), (101, PROSE, "en", T0), (101, SPAM["urls"], "en", T1)]
+    assert {r.doc_id for r in S.spam_documents(make("documents", rows), common).collect()} == {101}
+
+
 def test_empty(make, common):
     assert S.spam_documents(make("documents", []), common).count() == 0
