@@ -5,10 +5,13 @@ stays inside a document). Documents go in descending size to the sequence with t
 still has room; only when none has room another sequence is opened. A document is never cut unless
 it alone exceeds the capacity; then it is cut into full containers and a rest that is packed.
 
-Scale: token counts are taken where the texts lie (Arrow batches); from there on only ids and sizes
-move. Items are spread by hash over shards of about ``shard_items`` items each, so a shard is bounded
-whatever the corpus, looks like the whole, and wastes at most its few last containers. No group is
-keyed on data, so no source or length can make one hot.
+Scale: token counts are taken where the texts lie (Arrow batches) and written; from there on only ids
+and sizes move. Items, pieces of cut documents included, are spread by hash over shards of about
+``shard_items`` items each, so a shard is bounded whatever the corpus, looks like the whole, and wastes
+at most its few last containers; the number of shards follows from the number of items, and one shard
+(``shard_items`` at least as many) packs all together. Full pieces take containers of their own without
+a search; for the rest a search takes the same time however many sequences are open. No group is keyed
+on data, so no source or length can make one hot.
 
 Defined results: null and empty texts have no tokens and no container, nor have rows without doc_id; of a document delivered
 twice the newest counts; equal sizes are taken in order of (doc_id, piece).
@@ -18,12 +21,15 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 CAPACITY = 2048
 #: Vocabulary file of a public byte-level BPE, a parameter.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,26 +71,45 @@ def items(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) -> np.ndarray:
-    """The sequence of each size; sizes are in descending order and none exceeds the capacity."""
+    """The sequence of each size; sizes are in descending order and none exceeds the capacity.
+
+    Open sequences lie in heaps by their free room, so the lowest cost with room is the least of the
+    heaps' tops from the size on: one pass over at most ``capacity`` numbers.
+    """
     n = len(sizes)
-    bins = max(1, int(np.ceil(sizes.sum() / capacity)))
-    room, cost, used = np.full(n + bins, capacity, np.int64), np.zeros(n + bins), bins
     out = np.empty(n, np.int64)
-    for k, size in enumerate(sizes):
-        fits = np.where(room[:used] >= size, cost[:used], np.inf)
-        best = int(fits.argmin())
-        if fits[best] == np.inf:
-            best, used = used, used + 1
-        out[k] = best
-        room[best] -= size
-        cost[best] += linear * size + quadratic * float(size) * float(size)
+    full = int(np.searchsorted(-sizes, -capacity, side="right"))
+    out[:full] = np.arange(full)
+    rest = sizes[full:]
+    used = max(1, int(np.ceil(rest.sum() / capacity))) if len(rest) else 0
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    heaps[capacity] = [(0.0, k) for k in range(used)]
+    top = np.full(capacity + 1, np.inf)
+    if used:
+        top[capacity] = 0.0
+    for k, size in enumerate(rest.tolist()):
+        at = int(top[size:].argmin()) + size
+        cost = top[at]
+        if cost == np.inf:
+            cost, best, room, used = 0.0, used, capacity, used + 1
+        else:
+            ties = np.flatnonzero(top[size:] == cost) + size
+            room = int(min(ties, key=lambda r: heaps[r][0][1])) if len(ties) > 1 else at
+            cost, best = heappop(heaps[room])
+            top[room] = heaps[room][0][0] if heaps[room] else np.inf
+        out[full + k] = full + best
+        left = room - size
+        if left:
+            heappush(heaps[left], (cost + linear * size + quadratic * float(size) * float(size), best))
+            top[left] = heaps[left][0][0]
     return out
 
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / 4096, path: str = TOKENIZER, pattern: str = PATTERN, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(container, doc_id, piece, token_start, token_end, position): every item with its place in a container."""
-    parts = items(token_counts(documents, path, pattern), capacity)
-    total = documents.where("text <> ''").count()
+    counts = written(token_counts(documents, path, pattern), "token-counts")
+    parts = items(counts, capacity)
+    total = counts.agg(F.sum(F.ceil(F.col("n_tokens") / capacity))).first()[0] or 0
     shards = max(1, -(-total // shard_items))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

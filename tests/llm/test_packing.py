@@ -21,6 +21,37 @@ def test_pack(sizes):
     assert len(fill) <= 2 * np.ceil(sizes.sum() / 100) + 1
 
 
+def by_scan(sizes, capacity, linear, quadratic):
+    """The lowest-cost sequence with room by looking at every open one; full pieces first, on their own."""
+    full = sum(x == capacity for x in sizes)
+    rest = sizes[full:]
+    bins = [[0.0, capacity] for _ in range(max(1, -(-sum(rest) // capacity)) if rest else 0)]
+    out = list(range(full))
+    for x in rest:
+        fits = [(cost, k) for k, (cost, room) in enumerate(bins) if room >= x]
+        if not fits:
+            bins.append([0.0, capacity])
+            fits = [(0.0, len(bins) - 1)]
+        k = min(fits)[1]
+        bins[k] = [bins[k][0] + linear * x + quadratic * float(x) * float(x), bins[k][1] - x]
+        out.append(full + k)
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=150))
+def test_pack_equals_a_scan_of_all_sequences(sizes):
+    sizes = sorted(sizes, reverse=True)
+    assert P.pack(np.array(sizes), 60, 1.0, 0.01).tolist() == by_scan(sizes, 60, 1.0, 0.01)
+
+
+def test_pack_is_not_quadratic():
+    sizes = np.sort(np.random.default_rng(1).integers(1, 2048, 60_000))[::-1]
+    sizes = np.concatenate([np.full(500_000, 2048), sizes])
+    where = P.pack(sizes, 2048, 1.0, 1 / 4096)
+    assert np.bincount(where, weights=sizes).max() <= 2048
+
+
 @pytest.fixture(scope="module")
 def placed(make):
     rows = [(k, "word " * (10 + k % 200), "en", T0) for k in range(800)]
