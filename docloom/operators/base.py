@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import latest, table
+from docloom.session import latest, newest_files, table
 
 #: First block number of page margins.
 MARGIN = 1_000_000
@@ -15,21 +15,17 @@ WIDTH, HEIGHT = 612.0, 792.0
 BLOCK_KEYS = ["doc_id", "page_num", "block_id"]
 
 
-def newest_files(df: DataFrame, keys: list[str], at: str = "extracted_at") -> DataFrame:
-    """Rows of each file's newest extraction, each key once. A file is always delivered whole.
-
-    The aggregate shuffles (doc_id, time) only; the rows themselves move once, for their keys.
-    """
-    newest = df.groupBy("doc_id").agg(F.max(at).alias("_newest"))
-    return df.join(newest, "doc_id").where(F.col(at).eqNullSafe(F.col("_newest"))).drop("_newest", at).dropDuplicates(keys)
+def newest_keys(df: DataFrame, keys: list[str], at: str = "extracted_at") -> DataFrame:
+    """Rows of each file's newest extraction, each key once; the rows move once, by doc_id."""
+    return newest_files(df, at).drop(at).dropDuplicates(keys)
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return newest_files(table(spark, d, "raw_blocks"), BLOCK_KEYS)
+    return newest_keys(table(spark, d, "raw_blocks"), BLOCK_KEYS)
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return newest_files(table(spark, d, "raw_words"), [*BLOCK_KEYS, "widx"])
+    return newest_keys(table(spark, d, "raw_words"), [*BLOCK_KEYS, "widx"])
 
 
 def body_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,18 @@ def latest(df: DataFrame, keys: list[str], version: str | None = None, *values:
     return best.select(*keys, *[F.col("_v").getField(c).alias(c) for c in keep])
 
 
+def newest_files(df: DataFrame, at: str = "extracted_at", delivered: DataFrame | None = None) -> DataFrame:
+    """The rows of each file's newest delivery, of which a file is always delivered whole; copies of it stay.
+
+    ``delivered`` is all that came where ``df`` is a part of it. The times are an aggregate of
+    (doc_id, time) that is hashed per partition; the rows move once, by doc_id alone, so that what
+    is grouped by doc_id and more afterwards needs no other exchange.
+    """
+    newest = (df if delivered is None else delivered).groupBy("doc_id").agg(F.max(at).alias("_newest"))
+    same = F.coalesce(F.col(at) >= F.col("_newest"), F.col("_newest").isNull())  # no equality: it would become a join key
+    return df.join(newest.hint("shuffle_hash"), "doc_id").where(same).drop("_newest")
+
+
 def of_newest(found: DataFrame, delivered: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The rows of ``found`` that stem from the newest delivery of their key; drops ``version``.
 
