@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import written
+from docloom.session import newest_files, written
 
 #: Single-byte encodings whose mix-ups are searched.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac-roman", "cp437", "cp850", "cp852", "iso8859-5", "iso8859-15", "mac-cyrillic")
@@ -185,8 +185,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     words = F.expr(f"array_distinct(regexp_extract_all(text, '{_WORD}', 0))")
     lone = F.when(F.col("text").rlike(r"[^\n] � ?"), F.array(F.lit(_LONE))).otherwise(F.array().cast("array<string>"))
     found = rows.select("doc_id", "page_num", "block_id", "extracted_at", F.explode(F.concat(words, lone)).alias("word"))
-    newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    return found.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest"))).select("doc_id", "page_num", "block_id", "word")
+    return newest_files(found, delivered=blocks).select("doc_id", "page_num", "block_id", "word")
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -230,8 +229,7 @@ def repaired_blocks(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
     pairs = F.array_sort(F.collect_set(F.when(F.col("original").isNotNull(), F.struct((-F.length("word")).alias("k"), "word", "original"))))
     per = hits.groupBy("doc_id", "page_num", "block_id").agg(F.count(F.lit(1)).alias("n_garbled"), F.count("original").alias("n_restored"), pairs.alias("pairs"))
     texts = blocks.select("doc_id", "page_num", "block_id", "extracted_at", "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    texts = texts.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest"))).select("doc_id", "page_num", "block_id", "text").distinct()
+    texts = newest_files(texts, delivered=blocks).select("doc_id", "page_num", "block_id", "text").distinct()
     # Whole words only: a garbled word inside another word is left.
     edge = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
     whole = lambda w: F.concat(F.lit(f"(?<!{edge})\\Q"), w, F.lit(f"\\E(?!{edge})"))

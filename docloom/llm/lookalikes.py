@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.session import written
+from docloom.session import newest_files, written
 
 _KEPT_TAGS = ("<super>", "<sub>", "<noBreak> 2010")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
@@ -173,16 +173,15 @@ def ambiguous(spellings: DataFrame) -> DataFrame:
     return spellings.drop("members").join(groups, "skeleton", "left").where(F.col("alike") | (F.size("genuine") > 0)).withColumn("alike", F.coalesce("alike", F.lit(False)))
 
 
-def newest_words(words: DataFrame) -> DataFrame:
-    """(doc_id, page_num, block_id, widx, text) of the newest extractions; one delivered twice is there twice."""
+def newest_words(words: DataFrame, odd: bool) -> DataFrame:
+    """(doc_id, page_num, block_id, widx, text) of the newest extractions, all or only what isn't plain ASCII; one delivered twice is there twice."""
     w = words.select(*_BLOCK, "widx", "text", "extracted_at")
-    newest = w.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    return w.where("text is not null").join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest"))).select(*_BLOCK, "widx", "text")
+    return newest_files(w.where(_odd() if odd else F.col("text").isNotNull()), delivered=w).select(*_BLOCK, "widx", "text")
 
 
 def word_cases(words: DataFrame, spellings: DataFrame) -> DataFrame:
     """(doc_id, page_num, block_id, widx, text, form): words not in the consistent form; ``spellings`` is ``ambiguous``."""
-    seen = newest_words(words.where(_odd())).join(spellings, "text")
+    seen = newest_words(words, True).join(spellings, "text")
     around = F.array_distinct(F.flatten(F.collect_set("genuine").over(Window.partitionBy(*_BLOCK))))
     free = F.filter("borrowed", lambda b: ~F.array_contains("_around", b["script"]))
     form = F.when(F.col("text") != F.col("form"), F.col("form")).when(F.size("_free") == 1, F.col("_free")[0]["form"]).when(F.size("_free") > 1, F.col("form_alone"))
@@ -226,7 +225,7 @@ def skeleton_groups(words: DataFrame) -> DataFrame:
     frequent word is one row before its group is formed. Groups are of words with non-ASCII
     characters and of the ASCII words that look like them.
     """
-    counts = newest_words(words).where("doc_id is not null").dropDuplicates([*_BLOCK, "widx"]).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    counts = newest_words(words, False).where("doc_id is not null").dropDuplicates([*_BLOCK, "widx"]).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "spelling-counts")
     odd = written(spelled(counts.where(_odd())).select("text", "n", "form_alone", "skeleton"), "spellings")
     plain = counts.where(~_odd()).withColumns({"form_alone": F.col("text"), "skeleton": ascii_skeleton(F.col("text"), lookalikes(words.sparkSession))})

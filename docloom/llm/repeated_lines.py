@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import written
+from docloom.session import newest_files, written
 
 BLOCK, FURNITURE = "block", "furniture"
 _KEY = ["source", "record", "key"]
@@ -37,26 +37,24 @@ FIRST_SHARE = 0.9
 SALT = 64
 
 
-def line_key(line: Column) -> Column:
-    """Lower case, letters and digits only, each run of digits as one 0; null without any letter."""
-    key = F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{Nd}]+", ""), r"\p{Nd}+", "0")
-    return F.when(key.rlike(r"\p{L}"), key)
+def line_keys(lines: Column) -> Column:
+    """Lower case, letters and digits only, each run of digits as one 0; null without any letter. One pass over each line."""
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]+", ""), r"\p{Nd}+", "0"))
+    return F.transform(bare, lambda k: F.when(k != "0", F.when(k.rlike(r"\p{L}"), k)))
 
 
 def record_lines(blocks: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(record, doc_id, page_num, item_id, line_no, line, key, version) of both record kinds.
+    """(record, doc_id, page_num, item_id, line_no, key, version) of both record kinds; lines without a letter are left out.
 
     Only the newest extraction of a file counts, told from (doc_id, time) alone. An extraction
     delivered twice gives its lines twice: counting takes distinct files, results are made distinct
-    where rows are few, so no text is shuffled to drop copies.
+    where rows are few.
     """
-    b = blocks.select("doc_id", "page_num", "block_id", "text", F.col("extracted_at").alias("version")).where("doc_id is not null and text is not null")
-    newest = b.groupBy("doc_id").agg(F.max("version").alias("_newest"))
-    b = b.join(newest, "doc_id").where(F.col("version").eqNullSafe(F.col("_newest")))
-    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    b = b.select(F.lit(BLOCK).alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), "version", line)
-    f = furniture.where("doc_id is not null").select(F.lit(FURNITURE).alias("record"), "doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(None).cast("timestamp").alias("version"), F.lit(0).alias("line_no"), F.col("signature").alias("line"))
-    return b.unionByName(f).withColumns({"key": line_key(F.col("line")), "line_no": F.col("line_no").cast("bigint")})
+    b = blocks.where("doc_id is not null and text is not null").select("doc_id", "page_num", F.col("block_id").alias("item_id"), F.col("extracted_at").alias("version"), F.posexplode(line_keys(F.split("text", "\n"))).alias("line_no", "key"))
+    b = newest_files(b.where("key is not null"), "version", blocks.where("text is not null").select("doc_id", F.col("extracted_at").alias("version")))
+    f = furniture.where("doc_id is not null").select("doc_id", "page_num", F.col("line_idx").alias("item_id"), F.lit(None).cast("timestamp").alias("version"), F.posexplode(line_keys(F.array("signature"))).alias("line_no", "key"))
+    kinds = [df.withColumn("record", F.lit(kind)) for df, kind in ((b, BLOCK), (f.where("key is not null"), FURNITURE))]
+    return kinds[0].unionByName(kinds[1]).select("record", "doc_id", "page_num", "item_id", F.col("line_no").cast("bigint").alias("line_no"), "key", "version")
 
 
 def digest(key: Column) -> Column:
@@ -90,7 +88,7 @@ def _delivered(blocks: DataFrame, furniture: DataFrame, reports: DataFrame) -> t
     r = reports.groupBy("doc_id").agg(F.max("source").alias("source"))
     rows = b.unionByName(f, allowMissingColumns=True).unionByName(r, allowMissingColumns=True).where("doc_id is not null")
     files = rows.groupBy("doc_id").agg(F.max("version").alias("version"), F.coalesce(F.bool_or("placed"), F.lit(False)).alias("placed"), F.max("source").alias("source"))
-    lines = record_lines(blocks, furniture).where("key is not null")
+    lines = record_lines(blocks, furniture)
     return files, lines.select("record", "doc_id", "page_num", "item_id", "line_no", digest(F.col("key")).alias("key"), "version")
 
 
@@ -204,9 +202,7 @@ def rebuilt_blocks(blocks: DataFrame, hits: DataFrame) -> DataFrame:
     hit = hits.where(F.col("record") == BLOCK).select("doc_id", "page_num", F.col("item_id").alias("block_id"), "line_no")
     hit = hit.groupBy("doc_id", "page_num", "block_id").agg(F.collect_set("line_no").alias("_hit"))
     b = blocks.where("doc_id is not null and text is not null").select("doc_id", "page_num", "block_id", "text", "extracted_at")
-    newest = b.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    own = b.join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
-    own = own.groupBy("doc_id", "page_num", "block_id").agg(F.max("text").alias("text"))  # an extraction delivered twice
+    own = newest_files(b).groupBy("doc_id", "page_num", "block_id").agg(F.max("text").alias("text"))  # an extraction delivered twice
     kept = F.expr("array_join(filter(split(text, '\n'), (l, i) -> not array_contains(_hit, cast(i as bigint))), '\n')")
     return own.join(hit, ["doc_id", "page_num", "block_id"], "left").select("doc_id", "page_num", "block_id", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
@@ -256,7 +252,7 @@ def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFr
     _, after, _ = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
     totals = after.counts.join(after.over, _KEY, "left_semi").groupBy(*_KEY).agg(F.sum("n_files").alias("n_files"))
     over = written(totals.join(after.sizes, "source"), "crossing")
-    lines = record_lines(blocks, furniture).where("key is not null").select("record", "key", digest(F.col("key")).alias("_digest"))
+    lines = record_lines(blocks, furniture).select("record", "key", digest(F.col("key")).alias("_digest"))
     wanted = over.select("record", F.col("key").alias("_digest")).distinct()
     names = lines.join(wanted, ["record", "_digest"], "left_semi").distinct()
     return over.withColumnRenamed("key", "_digest").join(names, ["record", "_digest"]).select("source", "record", "key", "n_files", "files")

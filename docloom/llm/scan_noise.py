@@ -6,15 +6,18 @@ value is the page's; it is a repeated title when it is within edit distance of t
 letter and a hyphen and the next line that is not running starts with a letter; evidence for one
 word are files with the joined form, evidence for a compound files with the hyphenated form.
 Misread words: the *anagram hash* of a word is the sum of its characters' hashes, so a confusion
-such as rn for m shifts it by a fixed difference. Rare words, shifted by the differences of the
-confusions they could hold (one or two), are hash-joined with frequent words in SQL; hits are
-verified by substituting at actual positions and ranked by frequency. A word that mostly stands on
-pages that weren't scanned is a word of its own.
-
-Scale: lines, running lines and broken words are found inside each row with higher-order functions,
-without exploding text. Word counts are per file first, then summed with map-side combining. Only
-distinct words of scanned pages that are rare enter the hash join, with the confusions they contain,
-some tens of rows a word; the joins are on hashes and words, never within a group.
+such as rn for m shifts it by a fixed difference. Rare words and frequent words meet half way: a rare
+word is shifted by the difference of each confusion it could hold, a frequent word by none or back by
+that of each confusion it could have suffered, and equal hashes are joined in SQL, so two confusions
+cost the sum, not the product, of their numbers. Hits are verified by substituting at actual positions
+and ranked by frequency. A word that mostly stands on pages that weren't scanned is a word of its own.
+
+Scale: a file's newest extraction, scanned pages and title are joined to its blocks by doc_id, and the
+counts per file use that partitioning: texts move twice, once for the vocabulary (words and hyphenated
+pairs, counted per file and then summed with map-side combining) and once for the scanned pages. Lines,
+running lines and broken words are found inside each row with higher-order functions, without exploding
+text. Only distinct words of scanned pages that are rare, and so rare that another word can be their
+original, enter the hash join, some ten rows a word; joins are on hashes and words, never within a group.
 
 Defined results: rows without doc_id give none; pages not listed as needing OCR, null texts and null page lists give no rows; the
 newest triage and extraction of a file stand; words with characters that are no letters or digits
@@ -29,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import written
+from docloom.session import newest_files, written
 
 #: What is read, and what stood there.
 CONFUSIONS = [
@@ -66,22 +69,34 @@ def _roman(n: str) -> str:
 
 
 def scan_pages(triage: DataFrame) -> DataFrame:
-    """(doc_id, page_num): pages named by the newest triage of each file, 0-based."""
+    """(doc_id, scans): the 0-based pages that the newest triage of each file names; files without any are left out."""
     newest = triage.groupBy("doc_id").agg(F.max_by("pages_needing_ocr", F.struct("triaged_at", F.coalesce(F.size("pages_needing_ocr"), F.lit(-1)))).alias("p"))
-    return newest.select("doc_id", F.explode(F.transform("p", lambda p: p - 1)).alias("page_num")).where("page_num is not null").distinct()
+    pages = newest.select("doc_id", F.array_distinct(F.transform(F.filter("p", lambda p: p.isNotNull()), lambda p: p - 1)).alias("scans"))
+    return pages.where("doc_id is not null and size(scans) > 0")
+
 
+def placed_blocks(blocks: DataFrame, triage: DataFrame, scanned_files: bool) -> DataFrame:
+    """(doc_id, page_num, block_id, reading_order, text, scanned) of each file's newest extraction, by doc_id; one delivered twice is there twice.
 
-def titles(blocks: DataFrame, reports: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, titles, title_block): normalised titles of the files that have scanned pages."""
-    docs = pages.select("doc_id").distinct()
-    first = blocks.where((F.col("page_num") == 0) & (F.col("block_id") < MARGIN)).join(docs, "doc_id", "left_semi")
-    first = first.groupBy("doc_id").agg(F.min_by(F.struct("block_id", "text"), F.struct("reading_order", "block_id")).alias("f"))
-    meta = reports.join(docs, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("title").alias("title"))
+    ``scanned_files``: only files with scanned pages.
+    """
+    own = blocks.select("doc_id", "page_num", "block_id", "reading_order", "text", "extracted_at")  # extra columns can't clash
+    pages = scan_pages(triage).hint("shuffle_hash")
+    own = newest_files(own).where("text is not null").join(pages, "doc_id", "inner" if scanned_files else "left")
+    scanned = F.coalesce(F.array_contains("scans", F.col("page_num")), F.lit(False)).alias("scanned")
+    return own.select("doc_id", "page_num", "block_id", "reading_order", "text", scanned)
+
+
+def titles(own: DataFrame, reports: DataFrame) -> DataFrame:
+    """(doc_id, titles, title_block): normalised titles of the files of ``own``."""
+    first = F.min_by(F.when((F.col("page_num") == 0) & (F.col("block_id") < MARGIN), F.struct("block_id", "text")), F.when((F.col("page_num") == 0) & (F.col("block_id") < MARGIN), F.struct("reading_order", "block_id")))
+    files = own.groupBy("doc_id").agg(first.alias("f"))
+    meta = reports.groupBy("doc_id").agg(F.max("title").alias("title"))
     # A file without a first page takes the top margin line, unless three files share it: then it is a notice.
-    top = blocks.where(F.col("block_id") == MARGIN).join(docs, "doc_id", "left_semi").withColumn("_line", F.regexp_replace("text", r"\s+\d{1,4}$", ""))
+    top = own.where(F.col("block_id") == MARGIN).select("doc_id", "page_num", F.regexp_replace("text", r"\s+\d{1,4}$", "").alias("_line"))
     shared = top.select("doc_id", F.lower("_line").alias("_key")).distinct().groupBy("_key").count().where("count >= 3")
-    top = top.join(shared, F.lower("_line") == F.col("_key"), "left_anti").groupBy("doc_id").agg(F.min_by("_line", "page_num").alias("top"))
-    both = docs.join(first, "doc_id", "left").join(meta, "doc_id", "left").join(top, "doc_id", "left")
+    top = top.join(shared, F.lower("_line") == F.col("_key"), "left_anti").groupBy("doc_id").agg(F.min_by("_line", F.struct("page_num", "_line")).alias("top"))
+    both = files.join(meta, "doc_id", "left").join(top, "doc_id", "left")
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     body = F.when(~F.col("f.text").contains("\n") & (F.length("f.text") <= 200), norm(F.col("f.text")))
     top_line = F.when(F.col("f").isNull() & F.col("title").isNull(), norm(F.col("top")))
@@ -95,9 +110,8 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
     (doc_id, page_num, block_id, text, running, body): whether a line is running, and the other
     lines as one text in which words broken at line ends are joined by a private-use mark.
     """
-    own = _newest(blocks)
-    pages = scan_pages(triage)
-    on = own.join(pages, ["doc_id", "page_num"]).dropDuplicates(["doc_id", "page_num", "block_id"]).join(titles(own, reports, pages), "doc_id", "left")
+    own = placed_blocks(blocks, triage, True).where((F.col("scanned")) | (F.col("page_num") == 0) | (F.col("block_id") == MARGIN))
+    on = own.where("scanned").dropDuplicates(["doc_id", "page_num", "block_id"]).join(titles(own, reports), "doc_id", "left")
     number = f"regexp_extract(norm, '{_NUMBER}', 1)"
     value = f"translate({number}, 'lioszq', '110529')"
     page = "cast(page_num + 1 as string)"
@@ -120,14 +134,6 @@ def scanned_blocks(blocks: DataFrame, triage: DataFrame, reports: DataFrame) ->
     return kept.selectExpr("doc_id", "page_num", "block_id", "text", "running", f"{mark} as body")
 
 
-def _newest(blocks: DataFrame) -> DataFrame:
-    """Blocks of each file's newest extraction; one delivered twice is still there twice."""
-    blocks = blocks.select("doc_id", "page_num", "block_id", "reading_order", "text", "extracted_at")  # extra columns can't clash
-    newest = blocks.groupBy("doc_id").agg(F.max("extracted_at").alias("_newest"))
-    own = blocks.where("text is not null").join(newest, "doc_id").where(F.col("extracted_at").eqNullSafe(F.col("_newest")))
-    return own.select("doc_id", "page_num", "block_id", "reading_order", "text")
-
-
 def _runs(text: str) -> Column:
     """Distinct lower-case runs of characters that part no words."""
     return F.expr(f"array_distinct(split(lower({text}), '{_GAP}'))")
@@ -144,22 +150,16 @@ def _tokens(text: str) -> Column:
 
 
 def vocabulary(blocks: DataFrame, triage: DataFrame) -> DataFrame:
-    """(word, n_files, n_clean): files that hold each word, and files that hold it on pages not scanned.
+    """(word, n_files, n_clean): files that hold each word or hyphenated pair of words, and files that hold it on pages not scanned; written.
 
-    Words broken at line ends are not counted, nor are their fragments.
+    Words broken at line ends are not counted, nor are their fragments; a pair stands within a line.
     """
-    whole = F.regexp_replace("text", rf"{_DASH.replace(chr(92) * 2, chr(92))}[ \t\r]*\n[ \t]*(?=\p{{L}})", _BREAK).alias("text")
-    marked = _newest(blocks).join(scan_pages(triage).withColumn("_scan", F.lit(True)), ["doc_id", "page_num"], "left")
-    pairs = marked.select("doc_id", F.col("_scan").isNull().alias("clean"), whole).select("doc_id", "clean", F.explode(_runs("text")).alias("word"))
-    per_file = pairs.groupBy("doc_id", "word").agg(F.max("clean").alias("clean"))
-    counted = per_file.groupBy("word").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("clean").alias("n_clean"))
-    return counted.where(_is_word("word") & ~F.col("word").contains(_BREAK))  # judged once for each distinct word
-
-
-def compounds(blocks: DataFrame) -> DataFrame:
-    """(compound, n_compound): files that hold each hyphenated pair of words within a line."""
-    found = F.expr("array_distinct(regexp_extract_all(lower(text), '\\\\p{L}+-\\\\p{L}+', 0))")
-    return _newest(blocks).select("doc_id", F.explode(found).alias("compound")).distinct().groupBy("compound").agg(F.count(F.lit(1)).alias("n_compound"))
+    whole = F.regexp_replace("text", rf"{_DASH.replace(chr(92) * 2, chr(92))}[ \t\r]*\n[ \t]*(?=\p{{L}})", _BREAK)
+    pairs = F.expr(r"if(contains(text, '-'), regexp_extract_all(lower(text), '(?<!\\p{L})\\p{L}++-\\p{L}+', 0), array())")
+    own = placed_blocks(blocks, triage, False).select("doc_id", ~F.col("scanned"), F.explode(F.array_distinct(F.concat(F.split(F.lower(whole), _GAP.replace("\\\\", "\\")), pairs)))).toDF("doc_id", "clean", "word")
+    per_file = own.groupBy("doc_id", "word").agg(F.max("clean").alias("clean"))
+    counted = written(per_file.groupBy("word").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("clean").alias("n_clean")), "vocabulary")
+    return counted.where((_is_word("word") & ~F.col("word").contains(_BREAK)) | F.col("word").contains("-"))  # after writing, else each occurrence were judged
 
 
 def anagram_hash(word: str) -> str:
@@ -168,21 +168,25 @@ def anagram_hash(word: str) -> str:
 
 
 def _confusion_table() -> str:
-    return "array(" + ", ".join(f"struct('{m}' as m, '{o}' as o)" for m, o in CONFUSIONS) + ")"
+    """SQL for the confusions with the difference each makes to the hash; only literals, so it is computed once."""
+    value = lambda w: " + ".join(f"(xxhash64('{c}') & 1099511627775L)" for c in w)
+    return "array(" + ", ".join(f"struct('{m}' as m, '{o}' as o, {value(o)} - ({value(m)}) as d)" for m, o in CONFUSIONS) + ")"
 
 
 def corrections(words: DataFrame, vocab: DataFrame, ratio: int = RATIO, min_files: int = MIN_FILES) -> DataFrame:
-    """(word, original, n_original): the best verified original of each rare word in ``words``."""
-    known = words.join(vocab, "word", "left").select("word", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_clean", F.lit(0)).alias("n_clean")).where("length(word) between 2 and 40")
-    held = known.selectExpr("*", f"filter({_confusion_table()}, k -> instr(word, k.m) > 0) as ks", f"{anagram_hash('word')} as h").where("size(ks) > 0")
-    none = "struct('' as m, '' as o)"
-    # One confusion, or two of which the second may also arise from the first's replacement.
-    shifts = held.selectExpr("word", "n_files", "n_clean", "h", f"explode(flatten(transform(ks, (a, i) -> concat(array(struct(a as a, {none} as b)), transform(filter(ks, (b, j) -> j >= i), b -> struct(a as a, b as b)))))) as k")
-    shift = lambda x: f"({anagram_hash(x + '.o')} - {anagram_hash(x + '.m')})"
-    probes = shifts.selectExpr("word", "n_files", "n_clean", "k.a as a", "k.b as b", f"h + {shift('k.a')} + {shift('k.b')} as h")
-    targets = vocab.where(F.col("n_files") >= min_files).selectExpr("word as original", "n_files as n_original", "n_clean as clean_original", f"{anagram_hash('word')} as h")
+    """(word, original, n_original): the best verified original of each rare word in ``words``; ``vocab`` has words only."""
+    most = vocab.agg(F.max("n_files")).first()[0] or 0
+    known = words.join(vocab, "word", "left").select("word", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_clean", F.lit(0)).alias("n_clean"))
+    rare = known.where((F.length("word") >= 2) & (F.col("n_clean") * 4 <= F.col("n_files")) & (F.col("n_files") * ratio <= most))
+    held = rare.selectExpr("*", f"explode(filter({_confusion_table()}, k -> instr(word, k.m) > 0)) as a", f"{anagram_hash('word')} as h")
+    probes = held.selectExpr("word", "n_files", "n_clean", "a", "h + a.d as h")
+    frequent = vocab.where((F.col("n_files") >= min_files) & (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}{2}"))
+    # The confusion undone last leaves its original in the word; none where there is only one.
+    none = "struct('' as m, '' as o, 0L as d)"
+    suffered = f"explode(concat(array({none}), filter({_confusion_table()}, k -> instr(word, k.o) > 0))) as b"
+    targets = frequent.selectExpr("word as original", "n_files as n_original", "n_clean as clean_original", suffered, f"{anagram_hash('word')} as h").withColumn("h", F.expr("h - b.d"))
     hits = probes.join(targets, "h").where(
-        (F.col("n_original") >= F.col("n_files") * ratio) & (F.col("n_clean") * 20 <= F.col("clean_original")) & (F.col("n_clean") * 4 <= F.col("n_files")) & F.col("original").rlike(r"\p{L}{2}") & (F.length("original") >= 2)
+        (F.col("n_original") >= F.col("n_files") * ratio) & (F.col("n_clean") * 20 <= F.col("clean_original")) & F.expr("b.m = '' or instr(word, b.m) > 0")
     )
     one = lambda w, k, then: (
         f"exists(sequence(1, length({w})), i{k} -> substr({w}, i{k}, length({k}.m)) = {k}.m and "
@@ -190,7 +194,7 @@ def corrections(words: DataFrame, vocab: DataFrame, ratio: int = RATIO, min_file
         + ")"
     )
     single = one("word", "a", lambda w: f"{w} = original")
-    double = f"({one('word', 'a', lambda w: one(w, 'b', lambda v: f'{v} = original'))} or {one('word', 'b', lambda w: one(w, 'a', lambda v: f'{v} = original'))})"
+    double = one("word", "a", lambda w: one(w, "b", lambda v: f"{v} = original"))
     sure = hits.where(F.expr(f"case when b.m = '' then {single} else {double} end"))
     best = F.min_by(F.struct("original", "n_original"), F.struct(F.when(F.col("b.m") == "", 0).otherwise(1), -F.col("n_original"), "original")).alias("v")
     return sure.groupBy("word").agg(best).select("word", "v.*")
@@ -205,15 +209,20 @@ def judged_words(scans: DataFrame, vocab: DataFrame, pairs: DataFrame, ratio: in
     tokens = scans.select(F.explode(_tokens("body")).alias("token")).distinct()
     split = tokens.select("token", F.split("token", _BREAK).alias("parts"), F.regexp_replace("token", _BREAK, "").alias("joined"))
     forms = split.select(F.explode(F.concat(F.array("joined"), "parts")).alias("word")).distinct()
-    fixed = written(corrections(forms, vocab, ratio, min_files), "corrections")  # joined four times below
+    fixed = written(corrections(forms, vocab, ratio, min_files), "corrections")
     whole = split.where("size(parts) = 1").join(fixed.withColumnRenamed("word", "joined"), "joined").select("token", F.col("joined").alias("word"), F.lit(False).alias("broken"), "original")
 
-    v = vocab.select("word", F.col("n_files").alias("n"))
-    stock = v.join(fixed, "word", "full").selectExpr("word", "coalesce(n, 0) as n", "original", "coalesce(n_original, 0) as n_original")
-    parts = split.where("size(parts) > 1").select("token", "joined", F.col("parts")[0].alias("a"), F.element_at("parts", -1).alias("b"), F.concat_ws("-", F.col("parts")[0], F.element_at("parts", -1)).alias("compound"))
-    for c in ("joined", "a", "b"):
-        parts = parts.join(stock.selectExpr(f"word as {c}", f"n as n_{c}", f"original as o_{c}", f"n_original as m_{c}"), c, "left")
-    seen = parts.join(pairs, "compound", "left").fillna(0, ["n_joined", "m_joined", "n_a", "m_a", "n_b", "m_b", "n_compound"])
+    broken_ = split.where("size(parts) > 1").select("token", "joined", F.col("parts")[0].alias("a"), F.element_at("parts", -1).alias("b"))
+    broken_ = broken_.withColumn("compound", F.concat_ws("-", "a", "b"))
+    roles = ("joined", "a", "b", "compound")
+    asked = broken_.select("token", F.explode(F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("word")) for c in roles])).alias("r")).select("token", "r.*")
+    counts = vocab.select("word", F.col("n_files").alias("n")).unionByName(pairs.select("word", F.col("n_files").alias("n")))
+    told = asked.join(counts, "word", "left").join(fixed, "word", "left")
+    of = lambda c, role: F.max(F.when(F.col("role") == role, F.col(c)))
+    seen = told.groupBy("token").agg(
+        *[of("word", c).alias(c) for c in roles], *[F.coalesce(of("n", c), F.lit(0)).alias(f"n_{c}") for c in roles],
+        *[of("original", c).alias(f"o_{c}") for c in roles[:3]], *[F.coalesce(of("n_original", c), F.lit(0)).alias(f"m_{c}") for c in roles[:3]],
+    )
     strength = F.greatest("n_joined", "m_joined")
     both = (F.greatest("n_a", "m_a") >= min_files) & (F.greatest("n_b", "m_b") >= min_files)
     broken = F.when(strength + F.col("n_compound") > 0, strength > F.col("n_compound")).otherwise(~both)
@@ -224,8 +233,10 @@ def judged_words(scans: DataFrame, vocab: DataFrame, pairs: DataFrame, ratio: in
 
 
 def _judged(blocks: DataFrame, triage: DataFrame, reports: DataFrame, ratio: int, min_files: int) -> tuple[DataFrame, DataFrame]:
-    scans = written(scanned_blocks(blocks, triage, reports), "scans")  # read by four branches
-    return scans, judged_words(scans, written(vocabulary(blocks, triage), "vocabulary"), compounds(blocks), ratio, min_files)
+    scans = written(scanned_blocks(blocks, triage, reports), "scans")  # read by two branches
+    counted = vocabulary(blocks, triage)
+    pair = F.col("word").contains("-")
+    return scans, judged_words(scans, counted.where(~pair), counted.where(pair), ratio, min_files)
 
 
 def scan_defects(blocks: DataFrame, triage: DataFrame, reports: DataFrame, ratio: int = RATIO, min_files: int = MIN_FILES) -> DataFrame:
