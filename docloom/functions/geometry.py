@@ -57,7 +57,8 @@ def pad_and_clamp(b: Box, padding: float, width: Column, height: Column) -> Box:
 
 
 def media_fingerprint(b: Box, width: Column, height: Column) -> Column:
-    """Five small numbers that tell repeated media: position and size in tenths, and the edge band."""
-    tenth = lambda v: F.round(v * 10).cast("int")
-    band = F.when(b[3] <= height * F.lit(0.18), 1).when(b[1] >= height * F.lit(0.84), 2).otherwise(0)
-    return F.struct(tenth(b[0] / width).alias("x"), tenth(b[1] / height).alias("y"), tenth((b[2] - b[0]) / width).alias("w"), tenth((b[3] - b[1]) / height).alias("h"), band.alias("band"))
+    """Five small numbers that tell repeated media: centre and size in tenths of the page, and the edge band."""
+    w, h = F.greatest(width, F.lit(1.0)), F.greatest(height, F.lit(1.0))
+    tenth = lambda v: F.round(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 10).cast("int")
+    band = F.when(b[3] <= height * F.lit(0.18), 0).when(b[1] >= height * F.lit(0.84), 1).otherwise(2)
+    return F.struct(tenth((b[0] + b[2]) / 2 / w).alias("x"), tenth((b[1] + b[3]) / 2 / h).alias("y"), tenth((b[2] - b[0]) / w).alias("w"), tenth((b[3] - b[1]) / h).alias("h"), band.alias("band"))

@@ -127,6 +127,17 @@ def is_data_row(tokens: Column) -> Column:
     return (F.size(tokens) >= 4) & ((F.floor(values * 100 / F.size(tokens)) >= 55) | (stock & (values >= 4)))
 
 
+def is_no_table_block(c: Column, width: Column, font_size: Column, body_size: Column) -> Column:
+    """Text that is no cell of a table: blank, captions, page numbers, list items, authors, headings, and over 200 bytes."""
+    t = trim(c)
+    lines = F.filter(F.split(t, "\n"), lambda x: trim(x) != "")
+    names = is_affiliation(t) | ((F.size(lines) >= 2) & is_author_line(F.coalesce(F.get(lines, 0), F.lit(""))))
+    ratio = font_size / F.greatest(body_size, F.lit(0.1))
+    heading = (body_size > 0) & ((ratio >= F.lit(1.15)) | numbered_heading_level(t, ratio, F.lit(1)).isNotNull())
+    number = is_page_number(t) & (width < 40) & (F.octet_length(t) <= 6)
+    return (t == "") | is_caption(t) | number | is_ordered_item(t) | is_unordered_item(t) | names | heading | (F.octet_length(t) > 200)
+
+
 def is_header_row(c: Column) -> Column:
     """A row with a word of a table header."""
     low = F.lower(c)

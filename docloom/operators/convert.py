@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import facts, pagefolds, policy, render, spatial
+from docloom.operators import facts, media, pagefolds, policy, render, spatial
 from docloom.operators.base import MARGIN
 from docloom.session import written
 
@@ -22,12 +22,18 @@ PAGE = ["doc_id", "page_num"]
 
 @dataclass(frozen=True)
 class Options:
-    """What comes out: tables and formulas on or off, the formula policy, and the page size without report."""
+    """What comes out: tables and formulas on or off, the formula policy, a floor for tables, the 1-based pages (all where none is named)."""
 
     tables: bool = True
     formulas: str = "auto"
     emit: str = "auto"
-    table_confidence: float = 0.7
+    table_confidence: float = 0.0
+    pages: tuple[int, ...] = ()
+
+
+def selected(df: DataFrame, options: Options) -> DataFrame:
+    """The rows of the chosen pages. Facts of a file are of all its pages, so this comes after them."""
+    return df.where((F.col("page_num") + 1).isin(*options.pages)) if options.pages else df
 
 
 def kept_blocks(blocks: DataFrame, pages: DataFrame, furniture: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -43,21 +49,42 @@ def with_latex(words: DataFrame, formulas: DataFrame) -> DataFrame:
     return policy.formula_kind(formulas, pagefolds.source_formulas(words, unread))
 
 
-def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:  # noqa: B008
-    """DataFrames ``blocks``, ``tables``, ``formulas``, ``pages`` and ``documents`` of the conversion."""
+def placed_figures(text: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, id, kind, caption, box, text): figures that the page's media plan keeps, as image links."""
+    found = pagefolds.page_figures(text, images, pages)
+    listed = found.select(*PAGE, F.col("figure_no").cast("bigint").alias("id"), F.lit("Figure").alias("kind"), "caption", "x0", "y0", "x1", "y1")
+    plan = media.media_plan(listed, text, pages).where("kept").select(*PAGE, "id")
+    link = F.format_string("![%s](page%d_fig%d.png)", F.coalesce(F.regexp_replace("caption", r"[\[\]\s]+", " "), F.lit("")), F.col("page_num") + 1, F.col("id"))
+    return listed.join(plan, [*PAGE, "id"]).withColumn("text", link)
+
+
+def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: DataFrame, options: Options = Options(), images: DataFrame | None = None) -> dict[str, DataFrame]:  # noqa: B008
+    """DataFrames ``blocks``, ``tables``, ``formulas``, ``figures``, ``pages``, ``documents`` and ``warnings`` of the conversion.
+
+    ``images`` has image_index and a box for each image; without it there are no figures.
+    """
     furniture = facts.furniture(words, pages)
-    found = pagefolds.page_tables(words)
-    found = written(found.where(F.col("confidence") >= F.lit(options.table_confidence)) if options.tables else found.limit(0), "tables")
-    decided = policy.emission(with_latex(words, formulas), options.formulas, options.emit).where("emit")
+    found = pagefolds.page_tables(words, pages)
+    gated = policy.emitted_tables(found.where(F.col("confidence") >= F.lit(options.table_confidence)))
+    found = written(selected(gated, options) if options.tables else found.limit(0), "tables")
+    decided = policy.emission(with_latex(words, selected(formulas, options)), options.formulas, options.emit).where("emit")
     decided = written(spatial.outside(decided, found), "formulas")
-    text = written(kept_blocks(blocks, pages, furniture, found, decided), "text")
-    t_media = found.select(*PAGE, F.col("table_no").alias("id"), F.lit("Table").alias("kind"), "x0", "y0", F.when(F.col("render") == "Markdown", render.gfm_table(F.col("rows"))).otherwise(F.concat(F.lit("```\n"), F.col("layout_text"), F.lit("\n```"))).alias("text"))
+    text = written(selected(kept_blocks(blocks, pages, furniture, found, decided), options), "text")
+    columns = [*PAGE, "id", "kind", "x0", "y0", "text"]
+    t_media = found.select(*PAGE, F.col("table_no").cast("bigint").alias("id"), F.lit("Table").alias("kind"), "x0", "y0", F.when(F.col("render") == "Markdown", render.gfm_table(F.col("rows"))).otherwise(F.concat(F.lit("```\n"), F.col("layout_text"), F.lit("\n```"))).alias("text"))
     f_media = decided.select(*PAGE, (F.col("formula_index") + 1000).alias("id"), F.lit("Formula").alias("kind"), "x0", "y0", F.col("text_latex").alias("text"))
-    media = t_media.unionByName(f_media)
+    parts = t_media.unionByName(f_media)
+    figures = None
+    if images is not None:
+        figures = written(placed_figures(text, selected(images, options), pages), "figures")
+        parts = parts.unionByName(figures.withColumn("id", F.col("id") + 1_000_000).select(*columns))
     # A leading heading and its rest share their reading order: the heading comes first, media between them stay there.
-    order = spatial.merged_order(text.withColumn("reading_order", F.col("reading_order") * 2 + F.col("sub")), media.select(*PAGE, "id", "x0", "y0"))
+    order = spatial.merged_order(text.withColumn("reading_order", F.col("reading_order") * 2 + F.col("sub")), parts.select(*PAGE, "id", "x0", "y0"))
     place = lambda origin: order.where(F.col("origin") == origin).select(*PAGE, "id", F.col("reading_order").alias("position"))
     shown = text.withColumn("id", F.col("block_id")).join(place("text"), [*PAGE, "id"]).select(*PAGE, "position", F.lit(0).alias("sub"), "kind", "level", "text", "ordered", "depth")
-    placed = media.join(place("media"), [*PAGE, "id"]).select(*PAGE, "position", F.lit(0).alias("sub"), "kind", F.lit(None).cast("int").alias("level"), "text", F.lit(None).cast("boolean").alias("ordered"), F.lit(None).cast("int").alias("depth"))
+    placed = parts.join(place("media"), [*PAGE, "id"]).select(*PAGE, "position", F.lit(0).alias("sub"), "kind", F.lit(None).cast("int").alias("level"), "text", F.lit(None).cast("boolean").alias("ordered"), F.lit(None).cast("int").alias("depth"))
     rendered = render.page_markdown(shown.unionByName(placed))
-    return {"blocks": text, "tables": found, "formulas": decided, "pages": rendered, "documents": render.document_markdown(rendered)}
+    facts_ = facts.page_facts(blocks, pages)
+    warned = media.warnings(facts_, formulas, facts.scan_like(facts_))
+    out = {"blocks": text, "tables": found, "formulas": decided, "pages": rendered, "documents": render.document_markdown(rendered), "warnings": warned}
+    return out if figures is None else out | {"figures": figures}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import written
 
 IOU = 0.5
 
@@ -115,26 +116,131 @@ def gfm_tables(lines: DataFrame) -> DataFrame:
 
 
 def numeric_leaves(docs: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, path, value): every number in a JSON text by its path; booleans are no numbers."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf[key], pdf[column], strict=True):
-                try:
-                    todo = [("", json.loads(text.strip("﻿ \n\r\t")))]
-                except (ValueError, AttributeError):
-                    continue
-                while todo:
-                    path, v = todo.pop()
-                    if isinstance(v, dict):
-                        todo += [(f"{path}.{n}" if path else n, x) for n, x in v.items()]
-                    elif isinstance(v, list):
-                        todo += [(f"{path}[{i}]", x) for i, x in enumerate(v)]
-                    elif isinstance(v, (int, float)) and not isinstance(v, bool):
-                        rows.append((k, path, float(v)))
-            yield pd.DataFrame(rows, columns=[key, "path", "value"])
-
-    return docs.select(key, column).mapInPandas(walk, f"{key} bigint, path string, value double")
+    """(key, path, value): every number in a JSON text by its path; booleans are no numbers.
+
+    The texts become VARIANTs and are taken apart level by level in the JVM: each round explodes the
+    objects and arrays of the last. Depth ends the rounds: a level without containers gives no rows.
+    """
+    rows = docs.select(key, F.lit("").alias("path"), F.expr(f"try_parse_json(regexp_replace({column}, r'{_AROUND}', ''))").alias("v")).where("v is not null")
+    level = written(rows, "leaves")
+    found = []
+    while not level.isEmpty():
+        kind = "schema_of_variant(v)"
+        numbers = level.where(F.expr(f"{kind} = 'BIGINT' or {kind} = 'DOUBLE' or {kind} = 'FLOAT' or {kind} like 'DECIMAL%'"))
+        found.append(numbers.select(key, "path", F.expr("try_variant_get(v, '$', 'double')").alias("value")))
+        inner = level.where(F.expr(f"{kind} like 'OBJECT%' or {kind} like 'ARRAY%'"))
+        parts = inner.selectExpr(key, "path", f"{kind} like 'ARRAY%' as listed", "v as _outer").lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_outer").outer()))
+        step = F.when(F.col("listed"), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "key"))
+        level = written(parts.select(key, step.alias("path"), F.col("value").alias("v")).where("v is not null"), "leaves")
+    return reduce(DataFrame.unionByName, found) if found else rows.select(key, "path", F.lit(0.0).alias("value")).limit(0)
+
+
+#: Byte-order mark and white space around a JSON text.
+_AROUND = r"^[\x{FEFF} \n\r\t]+|[\x{FEFF} \n\r\t]+$"
+
+
+def labelled_pages(expected: DataFrame, actual: DataFrame, keys: list[str], debug: DataFrame | None = None) -> DataFrame:
+    """Expectations with what was found on their page; pages that were not extracted are left out.
+
+    ``expected`` and ``actual`` meet on keys and the 1-based ``page``; ``debug`` (candidates, by the
+    same keys) may lack pages.
+    """
+    on = [*keys, "page"]
+    found = expected.join(actual, on)
+    return found.join(debug, on, "left") if debug is not None else found.withColumn("candidates", F.lit(None).cast("bigint"))
+
+
+#: What a page expects and what it holds; missing columns and nulls count as 0.
+_EXPECTED = (
+    "expected_formula_count", "formula_false_positive_budget", "expected_tables", "expected_decorative_images", "expected_meaningful_figures", "expected_figure_captions",
+    "expected_vector_only_regions", "headings_expected", "heading_matches", "regions_expected", "region_matches", "snippets_expected", "snippets_matched",
+)
+_FOUND = ("formulas", "headings", "tables", "images", "figures", "captioned_figures")
+
+
+def page_results(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + page + counts, matches and shares of formulas, headings, tables, regions and figures of each labelled page.
+
+    A share is 1 where nothing was expected (or, for precision, found). Text or table metrics can be
+    skipped by a page. What exceeds the expected formulas may use up the page's budget.
+    """
+    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") if c in pages.columns else F.lit(0).cast("bigint") for c in (*_EXPECTED, *_FOUND)}
+    skip = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in pages.columns else F.lit(False)
+    no_text, no_tables = skip("skip_text_metrics"), skip("skip_table_metrics")
+    kept = lambda c, no: F.when(no, F.lit(0)).otherwise(n[c])
+    less = lambda a, b: F.greatest(a - b, F.lit(0))
+    share = lambda a, b: F.round(F.when(b == 0, F.lit(1.0)).otherwise(a / b), 9)
+
+    formulas, wanted = kept("formulas", no_text), n["expected_formula_count"]
+    hits = F.least(formulas, wanted)
+    detection = F.col("expected_formula_detection_count") if "expected_formula_detection_count" in pages.columns else F.lit(None).cast("bigint")
+    told = detection.isNotNull() & F.col("candidates").isNotNull()
+    seen, asked = F.when(told, F.col("candidates")).otherwise(formulas), F.when(told, detection).otherwise(wanted)
+    allowed = F.when(told, asked + n["formula_false_positive_budget"]).otherwise(asked)
+    detected = F.least(seen, asked)
+    headings, matched = kept("headings", no_text), F.when(no_text, F.lit(0)).otherwise(n["heading_matches"])
+    tables, table_expected = kept("tables", no_tables), n["expected_tables"] > 0
+    regions = F.when(n["regions_expected"] == 0, F.lit(0)).otherwise(tables)
+    region_hits = F.when(no_tables, F.lit(0)).otherwise(n["region_matches"])
+    figures, captioned = n["figures"], n["captioned_figures"]
+    figure_hits, pairs = F.least(figures, n["expected_meaningful_figures"]), F.least(captioned, n["expected_figure_captions"])
+    leaked = less(less(figures, captioned), less(n["expected_meaningful_figures"], captioned))
+    suppressed = less(n["expected_decorative_images"], F.least(n["images"] + leaked, n["expected_decorative_images"]))
+    vectors = F.least(figures, n["expected_vector_only_regions"])
+    columns = {
+        "formula_found": formulas, "formula_expected": wanted, "formula_matches": hits, "formula_false_positives": less(formulas, hits), "formula_recall": share(hits, wanted), "formula_precision": share(hits, formulas),
+        "detection_found": seen, "detection_expected": asked, "detection_matches": detected, "detection_false_positives": less(seen, F.when(told, allowed).otherwise(detected)),
+        "detection_recall": share(detected, asked), "detection_precision": F.when(told & (seen <= allowed), F.lit(1.0)).otherwise(share(detected, seen)),
+        "snippets_expected": n["snippets_expected"], "snippets_matched": n["snippets_matched"], "snippet_recall": share(n["snippets_matched"], n["snippets_expected"]),
+        "heading_found": headings, "heading_expected": n["headings_expected"], "heading_matches": matched, "heading_false_positives": less(headings, matched), "heading_accuracy": share(matched, n["headings_expected"]), "heading_precision": share(matched, headings),
+        "table_found": tables > 0, "table_expected": table_expected, "table_true_positive": (tables > 0) & table_expected, "table_false_positive": (tables > 0) & ~table_expected,
+        "regions_found": regions, "regions_expected": n["regions_expected"], "region_matches": region_hits, "region_recall": share(region_hits, n["regions_expected"]), "region_precision": share(region_hits, regions),
+        "decorative_expected": n["expected_decorative_images"], "decorative_suppressed": suppressed, "suppression_rate": share(suppressed, n["expected_decorative_images"]),
+        "figures_found": figures, "figures_expected": n["expected_meaningful_figures"], "figure_matches": figure_hits, "retention_rate": share(figure_hits, n["expected_meaningful_figures"]),
+        "caption_pairs_found": pairs, "caption_pairs_expected": n["expected_figure_captions"], "pairing_rate": share(pairs, n["expected_figure_captions"]),
+        "vector_regions_expected": n["expected_vector_only_regions"], "vector_regions_acknowledged": vectors, "acknowledgement_rate": share(vectors, n["expected_vector_only_regions"]),
+    }
+    return pages.select(*keys, "page", *[c.alias(name) for name, c in columns.items()])
+
+
+#: Shares of a document: name, the counts whose sums give the micro share, the page share whose mean is the macro share.
+_SHARES = (
+    ("formula_recall", "formula_matches", "formula_expected"), ("formula_precision", "formula_matches", "formula_found"), ("detection_recall", "detection_matches", "detection_expected"),
+    ("snippet_recall", "snippets_matched", "snippets_expected"), ("heading_accuracy", "heading_matches", "heading_expected"), ("heading_precision", "heading_matches", "heading_found"),
+    ("region_recall", "region_matches", "regions_expected"), ("region_precision", "region_matches", "regions_found"), ("suppression_rate", "decorative_suppressed", "decorative_expected"),
+    ("retention_rate", "figure_matches", "figures_expected"), ("pairing_rate", "caption_pairs_found", "caption_pairs_expected"), ("acknowledgement_rate", "vector_regions_acknowledged", "vector_regions_expected"),
+)
+
+
+def document_results(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + pages + table recall and precision by pages + micro and macro shares of a document's pages."""
+    flag = lambda c: F.count_if(F.col(c))
+    share = lambda a, b: F.round(F.when(b == 0, F.lit(1.0)).otherwise(a / b), 9)
+    out = [F.count(F.lit(1)).alias("pages"), share(flag("table_true_positive"), flag("table_expected")).alias("table_recall"), share(flag("table_true_positive"), flag("table_found")).alias("table_precision")]
+    for name, hit, total in _SHARES:
+        out += [share(F.sum(hit), F.sum(total)).alias(f"{name}_micro"), F.round(F.avg(name), 9).alias(f"{name}_macro")]
+    return results.groupBy(*keys).agg(*out)
+
+
+def markdown_elements(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + headings, tables, formulas, figures, lists, paragraphs and code blocks of Markdown lines, told line by line.
+
+    Each line has one class; tables and lists are counted at the first of lines that only headings,
+    formulas and fences interrupt, paragraphs at the next line that is blank or a comment.
+    """
+    t = F.trim(F.col("line"))
+    fence, dollars = t.startswith("```"), t.startswith("$$")
+    kind = (
+        F.when(t.startswith("#"), "heading").when(dollars, "block").when(t.startswith("$"), "formula").when(fence, "fence").when(t.startswith("|") & t.endswith("|"), "table")
+        .when(t.startswith("![") & t.contains("]("), "figure").when(t.rlike(r"^[-*+] |^[0-9]\. ") & ((F.length(t) > 2) | ~t.rlike("^[0-9]")), "list").when((t == "") | t.startswith("<!--"), "gap").otherwise("text")
+    )
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    last = lambda *skipped: F.last(F.when(~F.col("k").isin(*skipped), F.col("k")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = lines.withColumn("k", kind)
+    x = x.withColumns({"open_table": last("heading", "block", "formula", "fence"), "open_list": last("heading", "block", "formula", "fence", "table", "figure"), "after": F.last(F.when(F.col("k").isin("text", "gap"), F.col("k")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    one = lambda c: F.count_if(c)
+    is_, new = (lambda k: F.col("k") == k), (lambda k, c: (F.col("k") == k) & ~F.col(c).eqNullSafe(F.lit(k)))
+    return x.groupBy(*keys).agg(
+        one(is_("heading")).alias("headings"), one(new("table", "open_table")).alias("tables"), (F.floor(one(is_("block")) / 2) + one(is_("formula"))).alias("formulas"), one(is_("figure")).alias("figures"),
+        one(new("list", "open_list")).alias("lists"), one(new("text", "after")).alias("paragraphs"), F.ceil(one(is_("fence")) / 2).alias("code_blocks"),
+    )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import predicates as P
 from docloom.functions import text as T
 from docloom.functions.geometry import area, box
-from docloom.operators.base import BLOCK_KEYS, HEIGHT, MARGIN, WIDTH
+from docloom.operators.base import BLOCK_KEYS, HEIGHT, WIDTH
+from docloom.session import written
 
 #: Fixed values of the page tests.
 MARGIN_SHARE, SIDE_SHARE, REPEAT_SHARE = 0.08, 0.10, 0.5
@@ -54,36 +55,54 @@ def _union_box() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
-def margin_lines(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_num, signature, box): words in the top or bottom margin grouped by baseline.
+def margin_words(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Words in a margin of their page, with token, base and whether they stand in the top or bottom (``edge``) or a side margin (``side``).
 
-    Words without baseline use the box's lower edge. Baselines within 0.8 of the font size (3 to
-    10 points) of the line before belong to one line.
+    The test of the place comes first: only margin words get a token.
     """
-    base = F.coalesce("baseline_y", "y1")
-    inside = with_page(words, pages).withColumn("token", T.furniture_token(F.col("text"))).withColumn("base", base)
-    inside = inside.where((F.col("token") != "") & ((F.col("y0") < F.col("height") * F.lit(MARGIN_SHARE)) | (F.col("y1") > F.col("height") * F.lit(1 - MARGIN_SHARE))))
+    sized = with_page(words.select(*BLOCK_KEYS, "widx", "text", "font_size", "x0", "y0", "x1", "y1", "baseline_y"), pages)
+    edge = (F.col("y0") < F.col("height") * F.lit(MARGIN_SHARE)) | (F.col("y1") > F.col("height") * F.lit(1 - MARGIN_SHARE))
+    side = (F.col("x1") <= F.col("width") * F.lit(SIDE_SHARE)) | (F.col("x0") >= F.col("width") * F.lit(1 - SIDE_SHARE))
+    placed = sized.where(edge | side).withColumns({"edge": edge, "side": side, "base": F.coalesce("baseline_y", "y1")})
+    return placed.withColumn("token", T.furniture_token(F.col("text"))).drop("text", "baseline_y", "width", "height")
+
+
+def _edge_lines(margin: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page_num").orderBy("base", "x0", "block_id", "widx")
     tolerance = F.least(F.greatest(F.col("font_size") * F.lit(0.8), F.lit(3.0)), F.lit(10.0))
+    inside = margin.where(F.col("edge") & (F.col("token") != ""))
     lined = inside.withColumn("new", F.when(F.col("base") - F.lag("base").over(w) <= tolerance, 0).otherwise(1)).withColumn("line", F.sum("new").over(w))
     tokens = F.array_sort(F.collect_list(F.struct("x0", "block_id", "widx", "token")))
     grouped = lined.groupBy("doc_id", "page_num", "line").agg(tokens.alias("ts"), *_union_box())
     return grouped.select("doc_id", "page_num", F.array_join(F.transform("ts", lambda t: t["token"]), " ").alias("signature"), "x0", "y0", "x1", "y1")
 
 
+def _side_tokens(margin: DataFrame) -> DataFrame:
+    return margin.where(F.col("side") & (F.octet_length("token") >= 4)).select("doc_id", "page_num", F.col("token").alias("signature"), "x0", "y0", "x1", "y1")
+
+
+def margin_lines(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, signature, box): words in the top or bottom margin grouped by baseline.
+
+    Words without baseline use the box's lower edge. Baselines within 0.8 of the font size (3 to
+    10 points) of the line before belong to one line.
+    """
+    return _edge_lines(margin_words(words, pages))
+
+
 def side_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, signature, box): words of at least 4 bytes in the left or right margin."""
-    sided = with_page(words, pages).withColumn("signature", T.furniture_token(F.col("text")))
-    side = (F.col("x1") <= F.col("width") * F.lit(SIDE_SHARE)) | (F.col("x0") >= F.col("width") * F.lit(1 - SIDE_SHARE))
-    return sided.where(side & (F.octet_length("signature") >= 4)).select("doc_id", "page_num", "signature", "x0", "y0", "x1", "y1")
+    return _side_tokens(margin_words(words, pages))
 
 
 def furniture(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, signature, box): margin text on at least half of a file's pages, and two.
 
-    A file of one page has none. Counts are per (file, signature) with map-side combining.
+    A file of one page has none. Margin text, a small part of the words, is found in one pass, written,
+    and read to be counted and to be told; counts are per (file, signature) with map-side combining.
     """
-    found = margin_lines(words, pages).unionByName(side_words(words, pages))
+    margin = margin_words(words, pages)
+    found = written(_edge_lines(margin).unionByName(_side_tokens(margin)), "margins")
     n_pages = words.select("doc_id", "page_num").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 2")
     seen = found.select("doc_id", "signature", "page_num").distinct().groupBy("doc_id", "signature").agg(F.count(F.lit(1)).alias("n"))
     often = seen.join(n_pages, "doc_id").where(F.col("n") >= F.greatest(F.ceil(F.col("n_pages") * F.lit(REPEAT_SHARE)), F.lit(2))).select("doc_id", "signature")
@@ -134,12 +153,17 @@ def scan_like(facts: DataFrame) -> DataFrame:
     return t.withColumn("likely_scan_like", like)
 
 
-def routed_pages(facts: DataFrame, classified: DataFrame, formulas: DataFrame) -> DataFrame:
-    """(doc_id, page_num, has_formula, math_heavy, low_density): pages for an external backend."""
-    with_formula = formulas.select("doc_id", "page_num").distinct().withColumn("has_formula", F.lit(True))
-    j = facts.join(with_formula, ["doc_id", "page_num"], "left")
-    out = j.select("doc_id", "page_num", F.coalesce("has_formula", F.lit(False)).alias("has_formula"), (F.col("math_chars") >= MATH_LIMIT).alias("math_heavy"), "low_density")
-    return out.where("has_formula or math_heavy or low_density")
+def routed_pages(facts: DataFrame, cells: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(doc_id, page_num, has_table, has_formula, math_heavy, low_density): pages for an external backend.
+
+    ``cells`` has a row for each block that is a table cell (``pagefolds.page_grid_cells``).
+    """
+    page = ["doc_id", "page_num"]
+    has = lambda df, name: df.select(*page).distinct().withColumn(name, F.lit(True))
+    j = facts.join(has(cells, "has_table"), page, "left").join(has(formulas, "has_formula"), page, "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    out = j.select(*page, flag("has_table"), flag("has_formula"), (F.col("math_chars") >= MATH_LIMIT).alias("math_heavy"), "low_density")
+    return out.where("has_table or has_formula or math_heavy or low_density")
 
 
 def search_hits(blocks: DataFrame, needle: str) -> DataFrame:
@@ -212,8 +236,3 @@ def headings_split(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases:
         "level": F.when(head, F.col("_level")).when(~body, F.col("level")),
         "ordered": F.when(~head, F.col("ordered")), "depth": F.when(~head, F.col("depth")),
     }).drop("_level", "_head", "_rest", "_edge", "body_size", "base_level")
-
-
-def body_only(df: DataFrame) -> DataFrame:
-    """Without the page-margin blocks."""
-    return df.where(F.col("block_id") < MARGIN)

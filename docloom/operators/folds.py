@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import predicates as P
 from docloom.functions import text as T
+from docloom.operators import policy
 
 PAGE = ["doc_id", "page_num"]
 
@@ -54,20 +55,33 @@ def column_centres(words: DataFrame) -> DataFrame:
     return placed.join(modal, [*PAGE, "n"]).groupBy(*PAGE, "ordinal").agg(F.round(F.avg((F.col("x0") + F.col("x1")) / 2), 6).alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
-def table_evidence(words: DataFrame) -> DataFrame:
-    """(doc_id, page_num, rows, row_consistency, numeric_density, score): how much a page's rows look like a table.
+def table_evidence(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, rows, row_consistency, column_alignment, numeric_density, prose_penalty, score): how much a page's rows look like a table.
 
-    Score: 0.32 consistency + 0.24 alignment + 0.24 numbers + source and row bonus, within 0 to 1;
-    alignment is 1 when all modal rows share their column count.
+    The rows of a page are scored as one candidate of aligned text: alignment leans on the modal width of
+    the rows and on the widest row's share of the page, and is at most 0.68 where rows differ.
     """
     value = P.is_value_token(F.col("text")).cast("int")
-    rows = baseline_rows(words).withColumn("value", value).groupBy(*PAGE, "row").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("values"))
-    per = rows.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"), F.sum("values").alias("values"))
-    mode = rows.groupBy(*PAGE, "n").agg(F.count(F.lit(1)).alias("hits")).groupBy(*PAGE).agg(F.max("hits").alias("hits"))
-    j = per.join(mode, PAGE).withColumns({"row_consistency": F.col("hits") / F.col("rows"), "numeric_density": F.col("values") / F.col("words")})
-    bonus = F.when(F.col("rows") <= 3, 0.0).when(F.col("rows") <= 6, 0.04).when(F.col("rows") <= 9, 0.08).otherwise(0.12)
-    raw = F.col("row_consistency") * F.lit(0.32) + F.lit(0.24) * F.col("row_consistency") + F.col("numeric_density") * F.lit(0.24) + F.lit(0.02) + bonus
-    return j.select(*PAGE, "rows", F.round("row_consistency", 9).alias("row_consistency"), F.round("numeric_density", 9).alias("numeric_density"), F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 9).alias("score"))
+    w = baseline_rows(words).withColumn("value", value)
+    rows = w.groupBy(*PAGE, "row").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("values"), (F.max("x1") - F.min("x0")).alias("wide"),
+        F.bool_or(F.lower("text").isin(*P.STOPWORDS)).alias("stop"),
+    )
+    prose = (F.col("n") >= 6) & F.col("stop") & (F.col("values") == 0)
+    per = rows.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"), F.sum("values").alias("values"), F.max("wide").alias("wide"), F.count_if(prose).alias("prose"))
+    counted = rows.groupBy(*PAGE, "n").agg(F.count(F.lit(1)).alias("hits")).groupBy(*PAGE).agg(F.max(F.struct("hits", "n")).alias("m"))
+    size = pages.groupBy(*PAGE).agg(F.max("width").alias("width"))
+    j = per.join(counted.select(*PAGE, "m.hits", F.col("m.n").alias("columns")), PAGE).join(size, PAGE, "left")
+    consistency = F.col("hits") / F.col("rows")
+    reach = F.least(F.col("wide") / F.greatest(F.coalesce("width", F.lit(612.0)), F.lit(1.0)), F.lit(1.0))
+    alignment = consistency * F.lit(0.70) + reach * F.lit(0.30) + F.when(F.col("columns") >= 6, F.lit(0.05)).otherwise(F.lit(0.0))
+    alignment = F.least(alignment, F.when(F.col("hits") < F.col("rows"), F.lit(0.68)).otherwise(F.lit(1.0)))
+    features = j.select(
+        *PAGE, "rows", consistency.alias("row_consistency"), F.greatest(alignment, F.lit(0.0)).alias("column_alignment"), (F.col("values") / F.col("words")).alias("numeric_density"),
+        (F.col("prose") / F.col("rows") * F.lit(0.25)).alias("prose_penalty"), F.lit("TextAlignment").alias("source"), F.lit(0.0).alias("caption_score"), F.lit(0.0).alias("broad_page_penalty"),
+    )
+    scored = policy.evidence_score(features)
+    return scored.select(*PAGE, "rows", *[F.round(c, 9).alias(c) for c in ("row_consistency", "column_alignment", "numeric_density", "prose_penalty", "score")])
 
 
 def upper_median_font(words: DataFrame) -> DataFrame:
@@ -115,13 +129,17 @@ def sections(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
 
 def list_numbering(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, run, ordered, number): list items in runs of neighbouring items, ordered ones numbered."""
+    """(doc_id, line_no, run, ordered, depth, number): list items in runs of neighbouring items, ordered ones numbered by depth within the run.
+
+    The depth of a line is its indent: two blanks or a tab a level.
+    """
     item = P.is_ordered_item(F.col("line")) | P.is_unordered_item(F.col("line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.where(item).withColumn("island", F.col("line_no") - F.row_number().over(w)).withColumn("ordered", P.is_ordered_item(F.col("line")))
+    indent = F.length(F.replace(F.regexp_extract("line", r"^([ \t]*)", 1), F.lit("\t"), F.lit("  ")))
+    rows = lines.where(item).withColumn("island", F.col("line_no") - F.row_number().over(w)).withColumns({"ordered": P.is_ordered_item(F.col("line")), "depth": F.floor(indent / 2).cast("int")})
     first = F.min("line_no").over(Window.partitionBy("doc_id", "island"))
-    number = F.when(F.col("ordered"), F.row_number().over(Window.partitionBy("doc_id", "island", "ordered").orderBy("line_no")))
-    return rows.select("doc_id", "line_no", first.alias("run"), "ordered", number.alias("number"))
+    number = F.when(F.col("ordered"), F.row_number().over(Window.partitionBy("doc_id", "island", "ordered", "depth").orderBy("line_no")))
+    return rows.select("doc_id", "line_no", first.alias("run"), "ordered", "depth", number.alias("number"))
 
 
 def adjacent_distinct(lines: DataFrame) -> DataFrame:
@@ -190,6 +208,15 @@ def implicit_tables(blocks: DataFrame, least: int = 3) -> DataFrame:
     return kept.where(F.col("n_rows") >= least).select(*PAGE, "first_order", "n_rows", F.col("v").alias("n_values"), F.array_join(F.transform("rs", line), "\n").alias("rows"))
 
 
+def text_runs(blocks: DataFrame, limit: int = 18) -> DataFrame:
+    """Keys + run_length: how many paragraphs and list items follow from each such block on, itself included, up to a limit."""
+    w = Window.partitionBy(*PAGE).orderBy("reading_order", "block_id")
+    numbered = blocks.withColumn("_n", F.row_number().over(w)).where(F.col("kind").isin("Paragraph", "ListItem"))
+    island = numbered.withColumn("_island", F.col("_n") - F.row_number().over(w))
+    left = F.max("_n").over(Window.partitionBy(*PAGE, "_island")) - F.col("_n") + 1
+    return island.select(*PAGE, "block_id", F.least(left, F.lit(limit)).alias("run_length"))
+
+
 def form_fields(lines: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """keys + (line_no, label, value): labels with a colon and their value, inline or on the next line, in runs of 3."""
     w = Window.partitionBy(*keys).orderBy("line_no")

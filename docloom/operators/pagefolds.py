@@ -17,10 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.predicates import HEADER_WORDS, STOPWORDS
+from docloom.functions.predicates import HEADER_WORDS, STOPWORDS, is_no_table_block
 from docloom.functions.text import LATEX
+from docloom.operators.policy import SOURCE_BONUS
 
 PAGE = ["doc_id", "page_num"]
+#: Page size where a report has none.
+WIDTH, HEIGHT = 612.0, 792.0
 Box = tuple[float, float, float, float]
 
 # --- boxes -----------------------------------------------------------------------------------
@@ -160,6 +163,8 @@ def keep_better(boxes: list[Box], rank: list[float], share: float = 0.65) -> lis
 # --- tables ----------------------------------------------------------------------------------
 
 _EDGE = ",;:†‡*"
+#: Bonus of table evidence up to so many rows.
+ROW_BONUS = ((3, 0.0), (6, 0.04), (9, 0.08), (10**9, 0.12))
 
 
 def is_value(text: str) -> bool:
@@ -211,15 +216,41 @@ def _runs(rows: list[Row], starts: Callable, goes_on: Callable, spread: float) -
     return out
 
 
-def _table(rows: list[Row], first: int, width: float, source: str, bonus: float) -> dict | None:
+def evidence_score(source: str, rows: int, consistency: float, alignment: float, numbers: float, caption: float = 0.0, prose: float = 0.0) -> float:
+    """How sure a table is, 0 to 1: weighted evidence, bonuses by source and rows, less the penalty for prose rows."""
+    extra = next(bonus for most, bonus in ROW_BONUS if rows <= most)
+    return min(max(0.32 * consistency + 0.24 * alignment + 0.24 * numbers + 0.05 * caption + SOURCE_BONUS[source] + extra - prose, 0.0), 1.0)
+
+
+def _modal_width(rows: list[Row]) -> tuple[int, int]:
+    """(words, rows): the most frequent number of words in a row, the larger of equals."""
+    return max(Counter(len(r.words) for r in rows).items(), key=lambda kv: (kv[1], kv[0]))
+
+
+def _numbers(rows: list[Row]) -> float:
+    texts = [t for r in rows for t in r.texts]
+    return sum(map(is_value, texts)) / max(len(texts), 1)
+
+
+def _reach(rows: list[Row], width: float) -> float:
+    """The widest row as a share of the page, 1 at most."""
+    return min(max(r.box[2] - r.box[0] for r in rows) / max(width, 1.0), 1.0)
+
+
+def _found(rows: list[Row], cells: list[list[str]], source: str, confidence: float, prose: float, markdown: bool) -> dict:
+    ids = sorted({w.block_id for r in rows for w in r.words})
+    return {"box": union([r.box for r in rows]), "rows": cells, "confidence": confidence, "render": "Markdown" if markdown else "Layout", "source": source, "ids": ids, "layout": layout_text(rows), "prose": prose}
+
+
+def _table(rows: list[Row], first: int, width: float, source: str) -> dict | None:
     """A table from rows of which those before ``first`` are its header; None where it is none."""
     data = rows[first:]
-    columns, hits = max(Counter(len(r.words) for r in data).items(), key=lambda kv: (kv[1], kv[0]))
+    columns, hits = _modal_width(data)
     prose = sum(is_prose(r.texts) for r in data)
     if columns < 3 or hits < 3 or (len(data) >= 8 and prose * 10 >= len(data) * 3):
         return None
     modal = [r for r in data if len(r.words) == columns]
-    centres = [fmean((r.words[k].x0 + r.words[k].x1) / 2 for r in modal) for k in range(columns)]
+    centres = _centres(modal, columns)
     nearest = lambda w: min(range(columns), key=lambda k: abs((w.x0 + w.x1) / 2 - centres[k]))
 
     def cells(row: Row) -> list[str]:
@@ -237,16 +268,128 @@ def _table(rows: list[Row], first: int, width: float, source: str, bonus: float)
             if token and token not in home:
                 home.append(token)
     header = [" ".join(h) or f"Column {k + 1}" for k, h in enumerate(heads)]
-    aligned = [r for r in modal if all(abs((w.x0 + w.x1) / 2 - c) <= 1.8 * max(r.font, 8.0) for w, c in zip(r.words, centres, strict=True))]
-    total = sum(len(r.words) for r in data)
-    box = union([r.box for r in rows])
-    score = (
-        0.32 * hits / len(data) + 0.24 * len(aligned) / len(modal) + 0.24 * sum(is_value(t) for r in data for t in r.texts) / total + bonus
-        + (0.0 if len(data) <= 3 else 0.04 if len(data) <= 6 else 0.08 if len(data) <= 9 else 0.12) - 0.2 * prose / len(data) - (0.08 if box[2] - box[0] >= 0.9 * width else 0.0)
-    )
-    score = min(max(score, 0.0), 1.0)
     regular = len(modal) == len(data)
-    return {"box": box, "rows": [header, *map(cells, data)], "confidence": score, "render": "Markdown" if score >= 0.70 and regular else "Layout", "source": source, "ids": sorted({w.block_id for r in rows for w in r.words}), "layout": layout_text(rows)}
+    consistency, penalty = hits / len(data), 0.25 * prose / len(data)
+    alignment = 0.70 * consistency + 0.30 * _reach(data, width) + (0.05 if columns >= 6 else 0.0)
+    score = evidence_score(source, len(data), consistency, min(alignment, 1.0 if regular else 0.68), _numbers(data), prose=penalty)
+    return _found(rows, [header, *map(cells, data)], source, score, penalty, score >= 0.70 and regular)
+
+
+def _centres(rows: list[Row], columns: int) -> list[float]:
+    """Mean centre of each word position over rows of as many words."""
+    return [fmean((r.words[k].x0 + r.words[k].x1) / 2 for r in rows) for k in range(columns)]
+
+
+def row_starts(xs: list[float], gap: float = 45.0) -> list[float]:
+    """Left edges of a row as groups: an edge within the gap of the last group moves it half way, another starts one."""
+    out: list[float] = []
+    for x in xs:
+        if out and x - out[-1] <= gap:
+            out[-1] = (out[-1] + x) / 2
+        else:
+            out.append(x)
+    return out
+
+
+def form_columns(starts: list[float], width: float) -> list[float]:
+    """Column positions that rows of a form share; none where they are under 3, too narrow or too many."""
+    xs = sorted(starts)
+    gaps = sorted(b - a for a, b in zip(xs, xs[1:]) if b - a > 5.0)
+    tolerance = min(max(gaps[min(int(len(gaps) * 0.70), len(gaps) - 1)], 25.0), 50.0) if len(gaps) >= 3 else 35.0
+    groups: list[list[float]] = []
+    for x in xs:
+        if groups and abs(x - fmean(groups[-1])) <= tolerance:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    columns = [fmean(g) for g in groups]
+    span = columns[-1] - columns[0] if columns else 0.0
+    most = max(int(20.0 * width / 612.0 + 0.5), 15)
+    if not 3 <= len(columns) <= most or span <= 0 or span / len(columns) < 30.0 or len(columns) / max(span / 72.0, 0.1) > 10.0:
+        return []
+    return columns
+
+
+def form_tables(rows: list[Row], width: float) -> list[dict]:
+    """Tables of forms: runs of rows whose words start at columns that the page's rows share."""
+    prose = [is_prose(r.texts) or (r.box[2] - r.box[0] > 0.55 * width and len(" ".join(r.texts)) > 60) for r in rows]
+    barred = [p or re.fullmatch(r"\.\d+", r.texts[0].strip()) is not None for r, p in zip(rows, prose, strict=True)]
+    starts = [row_starts([w.x0 for w in r.words]) for r in rows]
+    shared_ = [x for s, no in zip(starts, barred, strict=True) if len(s) >= 3 and not no for x in s]
+    columns = form_columns(shared_, width) if len(rows) >= 3 and width > 0 and len(shared_) >= 9 else []
+    if not columns:
+        return []
+    near = lambda x: min(range(len(columns)), key=lambda k: abs(x - columns[k]))
+    fits = [not no and len({near(x) for x in s if abs(x - columns[near(x)]) <= 40.0}) >= 2 for s, no in zip(starts, barred, strict=True)]
+    if sum(fits) < 3 or sum(fits) * 5 < len(rows):
+        return []
+    home = lambda x: next((k for k in range(len(columns) - 1) if x < columns[k + 1] - 20.0), len(columns) - 1)
+    out, i = [], 0
+    while i < len(rows):
+        j = i + 1
+        while fits[i] and j < len(rows) and fits[j] and rows[j].base - rows[j - 1].base <= 3.4 * max(rows[j].font, rows[j - 1].font):
+            j += 1
+        run = rows[i:j]
+        if fits[i] and len(run) >= 3:
+            cells: list[list[str]] = []
+            for r in run:
+                row: list[list[str]] = [[] for _ in columns]
+                for w in r.words:
+                    row[home(w.x0)].append(w.text.strip())
+                cells.append([" ".join(c) for c in row])
+            alignment = 0.55 + 0.20 * _reach(run, width) + 0.25 * min(len(columns) / 6.0, 1.0)
+            score = max(evidence_score("TextAlignment", len(run), 1.0, min(alignment, 1.0), _numbers(run)), 0.50)
+            out.append(_found(run, cells, "TextAlignment", score, 0.0, score >= 0.68))
+        i = j
+    return out
+
+
+def _captioned(row: Row) -> bool:
+    text = " ".join(row.texts).lower()
+    return "table " in text and ":" in text
+
+
+def _after_table(row: Row, n: int) -> bool:
+    """Whether a row after ``n`` rows of a captioned table no longer belongs to it: a caption, a section, a sentence, prose."""
+    text = " ".join(row.texts)
+    section = re.match(r"[.()]*[0-9]*[.()]*\s+[A-Z]", text) is not None
+    sentence = len(row.words) >= 7 and text.rstrip().endswith(".") and re.match(r"(?i)(these|this|the|values) ", text) is not None
+    return (n >= 1 and _captioned(row)) or (n >= 3 and section) or (n >= 4 and (sentence or is_prose(row.texts)))
+
+
+def captioned_tables(rows: list[Row], width: float) -> list[dict]:
+    """Up to 18 rows after a caption line, as they stand."""
+    out, k = [], 0
+    while k < len(rows):
+        j = k + 1
+        while _captioned(rows[k]) and j < len(rows) and j - k <= 18 and (j == k + 1 or rows[j].base - rows[j - 1].base <= rows[j].font * 3.4) and not _after_table(rows[j], j - k - 1):
+            j += 1
+        run = rows[k + 1 : j]
+        if len(run) >= 3:
+            consistency = max(Counter(len(r.words) for r in run).values()) / len(run)
+            alignment = min(0.65 * consistency + 0.35 * _reach(run, width), 1.0)
+            score = max(evidence_score("ExplicitRegion", len(run), consistency, alignment, _numbers(run), caption=0.95), 0.48)
+            out.append(_found(run, [r.texts for r in run], "ExplicitRegion", score, 0.0, False))
+        k = j
+    return out
+
+
+def aligned_tables(rows: list[Row], width: float) -> list[dict]:
+    """Runs of at least 4 rows of 3 to 16 words whose words stand in stable columns; the first row is the header."""
+    aligned = lambda r: 3 <= len(r.words) <= 16 and r.box[2] - r.box[0] >= 70 and sum(bool(t.strip()) for t in r.texts) >= 3
+    out = []
+    for i, j in _runs(rows, aligned, aligned, 2.8):
+        run = rows[i:j]
+        if len(run) < 4 or all(is_prose(r.texts) for r in run):
+            continue
+        columns, hits = _modal_width(run)
+        modal = [r for r in run if len(r.words) == columns]
+        if columns < 3 or hits < 3:
+            continue
+        centres = _centres(modal, columns)
+        if all(abs((w.x0 + w.x1) / 2 - c) <= 1.8 * max(w.font_size, 8.0) for r in modal for w, c in zip(r.words, centres, strict=True)):
+            out.append(_table(run, 1, width, "TextAlignment"))
+    return [t for t in out if t]
 
 
 def layout_text(rows: list[Row]) -> str:
@@ -276,7 +419,7 @@ def _header_start(rows: list[Row], first: int) -> int:
 
 
 def coordinate_tables(words: list, width: float) -> list[dict]:
-    """Tables from word positions: numeric rows, and only where there are none, aligned and captioned rows."""
+    """Tables from word positions: numeric rows, and only where there are none, form columns, aligned and captioned rows."""
     rows = word_rows(words)
     if len(words) < 12 or len(rows) < 4:
         return []
@@ -285,21 +428,8 @@ def coordinate_tables(words: list, width: float) -> list[dict]:
     for i, j in _runs(rows, lambda r: is_data(r.texts), lambda r: is_data(r.texts) or weak(r), 2.6):
         if sum(is_data(r.texts) for r in rows[i:j]) >= 3:
             start = _header_start(rows, i)
-            found.append(_table(rows[start:j], i - start, width, "NumericRows", 0.10))
-    found = [t for t in found if t]
-    if not found:
-        aligned = lambda r: 3 <= len(r.words) <= 16 and r.box[2] - r.box[0] >= 70
-        for i, j in _runs(rows, aligned, aligned, 2.8):
-            if j - i >= 4 and not all(is_prose(r.texts) for r in rows[i:j]):
-                found.append(_table(rows[i:j], 0, width, "TextAlignment", 0.02))
-        for k, r in enumerate(rows):
-            if re.match(r"(?i)table\s.*:", " ".join(r.texts)):
-                j = k + 1
-                while j < len(rows) and j - k <= 18 and (j == k + 1 or rows[j].base - rows[j - 1].base <= rows[j].font * 3.4) and not (j > k + 4 and is_prose(rows[j].texts)):
-                    j += 1
-                if j - k - 1 >= 3:
-                    found.append(_table(rows[k + 1 : j], 0, width, "ExplicitRegion", 0.02 + 0.05 * 0.95))
-        found = [t for t in found if t]
+            found.append(_table(rows[start:j], i - start, width, "NumericRows"))
+    found = [t for t in found if t] or [*form_tables(rows, width), *aligned_tables(rows, width), *captioned_tables(rows, width)]
     kept = keep_better([t["box"] for t in found], [t["confidence"] + (0.05 if t["render"] == "Markdown" else 0.0) for t in found])
     return [found[i] for i in kept]
 
@@ -342,6 +472,54 @@ def merge_regions(regions: list[dict], share: float = 0.6) -> list[dict]:
     return kept
 
 
+def _centre(w) -> float:
+    return (w.x0 + w.x1) / 2
+
+
+def whitespace_region(words: list, width: float) -> list[dict]:
+    """The region of rows that share at least 3 columns parted by white space: 3 rows of 3 words whose centres recur."""
+    kept = sorted((w for w in words if w.text.strip()), key=lambda w: ((w.y0 + w.y1) / 2, w.x0, w.block_id, w.widx))
+    rows = [r for r in lines_by_first(kept, lambda w: (w.y0 + w.y1) / 2, lambda w: 8.0) if len(r) >= 3]
+    tolerance = min(max(width * 0.018, 8.0), 18.0)
+    groups: list[list[float]] = []
+    for x in sorted(_centre(w) for r in rows for w in r):
+        if groups and abs(x - fmean(groups[-1])) <= tolerance:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    columns = [fmean(g) for g in groups if len(g) >= 3]
+    if len(kept) < 9 or len(rows) < 3 or len(columns) < 3:
+        return []
+    near = lambda w: min(range(len(columns)), key=lambda k: abs(_centre(w) - columns[k]))
+    fits = [r for r in rows if len({near(w) for w in r if abs(_centre(w) - columns[near(w)]) <= 2.0 * max(w.font_size, 8.0)}) >= 3]
+    if len(fits) < 3:
+        return []
+    x0, y0, x1, y1 = union([(w.x0, w.y0, w.x1, w.y1) for r in fits for w in r])
+    return [{"box": (x0 - 3.0, y0 - 3.0, x1 + 3.0, y1 + 3.0), "source": "Whitespace", "crossings": 0}]
+
+
+def region_tables(words: list, rules: list, width: float, height: float) -> list[dict]:
+    """Tables in regions of ruling lines and of white space; regions of prose on most of a page are none."""
+    found = []
+    for region in merge_regions(ruled_regions(rules, words, width, height) + whitespace_region(words, width)):
+        x0, y0, x1, y1 = region["box"]
+        inside = [w for w in words if w.x0 < x1 and w.x1 > x0 and w.y0 < y1 and w.y1 > y0]
+        if len(inside) < 3:
+            continue
+        rows = [Row(g) for g in lines_by_first(sorted(inside, key=lambda w: (w.base, w.x0, w.block_id, w.widx)), lambda w: w.base, lambda w: max(w.font_size * 0.65, 4.0))]
+        prose = sum(len(r.texts) >= 6 and any(t.lower() in STOPWORDS for t in r.texts) and not any(c.isdigit() and c.isascii() for t in r.texts for c in t) for r in rows)
+        if len(rows) >= 8 and y1 - y0 >= 0.45 * height and prose * 10 >= len(rows) * 3:
+            continue
+        source = "TextAlignment" if region["source"] == "Whitespace" else region["source"]
+        consistency = max(Counter(len(r.words) for r in rows).values()) / len(rows)
+        numbers = _numbers(rows)
+        # A region of at least 35 % of the page's height needs stronger evidence.
+        broad = {"TextAlignment": 0.28, "RulingBand": 0.12, "RulingGrid": 0.04}[source] if y1 - y0 >= 0.35 * height else 0.0
+        score = evidence_score(source, len(rows), consistency, min((consistency + max(numbers, 0.20)) / 2, 1.0), numbers, prose=broad + 0.35 * prose / len(rows))
+        found.append(_found(rows, [r.texts for r in rows], source, score, 0.35 * prose / len(rows), consistency >= 0.80 and len(rows) >= 3) | {"box": region["box"]})
+    return found
+
+
 def grid_cells(boxes: list[Box], numeric: list[bool]) -> dict[int, tuple[int, int]]:
     """(row, column) by box where boxes form a grid: rows of two or more that follow each other, 2 to 10 columns."""
     if len(boxes) < 4:
@@ -555,16 +733,17 @@ def page_reading_order(blocks: DataFrame) -> DataFrame:
     return _per_page(blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1").dropna(), "block_id bigint, position int", fold)
 
 
-def page_grid_cells(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_num, block_id, cell_row, cell_col): short blocks that form a grid."""
-    short = blocks.where((F.octet_length("text") <= 200) & (F.trim("text") != ""))
+def page_grid_cells(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, page_num, block_id, cell_row, cell_col): blocks that form a grid; ``sizes`` has the body size of each file."""
+    small = blocks.join(sizes, "doc_id", "left").withColumn("_body", F.coalesce("body_size", F.lit(0.0)))
+    small = small.where(~is_no_table_block(F.col("text"), F.col("x1") - F.col("x0"), F.col("font_size"), F.col("_body")))
 
     def fold(_: tuple, page: list) -> list[tuple]:
         rows = _rows(page, "y0", "x0", "block_id")
         cells = grid_cells([(r.x0, r.y0, r.x1, r.y1) for r in rows], [is_value(r.text.strip()) for r in rows])
         return [(rows[i].block_id, *cell) for i, cell in cells.items()]
 
-    return _per_page(short.select(*PAGE, "block_id", "text", "x0", "y0", "x1", "y1").dropna(), "block_id bigint, cell_row int, cell_col int", fold)
+    return _per_page(small.select(*PAGE, "block_id", "text", "x0", "y0", "x1", "y1").dropna(), "block_id bigint, cell_row int, cell_col int", fold)
 
 
 def page_lines(words: DataFrame) -> DataFrame:
@@ -588,15 +767,31 @@ def _based(words: DataFrame) -> DataFrame:
     return words.where("text is not null").dropna(subset=["font_size", "x0", "y0", "x1", "y1"]).select(*PAGE, "block_id", "widx", "text", "font_size", "x0", "y0", "x1", "y1", base)
 
 
-def page_tables(words: DataFrame, width: float = 612.0) -> DataFrame:
-    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, source_block_ids, rows, layout_text)."""
+def _with_size(df: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Rows and one more for each page that has a size, told by ``width`` over 0: a fold gets its page's size without a join."""
+    out = df.withColumns({"width": F.lit(0.0), "height": F.lit(0.0)})
+    if pages is None:
+        return out
+    blank = [F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(0).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in PAGE]
+    return out.unionByName(pages.where("width > 0 and height > 0").select(*PAGE, *blank, "width", "height"))
+
+
+def _sized(page: list) -> tuple[list, float, float]:
+    """(rows, width, height) of a page; the usual size where no report has one."""
+    width, height = max(((r.width, r.height) for r in page if r.width > 0), default=(WIDTH, HEIGHT))
+    return [r for r in page if r.width == 0], width, height
+
+
+def page_tables(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, prose_penalty, source_block_ids, rows, layout_text, width, height)."""
 
     def fold(_: tuple, page: list) -> list[tuple]:
-        found = coordinate_tables(_rows(page, "base", "x0", "block_id", "widx"), width)
-        return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), len(t["rows"][0]), *t["box"], t["ids"], t["rows"], t["layout"]) for k, t in enumerate(found)]
+        rows, width, height = _sized(page)
+        found = coordinate_tables(_rows(rows, "base", "x0", "block_id", "widx"), width)
+        return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), max(map(len, t["rows"])), *t["box"], round(t["prose"], 9), t["ids"], t["rows"], t["layout"], width, height) for k, t in enumerate(found)]
 
-    schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, source_block_ids array<bigint>, rows array<array<string>>, layout_text string"
-    return _per_page(_based(words), schema, fold)
+    schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, prose_penalty double, source_block_ids array<bigint>, rows array<array<string>>, layout_text string, width double, height double"
+    return _per_page(_with_size(_based(words), pages), schema, fold)
 
 
 def page_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -636,7 +831,7 @@ def source_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
     return _per_page(both, "latex string", fold, [*PAGE, "formula_index"])
 
 
-def page_figures(blocks: DataFrame, images: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
+def page_figures(blocks: DataFrame, images: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_num, figure_no, confidence, reason, caption, box): figures of each page.
 
     ``blocks`` has kind; ``images`` has image_index and its box. Pages with neither caption nor image give none.
@@ -647,9 +842,29 @@ def page_figures(blocks: DataFrame, images: DataFrame, width: float = 612.0, hei
     both = both.unionByName(images.select(*PAGE, F.lit("image").alias("role"), F.lit("").alias("text"), "x0", "y0", "x1", "y1")).dropna()
 
     def fold(_: tuple, page: list) -> list[tuple]:
-        rows = _rows(page, "role", "y0", "x0")
+        rows, width, height = _sized(page)
+        rows = _rows(rows, "role", "y0", "x0")
         of = lambda role: [(r.x0, r.y0, r.x1, r.y1) for r in rows if r.role == role]
         found = figures(of("image"), [((r.x0, r.y0, r.x1, r.y1), r.text) for r in rows if r.role == "caption"], of("body"), width, height)
         return [(k, f["confidence"], f["reason"], f["caption"], *f["box"]) for k, f in enumerate(found)]
 
-    return _per_page(both, "figure_no int, confidence int, reason string, caption string, x0 double, y0 double, x1 double, y1 double", fold)
+    return _per_page(_with_size(both, pages), "figure_no int, confidence int, reason string, caption string, x0 double, y0 double, x1 double, y1 double", fold)
+
+
+def page_ruled_tables(words: DataFrame, rules: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, rows): tables between ruling lines, or of columns of white space where a page has no lines.
+
+    ``rules`` has orientation ('h' or 'v'), pos, lo and hi. Words and rules of a page meet in one fold.
+    """
+    w = _based(words).withColumns({"orientation": F.lit(""), "pos": F.lit(0.0), "lo": F.lit(0.0), "hi": F.lit(0.0)})
+    blank = [F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(0).cast(f.dataType).alias(f.name) for f in _based(words).schema.fields if f.name not in PAGE]
+    both = w.unionByName(rules.dropna(subset=["orientation", "pos", "lo", "hi"]).select(*PAGE, *blank, "orientation", "pos", "lo", "hi"))
+
+    def fold(_: tuple, page: list) -> list[tuple]:
+        rows, width, height = _sized(page)
+        inside = _rows([r for r in rows if not r.orientation], "base", "x0", "block_id", "widx")
+        found = region_tables(inside, [r for r in rows if r.orientation], width, height)
+        return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), max(map(len, t["rows"])), *t["box"], t["rows"]) for k, t in enumerate(found)]
+
+    schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"
+    return _per_page(_with_size(both, pages), schema, fold)

@@ -90,3 +90,15 @@ def crop(pages: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFr
     if not (x1 > x0 and y1 > y0):
         raise ValueError("a crop box needs x1 > x0 and y1 > y0")
     return pages.select("doc_id", "page_num", *[F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)])
+
+
+#: Names of the document information fields as users write them.
+METADATA_FIELDS = ("title", "author", "subject", "keywords", "creator", "producer", "created", "modified")
+
+
+def metadata_fields(requests: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, field): the fields that an array of names stands for; ``all`` is every one, repeats count once, unknown names none."""
+    every = F.array(*map(F.lit, METADATA_FIELDS))
+    name = F.lower(F.trim(F.col("_name")))
+    named = requests.select(key, F.explode(column).alias("_name")).select(key, F.explode(F.when(name == "all", every).otherwise(F.array(name))).alias("field"))
+    return named.where(F.col("field").isin(*METADATA_FIELDS)).distinct()

@@ -44,7 +44,7 @@ def block_markdown(kind: Column, level: Column, text: Column, ordered: Column, d
         .when(kind == "Caption", F.concat(F.lit("*"), t, F.lit("*")))
         .when(kind == "CodeBlock", F.concat(F.lit("```\n"), t, F.lit("\n```")))
         .when(kind == "Formula", F.concat(F.lit("$$ "), t, F.lit(" $$")))
-        .when(kind == "Table", t)
+        .when(kind.isin("Table", "Figure"), t)
         .otherwise(T.paragraph_text(t))
     )
 
@@ -100,3 +100,19 @@ def front_matter(classified: DataFrame) -> DataFrame:
         .when(between & P.is_affiliation(t), "affiliation").when(between & P.is_author_line(t), "author").otherwise("body")
     )
     return p.select("doc_id", "block_id", "position", role.alias("role"))
+
+
+def scholarly_pages(classified: DataFrame, within: int = 16) -> DataFrame:
+    """(doc_id, page_num, blocks, abstract_at, metadata): first pages of papers.
+
+    A first page of 3 blocks or more counts with a block that is or begins the abstract (the first gives
+    ``abstract_at``) or with metadata lines among its first blocks.
+    """
+    from docloom.functions import predicates as P
+
+    first = classified.where((F.col("page_num") == 0) & ~F.col("kind").isin(*HIDDEN))
+    t = T.trim(F.col("text"))
+    p = first.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("reading_order", "block_id")) - 1)
+    starts = (F.lower(t) == "abstract") | T.abstract_text(t).isNotNull()
+    per = p.groupBy("doc_id", "page_num").agg(F.count(F.lit(1)).alias("blocks"), F.min(F.when(starts, F.col("position"))).alias("abstract_at"), F.count_if(P.is_scholarly(t) & (F.col("position") < within)).alias("metadata"))
+    return per.where("blocks >= 3 and (abstract_at is not null or metadata > 0)")

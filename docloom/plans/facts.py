@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from docloom.functions import predicates as P
-from docloom.operators import base, facts
+from docloom.operators import base, facts, media, pagefolds
 from docloom.operators.base import sql
 from docloom.plans.scalars import _collapse, _title, _trim
 
@@ -41,11 +43,29 @@ def _classified(spark, d):
     return facts.classified(b, base.pages(spark, d), facts.body_font_size(b), facts.heading_base(b))
 
 
+def _boxes(spark, d):
+    """Formula boxes stand in for figures: the tables hold no images."""
+    return base.formulas(spark, d).select("doc_id", "page_num", F.col("formula_index").alias("id"), F.lit("Figure").alias("kind"), F.col("equation_number").alias("caption"), "x0", "y0", "x1", "y1")
+
+
+def _warnings(spark, d):
+    found = facts.page_facts(base.blocks(spark, d), base.pages(spark, d))
+    return media.warnings(found, base.formulas(spark, d), facts.scan_like(found))
+
+
+def _cells(spark, d):
+    return pagefolds.page_grid_cells(base.body_blocks(spark, d), facts.body_font_size(base.blocks(spark, d)))
+
+
 QUERIES = {
     "inspect_pages": lambda spark, d: facts.page_facts(base.blocks(spark, d), base.pages(spark, d)),
     "inspect_documents": lambda spark, d: facts.scan_like(facts.page_facts(base.blocks(spark, d), base.pages(spark, d))),
-    "ocr_triage_report": lambda spark, d: facts.ocr_triage(facts.page_facts(base.blocks(spark, d), base.pages(spark, d))).drop("pages_needing_ocr"),
-    "route_pages": lambda spark, d: facts.routed_pages(facts.page_facts(base.blocks(spark, d), base.pages(spark, d)), base.blocks(spark, d), base.formulas(spark, d)),
+    "ocr_triage_report": lambda spark, d: facts.ocr_triage(facts.page_facts(base.blocks(spark, d), base.pages(spark, d))).withColumn("pages_needing_ocr", F.array_join("pages_needing_ocr", ",")),
+    "route_pages": lambda spark, d: facts.routed_pages(facts.page_facts(base.blocks(spark, d), base.pages(spark, d)), _cells(spark, d), base.formulas(spark, d)),
+    "conversion_warnings": lambda spark, d: _warnings(spark, d),
+    "kept_text": lambda spark, d: media.kept_text(_classified(spark, d), facts.repeated_edge_text(base.blocks(spark, d), base.pages(spark, d))).select(*base.BLOCK_KEYS),
+    "repeated_media": lambda spark, d: media.repeated_media(_boxes(spark, d), base.pages(spark, d)).select("doc_id", "fingerprint.*", "n_pages"),
+    "media_plan": lambda spark, d: media.media_plan(_boxes(spark, d), _classified(spark, d), base.pages(spark, d)),
     "body_font_size": lambda spark, d: facts.body_font_size(base.blocks(spark, d)),
     "block_font_size": lambda spark, d: facts.dominant_font_size(base.words(spark, d)),
     "heading_base": lambda spark, d: facts.heading_base(base.blocks(spark, d)),
@@ -64,13 +84,28 @@ SQL = {
         "t as (select doc_id, count(*) as page_count, count_if(readable_text) as readable_pages, count_if(image_only) as image_only_pages, count_if(low_density) as low_density_pages from pf group by 1)",
     ),
     "ocr_triage_report": sql(
-        "select doc_id, count(*) as pages_total, count_if(readable_text) as pages_with_readable_text, count_if(image_only) as image_only_pages, count_if(low_density) as low_density_pages, cast(sum(replacements) as bigint) as suspicious_replacement_chars from pf group by 1",
+        "select doc_id, count(*) as pages_total, count_if(readable_text) as pages_with_readable_text, count_if(image_only) as image_only_pages, count_if(low_density) as low_density_pages, cast(sum(replacements) as bigint) as suspicious_replacement_chars,"
+        " coalesce(string_agg(cast(page_num + 1 as varchar), ',' order by page_num) filter (where image_only or (not readable_text and low_density) or replacements >= 8), '') as pages_needing_ocr from pf group by 1",
         _FACTS,
     ),
-    "route_pages": sql(
-        "select * from (select pf.doc_id, pf.page_num, f.doc_id is not null as has_formula, math_chars >= 4 as math_heavy, low_density from pf left join (select distinct doc_id, page_num from formulas) f on f.doc_id = pf.doc_id and f.page_num = pf.page_num) where has_formula or math_heavy or low_density",
+    "conversion_warnings": sql(
+        "select doc_id, 'pages-without-text' as warning, count_if(n_blocks = 0) as n, count(*) as of, null::varchar as advice from pf group by 1 having count_if(n_blocks = 0) > 0"
+        " union all select f.doc_id, 'formula-candidates', n, of, 'backend' from (select doc_id, count(*) as n from formulas group by 1) f join (select doc_id, count(*) as of from pf group by 1) p using (doc_id)"
+        " union all select doc_id, 'scan-heavy', count_if(low_density), count(*), 'ocr' from pf group by 1 having bool_and(image_only) or (not bool_or(readable_text) and bool_or(low_density))",
         _FACTS,
     ),
+    "kept_text": sql(
+        f"select c.doc_id, c.page_num, c.block_id from cl3 c left join (select doc_id, {_TOKEN} as key, min(page_num) as first_page from sized where (y1 <= height * 0.18::double or y0 >= height * 0.84::double) and length({_TOKEN}) >= 4 and strlen(text) <= 120 group by 1, 2 having count(distinct page_num) >= 3) r"
+        f" on r.doc_id = c.doc_id and c.kind in ('Heading', 'Paragraph') and r.key = {_TOKEN.replace('text', 'c.text')} where r.doc_id is null or c.page_num <= r.first_page",
+        _PAGE,
+        _BODY,
+        _BASE,
+        _LEVEL,
+    ),
+    "repeated_media": sql(
+        "select doc_id, x, y, w, h, band, count(distinct page_num) as n_pages from (select f.doc_id, f.page_num, " + ", ".join(f"cast(round(least(greatest({v}, 0.0), 1.0) * 10) as int) as {n}" for n, v in (("x", "(x0 + x1) / 2 / greatest(pw, 1.0)"), ("y", "(y0 + y1) / 2 / greatest(ph, 1.0)"), ("w", "(x1 - x0) / greatest(pw, 1.0)"), ("h", "(y1 - y0) / greatest(ph, 1.0)")))
+        + ", case when y1 <= ph * 0.18::double then 0 when y0 >= ph * 0.84::double then 1 else 2 end as band from (select f.*, coalesce(p.width, 612.0) as pw, coalesce(p.height, 792.0) as ph from formulas f left join pages p using (doc_id, page_num)) f) group by all having count(distinct page_num) >= 2"
+    ),
     "body_font_size": sql("select * from body", _BODY),
     "block_font_size": sql("select distinct on (doc_id, page_num, block_id) doc_id, page_num, block_id, size as font_size from s order by doc_id, page_num, block_id, n desc, size", "s as (select doc_id, page_num, block_id, round(font_size, 1) as size, count(*) as n from words group by all)"),
     "heading_base": sql("select * from hb", _BASE),

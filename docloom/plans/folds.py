@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docloom.functions import predicates as P
 from docloom.functions import text as T
-from docloom.operators import base, folds
+from docloom.operators import base, folds, render
 from docloom.operators.base import sql
 from docloom.plans import facts as facts_plan
 from docloom.plans.scalars import WS, _collapse, _has, _re, _trim, _value, _words
@@ -18,6 +18,17 @@ _STRUCT = rf"regexp_matches({_trim('line')}, '^(#|<!--|\||!\[|\$\$|- |\*Figure|[
 _CLS = (facts_plan._PAGE, facts_plan._BODY, facts_plan._BASE, facts_plan._LEVEL)
 
 
+_LABEL = _trim("regexp_replace(" + _trim(_re("label")) + ", ':+$', '')")
+
+
+def _is_field(t: str) -> str:
+    return f"(ends_with({_trim(t)}, ':') and strlen({_trim(t)}) <= 48 and len({_words(t)}) <= 6 and not contains({_trim(t)}, '.'))"
+
+
+def _is_choice(w: str) -> str:
+    return rf"(len({w}) between 2 and 8 and len(list_filter({w}, lambda x: strlen(x) <= 18 and regexp_matches(x, '[\p{{L}}\p{{N}}]') and not regexp_matches(x, '[:.,]'))) = len({w}))"
+
+
 def _md(s, d):
     return base.markdown_lines(s, d)
 
@@ -27,7 +38,7 @@ QUERIES = {
     "word_builder": lambda s, d: folds.word_builder(base.words(s, d)),
     "row_width_mode": lambda s, d: folds.row_width_mode(base.words(s, d)),
     "column_centres": lambda s, d: folds.column_centres(base.words(s, d)),
-    "table_evidence": lambda s, d: folds.table_evidence(base.words(s, d)),
+    "table_evidence": lambda s, d: folds.table_evidence(base.words(s, d), base.pages(s, d)),
     "upper_median_font": lambda s, d: folds.upper_median_font(base.words(s, d)),
     "adaptive_tolerance": lambda s, d: folds.adaptive_tolerance(base.words(s, d)),
     "row_runs": lambda s, d: folds.data_runs(_md(s, d), ["doc_id"]),
@@ -40,6 +51,8 @@ QUERIES = {
     "top_formulas": lambda s, d: folds.top_per_page(base.formulas(s, d).where("confidence is not null"), ["formula_index"], "confidence", 2).select("doc_id", "page_num", "formula_index", "confidence", "rank"),
 }
 QUERIES |= {
+    "text_runs": lambda s, d: folds.text_runs(facts_plan._classified(s, d)),
+    "scholarly_pages": lambda s, d: render.scholarly_pages(facts_plan._classified(s, d)),
     "implicit_tables": lambda s, d: folds.implicit_tables(_md(s, d).selectExpr("doc_id", "cast(0 as bigint) as page_num", "line_no as block_id", "line_no as reading_order", "line as text")),
     "form_fields": lambda s, d: folds.form_fields(_md(s, d), ["doc_id"]),
 }
@@ -62,11 +75,14 @@ SQL = {
         'p as (select *, row_number() over (partition by doc_id, page_num, "row" order by x0, block_id, widx) as ordinal, count(*) over (partition by doc_id, page_num, "row") as w from br)',
     ),
     "table_evidence": sql(
-        "select doc_id, page_num, rows, round(hits / rows, 9) as row_consistency, round(vals / words, 9) as numeric_density,"
-        " round(least(greatest(hits / rows * 0.32::double + 0.24::double * (hits / rows) + vals / words * 0.24::double + 0.02::double + (case when rows <= 3 then 0.0 when rows <= 6 then 0.04 when rows <= 9 then 0.08 else 0.12 end)::double, 0.0), 1.0), 9) as score"
-        " from (select doc_id, page_num, count(*) as rows, sum(n) as words, sum(vals) as vals from e group by all) join (select doc_id, page_num, max(hits) as hits from (select doc_id, page_num, n, count(*) as hits from e group by all) group by all) using (doc_id, page_num)",
+        "select doc_id, page_num, rows, round(c, 9) as row_consistency, round(al, 9) as column_alignment, round(nd, 9) as numeric_density, round(pp, 9) as prose_penalty,"
+        " round(least(greatest(c * 0.32::double + al * 0.24::double + nd * 0.24::double + 0.02::double + (case when rows <= 3 then 0.0 when rows <= 6 then 0.04 when rows <= 9 then 0.08 else 0.12 end)::double - pp, 0.0), 1.0), 9) as score from"
+        " (select *, greatest(least(c * 0.70::double + least(wide / greatest(coalesce(pw, 612.0), 1.0), 1.0) * 0.30::double + (case when cols >= 6 then 0.05 else 0.0 end)::double, (case when hits < rows then 0.68 else 1.0 end)::double), 0.0) as al from"
+        " (select e.*, h.hits, h.cols, hits / rows as c, vals / words as nd, prose / rows * 0.25::double as pp, p.pw from (select doc_id, page_num, count(*) as rows, sum(n) as words, sum(vals) as vals, max(wide) as wide, count_if(n >= 6 and stop and vals = 0) as prose from e group by all) e"
+        " join (select distinct on (doc_id, page_num) doc_id, page_num, hits, n as cols from (select doc_id, page_num, n, count(*) as hits from e group by all) order by doc_id, page_num, hits desc, n desc) h using (doc_id, page_num)"
+        " left join (select doc_id, page_num, max(width) as pw from pages group by all) p using (doc_id, page_num)))",
         _ROWS,
-        f'e as (select doc_id, page_num, "row", count(*) as n, count_if({_value("text")}) as vals from br group by all)',
+        f"""e as (select doc_id, page_num, "row", count(*) as n, count_if({_value("text")}) as vals, max(x1) - min(x0) as wide, bool_or(lower(text) in ({", ".join(f"'{w}'" for w in P.STOPWORDS)})) as stop from br group by all)""",
     ),
     "upper_median_font": sql("select doc_id, page_num, greatest(list_sort(list(font_size))[count(*) // 2 + 1], 1.0) as font_size from words group by all"),
     "adaptive_tolerance": sql(
@@ -79,8 +95,22 @@ SQL = {
         "s2 as (select *, coalesce(last_value(marker ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), 1) as page, count(level) over (partition by doc_id order by line_no rows unbounded preceding) as section_no from s0)",
     ),
     "list_numbering": sql(
-        "select doc_id, line_no, min(line_no) over (partition by doc_id, island) as run, ordered, case when ordered then row_number() over (partition by doc_id, island, ordered order by line_no) end as number from (select *, line_no - row_number() over (partition by doc_id order by line_no) as island from i)",
-        f"i as (select doc_id, line_no, regexp_matches(line, '{P.ORDERED}') as ordered from markdown_lines where regexp_matches(line, '{P.ORDERED}') or regexp_matches(line, '{P.UNORDERED}'))",
+        "select doc_id, line_no, min(line_no) over (partition by doc_id, island) as run, ordered, depth, case when ordered then row_number() over (partition by doc_id, island, ordered, depth order by line_no) end as number from (select *, line_no - row_number() over (partition by doc_id order by line_no) as island from i)",
+        rf"i as (select doc_id, line_no, regexp_matches(line, '{P.ORDERED}') as ordered, cast(length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '  ')) // 2 as int) as depth from markdown_lines where regexp_matches(line, '{P.ORDERED}') or regexp_matches(line, '{P.UNORDERED}'))",
+    ),
+    "text_runs": sql(
+        "select doc_id, page_num, block_id, least(max(n) over (partition by doc_id, page_num, island) - n + 1, 18) as run_length from (select *, n - row_number() over (partition by doc_id, page_num order by reading_order, block_id) as island from (select *, row_number() over (partition by doc_id, page_num order by reading_order, block_id) as n from cl3) where kind in ('Paragraph', 'ListItem'))",
+        *_CLS,
+    ),
+    "scholarly_pages": sql(
+        rf"select doc_id, page_num, blocks, abstract_at, metadata from (select doc_id, page_num, count(*) as blocks, min(case when lower(t) = 'abstract' or regexp_extract(t, '(?is)^abstract[{WS}:—–-]*(.*)$', 1) <> '' then p end) as abstract_at, count_if((regexp_matches(t, '{P.SCHOLARLY}') or regexp_matches(t, '{P.NOTE}')) and p < 16) as metadata from"
+        " (select *, row_number() over (partition by doc_id order by reading_order, block_id) - 1 as p from cl3 where page_num = 0 and kind not in ('PageNumber', 'RunningHeader', 'RunningFooter', 'Artifact')) group by 1, 2) where blocks >= 3 and (abstract_at is not null or metadata > 0)",
+        *_CLS,
+    ),
+    "form_fields": sql(
+        rf"select doc_id, line_no, {_LABEL} as label, value from (select *, count(*) over (partition by doc_id, run) as size from (select *, sum(n) over (partition by doc_id order by line_no rows unbounded preceding) as run from (select *, case when line_no - lag(line_no) over (partition by doc_id order by line_no) > 2 or lag(line_no) over (partition by doc_id order by line_no) is null then 1 else 0 end as n from q2 where {_is_field('label')} and value is not null))) where size >= 3",
+        rf"q1 as (select doc_id, line_no, regexp_extract(line, '^([^:]*:)', 1) as label, {_trim("regexp_extract(line, '^[^:]*:(.*)$', 1)")} as inl, {_trim('lead(line) over (partition by doc_id order by line_no)')} as nx from markdown_lines)",
+        rf"q2 as (select doc_id, line_no, label, case when inl <> '' then case when strlen(inl) <= 60 and not contains(inl, '.') then inl end when {_is_choice(_words('nx'))} then array_to_string({_words('nx')}, ' | ') when nx <> '' and not {_is_field('nx')} and not {_is_choice(_words('nx'))} and strlen(nx) <= 48 and len({_words('nx')}) <= 6 then nx end as value from q1)",
     ),
     "adjacent_distinct": sql("select doc_id, line_no, line from (select *, lag(line) over (partition by doc_id order by line_no) as l from markdown_lines) where line is distinct from l"),
     "merged_paragraphs": sql(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import base, evaluate, folds, nested, policy
+from docloom.operators import base, evaluate, folds, media, nested, policy
 from docloom.operators.base import sql
 from docloom.plans import folds as folds_plan
 from docloom.plans import nested as nested_plan
@@ -48,6 +49,29 @@ def _regions(s, d):
     return nested.fixture_table_regions(table(s, d, "fixture_files")).where("x0 is not null").select("fixture_id", "page_idx", F.col("region_idx").alias("idx"), "x0", "y0", "x1", "y1")
 
 
+def _detected(s, d):
+    """Regions as a detector might give them: moved by 6 points for each number, and every third in two halves."""
+    r = _regions(s, d).withColumn("k", F.col("idx") % 3)
+    moved = r.withColumns({"x0": F.col("x0") + 6 * F.col("k"), "x1": F.col("x1") + 6 * F.col("k"), "half": F.explode(F.when(F.col("k") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))})
+    middle = (F.col("y0") + F.col("y1")) / 2
+    cut = moved.withColumns({"y1": F.when(F.col("half") == 0, middle).otherwise(F.col("y1")), "y0": F.when(F.col("half") == 1, middle).otherwise(F.col("y0"))})
+    return cut.select("fixture_id", "page_idx", (F.col("idx") * 2 + (F.col("half") == 1).cast("int")).alias("idx"), "x0", "y0", "x1", "y1")
+
+
+def _labelled(s, d):
+    """The sections of rendered documents as expected headings by page, and the headings of their Markdown."""
+    page = F.coalesce("page_start", F.lit(1))
+    sections = base.rendered(s, d).where("markdown is not null").select("doc_id", F.inline("sections")).where("title <> 'Document'").select("doc_id", page.alias("page"), "title", "level")
+    lines = base.markdown_lines(s, d)
+    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    paged = lines.withColumn("page", F.coalesce(F.last(T.page_marker(F.col("line")), ignorenulls=True).over(upto), F.lit(1)).cast("bigint"))
+    heads = paged.select("doc_id", "page", T.heading_title(F.col("line")).alias("title"), T.heading_level(F.col("line")).alias("level"))
+    found = heads.groupBy("doc_id", "page").agg(F.count("title").alias("headings"))
+    matches = evaluate.heading_matches(sections, heads.where("title is not null"), ["doc_id", "page"])
+    expected = matches.select("doc_id", "page", F.col("expected").alias("headings_expected"), F.col("matched").alias("heading_matches"))
+    return evaluate.labelled_pages(expected, found, ["doc_id"])
+
+
 def _counts(s, d):
     blocks = base.body_blocks(s, d).groupBy("doc_id", "page_num").agg(F.count(F.lit(1)).alias("actual"))
     return blocks, base.pages(s, d).select("doc_id", "page_num", F.col("text_blocks").alias("expected"))
@@ -67,7 +91,11 @@ QUERIES = {
     "heading_matches": lambda s, d: evaluate.heading_matches(_expected(s, d), _actual(s, d), ["doc_id"]),
     "document_metrics": lambda s, d: evaluate.document_metrics(evaluate.heading_matches(_expected(s, d), _actual(s, d), ["doc_id"]), "doc_id"),
     "page_metrics": lambda s, d: evaluate.page_metrics(nested.fixture_pages(table(s, d, "fixture_files")), ["fixture_id", "page_idx"], "expected_formula_count", "expected_formula_detection_count", "formula_false_positive_budget"),
-    "region_matches": lambda s, d: evaluate.greedy_region_matches(_regions(s, d), _regions(s, d), ["fixture_id", "page_idx"], 0.05),
+    "region_matches": lambda s, d: evaluate.greedy_region_matches(_regions(s, d), _detected(s, d), ["fixture_id", "page_idx"], 0.05),
+    "page_results": lambda s, d: evaluate.page_results(_labelled(s, d), ["doc_id"]),
+    "document_results": lambda s, d: evaluate.document_results(evaluate.page_results(_labelled(s, d), ["doc_id"]), ["doc_id"]),
+    "markdown_elements": lambda s, d: evaluate.markdown_elements(base.markdown_lines(s, d), ["doc_id"]),
+    "density_warnings": lambda s, d: media.density_warnings(evaluate.markdown_quality(base.markdown_lines(s, d)), 1.0, 0.5),
     "report_diff": lambda s, d: evaluate.report_diff(base.reports(s, d).select("doc_id", *_METRICS), base.triage(s, d).select("doc_id", *_METRICS), "doc_id", _METRICS),
     "count_agreement": lambda s, d: evaluate.count_agreement(*_counts(s, d), ["doc_id", "page_num"]),
     "markdown_quality": lambda s, d: evaluate.markdown_quality(base.markdown_lines(s, d)),
@@ -95,7 +123,42 @@ _MD_HEAD = r"ah as (select doc_id, nullif(regexp_extract(line, '^#{1,6}\s+(\S.*?
 _MATCH = f"hm as (select e.doc_id, count(*) as expected, count_if(exists (select 1 from ah where ah.doc_id = e.doc_id and ah.level = e.level and lower({_collapse('ah.title')}) = lower({_collapse('e.title')}))) as matched from ex e group by 1)"
 _EXPECT = "ex0 as (select doc_id, unnest(sections) as s from rendered), ex as (select doc_id, s.title as title, s.level as level from ex0 where s.title <> 'Document')"
 
+_LABELLED = (
+    r"lx0 as (select doc_id, unnest(sections) as s from rendered where markdown is not null), lx as (select doc_id, coalesce(s.page_start, 1) as page, s.title as title, s.level as level from lx0 where s.title <> 'Document')",
+    r"lh as (select doc_id, line_no, coalesce(last_value(try_cast(nullif(regexp_extract(line, '^\s*<!-- page:([0-9]+) -->\s*$', 1), '') as bigint) ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), 1) as page, nullif(regexp_extract(line, '^#{1,6}\s+(\S.*?)\s*$', 1), '') as title, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) as level from markdown_lines)",
+    f"lm as (select e.doc_id, e.page, count(*) as n, count_if(exists (select 1 from lh where lh.doc_id = e.doc_id and lh.page = e.page and lh.level = e.level and lower({_collapse('lh.title')}) = lower({_collapse('e.title')}))) as hit from lx e group by 1, 2)",
+    "lr as (select doc_id, page, f.n as found, m.n as expected, hit from lm m join (select doc_id, page, count(title) as n from lh group by 1, 2) f using (doc_id, page))",
+)
+_ZEROS = ("formula_found", "formula_expected", "formula_matches", "formula_false_positives", "detection_found", "detection_expected", "detection_matches", "detection_false_positives", "snippets_expected", "snippets_matched", "regions_found", "regions_expected", "region_matches", "decorative_expected", "decorative_suppressed", "figures_found", "figures_expected", "figure_matches", "caption_pairs_found", "caption_pairs_expected", "vector_regions_expected", "vector_regions_acknowledged")
+_ONES = ("formula_recall", "formula_precision", "detection_recall", "detection_precision", "snippet_recall", "region_recall", "region_precision", "suppression_rate", "retention_rate", "pairing_rate", "acknowledgement_rate")
+_FALSE = ("table_found", "table_expected", "table_true_positive", "table_false_positive")
+
 SQL = {
+    "page_results": sql(
+        "select doc_id, page, found as heading_found, expected as heading_expected, hit as heading_matches, greatest(found - hit, 0) as heading_false_positives, round(case when expected = 0 then 1.0 else hit / expected end, 9) as heading_accuracy, round(case when found = 0 then 1.0 else hit / found end, 9) as heading_precision, "
+        + ", ".join([*(f"cast(0 as bigint) as {c}" for c in _ZEROS), *(f"1.0::double as {c}" for c in _ONES), *(f"false as {c}" for c in _FALSE)])
+        + " from lr",
+        *_LABELLED,
+    ),
+    "document_results": sql(
+        "select doc_id, count(*) as pages, 1.0::double as table_recall, 1.0::double as table_precision, round(case when sum(expected) = 0 then 1.0 else sum(hit) / sum(expected) end, 9) as heading_accuracy_micro, round(avg(round(case when expected = 0 then 1.0 else hit / expected end, 9)), 9) as heading_accuracy_macro,"
+        " round(case when sum(found) = 0 then 1.0 else sum(hit) / sum(found) end, 9) as heading_precision_micro, round(avg(round(case when found = 0 then 1.0 else hit / found end, 9)), 9) as heading_precision_macro, "
+        + ", ".join(f"1.0::double as {c}_{k}" for c in _ONES if c != "detection_precision" for k in ("micro", "macro"))
+        + " from lr group by 1",
+        *_LABELLED,
+    ),
+    "markdown_elements": sql(
+        "select doc_id, count_if(k = 'heading') as headings, count_if(k = 'table' and pt is distinct from 'table') as tables, cast(count_if(k = 'block') // 2 + count_if(k = 'formula') as bigint) as formulas, count_if(k = 'figure') as figures,"
+        " count_if(k = 'list' and pl is distinct from 'list') as lists, count_if(k = 'text' and pp is distinct from 'text') as paragraphs, cast((count_if(k = 'fence') + 1) // 2 as bigint) as code_blocks from me2 group by 1",
+        r"me1 as (select doc_id, line_no, case when starts_with(t, '#') then 'heading' when starts_with(t, '$$') then 'block' when starts_with(t, '$') then 'formula' when starts_with(t, '```') then 'fence' when starts_with(t, '|') and ends_with(t, '|') then 'table' when starts_with(t, '![') and contains(t, '](') then 'figure' when regexp_matches(t, '^[-*+] ') or (regexp_matches(t, '^[0-9]\. ') and length(t) > 2) then 'list' when t = '' or starts_with(t, '<!--') then 'gap' else 'text' end as k from (select doc_id, line_no, trim(line) as t from markdown_lines))",
+        "me2 as (select *, last_value(case when k not in ('heading', 'block', 'formula', 'fence') then k end ignore nulls) over w as pt, last_value(case when k not in ('heading', 'block', 'formula', 'fence', 'table', 'figure') then k end ignore nulls) over w as pl, last_value(case when k in ('text', 'gap') then k end ignore nulls) over w as pp from me1 window w as (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding))",
+    ),
+    "numeric_leaves": r"""
+with recursive f as (select fixture_id, max_by(body, received_at) as body from fixture_files group by 1),
+j as (select fixture_id, try_cast(regexp_replace(body, '^[\x{FEFF} \n\r\t]+|[\x{FEFF} \n\r\t]+$', '', 'g') as json) as v from f),
+t as (select fixture_id, '' as path, v from j where v is not null
+  union all select t.fixture_id, case when json_type(t.v) = 'ARRAY' then t.path || '[' || e.key || ']' when t.path = '' then e.key else t.path || '.' || e.key end, e.value from t, json_each(t.v) e where json_type(t.v) in ('ARRAY', 'OBJECT'))
+select fixture_id, path, cast(v as double) as value from t where json_type(v) in ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')""",
     "formula_emission": _emission("case when confidence >= 70 then 'high-confidence-local-auto' else 'low-confidence-local-auto' end"),
     "formula_emission_conservative": _emission("'local-heuristic-rejected-by-conservative-policy'"),
     "backend_rejection": sql(
@@ -158,6 +221,11 @@ SQL = {
         "q1 as (select *, count(marker) over (partition by doc_id order by line_no rows unbounded preceding) as page_no from q0)",
         f"e as (select doc_id, page_no, count_if({_trim('line')} <> '' and marker is null) as n from q1 where page_no > 0 group by all)",
     ),
+    "density_warnings": sql(
+        "select doc_id, 'heading-density' as warning, round(h / greatest(p, 1), 6) as per_page from dq where h / greatest(p, 1) > 1.0"
+        " union all select doc_id, 'image-density', round(i / greatest(p, 1), 6) from dq where i / greatest(p, 1) > 0.5",
+        r"dq as (select doc_id, count_if(regexp_matches(line, '^\s*<!-- page:([0-9]+) -->\s*$')) as p, count_if(starts_with(line, '#')) as h, count_if(contains(line, '![')) as i from markdown_lines group by 1)",
+    ),
     "gfm_tables": sql(
         rf"select doc_id, min(line_no) as first_line, count(*) as rows, max(len(string_split(regexp_replace(regexp_replace({_trim('line')}, '^\|', ''), '\|$', ''), '|'))) as columns from g where not regexp_matches(line, '^[\s|:-]+$') group by doc_id, island",
         r"g as (select *, line_no - row_number() over (partition by doc_id order by line_no) as island from markdown_lines where regexp_matches(line, '^\s*\|.*\|\s*$'))",

@@ -12,12 +12,10 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _SPACE, _DELIMITERS = b" \t\r\n\x0c\x00", b"()<>[]{}/%"
 
@@ -487,48 +485,25 @@ def rows_of(path: str, data: bytes, table: str) -> Iterator[tuple]:
             yield failed(e, k)
 
 
-@dataclass
-class _File(InputPartition):
-    path: str
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths, self.table = options.get("path", ""), options.get("table", "words")
-
-    def partitions(self) -> list[InputPartition]:
-        root = Path(self.paths.removeprefix("file://"))
-        if root.is_dir():
-            found = sorted(p for p in root.iterdir() if p.suffix.lower() == ".pdf")
-        else:
-            found = sorted(root.parent.glob(root.name)) if any(c in root.name for c in "*?[") else [root]
-        return [_File(str(p)) for p in found]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from rows_of(partition.path, Path(partition.path).read_bytes(), self.table)
-
-
-class PdfDataSource(DataSource):
-    """``format("pdfwords")``: files of a shared folder, a glob or one file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pdfwords"
+def read_pdf(spark: SparkSession, path: str, table: str = "words") -> DataFrame:
+    """A table of the PDF files of a folder, a glob or one file, on any file system Spark reads.
 
-    def schema(self) -> str:
-        return SCHEMAS[self.options.get("table", "words")]
+    Files are packed into partitions by size, and read and taken apart where a partition lies.
+    """
+    from docloom.session import ship
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+    ship(spark)
+    schema = SCHEMAS[table]
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
+    def run(batches):
+        import pandas as pd
 
-def read_pdf(spark: SparkSession, path: str, table: str = "words") -> DataFrame:
-    """A table of the PDF files at a path."""
-    from docloom.session import ship
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame(list(rows_of(file, content, table)), columns=names)
 
-    ship(spark)
-    spark.dataSource.register(PdfDataSource)
-    return spark.read.format("pdfwords").option("table", table).load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content").mapInPandas(run, schema)
 
 
 # --- writing ---------------------------------------------------------------------------------
@@ -600,15 +575,39 @@ def build(chosen: list[tuple[Pdf, dict]], info: dict[str, str] | None = None) ->
     return bytes(out + b"trailer\n" + _serial(trailer | {"Size": len(objects) + 1}) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
+def _box(pdf: Pdf, page: dict) -> list[float]:
+    """The page's media box, its own or that of a page tree above."""
+    node = page
+    while isinstance(node, dict) and "MediaBox" not in node:
+        node = pdf.get(node.get("Parent"))
+    return [float(pdf.get(v)) for v in pdf.get(node["MediaBox"])] if isinstance(node, dict) else [0.0, 0.0, 612.0, 792.0]
+
+
+def transformed(pdf: Pdf, page: dict, matrix: list[float], size: tuple[float, float]) -> dict:
+    """The page drawn through a matrix onto a sheet of a size; streams are wrapped, not rewritten."""
+    def added(data: bytes) -> Ref:
+        number = max(pdf.objects, default=0) + 1
+        pdf.objects[number] = Stream({}, data)
+        return Ref(number)
+
+    own = page.get("Contents")
+    listed = pdf.get(own)
+    parts = listed if isinstance(listed, list) else [own] if own is not None else []
+    head = added(b"q " + b" ".join(_serial(float(v)) for v in matrix) + b" cm\n")
+    return page | {"MediaBox": [0.0, 0.0, *size], "Contents": [head, *parts, added(b"\nQ\n")]}
+
+
 def apply_plan(files: DataFrame, plan: DataFrame) -> DataFrame:
     """(out, content, error): PDFs made by a page plan.
 
     ``files`` has doc_id and content; ``plan`` has out, doc_id, out_page, page (1-based) and may have
-    rotation. One output is one group; its files are those the plan names.
+    rotation, crop (x0, y0, x1, y1), and matrix (six numbers) with width and height of the new sheet.
+    One output is one group, as its bytes are one value; its files are those the plan names.
     """
-    has_turn = "rotation" in plan.columns
-    todo = plan.select("out", "doc_id", "out_page", "page", (F.col("rotation") if has_turn else F.lit(0)).cast("int").alias("rotation"))
-    first = todo.groupBy("out", "doc_id").agg(F.collect_list(F.struct("out_page", "page", "rotation")).alias("steps"))
+    optional = {"rotation": "int", "crop": "array<double>", "matrix": "array<double>", "width": "double", "height": "double"}
+    given = [(F.col(c) if c in plan.columns else F.lit(None)).cast(t).alias(c) for c, t in optional.items()]
+    todo = plan.select("out", "doc_id", "out_page", "page", *given)
+    first = todo.groupBy("out", "doc_id").agg(F.collect_list(F.struct("out_page", "page", *optional)).alias("steps"))
 
     def run(pdf_rows):
         try:
@@ -618,8 +617,16 @@ def apply_plan(files: DataFrame, plan: DataFrame) -> DataFrame:
                 pages = parsed.pages()
                 for s in row.steps:
                     page = dict(pages[s["page"] - 1])
-                    turned = (int(parsed.get(page.get("Rotate")) or 0) + s["rotation"]) % 360
+                    turned = (int(parsed.get(page.get("Rotate")) or 0) + int(s["rotation"] or 0)) % 360
                     page.pop("Rotate", None)
+                    page.setdefault("MediaBox", _box(parsed, page))
+                    if s["crop"] is not None and len(s["crop"]):
+                        x0, y0, x1, y1 = map(float, s["crop"])
+                        if x1 <= x0 or y1 <= y0:
+                            raise ValueError("an empty crop box")
+                        page["CropBox"] = [x0, y0, x1, y1]
+                    if s["matrix"] is not None and len(s["matrix"]):
+                        page = transformed(parsed, page, list(map(float, s["matrix"])), (float(s["width"]), float(s["height"])))
                     steps.append((s["out_page"], parsed, page | ({"Rotate": turned} if turned else {})))
             steps.sort(key=lambda s: s[0])
             made, error = build([(p, page) for _, p, page in steps]), None
@@ -630,3 +637,66 @@ def apply_plan(files: DataFrame, plan: DataFrame) -> DataFrame:
         return pd.DataFrame({"out": [pdf_rows["out"].iloc[0]], "content": [made], "error": [error]})
 
     return first.join(files.select("doc_id", "content"), "doc_id").groupBy("out").applyInPandas(run, "out string, content binary, error string")
+
+
+#: The document information fields.
+INFO_FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
+
+
+def with_info(data: bytes, changes: dict[str, str | None], now: str, force: bool = False) -> tuple[bytes, bool]:
+    """(file, whether it also has XMP metadata that stays as it is): information fields set, or cleared where None.
+
+    The change is appended, so all that was there stays. The date of change is set unless it is among
+    the changes. Signed files are refused unless forced; what was written is read back and compared.
+    """
+    unknown = sorted(set(changes) - set(INFO_FIELDS))
+    if unknown:
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    pdf = parse(data)
+    root = pdf.get(pdf.trailer["Root"]) or {}
+    form = pdf.get(root.get("AcroForm")) or {}
+    fields = [pdf.get(f) or {} for f in pdf.get(form.get("Fields")) or []]
+    if any(f.get("FT") == "Sig" for f in fields) and not force:
+        raise ValueError("the file is signed")
+    info = dict(pdf.get(pdf.trailer.get("Info")) or {})
+    wanted = {"ModDate": now} | changes
+    for name, value in wanted.items():
+        info.pop(name, None)
+        if value is not None:
+            info[name] = value.encode("latin-1") if value.isascii() else b"\xfe\xff" + value.encode("utf-16-be")
+    number = max(pdf.objects, default=0) + 1
+    out = bytearray(data if data.endswith(b"\n") else data + b"\n")
+    place = len(out)
+    out += b"%d 0 obj\n" % number + _serial(info) + b"\nendobj\n"
+    start, ahead = len(out), data.rfind(b"startxref")
+    old = re.match(rb"startxref\s+(\d+)", data[ahead:]) if ahead >= 0 else None
+    trailer = {"Root": pdf.trailer["Root"], "Info": Ref(number), "Size": number + 1} | ({"Prev": int(old[1])} if old else {})
+    out += b"xref\n%d 1\n%010d 00000 n \ntrailer\n" % (number, place) + _serial(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start
+    seen = parse(bytes(out))
+    stored = seen.get(seen.trailer["Info"])
+    if any(text_value(stored.get(k)) != v for k, v in wanted.items()):
+        raise ValueError("the fields read back differ")
+    return bytes(out), "Metadata" in root
+
+
+def set_metadata(files: DataFrame, changes: DataFrame, now: str, force: bool = False) -> DataFrame:
+    """(doc_id, content, xmp, error): files with changed information; ``changes`` has doc_id, field and value, null to clear it.
+
+    ``changes`` goes by file: one row of all its fields meets one file.
+    """
+    per = changes.groupBy("doc_id").agg(F.collect_list(F.struct("field", "value")).alias("changes"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for doc, content, todo in zip(batch["doc_id"], batch["content"], batch["changes"], strict=True):
+                try:
+                    made, xmp = with_info(content, {c["field"]: c["value"] for c in todo}, now, force)
+                    rows.append((doc, made, xmp, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((doc, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "xmp", "error"])
+
+    return files.select("doc_id", "content").join(per, "doc_id").mapInPandas(run, "doc_id bigint, content binary, xmp boolean, error string")

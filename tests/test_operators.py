@@ -4,8 +4,10 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.operators import enrich, evaluate, facts, folds, pageplan, render, spatial
+from docloom.functions import predicates, sqlfunctions
+from docloom.operators import enrich, evaluate, facts, folds, media, pageplan, render, spatial
 from docloom.sources import files
 from docloom.streaming import arrivals
 
@@ -108,7 +110,7 @@ def test_nulls_in_geometry_are_no_failure(spark):
     rows = [(1, 0, 0, 0, 0, None, None, None, None, None, None, None), (1, 0, 0, 0, 1, "a", 10.0, 1.0, 2.0, 3.0, 4.0, None)]
     words = spark.createDataFrame(rows, f"doc_id bigint, page_num bigint, block_id bigint, line_id bigint, widx bigint, text string, font_size double, {BOX}, baseline_y double")
     alone = words.where("widx = 0")
-    for op in (folds.upper_median_font, folds.adaptive_tolerance, folds.row_width_mode, folds.column_centres, folds.table_evidence, folds.word_builder, folds.grid_pivot):
+    for op in (folds.upper_median_font, folds.adaptive_tolerance, folds.row_width_mode, folds.column_centres, folds.word_builder, folds.grid_pivot):
         op(words).collect()
         op(alone).collect()
         op(words.limit(0)).collect()
@@ -141,3 +143,115 @@ def test_intermediates(spark):
     assert session.temporary_dir("local[4]", "probe") == session.temporary_dir("local[4]", "probe")
     with pytest.raises(RuntimeError, match="share"):
         session.temporary_dir("spark://host:7077", "probe")
+
+
+def test_media_plan(spark):
+    pages = spark.createDataFrame([(1, p, 600.0, 800.0) for p in range(4)], "doc_id bigint, page_num bigint, width double, height double")
+    schema = f"doc_id bigint, page_num bigint, id bigint, kind string, caption string, {BOX}"
+    tiny = [(1, p, 0, "Image", None, 0.0, 0.0, 20.0, 20.0) for p in range(3)]  # repeated, small, at the edge
+    big = [(1, 0, 1, "Figure", "Figure 1", 100.0, 200.0, 500.0, 500.0), (1, 0, 2, "Image", None, 100.0, 520.0, 400.0, 600.0)]
+    many = [(1, 3, k, "Image", "a caption" if k == 9 else None, 150.0 + k, 300.0, 350.0 + k, 420.0) for k in range(10)]
+    media_ = spark.createDataFrame(tiny + big + many, schema)
+    text = spark.createDataFrame([(1, 0, "Paragraph", "text", 0.0, 700.0, 10.0, 710.0)], f"doc_id bigint, page_num bigint, kind string, text string, {BOX}")
+    rows = {(r.page_num, r.id): r for r in media.media_plan(media_, text, pages).collect()}
+    assert [rows[p, 0].dropped for p in range(3)] == [True] * 3
+    assert rows[0, 1].kept
+    assert rows[0, 2].kept
+    assert rows[0, 1].score == 25 + 15 + 55 + 20 + 8
+    assert [k for k in range(10) if rows[3, k].kept] == [9]  # ten media leave room for one
+    (r,) = media.repeated_media(media_, pages).collect()
+    assert (r.n_pages, r.fingerprint.band) == (3, 0)
+    front = spark.createDataFrame([(1, 0)], "doc_id bigint, page_num bigint")
+    assert {r.id for r in media.media_plan(media_, text, pages, front).where("page_num = 0 and kept").collect()} == {1}
+
+
+def test_warnings(spark):
+    found = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (2, 0, 1)], "doc_id bigint, page_num bigint, n_blocks bigint")
+    formulas = spark.createDataFrame([(1, 0), (1, 1), (1, 1)], "doc_id bigint, page_num bigint")
+    scans = spark.createDataFrame([(2, 1, 1, True), (1, 2, 0, False)], "doc_id bigint, page_count bigint, low_density_pages bigint, likely_scan_like boolean")
+    got = {(r.doc_id, r.warning): (r.n, r.of) for r in media.warnings(found, formulas, scans).collect()}
+    assert got == {(1, "pages-without-text"): (1, 2), (1, "formula-candidates"): (3, 2), (2, "scan-heavy"): (1, 1)}
+    assert [r.warning for r in media.warnings(found, formulas, scans, hybrid=True).collect()] == ["pages-without-text"]
+
+
+def test_page_results(spark):
+    row = {"doc": 1, "page": 1, "formulas": 5, "expected_formula_count": 4, "expected_formula_detection_count": 3, "formula_false_positive_budget": 1, "headings": 3, "headings_expected": 4, "heading_matches": 2, "tables": 2, "expected_tables": 1, "regions_expected": 2, "region_matches": 1,
+           "images": 1, "figures": 3, "captioned_figures": 1, "expected_meaningful_figures": 2, "expected_figure_captions": 2, "expected_decorative_images": 3, "expected_vector_only_regions": 1, "skip_text_metrics": False, "skip_table_metrics": False, "candidates": 6}
+    skipped = row | {"page": 2, "skip_text_metrics": True, "skip_table_metrics": True, "candidates": None}
+    schema = ", ".join(f"{k} {'boolean' if k.startswith('skip') else 'bigint'}" for k in row)
+    df = spark.createDataFrame([tuple(row.values()), tuple(skipped.values())], schema)
+    a, b = evaluate.page_results(df, ["doc"]).orderBy("page").collect()
+    assert (a.formula_matches, a.formula_false_positives, a.formula_recall, a.formula_precision) == (4, 1, 1.0, 0.8)
+    assert (a.detection_found, a.detection_matches, a.detection_false_positives, a.detection_precision) == (6, 3, 2, 0.5)
+    assert (a.heading_false_positives, a.heading_accuracy, a.table_true_positive, a.region_recall, a.region_precision) == (1, 0.5, True, 0.5, 0.5)
+    assert (a.figure_matches, a.caption_pairs_found, a.decorative_suppressed, a.vector_regions_acknowledged) == (2, 1, 1, 1)
+    assert (b.formula_found, b.heading_found, b.table_found, b.region_matches, b.formula_recall, b.heading_precision) == (0, 0, False, 0, 0.0, 1.0)
+    (d,) = evaluate.document_results(evaluate.page_results(df, ["doc"]), ["doc"]).collect()
+    assert (d.pages, d.formula_recall_micro, d.formula_recall_macro, d.table_recall) == (2, 0.5, 0.5, 0.5)
+
+
+def test_labelled_pages_leave_out_what_was_not_extracted(spark):
+    expected = spark.createDataFrame([(1, 1, 2), (1, 3, 1)], "doc bigint, page bigint, headings_expected bigint")
+    actual = spark.createDataFrame([(1, 1, 4), (1, 2, 4)], "doc bigint, page bigint, headings bigint")
+    debug = spark.createDataFrame([(1, 1, 7)], "doc bigint, page bigint, candidates bigint")
+    assert [(r.page, r.candidates) for r in evaluate.labelled_pages(expected, actual, ["doc"], debug).collect()] == [(1, 7)]
+
+
+def test_routed_pages_with_tables(spark):
+    found = spark.createDataFrame([(1, p, 0, False) for p in range(3)], "doc_id bigint, page_num bigint, math_chars bigint, low_density boolean")
+    cells = spark.createDataFrame([(1, 1, 5), (1, 1, 6)], "doc_id bigint, page_num bigint, block_id bigint")
+    formulas = spark.createDataFrame([(1, 2)], "doc_id bigint, page_num bigint")
+    rows = {r.page_num: (r.has_table, r.has_formula) for r in facts.routed_pages(found, cells, formulas).collect()}
+    assert rows == {1: (True, False), 2: (False, True)}
+
+
+def test_no_table_blocks(spark):
+    texts = ["", "Figure 2. Plan", "12", "1. item", "- item", "Ann Lee\nBerlin", "University of X", "3.1 Load Tests", "x" * 201, "12.5", "Pump house"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.x for r in df.orderBy("k").select(predicates.is_no_table_block(df.t, F.lit(30.0), F.lit(10.0), F.lit(10.0)).alias("x")).collect()]
+    assert got == [True] * 9 + [False] * 2
+    assert df.limit(1).select(predicates.is_no_table_block(F.lit("Pump house"), F.lit(30.0), F.lit(12.0), F.lit(10.0)).alias("x")).first().x
+
+
+def test_metadata_fields(spark):
+    df = spark.createDataFrame([(1, ["all"]), (2, ["Title", "title ", "none"]), (3, []), (4, None)], "k int, f array<string>")
+    got = sorted((r.k, r.field) for r in pageplan.metadata_fields(df, "k", "f").collect())
+    assert got == [(1, f) for f in sorted(pageplan.METADATA_FIELDS)] + [(2, "title")]
+
+
+def test_text_runs_and_numbers_by_depth(spark):
+    kinds = ["Paragraph"] * 20 + ["Heading"] + ["ListItem", "Paragraph"]
+    df = spark.createDataFrame([(1, 0, k, k, kind) for k, kind in enumerate(kinds)], "doc_id bigint, page_num bigint, block_id bigint, reading_order bigint, kind string")
+    rows = {r.block_id: r.run_length for r in folds.text_runs(df).collect()}
+    assert (rows[0], rows[2], rows[19], rows[21], rows[22]) == (18, 18, 1, 2, 1)
+    assert 20 not in rows
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(["1. a", "  1. b", "  2. c", "2. d", "- e", "", "7. f"])], "doc_id bigint, line_no bigint, line string")
+    assert [(r.line_no, r.number) for r in folds.list_numbering(lines).orderBy("line_no").collect()] == [(0, 1), (1, 1), (2, 2), (3, 2), (4, None), (6, 1)]
+
+
+def test_markdown_elements(spark):
+    text = ["# A", "para one", "goes on", "", "- a", "- b", "1. c", "| x |", "|---|", "", "$$", "x", "$$", "$y$", "```", "code", "```", "![f](a.png)", "- d", "<!-- page:2 -->", "tail"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "doc_id bigint, line_no bigint, line string")
+    (r,) = evaluate.markdown_elements(df, ["doc_id"]).collect()
+    assert (r.headings, r.tables, r.formulas, r.figures, r.lists, r.paragraphs, r.code_blocks) == (1, 1, 2, 1, 2, 3, 1)
+
+
+def test_numeric_leaves(spark):
+    texts = ['{"a": 1, "b": [2.5, {"c": true, "d": -3}], "e": null, "f": "4"}', "[1, [2]]", "broken {", None, "7"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k bigint, t string")
+    got = {(r.k, r.path): r.value for r in evaluate.numeric_leaves(df, "t", "k").collect()}
+    assert got == {(0, "a"): 1.0, (0, "b[0]"): 2.5, (0, "b[1].d"): -3.0, (1, "[0]"): 1.0, (1, "[1][0]"): 2.0, (4, ""): 7.0}
+    assert evaluate.numeric_leaves(df.limit(0), "t", "k").count() == 0
+
+
+def test_sql_functions(spark):
+    names = sqlfunctions.register(spark)
+    assert names == ["geometric_latex", "unicode_latex", "page_selection", "split_sections"]
+    for spec, n in (("all", 4), ("odd", 5), ("2-4,7", 9), ("3,1,3", 4), ("5", 4), ("2-1", 4), ("", 3), ("x", 3)):
+        got = [r.page for r in spark.sql(f"select * from page_selection('{spec}', {n})").collect()]
+        assert got == [r.page for r in sqlfunctions.selected_pages(spark, spec, n).collect()], spec
+    rows = spark.sql("select title, level, content, page_start, page_end from split_sections('intro\n# A\nx\n<!-- page:2 -->\ny\n## B\nz')").collect()
+    assert [tuple(r) for r in rows] == [("Document", 1, "intro", 1, 1), ("A", 1, "x\ny", 1, 2), ("B", 2, "z", 2, 2)]
+    got = spark.sql("select geometric_latex(array(named_struct('text', 'x', 'x0', 0D, 'y0', 90D, 'x1', 10D, 'y1', 100D, 'font_size', 10D, 'baseline_y', 100D), named_struct('text', '2', 'x0', 12D, 'y0', 89D, 'x1', 18D, 'y1', 95D, 'font_size', 6D, 'baseline_y', 95D), named_struct('text', '=', 'x0', 30D, 'y0', 90D, 'x1', 40D, 'y1', 100D, 'font_size', 10D, 'baseline_y', 100D)), 'x2 =') as l, unicode_latex('α') as u").first()
+    assert got.l == "x ^{2} ="
+    assert got.u.strip() == "\\alpha"

@@ -65,6 +65,58 @@ def test_prose_is_no_table():
     assert pf.coordinate_tables(words, 612.0) == []
 
 
+def test_form_columns():
+    rows = [["Name", "Unit", "Place"]] + [[f"item{r}", "pump", "yard"] for r in range(5)]
+    words = [word(t, (60, 250, 430)[c], 100 + 14 * r, block=r, n=c) for r, row in enumerate(rows) for c, t in enumerate(row)]
+    found = pf.form_tables(pf.word_rows(words), 612.0)
+    assert [t["rows"] for t in found] == [rows]
+    assert (found[0]["source"], found[0]["render"]) == ("TextAlignment", "Layout")  # words alone don't reach 0.68
+    assert pf.row_starts([10.0, 40.0, 90.0, 300.0]) == [57.5, 300.0]  # 10 and 40 meet at 25; 90 is too far, 57.5 not
+    numbered = [word(f".{r}", 20, 100 + 14 * r, block=r, n=9) for r in range(6)]
+    assert pf.form_tables(pf.word_rows(words + numbered), 612.0) == []
+
+
+def test_captioned_rows():
+    lines = ["Table 3: Loads", "alpha beta", "gamma delta 4", "epsilon zeta 5 6", "These values were taken in the yard by hand today."]
+    words = [word(t, 60 + 50 * c, 100 + 14 * r, block=r, n=c) for r, line in enumerate(lines) for c, t in enumerate(line.split())]
+    (t,) = pf.captioned_tables(pf.word_rows(words), 612.0)
+    assert [" ".join(r) for r in t["rows"]][:3] == lines[1:4]
+    assert (t["source"], t["render"], t["confidence"] >= 0.48) == ("ExplicitRegion", "Layout", True)
+
+
+def test_evidence_follows_the_page_width():
+    rows = [[str(i), f"{i}.5", "ab" if i == 2 else str(10 * i), f"{i},000"] for i in range(1, 6)]
+    words = [word(t, 60 + 100 * c, 100 + 14 * r, block=r, n=c) for r, row in enumerate(rows) for c, t in enumerate(row)]
+    narrow, wide = (pf.coordinate_tables(words, w)[0]["confidence"] for w in (400.0, 1200.0))
+    assert narrow > wide
+
+
+def test_white_space_and_rules_make_tables():
+    words = [word(f"v{r}{c}", 60 + 150 * c, 100 + 20 * r, block=r, n=c) for r in range(4) for c in range(3)]
+    (t,) = pf.region_tables(words, [], 612.0, 792.0)
+    assert (t["source"], t["render"], len(t["rows"])) == ("TextAlignment", "Markdown", 4)
+    rules = [Rule("h", 85, 50, 500), Rule("h", 170, 50, 500)]
+    (t,) = pf.region_tables(words, rules, 612.0, 792.0)
+    assert t["source"] == "RulingBand"
+    prose = "the load was applied to the beam and it grew".split()
+    page = [word(prose[(r + c) % len(prose)], 60 + 45 * c, 60 + 40 * r, block=r, n=c) for r in range(14) for c in range(10)]
+    assert pf.region_tables(page, [], 612.0, 792.0) == []
+
+
+def test_page_sizes_reach_the_folds(spark):
+    schema = "doc_id bigint, page_num bigint, block_id bigint, widx bigint, text string, font_size double, x0 double, y0 double, x1 double, y1 double, baseline_y double"
+    cell = lambda d, r, c, t: (d, 0, r, c, t, 10.0, 60.0 + 100 * c, 90.0 + 14 * r, 90.0 + 100 * c, 100.0 + 14 * r, None)
+    words = spark.createDataFrame([cell(d, r, c, "ab" if (r, c) == (1, 2) else f"{r}{c}") for d in (1, 2, 3) for r in range(5) for c in range(4)], schema)
+    pages = spark.createDataFrame([(1, 0, 400.0, 600.0), (2, 0, 1200.0, 800.0), (4, 0, 10.0, 10.0)], "doc_id bigint, page_num bigint, width double, height double")
+    got = {r.doc_id: (r.width, r.confidence) for r in pf.page_tables(words, pages).collect()}
+    assert {d: w for d, (w, _) in got.items()} == {1: 400.0, 2: 1200.0, 3: 612.0}
+    assert got[1][1] > got[3][1] > got[2][1]
+    blocks = spark.createDataFrame([(d, 0, "Caption", "Figure 1. A", 100.0, 500.0, 200.0, 510.0) for d in (1, 2)], "doc_id bigint, page_num bigint, kind string, text string, x0 double, y0 double, x1 double, y1 double")
+    images = spark.createDataFrame([], "doc_id bigint, page_num bigint, image_index bigint, x0 double, y0 double, x1 double, y1 double")
+    right = {r.doc_id: r.x1 for r in pf.page_figures(blocks, images, pages).collect()}
+    assert right == {1: 400.0 * 0.92 + 6, 2: 1200.0 * 0.92 + 6}
+
+
 def test_rules_make_regions():
     rules = [Rule("h", 100, 60, 500), Rule("h", 200, 60, 500), Rule("v", 60, 100, 200), Rule("v", 500, 100, 200)]
     words = [word("a", 70, 150), word("b", 200, 150), word("c", 400, 150)]
@@ -121,3 +173,19 @@ def test_conversion_takes_latex_from_a_formulas_own_words(spark):
     formulas = spark.createDataFrame(f, f"doc_id bigint, page_num bigint, formula_index bigint, source_text string, latex string, {box}")
     got = {(r.page_num, r.formula_index): r.text_latex for r in convert.with_latex(words, formulas).collect()}
     assert got == {(0, 0): "x ^{2} = y \\tag{10.12-3}", (1, 0): "V_{1} = \\alpha \\tag{2}", (2, 0): "\\frac{a+b =}{c+d}", (2, 1): "\\given", (3, 0): "\\beta", (3, 1): ""}
+
+
+def test_conversion_of_chosen_pages_with_figures(spark):
+    from docloom.operators import convert
+
+    box = "x0 double, y0 double, x1 double, y1 double"
+    blocks = spark.createDataFrame([(1, p, b, b, t, 10.0, 72.0, 100.0 + 50 * b, 500.0, 120.0 + 50 * b) for p in range(3) for b, t in enumerate(["Some text of the page.", "Figure 1. The pump"])], f"doc_id bigint, page_num bigint, block_id bigint, reading_order bigint, text string, font_size double, {box}")
+    words = blocks.selectExpr("doc_id", "page_num", "block_id", "0L as widx", "text", "font_size", "x0", "y0", "x1", "y1", "cast(null as double) as baseline_y")
+    pages = spark.createDataFrame([(1, p, 595.0, 842.0, 1) for p in range(3)], "doc_id bigint, page_num bigint, width double, height double, images bigint")
+    formulas = spark.createDataFrame([], f"doc_id bigint, page_num bigint, formula_index bigint, source_text string, latex string, confidence int, {box}")
+    images = spark.createDataFrame([(1, 1, 0, 150.0, 200.0, 450.0, 400.0)], f"doc_id bigint, page_num bigint, image_index bigint, {box}")
+    out = convert.convert(words, blocks, pages, formulas, convert.Options(pages=(2, 3)), images)
+    (doc,) = out["documents"].collect()
+    assert "<!-- page:1 -->" not in doc.markdown
+    assert "![Figure 1. The pump](page2_fig0.png)" in doc.markdown
+    assert doc.markdown.count("*Figure 1. The pump*") == 2

@@ -71,3 +71,43 @@ def test_data_source_and_plans(spark, tmp_path):
     merged = bytes(got["m"].content)
     assert [r[5] for r in P.rows_of("m", merged, "words")][::6] == ["Other", "Second"]
     assert [r[4] for r in P.rows_of("m", merged, "pages")] == [90, 0]
+
+
+def test_metadata_set_and_cleared(spark):
+    data = made(PAGE, info={"Title": "Old", "Author": "A"})
+    files = spark.createDataFrame([(1, data), (2, b"broken"), (3, data)], "doc_id bigint, content binary")
+    changes = spark.createDataFrame([(1, "Title", "Über"), (1, "Author", None), (2, "Title", "x"), (3, "Color", "red")], "doc_id bigint, field string, value string")
+    got = {r.doc_id: r for r in P.set_metadata(files, changes, "D:20240101120000Z").collect()}
+    (m,) = P.rows_of("f", bytes(got[1].content), "metadata")
+    assert (m[2], m[3], m[9]) == ("Über", None, "D:20240101120000Z")
+    assert [r[5] for r in P.rows_of("f", bytes(got[1].content), "words")] == [r[5] for r in P.rows_of("f", data, "words")]
+    assert bytes(got[1].content).startswith(data)
+    assert "ValueError" in got[2].error
+    assert "Color" in got[3].error
+
+
+def test_signed_files_are_refused():
+    pdf = P.parse(made(PAGE))
+    root = {"Type": P.Name("Catalog"), "Pages": P.Ref(2), "AcroForm": {"Fields": [{"FT": P.Name("Sig")}]}}
+    data = made(PAGE).replace(b"<</Type /Catalog /Pages 2 0 R>>", P._serial(root))
+    with pytest.raises(ValueError, match="signed"):
+        P.with_info(data, {"Title": "x"}, "D:20240101120000Z")
+    assert P.with_info(data, {"Title": "x"}, "D:20240101120000Z", force=True)[0]
+    assert pdf.trailer
+
+
+def test_crop_and_resize(spark):
+    files = spark.createDataFrame([(1, made(PAGE))], "doc_id bigint, content binary")
+    plan = spark.createDataFrame(
+        [("crop", 1, 0, 1, [10.0, 10.0, 300.0, 400.0], None, None, None), ("half", 1, 0, 1, None, [0.5, 0.0, 0.0, 0.5, 0.0, 0.0], 306.0, 396.0), ("bad", 1, 0, 1, [5.0, 5.0, 5.0, 9.0], None, None, None)],
+        "out string, doc_id bigint, out_page int, page int, crop array<double>, matrix array<double>, width double, height double",
+    )
+    got = {r.out: r for r in P.apply_plan(files, plan).collect()}
+    assert b"/CropBox [10 10 300 400]" in bytes(got["crop"].content)
+    assert "crop" in got["bad"].error
+    half = bytes(got["half"].content)
+    (page,) = P.rows_of("f", half, "pages")
+    assert page[2:4] == (306.0, 396.0)
+    rows = list(P.rows_of("f", half, "words"))
+    assert [r[5] for r in rows][:2] == ["Hello", "world"]
+    assert rows[0][7] == 36.0
