@@ -71,7 +71,7 @@ def test_form_columns():
     found = pf.form_tables(pf.word_rows(words), 612.0)
     assert [t["rows"] for t in found] == [rows]
     assert (found[0]["source"], found[0]["render"]) == ("TextAlignment", "Layout")  # words alone don't reach 0.68
-    assert pf.row_starts([10.0, 40.0, 90.0, 300.0]) == [57.5, 300.0]  # 10 and 40 meet at 25; 90 is too far, 57.5 not
+    assert pf.row_starts([10.0, 40.0, 90.0, 60.0 + 240.0]) == [25.0, 90.0, 300.0]  # 10 and 40 meet at 25, from which 90 is too far
     numbered = [word(f".{r}", 20, 100 + 14 * r, block=r, n=9) for r in range(6)]
     assert pf.form_tables(pf.word_rows(words + numbered), 612.0) == []
 
