@@ -149,17 +149,25 @@ def _script(c: str) -> str:
     return "L" if c < "ɐ" else "C" if "Ѐ" <= c <= "ԯ" else "G" if "Ͱ" <= c <= "Ͽ" else "O"
 
 
+#: Words that one task generates forms of.
+TASK_WORDS = 5_000
+
+
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(garbled, original, chain, n_files) for distinct words (word, n_files, shaped): the hash table.
+    """(garbled, original, chain, n_files) for distinct words (word, n_files): the hash table.
 
-    Forms with a character outside the words are left out.
+    Only words that look like words have forms; those with a character outside the words are left
+    out. Words are few bytes but much work, so they are spread by their number.
     """
+    tasks = max(1, -(-words.count() // TASK_WORDS))
     used = {r[0] for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().collect()}  # characters: bounded by Unicode
 
     def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for word, n in zip(pdf["word"], pdf["n_files"], strict=True):
+                if not looks_like_word(word):
+                    continue
                 for form in {word, word.lower(), word.upper(), word.capitalize()}:
                     rows += [(g, form, chain, n) for g, chain in garbled_forms(form).items() if used.issuperset(g)]
                 for c in set(word):
@@ -167,7 +175,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
                         rows += [(g, c, chain, n) for g, chain in garbled_forms(c).items() if len(g) > 1 and used.issuperset(g)]
             yield pd.DataFrame(rows, columns=["garbled", "original", "chain", "n_files"])
 
-    clean = words.where(F.col("shaped") & ~F.col("word").contains("�")).select("word", "n_files")
+    clean = words.where(~F.col("word").contains("�")).select("word", "n_files").repartition(tasks, "word")
     forms = clean.mapInPandas(generate, "garbled string, original string, chain string, n_files bigint")
     return forms.groupBy("garbled", "original").agg(F.min("chain").alias("chain"), F.max("n_files").alias("n_files"))
 
@@ -189,20 +197,19 @@ def block_words(blocks: DataFrame) -> DataFrame:
 
 
 def word_counts(words: DataFrame) -> DataFrame:
-    """(word, n_files, shaped): in how many files each word occurs, and whether it looks like one."""
-    shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")
-    counts = words.where(F.col("word") != _LONE).select("doc_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))
-    return counts.withColumn("shaped", shaped("word"))
+    """(word, n_files): in how many files each word occurs."""
+    return words.where(F.col("word") != _LONE).select("doc_id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def verified(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(word, original, chain): garbled words with their best verified original."""
     folded = counts.groupBy(F.lower("word").alias("folded")).agg(F.sum("n_files").alias("n_word"))
-    seen = counts.select("word", F.lower("word").alias("folded"), F.col("shaped").alias("word_shaped")).join(folded, "folded")
+    shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")  # of hits only
+    seen = counts.select("word", F.lower("word").alias("folded")).join(folded, "folded")
     hits = seen.join(garbled_words(counts).withColumnRenamed("garbled", "word"), "word")
     frequent = (F.length("word") >= MIN_SHAPED) & (F.col("n_files") >= F.col("n_word") * F.lit(ratio))
     weak = F.col("word").rlike("^[A-Za-z\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456]{1,3}$")
-    hits = hits.where((~F.col("word_shaped") & ~weak) | frequent)
+    hits = hits.where(frequent | ~weak).withColumn("word_shaped", shaped("word")).where((~F.col("word_shaped") & ~weak) | frequent)
     best = F.min_by(F.struct("original", "chain"), F.struct(-F.col("n_files"), "original", "chain")).alias("v")
     return hits.groupBy("word").agg(best).select("word", "v.*")
 
