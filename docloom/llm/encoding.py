@@ -205,7 +205,7 @@ def verified(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(word, original, chain): garbled words with their best verified original."""
     folded = counts.groupBy(F.lower("word").alias("folded")).agg(F.sum("n_files").alias("n_word"))
     shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")  # of hits only
-    seen = counts.select("word", F.lower("word").alias("folded")).join(folded, "folded")
+    seen = counts.select("word", F.lower("word").alias("folded")).hint("merge").join(folded, "folded")
     hits = seen.join(garbled_words(counts).withColumnRenamed("garbled", "word"), "word")
     frequent = (F.length("word") >= MIN_SHAPED) & (F.col("n_files") >= F.col("n_word") * F.lit(ratio))
     weak = F.col("word").rlike("^[A-Za-z\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456]{1,3}$")
@@ -218,6 +218,7 @@ def garbled_block_words(blocks: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(doc_id, page_num, block_id, word, original, chain): garbled words of each block; original is null where it is lost."""
     words = written(block_words(blocks), "block-words")
     known = written(verified(written(word_counts(words), "word-counts"), ratio), "garbled")
+    words = words.hint("merge")  # many rows in few bytes of file: not to be broadcast
     hits = words.join(known, "word").select("doc_id", "page_num", "block_id", "word", "original", "chain")
     lost = words.where(F.col("word").contains("�") & (F.col("word") != "�")).join(known, "word", "left_anti")
     none = F.lit(None).cast("string")
