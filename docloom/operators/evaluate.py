@@ -244,3 +244,31 @@ def markdown_elements(lines: DataFrame, keys: list[str]) -> DataFrame:
         one(is_("heading")).alias("headings"), one(new("table", "open_table")).alias("tables"), (F.floor(one(is_("block")) / 2) + one(is_("formula"))).alias("formulas"), one(is_("figure")).alias("figures"),
         one(new("list", "open_list")).alias("lists"), one(new("text", "after")).alias("paragraphs"), F.ceil(one(is_("fence")) / 2).alias("code_blocks"),
     )
+
+
+def evaluated(labels: dict[str, DataFrame], found: dict[str, DataFrame], keys: list[str], debug: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page results, document results) of a conversion against labels.
+
+    ``labels``: pages, headings and table_regions as ``nested`` gives them, with keys and the 1-based page.
+    ``found``: blocks (kind, level, text), tables (box) and, where there are some, formulas, images and figures
+    (caption), with keys and the 0-based page_num.
+    """
+    on = [*keys, "page"]
+    paged = {k: df.withColumn("page", (F.col("page_num") + 1).cast("bigint")) for k, df in found.items()}
+    heads = paged["blocks"].where("kind = 'Heading'")
+    count = lambda df, name, what=F.lit(1): df.groupBy(*on).agg(F.count(what).alias(name))
+    actual = count(paged["blocks"], "_blocks").join(count(heads, "headings"), on, "left").join(count(paged["tables"], "tables"), on, "left")
+    for name in ("formulas", "images", "figures"):
+        if name in paged:
+            actual = actual.join(count(paged[name], name), on, "left")
+    if "figures" in paged:
+        actual = actual.join(paged["figures"].where(F.trim("caption") != "").groupBy(*on).agg(F.count(F.lit(1)).alias("captioned_figures")), on, "left")
+    wanted = labels["headings"].select(*on, F.col("text").alias("title"), "level")
+    matches = heading_matches(wanted, heads.select(*on, F.col("text").alias("title"), "level"), on).select(*on, F.col("expected").alias("headings_expected"), F.col("matched").alias("heading_matches"))
+    regions = labels["table_regions"].where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    w = Window.partitionBy(*on).orderBy("y0", "x0", "y1", "x1")
+    number = lambda df: df.select(*on, (F.row_number().over(w) - 1).alias("idx"), "x0", "y0", "x1", "y1")
+    hits = greedy_region_matches(number(regions), number(paged["tables"]), on).groupBy(*on).agg(F.count(F.lit(1)).alias("region_matches"))
+    expected = labels["pages"].join(matches, on, "left").join(count(regions, "regions_expected"), on, "left").join(hits, on, "left")
+    pages = page_results(labelled_pages(expected, actual, keys, debug), keys)
+    return pages, document_results(pages, keys)

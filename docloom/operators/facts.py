@@ -236,3 +236,34 @@ def headings_split(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases:
         "level": F.when(head, F.col("_level")).when(~body, F.col("level")),
         "ordered": F.when(~head, F.col("ordered")), "depth": F.when(~head, F.col("depth")),
     }).drop("_level", "_head", "_rest", "_edge", "body_size", "base_level")
+
+
+#: What structure roles make of a block.
+ROLE_KINDS = {"artifact": "Artifact", "li": "ListItem", "lbody": "ListItem", "lbl": "ListItem", "caption": "Caption", "td": "TableCell", "th": "TableCell"}
+ROLE_LEVELS = {"h1": 1, "title": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
+
+
+def tagged_blocks(classified_: DataFrame, tags: DataFrame, share: float = 0.5) -> DataFrame:
+    """The classified blocks with the kind and level of the structure tag that covers most of them, where one says something.
+
+    ``tags`` has role and box. Tags come before all other tests, so their kinds replace the others.
+    """
+    from docloom.operators import spatial
+
+    role = spatial.best_overlap(classified_, tags, BLOCK_KEYS, "role", share)
+    name = F.lower(F.regexp_replace(F.trim("role"), "^/+", ""))
+    looked = lambda table: F.coalesce(*[F.when(name == k, v) for k, v in table.items()])
+    j = classified_.join(role, BLOCK_KEYS, "left").withColumns({"_level": looked(ROLE_LEVELS), "_kind": looked(ROLE_KINDS)})
+    told = F.coalesce(F.col("_kind"), F.when(F.col("_level").isNotNull(), "Heading"))
+    item = told == "ListItem"
+    return j.withColumns({
+        "kind": F.coalesce(told, F.col("kind")), "level": F.when(told.isNull(), F.col("level")).otherwise(F.col("_level")),
+        "ordered": F.when(told.isNull(), F.col("ordered")).when(item, F.lit(False)), "depth": F.when(told.isNull() | item, F.col("depth")),
+    }).drop("role", "_level", "_kind")
+
+
+def density_ratio(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, density): text area over the area of the region that holds it, at most 1."""
+    per = blocks.groupBy("doc_id", "page_num").agg(F.sum(area(box())).alias("inked"), *_union_box())
+    region = area(box())
+    return per.select("doc_id", "page_num", F.round(F.when(region > 0, F.least(F.col("inked") / region, F.lit(1.0))).otherwise(F.lit(0.0)), 9).alias("density"))

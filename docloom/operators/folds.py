@@ -151,10 +151,12 @@ def adjacent_distinct(lines: DataFrame) -> DataFrame:
 def merged_paragraphs(lines: DataFrame) -> DataFrame:
     """(doc_id, paragraph, n_blocks, text): neighbouring prose lines joined as clean-style paragraphs.
 
-    A hyphen at the end of a line that is continued is closed up.
+    A hyphen at the end of a line that is continued is closed up. Fences and what they enclose are no prose.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    kept = lines.where((T.trim(F.col("line")) != "") & ~P.is_structural(F.col("line")))
+    fence = T.trim(F.col("line")).startswith("```")
+    fenced = F.count_if(fence).over(w.rowsBetween(Window.unboundedPreceding, -1)) % 2 == 1
+    kept = lines.withColumn("_fenced", fence | fenced).where((T.trim(F.col("line")) != "") & ~P.is_structural(F.col("line")) & ~F.col("_fenced")).drop("_fenced")
     joins = (F.lag("line_no").over(w) == F.col("line_no") - 1) & P.merges_with_previous(F.lag("line").over(w), F.col("line"))
     marked = kept.withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("paragraph", F.sum("new").over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: T.trim(s["line"]))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import predicates as P
-from docloom.operators import base, facts, media, pagefolds
+from docloom.functions import text as T
+from docloom.operators import base, facts, media, pagefolds, visual
 from docloom.operators.base import sql
-from docloom.plans.scalars import _collapse, _title, _trim
+from docloom.plans.scalars import _collapse, _title, _trim, _value, _words
+from docloom.session import table
 
 NEEDLE = "checklist"
 
@@ -16,6 +18,7 @@ _WORDS = "wsized as (select w.*, coalesce(p.width, 612.0) as width, coalesce(p.h
 _TOKEN = r"lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
 _BODY = "bins as (select doc_id, round(font_size * 2) as bin, count(*) as n from blocks where font_size > 0 group by all), body as (select d.doc_id, coalesce(b.bin / 2, 10.0) as body_size from (select distinct doc_id from blocks) d left join (select distinct on (doc_id) doc_id, bin from bins order by doc_id, n desc, bin) b using (doc_id))"
 _BASE = rf"hb as (select doc_id, case when bool_or(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches({_trim('l')}, '^[0-9]+\s+\S'))) > 0) then 1 else 2 end as base_level from blocks group by 1)"
+_DATA_ROWS = f"dr as (select doc_id, page_num from blocks where block_id < 1000000 and len({_words('text')}) >= 4 and (len(list_filter({_words('text')}, lambda w: {_value('w')})) * 100 // greatest(len({_words('text')}), 1) >= 55 or (len(list_filter({_words('text')}, lambda w: length(regexp_replace(w, '[^0-9]', '', 'g')) >= 6)) > 0 and len(list_filter({_words('text')}, lambda w: {_value('w')})) >= 4)))"
 _FACTS = rf"""pf0 as (select doc_id, page_num, count(*) as n_blocks, sum((x1 - x0) * (y1 - y0)) as text_area, bool_or({_trim('text')} <> '') as readable,
   sum(length(text) - length(replace(text, chr(65533), ''))) as reps, sum(length(regexp_replace(text, '{facts.MATH_CHARS}', '', 'g'))) as maths from blocks group by all),
 pf as (select p.doc_id, p.page_num, coalesce(n_blocks, 0) as n_blocks, round(coalesce(text_area, 0.0) / greatest(width * height, 1.0), 9) as text_area_fraction, coalesce(readable, false) as readable_text,
@@ -48,6 +51,34 @@ def _boxes(spark, d):
     return base.formulas(spark, d).select("doc_id", "page_num", F.col("formula_index").alias("id"), F.lit("Figure").alias("kind"), F.col("equation_number").alias("caption"), "x0", "y0", "x1", "y1")
 
 
+def _rows(spark, d):
+    """Blocks that read as table rows stand for table cells."""
+    return base.body_blocks(spark, d).where(P.is_data_row(T.words(F.col("text"))))
+
+
+def _tags(spark, d):
+    """Furniture lines as artifact tags and formula boxes as captions: the tables hold no structure tags."""
+    lines = table(spark, d, "furniture_lines").select("doc_id", "page_num", F.lit("/Artifact").alias("role"), "x0", "y0", "x1", "y1").distinct()
+    return lines.unionByName(base.formulas(spark, d).select("doc_id", "page_num", F.lit("Caption").alias("role"), "x0", "y0", "x1", "y1"))
+
+
+def _pixels(boxes, ink: float = 0.4):
+    """Pixel lines as if each box were inked to a share: a stand-in for a rasteriser."""
+    w = boxes.select("doc_id", "page_num", "x0", "x1", F.explode(F.sequence(F.floor("y0").cast("int"), F.floor("y1").cast("int"))).alias("y"))
+    wide = F.col("x1") - F.col("x0")
+    lines = w.groupBy("doc_id", "page_num", "y").agg(F.sum(F.floor(wide * F.lit(ink))).alias("dark"), F.floor(F.min("x0")).alias("min_x"), F.floor(F.max("x1")).alias("max_x"), F.max(F.floor(wide)).alias("max_run"))
+    return lines.where("dark > 0")
+
+
+def _visual(spark, d):
+    """Formulas as pictures: the boxes of the formulas without a number are inked, those with one are known already."""
+    b, f = base.blocks(spark, d), base.formulas(spark, d)
+    lines = base.lines(spark, d).select("doc_id", "page_num", F.col("line").alias("text"))
+    bands = visual.dark_bands(_pixels(f.where("equation_number is null")), 612)
+    known = f.where("equation_number is not null")
+    return visual.visual_formulas(bands, base.words(spark, d), b, base.pages(spark, d), known, _tags(spark, d).where("role = '/Artifact'"), visual.reference_pages(lines))
+
+
 def _warnings(spark, d):
     found = facts.page_facts(base.blocks(spark, d), base.pages(spark, d))
     return media.warnings(found, base.formulas(spark, d), facts.scan_like(found))
@@ -58,10 +89,15 @@ def _cells(spark, d):
 
 
 QUERIES = {
+    "reference_pages": lambda spark, d: visual.reference_pages(base.lines(spark, d).select("doc_id", "page_num", F.col("line").alias("text"))),
     "inspect_pages": lambda spark, d: facts.page_facts(base.blocks(spark, d), base.pages(spark, d)),
     "inspect_documents": lambda spark, d: facts.scan_like(facts.page_facts(base.blocks(spark, d), base.pages(spark, d))),
     "ocr_triage_report": lambda spark, d: facts.ocr_triage(facts.page_facts(base.blocks(spark, d), base.pages(spark, d))).withColumn("pages_needing_ocr", F.array_join("pages_needing_ocr", ",")),
-    "route_pages": lambda spark, d: facts.routed_pages(facts.page_facts(base.blocks(spark, d), base.pages(spark, d)), _cells(spark, d), base.formulas(spark, d)),
+    "route_pages": lambda spark, d: facts.routed_pages(facts.page_facts(base.blocks(spark, d), base.pages(spark, d)), _rows(spark, d), base.formulas(spark, d)),
+    "density_ratio": lambda spark, d: facts.density_ratio(base.body_blocks(spark, d), base.pages(spark, d)),
+    "tagged_blocks": lambda spark, d: facts.tagged_blocks(_classified(spark, d), _tags(spark, d)).select(*base.BLOCK_KEYS, "kind", "level", "ordered", "depth"),
+    "dark_bands": lambda spark, d: visual.dark_bands(_pixels(base.words(spark, d)), 612),
+    "visual_formulas": lambda spark, d: _visual(spark, d),
     "conversion_warnings": lambda spark, d: _warnings(spark, d),
     "kept_text": lambda spark, d: media.kept_text(_classified(spark, d), facts.repeated_edge_text(base.blocks(spark, d), base.pages(spark, d))).select(*base.BLOCK_KEYS),
     "repeated_media": lambda spark, d: media.repeated_media(_boxes(spark, d), base.pages(spark, d)).select("doc_id", "fingerprint.*", "n_pages"),
@@ -88,6 +124,26 @@ SQL = {
         " coalesce(string_agg(cast(page_num + 1 as varchar), ',' order by page_num) filter (where image_only or (not readable_text and low_density) or replacements >= 8), '') as pages_needing_ocr from pf group by 1",
         _FACTS,
     ),
+    "route_pages": sql(
+        "select * from (select pf.doc_id, pf.page_num, r.doc_id is not null as has_table, f.doc_id is not null as has_formula, math_chars >= 4 as math_heavy, low_density from pf left join (select distinct doc_id, page_num from formulas) f on f.doc_id = pf.doc_id and f.page_num = pf.page_num"
+        " left join (select distinct doc_id, page_num from dr) r on r.doc_id = pf.doc_id and r.page_num = pf.page_num) where has_table or has_formula or math_heavy or low_density",
+        _FACTS,
+        _DATA_ROWS,
+    ),
+    "reference_pages": sql(
+        rf"select doc_id, page_num from block_lines group by all having bool_or({_trim('line')} in ('References', 'Bibliography', 'REFERENCES', 'BIBLIOGRAPHY')) or count_if(regexp_matches({_trim('line')}, '^/[0-9]{{1,4}}/|^\[[0-9]{{1,4}}\]\s*\S|^\([0-9]{{1,4}}\)\s*\S')) * 10 >= count(*) * 4"
+    ),
+    "density_ratio": sql(
+        "select doc_id, page_num, round(case when (max(x1) - min(x0)) * (max(y1) - min(y0)) > 0 then least(sum((x1 - x0) * (y1 - y0)) / ((max(x1) - min(x0)) * (max(y1) - min(y0))), 1.0) else 0.0 end, 9) as density from body_blocks group by all"
+    ),
+    "dark_bands": sql(
+        "select doc_id, page_num, min(y0) as y0, max(y1) as y1, min(x0) as x0, max(x1) as x1, cast(sum(dark) as bigint) as dark, max(run) as run from (select *, sum(case when y0 - py <= 6 then 0 else 1 end) over (partition by doc_id, page_num order by y0 rows unbounded preceding) as band from (select *, lag(y1) over (partition by doc_id, page_num order by y0) as py from isl where x0 < x1)) group by doc_id, page_num, band",
+        "px0 as (select doc_id, page_num, x0, x1, unnest(generate_series(cast(floor(y0) as int), cast(floor(y1) as int))) as y from words)",
+        "px as (select * from (select doc_id, page_num, cast(y as int) as y, cast(sum(floor((x1 - x0) * 0.4::double)) as bigint) as dark, cast(floor(min(x0)) as bigint) as min_x, cast(floor(max(x1)) as bigint) as max_x, cast(max(floor(x1 - x0)) as bigint) as max_run from px0 group by 1, 2, 3) where dark > 0)",
+        "sm as (select *, case when lag(y) over w = y - 1 then lag(dark) over w end as b, case when lead(y) over w = y + 1 then lead(dark) over w end as a from px window w as (partition by doc_id, page_num order by y))",
+        "kept as (select *, y - row_number() over (partition by doc_id, page_num order by y) as island from sm where (dark + coalesce(b, 0) + coalesce(a, 0)) // (1 + (case when b is null then 0 else 1 end) + (case when a is null then 0 else 1 end)) >= 6)",
+        "isl as (select doc_id, page_num, island, min(y) as y0, max(y) + 1 as y1, min(min_x) as x0, max(max_x) as x1, sum(dark) as dark, max(max_run) as run from kept group by all)",
+    ),
     "conversion_warnings": sql(
         "select doc_id, 'pages-without-text' as warning, count_if(n_blocks = 0) as n, count(*) as of, null::varchar as advice from pf group by 1 having count_if(n_blocks = 0) > 0"
         " union all select f.doc_id, 'formula-candidates', n, of, 'backend' from (select doc_id, count(*) as n from formulas group by 1) f join (select doc_id, count(*) as of from pf group by 1) p using (doc_id)"

@@ -115,7 +115,8 @@ SQL = {
     "adjacent_distinct": sql("select doc_id, line_no, line from (select *, lag(line) over (partition by doc_id order by line_no) as l from markdown_lines) where line is distinct from l"),
     "merged_paragraphs": sql(
         f"select doc_id, paragraph, count(*) as n_blocks, replace(replace(string_agg({_trim('line')}, chr(10) order by line_no), '-' || chr(10), ''), chr(10), ' ') as text from m2 group by 1, 2",
-        rf"m0 as (select *, lag(line) over (partition by doc_id order by line_no) as p, lag(line_no) over (partition by doc_id order by line_no) as pn from markdown_lines where {_trim('line')} <> '' and not {_STRUCT})",
+        rf"mf as (select *, starts_with({_trim('line')}, '```') or coalesce(sum(case when starts_with({_trim('line')}, '```') then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as fenced from markdown_lines)",
+        rf"m0 as (select *, lag(line) over (partition by doc_id order by line_no) as p, lag(line_no) over (partition by doc_id order by line_no) as pn from mf where {_trim('line')} <> '' and not {_STRUCT} and not fenced)",
         rf"m1 as (select *, coalesce(pn = line_no - 1 and (regexp_matches(p, '-[{WS}]*$') or regexp_matches(line, '^[{WS}]*[\p{{Ll}},;:)\]]') or not regexp_matches(p, '[.!?:][\"'')\]{WS}]*$')), false) as joins from m0)",
         "m2 as (select *, sum(case when joins then 0 else 1 end) over (partition by doc_id order by line_no rows unbounded preceding) as paragraph from m1)",
     ),

@@ -61,3 +61,41 @@ def write_markdown(documents: DataFrame, folder: str) -> DataFrame:
 def write_reports(reports: DataFrame, folder: str, by: str) -> None:
     """Reports as JSON lines, one folder for each value of a column with few values."""
     reports.write.mode("overwrite").partitionBy(by).json(folder)
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes page<n>_img<m>.<format> of each decoded image into a folder by file; gives the image rows with ``image_path``.
+
+    ``images`` is the ``images`` table of PDF files. Pages and images are numbered from 1.
+    """
+    import re
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        for pdf in batches:
+            paths = []
+            for path, page, n, kind, content in zip(pdf["path"], pdf["page_num"], pdf["image_index"], pdf["format"], pdf["content"], strict=True):
+                target = Path(folder) / re.sub(r"\.pdf$", "", path.rsplit("/", 1)[-1], flags=re.IGNORECASE)
+                target.mkdir(parents=True, exist_ok=True)
+                place, draft = target / f"page{page + 1}_img{n + 1}.{kind}", target / f".{uuid.uuid4().hex}"
+                draft.write_bytes(content)
+                os.replace(draft, place)
+                paths.append(str(place))
+            yield pdf.drop(columns=["content", "error"]).assign(image_path=paths)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in images.schema.fields if f.name not in ("content", "error")) + ", image_path string"
+    return images.where("error is null and content is not null").mapInPandas(write, schema)
+
+
+def write_debug_formulas(formulas: DataFrame, folder: str) -> None:
+    """Formula candidates with their decision as JSON lines, a folder for each page number (1-based)."""
+    formulas.withColumn("page", F.col("page_num") + 1).write.mode("overwrite").partitionBy("page").json(folder)
+
+
+def debug_formulas(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """keys + page + (candidates, emitted, latex_values) of written formula candidates, as labelled evaluation reads them."""
+    rows = spark.read.json(folder)
+    value = F.when(F.trim("latex") != "", F.col("latex")).when(F.trim("source_text") != "", F.col("source_text"))
+    return rows.groupBy(*keys, F.col("page").cast("bigint").alias("page")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("emit").alias("emitted"), F.array_sort(F.collect_list(value)).alias("latex_values"))

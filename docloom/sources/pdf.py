@@ -177,6 +177,7 @@ class Pdf:
 
     objects: dict[int, Any]
     trailer: dict
+    numbers: list[int] = field(default_factory=list)
 
     def get(self, v: Any) -> Any:
         """A value with its reference followed."""
@@ -187,8 +188,9 @@ class Pdf:
         return None
 
     def pages(self) -> list[dict]:
-        """Pages in order, with what they inherit."""
+        """Pages in order, with what they inherit; ``numbers`` has their object numbers."""
         out, seen = [], set()
+        self.numbers = []
 
         def walk(node: Any, given: dict) -> None:
             if isinstance(node, Ref):
@@ -204,6 +206,7 @@ class Pdf:
                     walk(kid, own)
             else:
                 out.append(own | d)
+                self.numbers.append(node.number if isinstance(node, Ref) else -1)
 
         root = self.get(self.trailer.get("Root"))
         if isinstance(root, dict):
@@ -296,19 +299,22 @@ def _times(a: tuple, b: tuple) -> tuple:
 
 @dataclass
 class PageContent:
-    """Glyphs (text, x0, x1, baseline, size, is space) and rules of a page, top-left origin."""
+    """Glyphs (text, x0, x1, baseline, size, is space, font, marked content), rules and images (name, box) of a page, top-left origin."""
 
     width: float
     height: float
-    glyphs: list[tuple[str, float, float, float, float, bool]] = field(default_factory=list)
+    glyphs: list[tuple[str, float, float, float, float, bool, str, int | None]] = field(default_factory=list)
     rules: list[tuple[str, float, float, float]] = field(default_factory=list)
+    images: list[tuple[str, float, float, float, float]] = field(default_factory=list)
 
 
 def content(pdf: Pdf, page: dict) -> PageContent:
-    """What a page shows: text and straight rules."""
+    """What a page shows: text, straight rules and images."""
     x0, y0, x1, y1 = (float(pdf.get(v)) for v in (pdf.get(page.get("MediaBox")) or [0, 0, 612, 792]))
     out = PageContent(x1 - x0, y1 - y0)
-    fonts = pdf.get((pdf.get(page.get("Resources")) or {}).get("Font")) or {}
+    resources = pdf.get(page.get("Resources")) or {}
+    fonts, objects, properties = (pdf.get(resources.get(k)) or {} for k in ("Font", "XObject", "Properties"))
+    marked: list[int | None] = []
     parts = pdf.get(page.get("Contents"))
     streams = [pdf.get(p) for p in (parts if isinstance(parts, list) else [parts])]
     reader = Reader(b"\n".join(s.data() for s in streams if isinstance(s, Stream)))
@@ -327,7 +333,7 @@ def content(pdf: Pdf, page: dict) -> PageContent:
             m = _times((size * scale, 0, 0, size, 0, 0), _times(tm, ctm))
             step = (width / 1000 * size + char_gap + (word_gap if space else 0)) * scale
             after = _times(_times((1, 0, 0, 1, step, 0), tm), ctm)
-            out.glyphs.append((char, m[4] - x0, after[4] - x0, out.height - (m[5] - y0), abs(m[3]) or abs(m[1]) or size, space))
+            out.glyphs.append((char, m[4] - x0, after[4] - x0, out.height - (m[5] - y0), abs(m[3]) or abs(m[1]) or size, space, font, next((n for n in reversed(marked) if n is not None), None)))
             tm = _times((1, 0, 0, 1, step, 0), tm)
 
     def rule(a: tuple, b: tuple) -> None:
@@ -388,6 +394,18 @@ def content(pdf: Pdf, page: dict) -> PageContent:
                 x, y, w, h = a[-4:]
                 for p, q in (((x, y), (x + w, y)), ((x, y + h), (x + w, y + h)), ((x, y), (x, y + h)), ((x + w, y), (x + w, y + h))):
                     rule(p, q)
+            elif token == "Do":
+                found = pdf.get(objects.get(a[-1]))
+                if isinstance(found, Stream) and found.info.get("Subtype") == "Image":
+                    xs, ys = zip(*[(x * ctm[0] + y * ctm[2] + ctm[4] - x0, out.height - (x * ctm[1] + y * ctm[3] + ctm[5] - y0)) for x in (0, 1) for y in (0, 1)], strict=True)
+                    out.images.append((str(a[-1]), min(xs), min(ys), max(xs), max(ys)))
+            elif token in ("BMC", "BDC"):
+                named = a[-1] if token == "BDC" else None
+                named = pdf.get(properties.get(named)) if isinstance(named, Name) else named
+                marked.append(named.get("MCID") if isinstance(named, dict) else None)
+            elif token == "EMC":
+                if marked:
+                    marked.pop()
             elif token == "BI":  # inline image: skip its data
                 end = re.compile(rb"\sEI(?=\s)").search(reader.data, reader.at)
                 reader.at = end.end() if end else len(reader.data)
@@ -434,6 +452,100 @@ def page_words(page: PageContent, gap: float = 0.55) -> list[tuple]:
     return out
 
 
+def font_runs(pdf: Pdf, page: dict, c: PageContent) -> list[tuple]:
+    """(family, weight, italic, size, text, x0, y0, x1, y1): neighbouring glyphs of one font and baseline.
+
+    The weight is the font's own, else 700 where its name or flags say bold, else 400.
+    """
+    fonts = pdf.get((pdf.get(page.get("Resources")) or {}).get("Font")) or {}
+    known: dict[str, tuple[str, int, bool]] = {}
+
+    def style(name: str) -> tuple[str, int, bool]:
+        if name not in known:
+            f = pdf.get(fonts.get(name)) or {}
+            inner = pdf.get((pdf.get(f.get("DescendantFonts")) or [None])[0]) or {}
+            d = pdf.get(f.get("FontDescriptor") or inner.get("FontDescriptor")) or {}
+            full = re.sub(r"^[A-Z]{6}\+", "", str(pdf.get(f.get("BaseFont")) or name))
+            flags, weight = int(pdf.get(d.get("Flags")) or 0), pdf.get(d.get("FontWeight"))
+            bold = "bold" in full.lower() or bool(flags >> 18 & 1)
+            italic = re.search("italic|oblique", full, re.IGNORECASE) is not None or bool(flags >> 6 & 1) or bool(pdf.get(d.get("ItalicAngle")))
+            known[name] = (re.split("[-,]", full)[0], int(weight) if isinstance(weight, (int, float)) else 700 if bold else 400, italic)
+        return known[name]
+
+    runs: list[list] = []
+    for g in c.glyphs:
+        if runs and runs[-1][-1][6] == g[6] and abs(runs[-1][-1][3] - g[3]) < 0.5 and runs[-1][-1][4] == g[4]:
+            runs[-1].append(g)
+        else:
+            runs.append([g])
+    return [(*style(r[0][6]), r[0][4], "".join(g[0] for g in r), min(g[1] for g in r), r[0][3] - 0.8 * r[0][4], max(g[2] for g in r), r[0][3] + 0.2 * r[0][4]) for r in runs if any(not g[5] for g in r)]
+
+
+def structure(pdf: Pdf) -> dict[tuple[int, int], tuple[str, str | None, str | None]]:
+    """(role, alternative text, actual text) by (page object, marked content) from the file's structure tree."""
+    root = pdf.get(pdf.trailer["Root"]) or {}
+    tree = pdf.get(root.get("StructTreeRoot")) or {}
+    roles = pdf.get(tree.get("RoleMap")) or {}
+    out: dict[tuple[int, int], tuple[str, str | None, str | None]] = {}
+    todo, seen = [(tree.get("K"), None, None)], set()
+    while todo:
+        v, page, told = todo.pop()
+        if isinstance(v, Ref):
+            if v.number in seen:
+                continue
+            seen.add(v.number)
+            v = pdf.get(v)
+        if isinstance(v, list):
+            todo += [(x, page, told) for x in v]
+        elif isinstance(v, int) and page is not None and told:
+            out[page, v] = told
+        elif isinstance(v, dict):
+            page = v["Pg"].number if isinstance(v.get("Pg"), Ref) else page
+            if "S" in v:
+                role = str(pdf.get(v["S"]))
+                told = (str(pdf.get(roles.get(role)) or role), text_value(pdf.get(v.get("Alt"))), text_value(pdf.get(v.get("ActualText"))))
+            if isinstance(v.get("MCID"), int) and page is not None and told:
+                out[page, v["MCID"]] = told
+            todo.append((v.get("K"), page, told))
+    return out
+
+
+def page_tags(pdf: Pdf, number: int, c: PageContent) -> list[tuple]:
+    """(mcid, role, alt, actual_text, x0, y0, x1, y1): the boxes of a page's tagged text."""
+    roles = structure(pdf)
+    groups: dict[int, list] = {}
+    for g in c.glyphs:
+        if g[7] is not None and (number, g[7]) in roles:
+            groups.setdefault(g[7], []).append(g)
+    return [(m, *roles[number, m], min(g[1] for g in gs), min(g[3] - 0.8 * g[4] for g in gs), max(g[2] for g in gs), max(g[3] + 0.2 * g[4] for g in gs)) for m, gs in sorted(groups.items())]
+
+
+def _png(width: int, height: int, channels: int, samples: bytes) -> bytes:
+    """Samples of 8 bits as a PNG file."""
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    step = width * channels
+    lines = b"".join(b"\0" + samples[k * step : (k + 1) * step] for k in range(height))
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 0 if channels == 1 else 2, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def decoded_image(pdf: Pdf, image: Stream) -> tuple[int, int, str | None, bytes | None]:
+    """(width, height, format, bytes): JPEG files as they are, samples of 8 bits in grey or RGB as PNG; bytes are null for the rest."""
+    width, height = int(pdf.get(image.info.get("Width")) or 0), int(pdf.get(image.info.get("Height")) or 0)
+    filters = pdf.get(image.info.get("Filter"))
+    last = (filters or [None])[-1] if isinstance(filters, list) else filters
+    if last in ("DCTDecode", "JPXDecode"):
+        return (width, height, "jpg" if last == "DCTDecode" else "jp2", image.raw) if filters == last or len(filters) == 1 else (width, height, None, None)
+    channels = {"DeviceGray": 1, "DeviceRGB": 3}.get(str(pdf.get(image.info.get("ColorSpace"))))
+    try:
+        samples = image.data()
+    except (ValueError, zlib.error):
+        return width, height, None, None
+    if channels and pdf.get(image.info.get("BitsPerComponent")) == 8 and len(samples) >= width * height * channels > 0:
+        return width, height, "png", _png(width, height, channels, samples)
+    return width, height, None, None
+
+
 def text_value(v: Any) -> str | None:
     """A PDF text string."""
     if not isinstance(v, bytes):
@@ -448,6 +560,9 @@ SCHEMAS = {
     "words": f"path string, page_num bigint, block_id bigint, line_id bigint, widx bigint, text string, font_size double, {_BOX}, baseline_y double, error string",
     "pages": "path string, page_num bigint, width double, height double, rotation int, n_words bigint, error string",
     "rules": "path string, page_num bigint, orientation string, pos double, lo double, hi double, error string",
+    "images": f"path string, page_num bigint, image_index bigint, {_BOX}, pixel_width int, pixel_height int, format string, content binary, error string",
+    "fonts": f"path string, page_num bigint, family string, weight int, italic boolean, font_size double, text string, {_BOX}, error string",
+    "tags": f"path string, page_num bigint, mcid bigint, role string, alt string, actual_text string, {_BOX}, error string",
     "metadata": "path string, page_count bigint, title string, author string, subject string, keywords string, creator string, producer string, created string, modified string, xmp boolean, signed boolean, error string",
 }
 
@@ -475,6 +590,15 @@ def rows_of(path: str, data: bytes, table: str) -> Iterator[tuple]:
             c = content(pdf, page)
             if table == "rules":
                 yield from ((path, k, *r, None) for r in c.rules)
+            elif table == "images":
+                held = pdf.get((pdf.get(page.get("Resources")) or {}).get("XObject")) or {}
+                decoded = [(box, decoded_image(pdf, pdf.get(held[name]))) for name, *box in c.images]
+                kept = [(box, d) for box, d in decoded if d[3] is not None]  # undecodable ones are left out of the numbering
+                yield from ((path, k, n, *box, *d, None) for n, (box, d) in enumerate(kept))
+            elif table == "fonts":
+                yield from ((path, k, *r, None) for r in font_runs(pdf, page, c))
+            elif table == "tags":
+                yield from ((path, k, *t, None) for t in page_tags(pdf, pdf.numbers[k], c))
             else:
                 words = page_words(c)
                 if table == "pages":

@@ -6,8 +6,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import doctor
 from docloom.functions import predicates, sqlfunctions
-from docloom.operators import enrich, evaluate, facts, folds, media, pageplan, render, spatial
+from docloom.operators import enrich, evaluate, facts, folds, media, pageplan, render, spatial, visual
 from docloom.sources import files
 from docloom.streaming import arrivals
 
@@ -255,3 +256,74 @@ def test_sql_functions(spark):
     got = spark.sql("select geometric_latex(array(named_struct('text', 'x', 'x0', 0D, 'y0', 90D, 'x1', 10D, 'y1', 100D, 'font_size', 10D, 'baseline_y', 100D), named_struct('text', '2', 'x0', 12D, 'y0', 89D, 'x1', 18D, 'y1', 95D, 'font_size', 6D, 'baseline_y', 95D), named_struct('text', '=', 'x0', 30D, 'y0', 90D, 'x1', 40D, 'y1', 100D, 'font_size', 10D, 'baseline_y', 100D)), 'x2 =') as l, unicode_latex('α') as u").first()
     assert got.l == "x ^{2} ="
     assert got.u.strip() == "\\alpha"
+
+
+def test_dark_bands_and_visual_formulas(spark):
+    lines = [(1, 0, y, 30, 250, 350, 80) for y in range(100, 120)] + [(1, 0, y, 30, 240, 360, 10) for y in range(124, 130)] + [(1, 0, 300, 3, 10, 20, 3)]
+    df = spark.createDataFrame(lines, "doc_id bigint, page_num bigint, y int, dark int, min_x int, max_x int, max_run int")
+    (b,) = visual.dark_bands(df, 600).collect()
+    assert (b.y0, b.y1, b.x0, b.x1, b.dark, b.run) == (100, 130, 240, 360, 780, 80)
+    pages = spark.createDataFrame([(1, 0, 600.0, 800.0)], "doc_id bigint, page_num bigint, width double, height double")
+    words = spark.createDataFrame([(1, 0, "near", 250.0, 80.0, 300.0, 86.0)], f"doc_id bigint, page_num bigint, text string, {BOX}")
+    blocks = spark.createDataFrame([(1, 0, 0, "The load is given by", 50.0, 60.0, 200.0, 70.0)], f"doc_id bigint, page_num bigint, reading_order bigint, text string, {BOX}")
+    none = spark.createDataFrame([], f"doc_id bigint, page_num bigint, {BOX}")
+    bands = visual.dark_bands(df, 600)
+    run = lambda **k: visual.visual_formulas(bands, words, blocks, pages, k.get("existing", none), k.get("excluded", none), k.get("references", none.select("doc_id", "page_num"))).collect()
+    (r,) = run()
+    assert r.reason == "visual-isolated-equation-band+cue:The load is given by+centered+text-gap+horizontal-rule"
+    assert (r.formula_index, r.confidence, r.status) == (0, 68, "needs-review")
+    same = spark.createDataFrame([(1, 0, 240.0, 100.0, 360.0, 130.0)], f"doc_id bigint, page_num bigint, {BOX}")
+    assert run(existing=same) == run(excluded=same) == run(references=same.select("doc_id", "page_num")) == []
+
+
+def test_tagged_blocks(spark):
+    blocks = spark.createDataFrame([(1, 0, k, "Paragraph", None, None, None, 0.0, 20.0 * k, 100.0, 20.0 * k + 10) for k in range(5)], f"doc_id bigint, page_num bigint, block_id bigint, kind string, level int, ordered boolean, depth int, {BOX}")
+    tags = spark.createDataFrame([(1, 0, role, 0.0, 20.0 * k, 100.0, 20.0 * k + 10) for k, role in enumerate(["/H2", "LBody", "TD", "Span"])], f"doc_id bigint, page_num bigint, role string, {BOX}")
+    got = [(r.kind, r.level, r.ordered) for r in facts.tagged_blocks(blocks, tags).orderBy("block_id").collect()]
+    assert got == [("Heading", 2, None), ("ListItem", None, False), ("TableCell", None, None), ("Paragraph", None, None), ("Paragraph", None, None)]
+
+
+def test_reference_pages(spark):
+    df = spark.createDataFrame([(1, 0, "References"), (1, 0, "x"), (1, 1, "[1] A"), (1, 1, "[2] B"), (1, 1, "c"), (1, 1, "d"), (1, 1, "e"), (1, 2, "[1] A"), (1, 2, "b"), (1, 2, "c")], "doc_id bigint, page_num bigint, text string")
+    assert {r.page_num for r in visual.reference_pages(df).collect()} == {0, 1}
+
+
+def test_fences_are_no_paragraphs(spark):
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(["some text", "goes on", "```", "code here", "more", "```", "end"])], "doc_id bigint, line_no bigint, line string")
+    assert [r.text for r in folds.merged_paragraphs(df).orderBy("paragraph").collect()] == ["some text goes on", "end"]
+
+
+def test_evaluation_of_a_conversion(spark):
+    labels = {
+        "pages": spark.createDataFrame([(1, 1, 1, 1), (1, 2, 0, 0), (1, 9, 3, 0)], "doc_id bigint, page bigint, expected_formula_count bigint, expected_tables bigint"),
+        "headings": spark.createDataFrame([(1, 1, "Load tests", 2), (1, 1, "Missing", 2)], "doc_id bigint, page bigint, text string, level int"),
+        "table_regions": spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, None, 0.0, 1.0, 1.0)], f"doc_id bigint, page bigint, {BOX}"),
+    }
+    found = {
+        "blocks": spark.createDataFrame([(1, 0, "Heading", 2, "Load  Tests"), (1, 0, "Paragraph", None, "x"), (1, 1, "Heading", 1, "Other")], "doc_id bigint, page_num bigint, kind string, level int, text string"),
+        "tables": spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 9.0), (1, 0, 50.0, 50.0, 60.0, 60.0)], f"doc_id bigint, page_num bigint, {BOX}"),
+        "formulas": spark.createDataFrame([(1, 1)], "doc_id bigint, page_num bigint"),
+        "figures": spark.createDataFrame([(1, 0, "Figure 1"), (1, 0, None)], "doc_id bigint, page_num bigint, caption string"),
+    }
+    pages, documents = evaluate.evaluated(labels, found, ["doc_id"])
+    a, b = pages.orderBy("page").collect()
+    assert (a.page, a.heading_matches, a.heading_expected, a.table_true_positive, a.region_matches, a.regions_found, a.formula_recall, a.figures_found) == (1, 1, 2, True, 1, 2, 0.0, 2)
+    assert (b.page, b.heading_false_positives, b.formula_false_positives, b.regions_expected) == (2, 1, 1, 0)
+    (d,) = documents.collect()
+    assert (d.pages, d.heading_accuracy_micro, d.region_precision_micro) == (2, 0.5, 0.5)
+
+
+def test_density_ratio_and_doctor(spark):
+    blocks = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 10.0, 10.0, 20.0, 20.0)], f"doc_id bigint, page_num bigint, {BOX}")
+    assert facts.density_ratio(blocks, blocks).first().density == 0.5
+    rows = {r.check: r.ok for r in doctor.checks(spark).collect()}
+    assert rows["spark"]
+    assert rows["shared folder"]
+    assert rows["executor package pandas"]
+
+
+def test_debug_formulas_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "x", None, True), (1, 0, " ", "y", False), (1, 1, None, None, False)], "doc_id bigint, page_num bigint, latex string, source_text string, emit boolean")
+    files.write_debug_formulas(df, str(tmp_path / "debug"))
+    got = {r.page: (r.candidates, r.emitted, r.latex_values) for r in files.debug_formulas(spark, str(tmp_path / "debug"), ["doc_id"]).collect()}
+    assert got == {1: (2, 1, ["x", "y"]), 2: (1, 0, [])}

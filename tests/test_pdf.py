@@ -111,3 +111,33 @@ def test_crop_and_resize(spark):
     rows = list(P.rows_of("f", half, "words"))
     assert [r[5] for r in rows][:2] == ["Hello", "world"]
     assert rows[0][7] == 36.0
+
+
+def test_images_fonts_and_tags(spark, tmp_path):
+    from docloom.sources import files
+
+    body = "/P <</MCID 0>> BDC BT /F1 10 Tf 72 700 Td (Tagged head) Tj ET EMC BT /F1 10 Tf 72 650 Td (plain) Tj ET q 100 0 0 50 72 500 cm /Im1 Do Q q 10 0 0 10 0 0 cm /Im2 Do Q"
+    holder = P.Pdf({}, {})
+    holder.objects[10] = P.Stream({}, body.encode())
+    image = {"Type": P.Name("XObject"), "Subtype": P.Name("Image"), "Width": 2, "Height": 1, "ColorSpace": P.Name("DeviceRGB"), "BitsPerComponent": 8}
+    holder.objects[11] = P.Stream(image | {"Filter": P.Name("FlateDecode")}, zlib.compress(bytes([255, 0, 0, 0, 255, 0])))
+    holder.objects[12] = P.Stream(image | {"ColorSpace": P.Name("DeviceCMYK")}, b"abcdefgh")
+    font = {"Type": P.Name("Font"), "Subtype": P.Name("Type1"), "BaseFont": P.Name("ABCDEF+Serif-BoldItalic"), "FontDescriptor": {"Flags": 64}}
+    page = {"Type": P.Name("Page"), "MediaBox": [0, 0, 612, 792], "Contents": P.Ref(10), "Resources": {"Font": {"F1": font}, "XObject": {"Im1": P.Ref(11), "Im2": P.Ref(12)}}}
+    data = P.build([(holder, page)])
+    tree = b"<</Type /Catalog /Pages 2 0 R /StructTreeRoot <</K [<</S /Head /Pg 3 0 R /K [0] /Alt (Alt)>>] /RoleMap <</Head /H1>>>>>>"
+    data = data.replace(b"<</Type /Catalog /Pages 2 0 R>>", tree)
+    (im,) = P.rows_of("f", data, "images")
+    assert im[2:7] == (0, 72.0, 242.0, 172.0, 292.0)
+    assert im[7:10] == (2, 1, "png")
+    assert im[10].startswith(b"\x89PNG")
+    fonts = list(P.rows_of("f", data, "fonts"))
+    assert fonts[0][2:6] == ("Serif", 700, True, 10.0)
+    assert [f[6] for f in fonts] == ["Tagged head", "plain"]
+    (tag,) = P.rows_of("f", data, "tags")
+    assert tag[2:6] == (0, "H1", "Alt", None)
+    assert tag[6] == 72.0
+    (tmp_path / "a.pdf").write_bytes(data)
+    (r,) = files.write_images(P.read_pdf(spark, str(tmp_path / "a.pdf"), "images"), str(tmp_path / "out")).collect()
+    assert r.image_path.endswith("a/page1_img1.png")
+    assert open(r.image_path, "rb").read() == im[10]
