@@ -206,7 +206,7 @@ def verified(counts: DataFrame, ratio: float = RATIO) -> DataFrame:
     folded = counts.groupBy(F.lower("word").alias("folded")).agg(F.sum("n_files").alias("n_word"))
     shaped = F.pandas_udf(lambda words: words.map(looks_like_word), "boolean")  # of hits only
     seen = counts.select("word", F.lower("word").alias("folded")).hint("merge").join(folded, "folded")
-    hits = seen.join(garbled_words(counts).withColumnRenamed("garbled", "word"), "word")
+    hits = seen.hint("merge").join(garbled_words(counts).withColumnRenamed("garbled", "word"), "word")
     frequent = (F.length("word") >= MIN_SHAPED) & (F.col("n_files") >= F.col("n_word") * F.lit(ratio))
     weak = F.col("word").rlike("^[A-Za-z\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456]{1,3}$")
     hits = hits.where(frequent | ~weak).withColumn("word_shaped", shaped("word")).where((~F.col("word_shaped") & ~weak) | frequent)
