@@ -46,9 +46,14 @@ def page_sizes(pages: DataFrame) -> DataFrame:
 
 
 def with_page(df: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rows with their page's size; a page without a report has the usual size."""
-    joined = df.join(page_sizes(pages), ["doc_id", "page_num"], "left")
-    return joined.withColumns({"width": F.coalesce("width", F.lit(WIDTH)), "height": F.coalesce("height", F.lit(HEIGHT))})
+    """Rows with their page's size; a page without a report has the usual size.
+
+    The sizes of a file's pages meet its rows as one map by doc_id, so rows that lie by file stay where they are.
+    """
+    entry = F.struct("page_num", F.struct("width", "height"))
+    per = page_sizes(pages.where("page_num is not null")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_sizes"))
+    joined = df.join(per.hint("shuffle_hash"), "doc_id", "left").withColumn("_size", F.try_element_at("_sizes", F.col("page_num")))
+    return joined.withColumns({"width": F.coalesce("_size.width", F.lit(WIDTH)), "height": F.coalesce("_size.height", F.lit(HEIGHT))}).drop("_sizes", "_size")
 
 
 def _union_box() -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import written
 
 #: Paper sizes in points.
 PAPERS = {"a4": (595.0, 842.0), "letter": (612.0, 792.0)}
@@ -44,9 +45,19 @@ def split(docs: DataFrame, every: int) -> DataFrame:
 
 
 def merge(docs: DataFrame, group: str) -> DataFrame:
-    """(group, doc_id, page, out_page): the pages of a group's files one after another, by doc_id."""
-    w = Window.partitionBy(group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = docs.where("page_count > 0").withColumn("ahead", F.coalesce(F.sum("page_count").over(w), F.lit(0)))
+    """(group, doc_id, page, out_page): the pages of a group's files one after another, by doc_id.
+
+    The running page number is a sum of two: files are written in ranges of (group, doc_id), the ranges'
+    totals are added up (a few rows a group), and within a range its files. A group that holds most files
+    is many ranges, so none is one task.
+    """
+    files = docs.where("page_count > 0").select(group, "doc_id", "page_count")
+    ranged = written(files.repartitionByRange(F.col(group), F.col("doc_id")).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(group, "_range").agg(F.sum("page_count").alias("_total"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    within = Window.partitionBy(group, "_range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.join(totals.drop("_total"), [group, "_range"]).withColumn("ahead", F.col("_before") + F.coalesce(F.sum("page_count").over(within), F.lit(0)))
     return ahead.select(group, "doc_id", F.explode(_every()).alias("page"), "ahead").select(group, "doc_id", "page", (F.col("ahead") + F.col("page")).alias("out_page"))
 
 

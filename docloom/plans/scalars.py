@@ -87,6 +87,11 @@ def _author(x: str) -> str:
     )
 
 
+#: Titles of a domain that are headings whatever their size, a parameter of the operator.
+LISTED = {"Contents": 1, "Load Tests": 2, "Notes": 3, "General": 2}
+#: A phrase to search for.
+PHRASE = "the  Pump"
+
 #: name: (base, Spark column, SQL expression) of functions that give a value for each row.
 VALUES = {
     "clean_text": ("blocks", T.clean_text, _clean),
@@ -102,6 +107,8 @@ VALUES = {
     "equation_numbers": ("formulas", T.equation_number, lambda x: rf"nullif(regexp_extract({x}, '(?:^|\s)(\((?:[pP]\.)?[0-9]+(?:[.-][0-9]+)*\))\s*$', 1), '')"),
     "math_score": ("formulas", lambda c: T.math_score(c).cast("bigint"), lambda x: f"cast(length({x}) - length(translate({x}, '{T.MATH}', '')) as bigint)"),
     "strip_list_numbers": ("markdown", T.strip_list_number, lambda x: _re(x)),
+    "abstract_text": ("blocks", T.abstract_text, lambda x: rf"nullif(regexp_extract({_trim(x)}, '(?is)^abstract[{WS}:—–-]*(.*)$', 1), '')"),
+    "listed_heading_levels": ("lines", lambda c: P.listed_heading_level(c, LISTED), lambda x: "case " + " ".join(f"when lower({_collapse(x)}) = '{t.lower()}' then {v}" for t, v in LISTED.items()) + " end"),
     "field_labels": ("markdown", T.field_label, lambda x: _trim(f"regexp_replace({_trim(_re(x))}, ':+$', '')")),
 }
 
@@ -134,6 +141,9 @@ FILTERS = {
     "sentence_ends": ("blocks", P.ends_sentence, lambda x: rf"regexp_matches({x}, '[.!?:][\"'')\]{WS}]*$')"),
     "affiliation_lines": ("lines", P.is_affiliation, lambda x: f"(contains({x}, '@') or regexp_matches({x}, '{P.AFFILIATION}'))"),
     "structural_lines": ("markdown", P.is_structural, lambda x: rf"regexp_matches({_trim(x)}, '^(#|<!--|\||!\[|\$\$|- |\*Figure|[0-9]+\. )|^\*(?s:.*)\*$')"),
+    "formula_content": ("formulas", lambda c: P.is_formula_content(T.words(F.coalesce(c, F.lit(""))), F.coalesce(c, F.lit(""))), lambda x: rf"(len(list_filter({_words(f"coalesce({x}, '')")}, lambda w: {_trim('w')} in ('∑','∏','∫','√','∂','∞','=','+','−','≤','≥','≠','≈','→','⇒','×','÷') or regexp_matches(w, '[₁₂₃ⁱⁿ]'))) > 0 or regexp_matches(coalesce({x}, ''), '[_^]|\\frac|\\sum'))"),
+    "formula_noise": ("markdown", P.is_formula_noise, lambda x: rf"({_trim(x)} not in ('+','−','=','×','÷','≤','≥','∑','∏','∫','√') and ({_trim(x)} = '' or (starts_with({_trim(x)}, '(') and ends_with({_trim(x)}, ')') and strlen({_trim(x)}) <= 6) or regexp_matches({_trim(x)}, 'http|www|://|\.com|\.org') or {_trim(x)} in ('•', '·', '●', '◦') or regexp_matches({_trim(x)}, '^[!-/:-@\[-`{{-~]+$')))"),
+    "phrase_blocks": ("blocks", lambda c: P.contains_phrase(c, F.lit(PHRASE)), lambda x: f"contains(lower({_collapse(x)}), '{' '.join(PHRASE.lower().split())}')"),
     "readable_blocks": ("blocks", P.is_readable, lambda x: rf"regexp_matches({x}, '[\p{{L}}\p{{N}}]')"),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import geometry as G
 from docloom.functions import predicates as P
 from docloom.functions import text as T
 from docloom.operators import base, facts, nested, spatial
@@ -25,6 +26,7 @@ _SAME = "r.doc_id = a.doc_id and r.page_num = a.page_num"
 _DATA = f"(len({_words('text')}) >= 4 and (len(list_filter({_words('text')}, lambda w: {_value('w')})) * 100 // greatest(len({_words('text')}), 1) >= 55 or (len(list_filter({_words('text')}, lambda w: length(regexp_replace(w, '[^0-9]', '', 'g')) >= 6)) > 0 and len(list_filter({_words('text')}, lambda w: {_value('w')})) >= 4)))"
 _TABLES = f"tables as (select doc_id, page_num, block_id, x0 - 5 as x0, y0 - 5 as y0, x1 + 5 as x1, y1 + 5 as y1, 0.8::double as confidence from blocks where block_id < 1000000 and {_DATA})"
 _RUNS = "runs as (select doc_id, page_num, block_id, line_id, cast(font_size as varchar) as run, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from words group by doc_id, page_num, block_id, line_id, font_size)"
+_FORMULA_SIZES = "fs as (select f.*, coalesce(p.width, 612.0) as w, coalesce(p.height, 792.0) as h from formulas f left join pages p using (doc_id, page_num))"
 _CLS = (facts_plan._PAGE, facts_plan._BODY, facts_plan._BASE, facts_plan._LEVEL)
 
 
@@ -49,6 +51,12 @@ def _classified(spark, d):
     return facts_plan._classified(spark, d)
 
 
+def _padded(s, d):
+    sized = facts.with_page(base.formulas(s, d), base.pages(s, d))
+    grown = G.pad_and_clamp(G.box(), 40.0, F.col("width"), F.col("height"))
+    return sized.select("doc_id", "page_num", "formula_index", *[c.alias(n) for c, n in zip(grown, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
 KEYS = base.BLOCK_KEYS
 QUERIES = {
     "anti_furniture": lambda s, d: spatial.outside(base.blocks(s, d), furniture(s, d)).select(*KEYS),
@@ -66,6 +74,8 @@ QUERIES = {
     "column_range": lambda s, d: spatial.column_interval(base.words(s, d), CENTRES).select(*KEYS, "widx", "column"),
     "interleave_merge": lambda s, d: spatial.merged_order(base.body_blocks(s, d), base.formulas(s, d).withColumn("id", F.col("formula_index"))),
     "repeated_text_blocks": lambda s, d: _repeated(s, d),
+    "padded_boxes": lambda s, d: _padded(s, d),
+    "significant_images": lambda s, d: facts.with_page(base.formulas(s, d), base.pages(s, d)).where(P.is_significant_image(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")])).select("doc_id", "page_num", "formula_index"),
 }
 
 
@@ -91,6 +101,11 @@ def _best(items: str, regions: str, value: str, least: float, *ctes: str) -> str
 
 
 SQL = {
+    "padded_boxes": sql("select doc_id, page_num, formula_index, greatest(x0 - 40, 0.0) as x0, greatest(y0 - 40, 0.0) as y0, least(x1 + 40, w) as x1, least(y1 + 40, h) as y1 from fs", _FORMULA_SIZES),
+    "significant_images": sql(
+        "select doc_id, page_num, formula_index from fs where ((x1 - x0) / greatest(w, 1.0) >= 0.10::double or (y1 - y0) / greatest(h, 1.0) >= 0.06::double) and (x1 - x0) * (y1 - y0) / (greatest(w, 1.0) * greatest(h, 1.0)) >= 0.004::double and x1 - x0 > 8 and y1 - y0 > 8",
+        _FORMULA_SIZES,
+    ),
     "anti_furniture": _anti("blocks", "doc_id, page_num, block_id", "furn", f"{_FIRST} > 0.55::double", _FURN),
     "words_outside_formulas": _anti("words", "doc_id, page_num, block_id, widx", "formulas", f"{_SMALLER} > 0.5::double"),
     "formulas_outside_furniture": _anti("formulas", "doc_id, page_num, formula_index", "furn", f"{_FIRST} > 0.5::double", _FURN),

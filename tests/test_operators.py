@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom import doctor
 from docloom.functions import predicates, sqlfunctions
-from docloom.operators import enrich, evaluate, facts, folds, media, pageplan, render, spatial, visual
+from docloom.operators import enrich, evaluate, facts, folds, media, nested, pageplan, render, spatial, visual
 from docloom.sources import files
 from docloom.streaming import arrivals
 
@@ -327,3 +327,34 @@ def test_debug_formulas_are_written_and_read(spark, tmp_path):
     files.write_debug_formulas(df, str(tmp_path / "debug"))
     got = {r.page: (r.candidates, r.emitted, r.latex_values) for r in files.debug_formulas(spark, str(tmp_path / "debug"), ["doc_id"]).collect()}
     assert got == {1: (2, 1, ["x", "y"]), 2: (1, 0, [])}
+
+
+def test_folders_are_listed_and_read(spark, tmp_path):
+    for name, body in (("b.PDF", "x"), ("a.pdf", "yy"), ("c.txt", "z"), ("f.json", '{"pdf": "p", "pages": [{"page": 1}]}')):
+        (tmp_path / name).write_text(body)
+    assert [(r.name, r.length) for r in files.input_files(spark, str(tmp_path)).collect()] == [("a.pdf", 2), ("b.PDF", 1)]
+    (r,) = files.fixture_folder(spark, str(tmp_path)).collect()
+    assert r.file_name == "f.json"
+    assert nested.fixture_pages(files.fixture_folder(spark, str(tmp_path))).first().page == 1
+
+
+def test_arrivals_are_counted_by_window(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, "s", day), (2, "s", day + dt.timedelta(hours=3)), (3, "t", day + dt.timedelta(days=1))]
+    spark.createDataFrame(rows, "doc_id bigint, source string, at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = arrivals.arriving(spark, str(tmp_path / "in"), "doc_id bigint, source string, at timestamp")
+    query = arrivals.arrival_counts(stream, "at", "source").writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.source, r.n) for r in spark.table("arrived").collect()) == [("s", 2), ("t", 1)]
+
+
+def test_merge_of_a_group_over_many_ranges(spark):
+    docs = spark.createDataFrame([(k, "s" if k % 3 else "t", k % 4) for k in range(200)], "doc_id bigint, source string, page_count bigint")
+    got = {(r.source, r.doc_id, r.page): r.out_page for r in pageplan.merge(docs.repartition(7), "source").collect()}
+    want, seen = {}, {"s": 0, "t": 0}
+    for k in range(200):
+        for page in range(1, k % 4 + 1):
+            g = "s" if k % 3 else "t"
+            seen[g] += 1
+            want[g, k, page] = seen[g]
+    assert got == want
