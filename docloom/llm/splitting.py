@@ -8,7 +8,8 @@ punctuation, white space, between letters. Pieces without their overlaps join to
 
 Only oversized texts reach Python (Arrow batches, no shuffle); all others pass as one piece in
 the JVM. A piece is never over the limit, whatever the text. Characters are code points, and a
-cut never separates a combining mark or a carriage return from its line feed.
+cut never separates a combining mark or a carriage return from its line feed, unless a single run of
+such marks is longer than a piece may be.
 
 Defined results: a null text and a row without its first key give no piece, an empty one gives one empty piece; texts of
 exactly the limit are not cut; duplicates count once, the newest rendering stands.
@@ -59,10 +60,11 @@ def _cut(text: str, lo: int, hi: int) -> int:
                 best = at
         if best is not None:
             return best
-    at = mid
-    while lo + 1 < at and _joined(text, at):
-        at -= 1
-    return at if not _joined(text, at) else mid
+    for away in range(hi - lo):
+        for at in (mid - away, mid + away):
+            if lo < at < hi and not _joined(text, at):
+                return at
+    return mid  # one cluster from end to end
 
 
 def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:

@@ -44,3 +44,12 @@ def test_items(spark, make):
         own = sorted((p for p in pieces if (p.doc_id, p.section_idx) == key), key=lambda p: p.piece_idx)
         assert "".join(p.piece[p.own_start - p.char_start :] for p in own) == {(1, -1): long, (1, 0): long, (1, 2): "short", (2, -1): "x" * 4000, (4, -1): "", (4, 0): "y" * 4001, (5, -1): "short now", (6, -1): long, (7, -1): "no break" * 100000}[key]
     assert S.oversized(make("rendered", [])).count() == 0
+
+
+def test_marks_stay_with_their_letter_wherever_a_cut_is_possible():
+    text = "a" + "\u0301" * 3000 + "b" * 5000
+    spans = S.split_spans(text, 4000, 200)
+    assert all(c - a <= 4000 for a, _, c in spans)
+    assert all(text[own] != "\u0301" for _, own, _ in spans)
+    marks = "x" + "\u0301" * 9000
+    assert all(c - a <= 4000 for a, _, c in S.split_spans(marks, 4000, 200))
