@@ -180,6 +180,13 @@ def search_hits(blocks: DataFrame, needle: str) -> DataFrame:
     return hit.groupBy("doc_id", "page").agg(F.sum("n").alias("hit_count"))
 
 
+def search_boxes(blocks: DataFrame, needle: str) -> DataFrame:
+    """(doc_id, page, block_id, box, hit_count): the blocks that contain a phrase, with their place."""
+    low, wanted = F.lower(T.collapse(F.col("text"))), " ".join(needle.lower().split())
+    n = (F.length(low) - F.length(F.replace(low, F.lit(wanted), F.lit("")))) / len(wanted)
+    return blocks.where(low.contains(wanted)).select("doc_id", (F.col("page_num") + 1).alias("page"), "block_id", "x0", "y0", "x1", "y1", n.cast("bigint").alias("hit_count"))
+
+
 def classified(blocks: DataFrame, pages: DataFrame, sizes: DataFrame, bases: DataFrame) -> DataFrame:
     """Blocks with kind, level, ordered and depth: one chain of tests, the first that holds decides.
 

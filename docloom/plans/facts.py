@@ -109,6 +109,7 @@ QUERIES = {
     "furniture_mask": lambda spark, d: facts.furniture(base.words(spark, d), base.pages(spark, d)),
     "repeated_edge_text": lambda spark, d: facts.repeated_edge_text(base.blocks(spark, d), base.pages(spark, d)),
     "classified_blocks": lambda spark, d: _classified(spark, d).select(*base.BLOCK_KEYS, "kind", "level", "ordered", "depth"),
+    "search_boxes": lambda spark, d: facts.search_boxes(base.blocks(spark, d), NEEDLE),
     "search_hits": lambda spark, d: facts.search_hits(base.blocks(spark, d), NEEDLE),
 }
 
@@ -185,6 +186,9 @@ SQL = {
         _BASE,
         _LEVEL,
     ),
+    "search_boxes": sql(
+        f"select doc_id, page_num + 1 as page, block_id, x0, y0, x1, y1, cast((length(l) - length(replace(l, '{NEEDLE}', ''))) / {len(NEEDLE)} as bigint) as hit_count from (select *, lower({_collapse('text')}) as l from blocks) where contains(l, '{NEEDLE}')"
+    ),
     "search_hits": sql(
         f"select doc_id, page_num + 1 as page, cast(sum((length(l) - length(replace(l, '{NEEDLE}', ''))) / {len(NEEDLE)}) as bigint) as hit_count from (select doc_id, page_num, lower({_collapse('text')}) as l from blocks) where contains(l, '{NEEDLE}') group by 1, 2"
     ),

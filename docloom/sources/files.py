@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from docloom.session import ship
 
 
-def input_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
-    """(path, name, length, modified): files of a folder that match a pattern, in order, contents not read."""
+def input_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]", first: int = 0) -> DataFrame:
+    """(path, name, length, modified): files of a folder that match a pattern, in order, contents not read; the first so many, 0 for all."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return read.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified")).orderBy("path")
+    listed = read.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified")).orderBy("path")
+    return listed.limit(first) if first > 0 else listed
 
 
 def fixture_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -333,6 +333,7 @@ def test_folders_are_listed_and_read(spark, tmp_path):
     for name, body in (("b.PDF", "x"), ("a.pdf", "yy"), ("c.txt", "z"), ("f.json", '{"pdf": "p", "pages": [{"page": 1}]}')):
         (tmp_path / name).write_text(body)
     assert [(r.name, r.length) for r in files.input_files(spark, str(tmp_path)).collect()] == [("a.pdf", 2), ("b.PDF", 1)]
+    assert [r.name for r in files.input_files(spark, str(tmp_path), first=1).collect()] == ["a.pdf"]
     (r,) = files.fixture_folder(spark, str(tmp_path)).collect()
     assert r.file_name == "f.json"
     assert nested.fixture_pages(files.fixture_folder(spark, str(tmp_path))).first().page == 1
