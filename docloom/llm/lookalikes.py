@@ -181,7 +181,7 @@ def newest_words(words: DataFrame, odd: bool) -> DataFrame:
 
 def word_cases(words: DataFrame, spellings: DataFrame) -> DataFrame:
     """(doc_id, page_num, block_id, widx, text, form): words not in the consistent form; ``spellings`` is ``ambiguous``."""
-    seen = newest_words(words, True).join(spellings, "text")
+    seen = newest_words(words, True).hint("merge").join(spellings, "text")  # both grow
     around = F.array_distinct(F.flatten(F.collect_set("genuine").over(Window.partitionBy(*_BLOCK))))
     free = F.filter("borrowed", lambda b: ~F.array_contains("_around", b["script"]))
     form = F.when(F.col("text") != F.col("form"), F.col("form")).when(F.size("_free") == 1, F.col("_free")[0]["form"]).when(F.size("_free") > 1, F.col("form_alone"))
