@@ -170,7 +170,7 @@ def _odd(text: str = "text") -> Column:
 def ambiguous(spellings: DataFrame) -> DataFrame:
     """The spellings whose skeleton group holds several spellings, or that tell a script."""
     groups = spellings.select(F.inline("members")).distinct().groupBy("skeleton").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("skeleton", F.lit(True).alias("alike"))
-    return spellings.drop("members").join(groups, "skeleton", "left").where(F.col("alike") | (F.size("genuine") > 0)).withColumn("alike", F.coalesce("alike", F.lit(False)))
+    return spellings.drop("members").hint("merge").join(groups, "skeleton", "left").where(F.col("alike") | (F.size("genuine") > 0)).withColumn("alike", F.coalesce("alike", F.lit(False)))
 
 
 def newest_words(words: DataFrame, odd: bool) -> DataFrame:
@@ -206,7 +206,7 @@ def all_spellings(words: DataFrame, formulas: DataFrame) -> DataFrame:
 def inconsistent(words: DataFrame, formulas: DataFrame, excluded: DataFrame) -> DataFrame:
     """(record, doc_id, page_num, item_id, widx) of the cases; ``excluded`` blocks give none."""
     spellings = all_spellings(words, formulas)
-    w = word_cases(words, spellings).join(excluded.select(*_BLOCK).distinct(), _BLOCK, "left_anti")
+    w = word_cases(words, spellings).hint("merge").join(excluded.select(*_BLOCK).distinct(), _BLOCK, "left_anti")
     w = w.select(F.lit("word").alias("record"), "doc_id", "page_num", F.col("block_id").alias("item_id"), "widx")
     f = formula_cases(formulas, spellings)
     return w.unionByName(f.select(F.lit("formula").alias("record"), "doc_id", "page_num", F.col("formula_index").alias("item_id"), F.lit(-1).cast("bigint").alias("widx")))
