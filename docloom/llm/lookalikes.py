@@ -192,7 +192,7 @@ def word_cases(words: DataFrame, spellings: DataFrame) -> DataFrame:
 def formula_cases(formulas: DataFrame, spellings: DataFrame) -> DataFrame:
     """(doc_id, page_num, formula_index, text, form): formulas not in the consistent form; ``spellings`` is ``ambiguous``."""
     keys = ["doc_id", "page_num", "formula_index"]
-    seen = formulas.where("doc_id is not null").select(*keys, F.col("source_text").alias("text")).where(_odd()).join(spellings.where("alike"), "text")
+    seen = formulas.where("doc_id is not null").select(*keys, F.col("source_text").alias("text")).where(_odd()).hint("merge").join(spellings.where("alike"), "text")
     form = F.when(F.array_contains("genuine", "CYRILLIC"), F.col("form")).otherwise(F.col("form_alone"))
     return seen.select(*keys, "text", form.alias("form")).where("text <> form").dropDuplicates(keys)
 
