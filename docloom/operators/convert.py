@@ -36,10 +36,12 @@ def selected(df: DataFrame, options: Options) -> DataFrame:
     return df.where((F.col("page_num") + 1).isin(*options.pages)) if options.pages else df
 
 
-def kept_blocks(blocks: DataFrame, pages: DataFrame, furniture: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Classified body blocks outside furniture, tables and formulas, leading headings as blocks of their own."""
+def kept_blocks(blocks: DataFrame, pages: DataFrame, furniture: DataFrame, tables: DataFrame, formulas: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Classified body blocks outside furniture, tables and formulas, leading headings as blocks of their own; ``tags`` come before all tests."""
     sizes, bases = facts.body_font_size(blocks), facts.heading_base(blocks)
     kinds = facts.headings_split(blocks.where(F.col("block_id") < MARGIN), pages, sizes, bases)
+    if tags is not None:
+        kinds = facts.tagged_blocks(kinds, tags)
     return spatial.outside(spatial.outside_tables(spatial.outside(kinds, furniture), tables), formulas)
 
 
@@ -58,18 +60,19 @@ def placed_figures(text: DataFrame, images: DataFrame, pages: DataFrame) -> Data
     return listed.join(plan, [*PAGE, "id"]).withColumn("text", link)
 
 
-def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: DataFrame, options: Options = Options(), images: DataFrame | None = None) -> dict[str, DataFrame]:  # noqa: B008
+def convert(words: DataFrame, blocks: DataFrame, pages: DataFrame, formulas: DataFrame, options: Options = Options(), images: DataFrame | None = None, rules: DataFrame | None = None, tags: DataFrame | None = None) -> dict[str, DataFrame]:  # noqa: B008
     """DataFrames ``blocks``, ``tables``, ``formulas``, ``figures``, ``pages``, ``documents`` and ``warnings`` of the conversion.
 
-    ``images`` has image_index and a box for each image; without it there are no figures.
+    What only some files have is optional: ``images`` (image_index and box) give figures, ``rules`` (ruling
+    lines) tables between them, ``tags`` (role and box) kinds of blocks.
     """
     furniture = facts.furniture(words, pages)
-    found = pagefolds.page_tables(words, pages)
+    found = pagefolds.page_tables(words, pages, rules)
     gated = policy.emitted_tables(found.where(F.col("confidence") >= F.lit(options.table_confidence)))
     found = written(selected(gated, options) if options.tables else found.limit(0), "tables")
     decided = policy.emission(with_latex(words, selected(formulas, options)), options.formulas, options.emit).where("emit")
     decided = written(spatial.outside(decided, found), "formulas")
-    text = written(selected(kept_blocks(blocks, pages, furniture, found, decided), options), "text")
+    text = written(selected(kept_blocks(blocks, pages, furniture, found, decided, tags), options), "text")
     columns = [*PAGE, "id", "kind", "x0", "y0", "text"]
     t_media = found.select(*PAGE, F.col("table_no").cast("bigint").alias("id"), F.lit("Table").alias("kind"), "x0", "y0", F.when(F.col("render") == "Markdown", render.gfm_table(F.col("rows"))).otherwise(F.concat(F.lit("```\n"), F.col("layout_text"), F.lit("\n```"))).alias("text"))
     f_media = decided.select(*PAGE, (F.col("formula_index") + 1000).alias("id"), F.lit("Formula").alias("kind"), "x0", "y0", F.col("text_latex").alias("text"))

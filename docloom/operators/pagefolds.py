@@ -430,6 +430,11 @@ def coordinate_tables(words: list, width: float) -> list[dict]:
             start = _header_start(rows, i)
             found.append(_table(rows[start:j], i - start, width, "NumericRows"))
     found = [t for t in found if t] or [*form_tables(rows, width), *aligned_tables(rows, width), *captioned_tables(rows, width)]
+    return better_tables(found)
+
+
+def better_tables(found: list[dict]) -> list[dict]:
+    """Of tables that overlap the more confident one, Markdown ahead of layouts."""
     kept = keep_better([t["box"] for t in found], [t["confidence"] + (0.05 if t["render"] == "Markdown" else 0.0) for t in found])
     return [found[i] for i in kept]
 
@@ -772,8 +777,7 @@ def _with_size(df: DataFrame, pages: DataFrame | None) -> DataFrame:
     out = df.withColumns({"width": F.lit(0.0), "height": F.lit(0.0)})
     if pages is None:
         return out
-    blank = [F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(0).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in PAGE]
-    return out.unionByName(pages.where("width > 0 and height > 0").select(*PAGE, *blank, "width", "height"))
+    return out.unionByName(pages.where("width > 0 and height > 0").select(*PAGE, *_blank(df), "width", "height"))
 
 
 def _sized(page: list) -> tuple[list, float, float]:
@@ -782,16 +786,45 @@ def _sized(page: list) -> tuple[list, float, float]:
     return [r for r in page if r.width == 0], width, height
 
 
-def page_tables(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, prose_penalty, source_block_ids, rows, layout_text, width, height)."""
+def _blank(df: DataFrame) -> list:
+    """Empty values for the columns of ``df`` besides its page."""
+    return [F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(0).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in PAGE]
+
+
+def _with_rules(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Words and ruling lines as rows of one table; lines have an orientation."""
+    based = _based(words)
+    w = based.withColumns({"orientation": F.lit(""), "pos": F.lit(0.0), "lo": F.lit(0.0), "hi": F.lit(0.0)})
+    return w.unionByName(rules.dropna(subset=["orientation", "pos", "lo", "hi"]).select(*PAGE, *_blank(based), "orientation", "pos", "lo", "hi"))
+
+
+_TABLE = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, prose_penalty double, source_block_ids array<bigint>, rows array<array<string>>, layout_text string, width double, height double"
+
+
+def _table_fold(coordinates: bool, ruled: bool) -> Callable:
+    """The fold that finds a page's tables by coordinates, by ruling lines and white space, or both."""
 
     def fold(_: tuple, page: list) -> list[tuple]:
         rows, width, height = _sized(page)
-        found = coordinate_tables(_rows(rows, "base", "x0", "block_id", "widx"), width)
+        inside = _rows([r for r in rows if not ruled or not r.orientation], "base", "x0", "block_id", "widx")
+        found = coordinate_tables(inside, width) if coordinates else []
+        if ruled:
+            found += region_tables(inside, [r for r in rows if r.orientation], width, height)
+        if ruled and coordinates:
+            found = better_tables(found)
         return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), max(map(len, t["rows"])), *t["box"], round(t["prose"], 9), t["ids"], t["rows"], t["layout"], width, height) for k, t in enumerate(found)]
 
-    schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, prose_penalty double, source_block_ids array<bigint>, rows array<array<string>>, layout_text string, width double, height double"
-    return _per_page(_with_size(_based(words), pages), schema, fold)
+    return fold
+
+
+def page_tables(words: DataFrame, pages: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, prose_penalty, source_block_ids, rows, layout_text, width, height).
+
+    With ``rules`` (orientation, pos, lo, hi) also tables between ruling lines and of columns of white
+    space; of tables that overlap the better one stays.
+    """
+    both = _based(words) if rules is None else _with_rules(words, rules)
+    return _per_page(_with_size(both, pages), _TABLE, _table_fold(True, rules is not None))
 
 
 def page_formulas(words: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -852,19 +885,5 @@ def page_figures(blocks: DataFrame, images: DataFrame, pages: DataFrame | None =
 
 
 def page_ruled_tables(words: DataFrame, rules: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_num, table_no, source, confidence, render, n_rows, n_columns, box, rows): tables between ruling lines, or of columns of white space where a page has no lines.
-
-    ``rules`` has orientation ('h' or 'v'), pos, lo and hi. Words and rules of a page meet in one fold.
-    """
-    w = _based(words).withColumns({"orientation": F.lit(""), "pos": F.lit(0.0), "lo": F.lit(0.0), "hi": F.lit(0.0)})
-    blank = [F.lit("").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(0).cast(f.dataType).alias(f.name) for f in _based(words).schema.fields if f.name not in PAGE]
-    both = w.unionByName(rules.dropna(subset=["orientation", "pos", "lo", "hi"]).select(*PAGE, *blank, "orientation", "pos", "lo", "hi"))
-
-    def fold(_: tuple, page: list) -> list[tuple]:
-        rows, width, height = _sized(page)
-        inside = _rows([r for r in rows if not r.orientation], "base", "x0", "block_id", "widx")
-        found = region_tables(inside, [r for r in rows if r.orientation], width, height)
-        return [(k, t["source"], round(t["confidence"], 9), t["render"], len(t["rows"]), max(map(len, t["rows"])), *t["box"], t["rows"]) for k, t in enumerate(found)]
-
-    schema = "table_no int, source string, confidence double, render string, n_rows int, n_columns int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"
-    return _per_page(_with_size(both, pages), schema, fold)
+    """The columns of ``page_tables``: only tables between ruling lines and of columns of white space."""
+    return _per_page(_with_size(_with_rules(words, rules), pages), _TABLE, _table_fold(False, True))

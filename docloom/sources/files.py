@@ -33,8 +33,8 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("token_id", "token"))
 
 
-def write_markdown(documents: DataFrame, folder: str) -> DataFrame:
-    """Writes <doc_id>.md for each document into a folder all executors share; gives (doc_id, path, n_bytes).
+def write_markdown(documents: DataFrame, folder: str, nested: bool = False) -> DataFrame:
+    """Writes <doc_id>.md for each document into a folder all executors share, or (``nested``) into one of its own there; gives (doc_id, path, n_bytes).
 
     A file is written beside its place and renamed, so a repeated task leaves whole files.
     """
@@ -44,11 +44,11 @@ def write_markdown(documents: DataFrame, folder: str) -> DataFrame:
         import os
         import uuid
 
-        target = Path(folder)
-        target.mkdir(parents=True, exist_ok=True)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["markdown"], strict=True):
+                target = Path(folder) / str(doc) if nested else Path(folder)
+                target.mkdir(parents=True, exist_ok=True)
                 data = (text or "").encode()
                 path, draft = target / f"{doc}.md", target / f".{doc}-{uuid.uuid4().hex}"
                 draft.write_bytes(data)

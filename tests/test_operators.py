@@ -73,6 +73,8 @@ def test_files_and_stream(spark, tmp_path):
     out = files.write_markdown(docs, str(tmp_path / "md")).collect()
     assert {(r.doc_id, r.n_bytes) for r in out} == {(1, 3), (2, 0)}
     assert (tmp_path / "md/1.md").read_text() == "# a"
+    files.write_markdown(docs, str(tmp_path / "own"), nested=True).collect()
+    assert (tmp_path / "own/1/1.md").read_text() == "# a"
     (tmp_path / "v.txt").write_text("a\nb\n")
     assert [tuple(r) for r in files.vocabulary(spark, str(tmp_path / "v.txt")).collect()] == [(0, "a"), (1, "b")]
     arrived = spark.createDataFrame([(1, "f", '{"pages": [{}]}', dt.datetime(2024, 1, 1))], "fixture_id bigint, file_name string, body string, received_at timestamp")

@@ -186,6 +186,10 @@ def test_conversion_of_chosen_pages_with_figures(spark):
     images = spark.createDataFrame([(1, 1, 0, 150.0, 200.0, 450.0, 400.0)], f"doc_id bigint, page_num bigint, image_index bigint, {box}")
     out = convert.convert(words, blocks, pages, formulas, convert.Options(pages=(2, 3)), images)
     (doc,) = out["documents"].collect()
+    tags = spark.createDataFrame([(1, 2, "H1", 72.0, 100.0, 500.0, 120.0)], f"doc_id bigint, page_num bigint, role string, {box}")
+    rules = spark.createDataFrame([(1, 1, "h", 95.0, 60.0, 520.0), (1, 1, "h", 240.0, 60.0, 520.0)], "doc_id bigint, page_num bigint, orientation string, pos double, lo double, hi double")
+    tagged = convert.convert(words, blocks, pages, formulas, convert.Options(pages=(2, 3)), images, rules, tags)["documents"].first()
+    assert "# Some text of the page." in tagged.markdown
     assert "<!-- page:1 -->" not in doc.markdown
     assert "![Figure 1. The pump](page2_fig0.png)" in doc.markdown
     assert doc.markdown.count("*Figure 1. The pump*") == 2
