@@ -167,20 +167,21 @@ def _net(plus: DataFrame, minus: DataFrame, n: str) -> DataFrame:
 def changed_lines(state: State, counts: DataFrame, sizes: DataFrame, min_files: int = 3, min_share: float = 0.1) -> DataFrame:
     """(source, record, key, now): lines that net ``counts`` and ``sizes`` make cross the threshold, either way.
 
-    Only sources whose size or counts change are looked at: where a source grows, lines without a
-    change of their own can fall under the share.
+    Where a source grows only lines that were over the threshold or whose count changes can cross it;
+    where it shrinks, because a file's source changed, all its lines are looked at.
     """
-    sources = counts.select("source").unionByName(sizes.where("files <> 0").select("source")).distinct()
     zero = F.lit(0).cast("bigint")
-    rows = state.counts.join(sources, "source", "left_semi").select("source", "record", "key", F.col("n_files").alias("old"), zero.alias("new"))
-    rows = rows.unionByName(counts.select("source", "record", "key", zero.alias("old"), F.col("n_files").alias("new")))
-    total = rows.groupBy("source", "record", "key").agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where(F.greatest(F.col("old"), F.col("old") + F.col("new")) >= min_files)
+    near = counts.select(*_KEY).unionByName(state.over).distinct().withColumn("_near", F.lit(True))
+    shrunk = sizes.where("files < 0").select("source", F.lit(True).alias("_shrunk"))
+    rows = state.counts.join(near, _KEY, "left").join(shrunk, "source", "left").where("_near or _shrunk").select(*_KEY, F.col("n_files").alias("old"), zero.alias("new"))
+    rows = rows.unionByName(counts.select(*_KEY, zero.alias("old"), F.col("n_files").alias("new")))
+    total = rows.groupBy(*_KEY).agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where(F.greatest(F.col("old"), F.col("old") + F.col("new")) >= min_files)
     size = state.sizes.select("source", F.col("files").alias("had"), zero.alias("added")).unionByName(sizes.select("source", zero.alias("had"), F.col("files").alias("added")))
     size = size.groupBy("source").agg(F.sum("had").alias("had"), F.sum("added").alias("added"))
     joined = _sized(total, size)
     was = _over(F.col("old"), F.col("had"), min_files, min_share)
     now = _over(F.col("old") + F.col("new"), F.col("had") + F.col("added"), min_files, min_share)
-    return joined.select("source", "record", "key", was.alias("was"), now.alias("now")).where("was <> now").drop("was")
+    return joined.select(*_KEY, was.alias("was"), now.alias("now")).where("was <> now").drop("was")
 
 
 def holding(state: State, keys: DataFrame) -> DataFrame:
@@ -233,7 +234,16 @@ def repeated_lines(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
     What the first partition gave stands for documents that need no rebuilding; the others are judged anew.
     """
     before, after, rebuild = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
-    return found_lines(before).join(rebuild, "doc_id", "left_anti").unionByName(found_lines(after).join(rebuild, "doc_id", "left_semi")).select("record", "doc_id", "page_num", "item_id", "line_no")
+    return _standing_hits(before, after, rebuild)
+
+
+def _standing_hits(before: State, after: State, rebuild: DataFrame) -> DataFrame:
+    """Repeated lines as the first partition has them for documents that need no rebuilding, as both have them for the others; one pass over the lines."""
+    keys = before.over.select(*_KEY, F.lit(True).alias("_then"), F.lit(False).alias("_now")).unionByName(after.over.select(*_KEY, F.lit(False).alias("_then"), F.lit(True).alias("_now")))
+    keys = keys.groupBy(*_KEY).agg(F.max("_then").alias("_then"), F.max("_now").alias("_now"))
+    hits = holding(after, keys.select(*_KEY)).join(keys, _KEY).join(rebuild.withColumn("_again", F.lit(True)), "doc_id", "left")
+    stands = F.when(F.col("_again").isNull(), F.col("_then")).otherwise(F.col("_now"))
+    return hits.where(stands).select("record", "doc_id", "page_num", "item_id", "line_no").distinct()
 
 
 def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> DataFrame:
@@ -243,8 +253,9 @@ def cleaned_blocks(blocks: DataFrame, furniture: DataFrame, reports: DataFrame,
     """
     first = partitions(blocks, furniture, first_share)[0][0]
     before, after, rebuild = accumulated(blocks, furniture, reports, min_files, min_share, first_share)
-    stays = rebuilt_blocks(first.join(rebuild, "doc_id", "left_anti"), found_lines(before))
-    return stays.unionByName(rebuilt_blocks(blocks.join(rebuild, "doc_id", "left_semi"), found_lines(after)))
+    hits = written(_standing_hits(before, after, rebuild), "hits")
+    stays = rebuilt_blocks(first.join(rebuild, "doc_id", "left_anti"), hits)
+    return stays.unionByName(rebuilt_blocks(blocks.join(rebuild, "doc_id", "left_semi"), hits))
 
 
 def repeated_line_table(blocks: DataFrame, furniture: DataFrame, reports: DataFrame, min_files: int = 3, min_share: float = 0.1, first_share: float = FIRST_SHARE) -> DataFrame:
