@@ -12,7 +12,7 @@ from docloom.plans import catalog
 DATA = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 #: Queries that find nothing in these tables; their operators have tests on small rows.
-EMPTY = {"scholarly_notes", "reference_lines", "region_iou_pairs", "gfm_tables", "repeated_edge_text", "repeated_text_blocks", "region_matches", "unsafe_sources", "captioned_media", "code_lines", "row_runs", "backend_rejection", "implicit_tables", "grid_cells", "scholarly_pages", "density_warnings", "repeated_media"}
+EMPTY = {"scholarly_notes", "reference_lines", "region_iou_pairs", "gfm_tables", "repeated_edge_text", "repeated_text_blocks", "region_matches", "unsafe_sources", "captioned_media", "code_lines", "row_runs", "backend_rejection", "implicit_tables", "grid_cells", "scholarly_pages", "density_warnings", "repeated_media", "reference_pages"}
 
 
 def plain(v):
