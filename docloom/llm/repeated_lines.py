@@ -109,10 +109,10 @@ def source_sizes(files: DataFrame) -> DataFrame:
     return files.where("source is not null and placed").groupBy("source").agg(F.count(F.lit(1)).alias("files"))
 
 
-def _sized(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Counts with their source's size, a source's lines spread over SALT parts."""
+def _sized(counts: DataFrame, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """Counts with what ``sizes`` has for their source, a source's lines spread over SALT parts."""
     spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return counts.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).join(spread, ["source", "_salt"]).drop("_salt")
+    return counts.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).join(spread, ["source", "_salt"], how).drop("_salt")
 
 
 def _over(n: Column, files: Column, min_files: int, min_share: float) -> Column:
@@ -173,7 +173,7 @@ def changed_lines(state: State, counts: DataFrame, sizes: DataFrame, min_files:
     zero = F.lit(0).cast("bigint")
     near = counts.select(*_KEY).unionByName(state.over).distinct().withColumn("_near", F.lit(True))
     shrunk = sizes.where("files < 0").select("source", F.lit(True).alias("_shrunk"))
-    rows = state.counts.join(near, _KEY, "left").join(shrunk, "source", "left").where("_near or _shrunk").select(*_KEY, F.col("n_files").alias("old"), zero.alias("new"))
+    rows = _sized(state.counts.join(near, _KEY, "left"), shrunk, "left").where("_near or _shrunk").select(*_KEY, F.col("n_files").alias("old"), zero.alias("new"))
     rows = rows.unionByName(counts.select(*_KEY, zero.alias("old"), F.col("n_files").alias("new")))
     total = rows.groupBy(*_KEY).agg(F.sum("old").alias("old"), F.sum("new").alias("new")).where(F.greatest(F.col("old"), F.col("old") + F.col("new")) >= min_files)
     size = state.sizes.select("source", F.col("files").alias("had"), zero.alias("added")).unionByName(sizes.select("source", zero.alias("had"), F.col("files").alias("added")))
