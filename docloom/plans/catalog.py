@@ -11,6 +11,10 @@ _TYPES = {
     "inspect_documents": {"readable_pages": "bigint", "image_only_pages": "bigint", "low_density_pages": "bigint"},
     "ocr_triage_report": {"pages_with_readable_text": "bigint", "image_only_pages": "bigint", "low_density_pages": "bigint"},
     "conversion_warnings": {"n": "bigint"},
+    "text_runs": {"run_length": "int"},
+    "page_results": {"heading_matches": "bigint", "heading_false_positives": "bigint"},
+    "markdown_elements": {"headings": "bigint", "tables": "bigint", "figures": "bigint", "lists": "bigint", "paragraphs": "bigint"},
+    "scholarly_pages": {"abstract_at": "int", "metadata": "bigint"},
     "dark_bands": {"y0": "int", "y1": "int", "dark": "bigint"},
     "word_builder": {"word_no": "bigint"},
     "row_width_mode": {"rows": "bigint"},
